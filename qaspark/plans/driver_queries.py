@@ -12,11 +12,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import naming
+from ..functions.prompts import chat_messages, render_prompt
+from ..functions.text import (NO_ANSWER, collapse_ws, strip_reasoning, substring_recall_one,
+                              token_recall_one, tokens, words)
 from ..operators import aggregate as agg
-from ..operators.score import pair_next_turn, score
+from ..operators import sequence as seq
+from ..operators.grid import run_grid, with_memory_estimate
+from ..operators.recall_join import recall_join
+from ..operators.retrieve import retrieve_dense, retrieve_lexical
+from ..operators.score import pair_next_turn, score, to_prediction
+from ..operators.telemetry import peak_telemetry
 from ..sources.tables import table
 
 MEAN_DIGITS = 6   # means are order-dependent in the last bits; compare rounded
+CAP = 50          # item cap of the capped queries (0 / None would mean no cap)
+MODE = "no_context"
+PREVIEW_N = 100
+RECALL_THRESHOLD = 0.8
+TOP_K = 3
+# Stand-in mapping of event types to task statuses and telemetry measures.
+STATUS_OF_EVENT = {"purchase": agg.STATUS_COMPLETED, "error": agg.STATUS_FAILED,
+                   "click": agg.STATUS_RUNNING, "view": agg.STATUS_RUNNING, "signup": agg.STATUS_QUEUED}
+MEASURE_OF_EVENT = {"view": "cpu_ram_used_mb", "click": "gpu_ram_used_mb",
+                    "purchase": "gpu_ram_peak_mb", "signup": "reserved_gpu_ram_mb",
+                    "error": "gpu_power_draw_w"}
+CONTEXT_TEMPLATE = "Context:\n{context}\n\nQuestion: {question}"
+SYSTEM_PROMPT = "Answer briefly."
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -53,8 +75,351 @@ def q08_run_quality(spark, sf):
                     "num_examples")
 
 
+def q02_dataset_stats(spark, sf):
+    """Per document source -- records (eval_size), valid records (a
+    quality label present and 1) and records to process under the cap."""
+    docs = table(spark, sf, "documents").select("doc_id", "source")
+    lab = table(spark, sf, "labels").select("doc_id", "quality")
+    j = docs.join(lab, on="doc_id", how="left")
+    g = j.groupBy("source").agg(F.count(F.lit(1)).cast("bigint").alias("eval_size"),
+                                F.count_if(F.col("quality") == 1).cast("bigint").alias("valid_count"))
+    return g.withColumn("to_process", F.least(F.col("valid_count"), F.lit(CAP).cast("bigint")))
+
+
+def q03_cap_samples(spark, sf):
+    """P5: the first CAP scorable items (question present, reply present) in
+    item order ``(conv_id, turn)`` -- a top-N, planned as TakeOrderedAndProject."""
+    p = _pairs(spark, sf).filter(F.col("question").isNotNull() & (F.col("question") != ""))
+    return (p.orderBy("conv_id", "turn").limit(CAP)
+             .select("conv_id", "turn", "question", F.col("prediction").alias("answer")))
+
+
+def q04_predictions(spark, sf):
+    """Prediction records of paired items with both recalls."""
+    sp = _scored_pairs(spark, sf).withColumn(
+        "qid", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    rec = to_prediction(sp, question_id="qid", question="question", prediction="prediction",
+                        truths="truths", context_type=F.lit("none"), model_name=F.lit("assistant"),
+                        dataset_name=F.lit("conversations"))
+    return rec.select("question_id", "question", "predicted_answer",
+                      F.size("ground_truth").cast("bigint").alias("n_truths"),
+                      "context_type", "model_name", "dataset_name",
+                      "substring_recall", "token_recall", "is_sentinel")
+
+
+def _stem(c):
+    return F.lower(F.regexp_replace(F.col(c), " ", "_"))
+
+
+def q05_run_grid(spark, sf):
+    """Nation as model × region as dataset for one mode."""
+    models = table(spark, sf, "nation").select(F.col("n_name").alias("model"), _stem("n_name").alias("model_stem"))
+    datasets = table(spark, sf, "region").select(F.col("r_name").alias("dataset"),
+                                                 _stem("r_name").alias("dataset_stem"))
+    return run_grid(models, datasets, MODE)
+
+
+def q06_metric_long(spark, sf):
+    """Run-metric-like aggregates per return flag, unpivoted to
+    ``(run, metric, value, category)``."""
+    li = table(spark, sf, "lineitem")
+    wide = li.groupBy(F.col("l_returnflag").alias("run_id")).agg(
+        F.round(F.avg("l_discount"), MEAN_DIGITS).alias("substring_recall"),
+        F.round(F.avg("l_tax"), MEAN_DIGITS).alias("token_recall"),
+        F.count(F.lit(1)).alias("num_examples"),
+        F.sum("l_quantity").alias("duration_seconds"),
+        F.max("l_extendedprice").alias("cpu_ram_used_mb"),
+        F.count_distinct("l_orderkey").alias("model_size_bytes"),
+        F.lit("n/a").alias("note"))
+    return agg.metrics_long(wide, ["run_id"]).drop("display")
+
+
+def _size_text():
+    s = F.col("p_size")
+    return (F.when(s % 4 == 0, F.concat((s * 15).cast("string"), F.lit("M")))
+             .when(s % 4 == 1, F.concat((s / 10).cast("int").cast("string"), F.lit("."),
+                                        (s % 10).cast("string"), F.lit("B")))
+             .when(s % 4 == 2, F.col("p_type"))
+             .otherwise(F.concat(s.cast("string"), F.lit("B"))))
+
+
+def q07_memory_plan(spark, sf):
+    """Memory estimate per part-as-model; parts without a loadable
+    config (size above 40) miss the lookup and get the 3.0 GB default."""
+    part = table(spark, sf, "part").select("p_partkey", "p_name", "p_size", "p_type")
+    models = part.select("p_partkey", F.col("p_name").alias("model_name"), _size_text().alias("model_size"),
+                         "p_size")
+    est = (models.filter(F.col("p_size") <= 40)
+                 .select(F.col("p_partkey").alias("model"),
+                         naming.memory_estimate_gb("model_size", "model_name").alias("estimated_memory_gb")))
+    g = with_memory_estimate(models.withColumnRenamed("p_partkey", "model"), est, key="model")
+    return g.select(F.col("model").alias("p_partkey"), "model_name", "model_size", "estimated_memory_gb")
+
+
+def q09_context_stats(spark, sf):
+    """A2: per language (context type) -- count, total and mean quality
+    label (as recall), has-label count and ratio, plus the total row."""
+    docs = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("context_type"))
+    lab = table(spark, sf, "labels").select("doc_id", "quality")
+    j = docs.join(lab, on="doc_id", how="left").select(
+        "context_type", F.coalesce(F.col("quality"), F.lit(0)).alias("recall"),
+        F.col("quality").alias("ground_truth"))
+    return agg.context_stats(j, "context_type", "recall", "ground_truth")
+
+
+def q10_distinct_models(spark, sf):
+    """A3: sorted distinct sources per language, as ranked rows."""
+    return agg.distinct_values(table(spark, sf, "documents"), ["lang"], "source")
+
+
+def _telemetry_samples(spark, sf):
+    ev = table(spark, sf, "events")
+    cols = [F.when(F.col("event_type") == e, F.col("value")).alias(m) for e, m in MEASURE_OF_EVENT.items()]
+    limit = F.when(F.col("event_type") == "error",
+                   F.get_json_object("props", "$.k").cast("double")).alias("gpu_power_limit_w")
+    return ev.select("user_id", "ts", "event_id", *cols, limit)
+
+
+def q11_peaks(spark, sf):
+    """A4: telemetry peaks per run (user): memory maxima with null as 0, power
+    draw ignoring 0, last non-zero power limit by (ts, event_id)."""
+    return peak_telemetry(_telemetry_samples(spark, sf), ["user_id"], ["ts", "event_id"])
+
+
+def q12_run_record(spark, sf):
+    """The wide run record -- quality (A1) + duration + sizes + peaks
+    (A4) -- per conversation, telemetry from the events of the same id."""
+    conv = table(spark, sf, "conversations")
+    runs = conv.select(F.col("conv_id").alias("run_id")).distinct()
+    quality = agg.run_quality(_scored_pairs(spark, sf).withColumnRenamed("conv_id", "run_id"), runs, ["run_id"])
+    tel = _telemetry_samples(spark, sf).withColumnRenamed("user_id", "run_id")
+    peaks = peak_telemetry(tel, ["run_id"], ["ts", "event_id"]).drop("n_samples")
+    ev = table(spark, sf, "events")
+    dur = ev.groupBy(F.col("user_id").alias("run_id")).agg(
+        ((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp")))
+         / F.lit(1e6)).alias("duration_seconds"))
+    rec = quality.join(dur, "run_id", "left").join(peaks, "run_id", "left")
+    model_bytes = F.lit(1024).cast("bigint")          # size of the constant model (U2)
+    out = rec.select(
+        "run_id",
+        F.round("substring_recall", MEAN_DIGITS).alias("substring_recall"),
+        F.round("token_recall", MEAN_DIGITS).alias("token_recall"),
+        "num_examples",
+        F.coalesce("duration_seconds", F.lit(0.0)).alias("duration_seconds"),
+        model_bytes.alias("model_size_bytes"),
+        naming.bytes_to_mb(model_bytes).alias("model_size_mb"),
+        F.lit(0).cast("bigint").alias("retriever_index_size_bytes"),
+        F.lit(0.0).alias("retriever_index_size_mb"),
+        *[F.coalesce(c, F.lit(0.0)).alias(c) for c in
+          ("cpu_ram_used_mb", "gpu_ram_used_mb", "gpu_ram_peak_mb", "reserved_gpu_ram_mb",
+           "gpu_power_draw_w", "gpu_power_limit_w")])
+    return out
+
+
+def _latest_status(spark, sf):
+    ev = table(spark, sf, "events")
+    status = F.create_map(*[x for kv in STATUS_OF_EVENT.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
+    ev = ev.withColumn("status", status[F.col("event_type")])
+    return agg.latest_status(ev, "user_id", "status", ["ts", "event_id"], ["props"])
+
+
+def q13_batch_rollup(spark, sf):
+    """Latest status per task (user) → completed / failed / running /
+    remaining counts and progress %."""
+    return agg.batch_rollup(_latest_status(spark, sf))
+
+
+def q13b_failed_runs(spark, sf):
+    """Tasks whose latest status is failed, with attempts and reason."""
+    return agg.failed_report(_latest_status(spark, sf), "user_id", "props")
+
+
+def q14_sentinels(spark, sf):
+    """Replies shorter than 8 words are replaced by the no-answer
+    sentinel; sentinels are flagged and still scored (truth "No" matches)."""
+    p = _pairs(spark, sf)
+    pred = F.when(F.size(words("prediction")) < 8, F.lit(NO_ANSWER)).otherwise(F.col("prediction"))
+    p = p.withColumn("prediction", pred).withColumn("truths", F.array(F.col("question"), F.lit("No")))
+    return score(p, "prediction", "truths").select("conv_id", "turn", "is_sentinel",
+                                                   "substring_recall", "token_recall")
+
+
+def q15_latest_value(spark, sf):
+    """Latest value per (user, event type), last write by (ts, event_id)."""
+    ev = table(spark, sf, "events")
+    return (agg.latest_value(ev, ["user_id", "event_type"], "value", ["ts", "event_id"])
+               .drop("latest_ts"))
+
+
+def _run_items(spark, sf):
+    """Scored pairs in two large runs (conversation id parity), so one run
+    holds about half of all items -- the hot-run case the sequence operators
+    split into ordinal blocks."""
+    return _scored_pairs(spark, sf).withColumn("run", (F.col("conv_id") % 2).cast("bigint"))
+
+
+def q16_progress(spark, sf):
+    """Running mean substring recall at the progress rows (position 1
+    and every 10th), percent processed, and the every-100th report flag."""
+    items = _run_items(spark, sf).select("run", "conv_id", "turn", "substring_recall")
+    r = seq.progress_rows(items, ["run"], ["conv_id", "turn"], "substring_recall")
+    return r.select("run", "conv_id", "turn", "position", "run_count",
+                    F.round("running_mean", MEAN_DIGITS).alias("running_mean"),
+                    F.round("progress_pct", MEAN_DIGITS).alias("progress_pct"), "is_report")
+
+
+def q17_series(spark, sf):
+    """Per-item scalar series (0-based iteration), two series per run."""
+    items = _run_items(spark, sf)
+    return seq.scalar_series(items, ["run"], ["conv_id", "turn"], ["substring_recall", "token_recall"],
+                             "Training Progress", zero_based=True)
+
+
+def q17b_telemetry_series(spark, sf):
+    """Telemetry samples per run (user) with 1-based sample index,
+    unpivoted by measure."""
+    ev = table(spark, sf, "events").select(
+        "user_id", "ts", "event_id", "value",
+        F.get_json_object("props", "$.k").cast("double").alias("k"))
+    return seq.scalar_series(ev, ["user_id"], ["ts", "event_id"], ["value", "k"], "telemetry",
+                             zero_based=False)
+
+
+def q18_preview(spark, sf):
+    """The first 100 documents per language by id, with the remaining count."""
+    d = table(spark, sf, "documents").select("lang", "doc_id")
+    return seq.first_n(d, ["lang"], ["doc_id"], PREVIEW_N)
+
+
+def q19_recall_join(spark, sf):
+    """Benchmark passages found in documents -- all (item, document) pairs
+    with token recall >= 0.8, via the prefix-filtered token join."""
+    bench = table(spark, sf, "benchmark")
+    docs = table(spark, sf, "documents")
+    return recall_join(bench, docs, "item_id", "text", "doc_id", "text", RECALL_THRESHOLD)
+
+
+def q20_retrieve_dense(spark, sf):
+    """For every embedding, its 3 most cosine-similar other embeddings
+    (ties by id)."""
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    r = retrieve_dense(e, e, "vec_id", "embedding", "vec_id", "embedding", k=TOP_K, exclude_self=True)
+    return r.withColumn("score", F.round("score", MEAN_DIGITS))
+
+
+def q21_retrieve_lexical(spark, sf):
+    """Top-3 documents per benchmark text by token recall (ties by id)."""
+    bench = table(spark, sf, "benchmark")
+    docs = table(spark, sf, "documents")
+    return retrieve_lexical(bench, docs, "item_id", "text", "doc_id", "text", k=TOP_K)
+
+
+def q22_tokens(spark, sf):
+    """word count and distinct token count per document."""
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", F.size(words("text")).cast("bigint").alias("n_words"),
+                    F.size(tokens("text")).cast("bigint").alias("n_tokens"))
+
+
+def q24_multi_answer(spark, sf):
+    """The first user turn of each conversation scored against *all*
+    assistant turns of it (best truth wins; truths without words are skipped
+    for token recall, empty ones for substring recall).
+
+    The max over the truth list is a grouped max over (item, truth) rows, so a
+    conversation with a huge number of turns is never gathered into one list.
+    """
+    conv = table(spark, sf, "conversations")
+    first = (conv.filter(F.col("role") == "user").groupBy("conv_id")
+                 .agg(F.min_by("text", "turn").alias("prediction")))
+    truths = conv.filter(F.col("role") == "assistant").select("conv_id", F.col("text").alias("truth"))
+    j = first.join(truths, on="conv_id", how="inner")
+    j = j.withColumn("__pt", tokens("prediction")).withColumn("__pl", F.lower("prediction"))
+    tt = tokens("truth")
+    j = j.select("conv_id",
+                 F.when(F.size(tt) > 0, token_recall_one("__pt", "truth")).alias("tr"),
+                 F.when(F.col("truth").isNotNull() & (F.col("truth") != ""),
+                        substring_recall_one("__pl", "truth")).alias("sr"))
+    return j.groupBy("conv_id").agg(
+        F.coalesce(F.max("sr"), F.lit(0.0)).alias("substring_recall"),
+        F.coalesce(F.max("tr"), F.lit(0.0)).alias("token_recall"),
+        F.count(F.lit(1)).cast("bigint").alias("n_truths"))
+
+
+def _with_context(spark, sf):
+    conv = table(spark, sf, "conversations")
+    users = conv.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
+    prev = (conv.filter(F.col("role") == "assistant")
+                .select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("ctx")))
+    j = users.join(prev, on=["conv_id", "turn"], how="left")
+    return j.withColumn("contexts", F.when(F.col("ctx").isNotNull(), F.array("ctx"))
+                        .otherwise(F.array().cast("array<string>")))
+
+
+def q25_prompts(spark, sf):
+    """Prompts per user turn -- default (no context), template with
+    the previous reply as context (or ``{context}`` verbatim when there is
+    none), and the same with a system prompt in front."""
+    j = _with_context(spark, sf)
+    tmpl = F.lit(CONTEXT_TEMPLATE)
+    return j.select("conv_id", "turn",
+                    render_prompt("question").alias("prompt_plain"),
+                    render_prompt("question", "contexts", tmpl).alias("prompt_ctx"),
+                    render_prompt("question", "contexts", tmpl, F.lit(SYSTEM_PROMPT)).alias("prompt_sys"))
+
+
+def q26_messages(spark, sf):
+    """chat messages per user turn, one row per message: the
+    conversation's system turn as system prompt if it has one, else a
+    ``Context:`` system message from the previous reply; then the user turn."""
+    conv = table(spark, sf, "conversations")
+    sys_t = conv.filter(F.col("role") == "system").groupBy("conv_id").agg(
+        F.min_by("text", "turn").alias("system_prompt"))
+    j = _with_context(spark, sf).join(sys_t, on="conv_id", how="left")
+    m = j.select("conv_id", "turn", F.posexplode(chat_messages(
+        "question", "contexts", None, F.col("system_prompt"))).alias("msg_pos", "msg"))
+    return m.select("conv_id", "turn", F.col("msg_pos").cast("bigint").alias("msg_pos"),
+                    F.col("msg.role").alias("role"), F.col("msg.content").alias("content"))
+
+
+def q27_clean(spark, sf):
+    """Generated text wrapped in reasoning tags and extra
+    whitespace, cleaned back (whitespace collapse, tag removal, sentinel)."""
+    p = _pairs(spark, sf)
+    raw = F.concat(F.lit("  <THINK>"), F.col("question"), F.lit("</think>\n"), F.col("prediction"),
+                   F.lit("\t<think/> \u00a0"))
+    c = collapse_ws(strip_reasoning(collapse_ws(raw)))
+    return p.select("conv_id", "turn", F.when(c == "", F.lit(NO_ANSWER)).otherwise(c).alias("cleaned"))
+
+
 QUERIES = {
     "q01_has_question": q01_has_question,
+    "q02_dataset_stats": q02_dataset_stats,
+    "q03_cap_samples": q03_cap_samples,
+    "q04_predictions": q04_predictions,
+    "q05_run_grid": q05_run_grid,
+    "q06_metric_long": q06_metric_long,
+    "q07_memory_plan": q07_memory_plan,
     "q08_run_quality": q08_run_quality,
+    "q09_context_stats": q09_context_stats,
+    "q10_distinct_models": q10_distinct_models,
+    "q11_peaks": q11_peaks,
+    "q12_run_record": q12_run_record,
+    "q13_batch_rollup": q13_batch_rollup,
+    "q13b_failed_runs": q13b_failed_runs,
+    "q14_sentinels": q14_sentinels,
+    "q15_latest_value": q15_latest_value,
+    "q16_progress": q16_progress,
+    "q17_series": q17_series,
+    "q17b_telemetry_series": q17b_telemetry_series,
+    "q18_preview": q18_preview,
+    "q19_recall_join": q19_recall_join,
+    "q20_retrieve_dense": q20_retrieve_dense,
+    "q21_retrieve_lexical": q21_retrieve_lexical,
+    "q22_tokens": q22_tokens,
     "q23_recalls": q23_recalls,
+    "q24_multi_answer": q24_multi_answer,
+    "q25_prompts": q25_prompts,
+    "q26_messages": q26_messages,
+    "q27_clean": q27_clean,
 }

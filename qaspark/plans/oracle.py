@@ -88,6 +88,275 @@ SELECT r.conv_id,
 FROM runs r LEFT JOIN scored s ON s.conv_id = r.conv_id
 GROUP BY r.conv_id"""
 
+    q["q02_dataset_stats"] = """
+SELECT d.source,
+       count(*)::BIGINT AS eval_size,
+       count(*) FILTER (WHERE l.quality = 1)::BIGINT AS valid_count,
+       least(count(*) FILTER (WHERE l.quality = 1), 50)::BIGINT AS to_process
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
+GROUP BY d.source"""
+
+    q["q03_cap_samples"] = f"""
+WITH {PAIRS}
+SELECT conv_id, turn, question, prediction AS answer
+FROM pairs WHERE question IS NOT NULL AND question <> ''
+ORDER BY conv_id, turn LIMIT 50"""
+
+    q["q04_predictions"] = f"""
+WITH {SCORED_PAIRS}
+SELECT conv_id::VARCHAR || ':' || turn::VARCHAR AS question_id, question, prediction AS predicted_answer,
+       1::BIGINT AS n_truths, 'none' AS context_type, 'assistant' AS model_name,
+       'conversations' AS dataset_name, substring_recall, token_recall,
+       prediction IN ('No answer generated', 'Error generating answer') AS is_sentinel
+FROM scored"""
+
+    q["q05_run_grid"] = """
+WITH m AS (SELECT n_name AS model, lower(replace(n_name, ' ', '_')) AS model_stem FROM nation),
+     d AS (SELECT r_name AS dataset, lower(replace(r_name, ' ', '_')) AS dataset_stem FROM region)
+SELECT model, model_stem, dataset, dataset_stem, 'no_context' AS experiment_mode,
+       concat_ws('_', model, dataset, 'no_context') AS run_name,
+       concat_ws('_', model_stem, dataset_stem, 'no_context') AS task_id,
+       'no_context/' || concat_ws('_', model, dataset, 'no_context') AS output_dir,
+       'no-context' AS bucket
+FROM m CROSS JOIN d"""
+
+    q["q06_metric_long"] = """
+WITH w AS (
+  SELECT l_returnflag AS run_id,
+         round(avg(l_discount), 6) AS substring_recall, round(avg(l_tax), 6) AS token_recall,
+         count(*)::DOUBLE AS num_examples, sum(l_quantity)::DOUBLE AS duration_seconds,
+         max(l_extendedprice)::DOUBLE AS cpu_ram_used_mb,
+         count(DISTINCT l_orderkey)::DOUBLE AS model_size_bytes
+  FROM lineitem GROUP BY l_returnflag)
+SELECT run_id, 'substring_recall' AS metric, substring_recall AS value, 'quality' AS category FROM w
+UNION ALL SELECT run_id, 'token_recall', token_recall, 'quality' FROM w
+UNION ALL SELECT run_id, 'num_examples', num_examples, 'other' FROM w
+UNION ALL SELECT run_id, 'duration_seconds', duration_seconds, 'other' FROM w
+UNION ALL SELECT run_id, 'cpu_ram_used_mb', cpu_ram_used_mb, 'memory' FROM w
+UNION ALL SELECT run_id, 'model_size_bytes', model_size_bytes, 'size' FROM w"""
+
+    size_txt = """CASE WHEN p_size % 4 = 0 THEN (p_size * 15)::VARCHAR || 'M'
+                   WHEN p_size % 4 = 1 THEN (p_size // 10)::VARCHAR || '.' || (p_size % 10)::VARCHAR || 'B'
+                   WHEN p_size % 4 = 2 THEN p_type
+                   ELSE p_size::VARCHAR || 'B' END"""
+    s_ = strip("replace(model_size, 'B', '')")
+    q["q07_memory_plan"] = f"""
+WITH m AS (SELECT p_partkey, p_name AS model_name, {size_txt} AS model_size, p_size FROM part),
+     e AS (SELECT p_partkey,
+             CASE WHEN TRY_CAST({s_} AS DOUBLE) IS NOT NULL THEN TRY_CAST({s_} AS DOUBLE) * 2.5
+                  WHEN contains({s_}, '0.6') OR contains(lower(model_name), '135m') THEN 2.0
+                  WHEN contains({s_}, '1.7') OR contains(lower(model_name), '360m') THEN 4.0
+                  WHEN contains({s_}, '4') THEN 9.0
+                  ELSE 3.0 END AS est
+           FROM m WHERE p_size <= 40)
+SELECT m.p_partkey, m.model_name, m.model_size, coalesce(e.est, 3.0) AS estimated_memory_gb
+FROM m LEFT JOIN e ON e.p_partkey = m.p_partkey"""
+
+    q["q09_context_stats"] = """
+WITH j AS (SELECT d.lang AS context_type, coalesce(l.quality, 0) AS recall, l.quality AS gt
+           FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)
+SELECT context_type, grouping(context_type) = 1 AS is_total, count(*)::BIGINT AS count,
+       sum(recall)::DOUBLE AS total_recall, count(gt)::BIGINT AS has_ground_truth,
+       sum(recall)::DOUBLE / count(*) AS avg_recall, count(gt)::DOUBLE / count(*) AS ground_truth_ratio
+FROM j GROUP BY ROLLUP (context_type)"""
+
+    q["q10_distinct_models"] = """
+WITH d AS (SELECT DISTINCT lang, source FROM documents WHERE source IS NOT NULL)
+SELECT lang, source,
+       row_number() OVER (PARTITION BY lang ORDER BY source)::BIGINT AS value_rank,
+       count(*) OVER (PARTITION BY lang)::BIGINT AS n_distinct
+FROM d"""
+
+    samples = """
+  s AS (SELECT user_id, ts, event_id,
+          CASE WHEN event_type = 'view' THEN value END AS cpu_ram_used_mb,
+          CASE WHEN event_type = 'click' THEN value END AS gpu_ram_used_mb,
+          CASE WHEN event_type = 'purchase' THEN value END AS gpu_ram_peak_mb,
+          CASE WHEN event_type = 'signup' THEN value END AS reserved_gpu_ram_mb,
+          CASE WHEN event_type = 'error' THEN value END AS gpu_power_draw_w,
+          CASE WHEN event_type = 'error' THEN json_extract(props, '$.k')::DOUBLE END AS gpu_power_limit_w
+        FROM events)"""
+    peaks = """
+  p AS (SELECT user_id,
+          max(coalesce(cpu_ram_used_mb, 0.0)) AS cpu_ram_used_mb,
+          max(coalesce(gpu_ram_used_mb, 0.0)) AS gpu_ram_used_mb,
+          max(coalesce(gpu_ram_peak_mb, 0.0)) AS gpu_ram_peak_mb,
+          max(coalesce(reserved_gpu_ram_mb, 0.0)) AS reserved_gpu_ram_mb,
+          coalesce(max(gpu_power_draw_w) FILTER (WHERE gpu_power_draw_w <> 0), 0.0) AS gpu_power_draw_w,
+          coalesce(arg_max(gpu_power_limit_w, struct_pack(t := ts, e := event_id))
+                   FILTER (WHERE gpu_power_limit_w <> 0), 0.0) AS gpu_power_limit_w,
+          count(*)::BIGINT AS n_samples
+        FROM s GROUP BY user_id)"""
+    q["q11_peaks"] = f"WITH {samples}, {peaks} SELECT * FROM p"
+
+    q["q12_run_record"] = f"""
+WITH {SCORED_PAIRS}, {samples}, {peaks},
+  runs AS (SELECT DISTINCT conv_id AS run_id FROM conversations),
+  qual AS (SELECT r.run_id, coalesce(avg(x.substring_recall), 0.0) AS sr,
+                  coalesce(avg(x.token_recall), 0.0) AS tr, count(x.conv_id)::BIGINT AS n
+           FROM runs r LEFT JOIN scored x ON x.conv_id = r.run_id GROUP BY r.run_id),
+  dur AS (SELECT user_id, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS d FROM events GROUP BY user_id)
+SELECT qual.run_id, round(sr, 6) AS substring_recall, round(tr, 6) AS token_recall, n AS num_examples,
+       coalesce(dur.d, 0.0) AS duration_seconds, 1024::BIGINT AS model_size_bytes,
+       1024 / 1048576.0 AS model_size_mb, 0::BIGINT AS retriever_index_size_bytes,
+       0.0::DOUBLE AS retriever_index_size_mb,
+       coalesce(p.cpu_ram_used_mb, 0.0) AS cpu_ram_used_mb, coalesce(p.gpu_ram_used_mb, 0.0) AS gpu_ram_used_mb,
+       coalesce(p.gpu_ram_peak_mb, 0.0) AS gpu_ram_peak_mb,
+       coalesce(p.reserved_gpu_ram_mb, 0.0) AS reserved_gpu_ram_mb,
+       coalesce(p.gpu_power_draw_w, 0.0) AS gpu_power_draw_w,
+       coalesce(p.gpu_power_limit_w, 0.0) AS gpu_power_limit_w
+FROM qual LEFT JOIN dur ON dur.user_id = qual.run_id LEFT JOIN p ON p.user_id = qual.run_id"""
+
+    latest = """
+  st AS (SELECT user_id, ts, event_id, props,
+           CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed'
+                           WHEN 'click' THEN 'running' WHEN 'view' THEN 'running'
+                           WHEN 'signup' THEN 'queued' END AS status
+         FROM events),
+  lt AS (SELECT user_id,
+           arg_max(status, struct_pack(t := ts, e := event_id)) AS status,
+           arg_max(props, struct_pack(t := ts, e := event_id)) AS props,
+           count(*) FILTER (WHERE status = 'failed')::BIGINT AS attempts_failed
+         FROM st GROUP BY user_id)"""
+    q["q13_batch_rollup"] = f"""
+WITH {latest},
+  c AS (SELECT count(*) FILTER (WHERE status = 'completed')::BIGINT AS completed,
+               count(*) FILTER (WHERE status = 'failed')::BIGINT AS failed,
+               count(*) FILTER (WHERE status = 'running')::BIGINT AS running,
+               count(*) FILTER (WHERE status = 'queued')::BIGINT AS remaining FROM lt)
+SELECT completed, failed, running, remaining, (completed + failed + running + remaining)::BIGINT AS total,
+       CASE WHEN completed + failed + running + remaining > 0
+            THEN completed * 100.0 / (completed + failed + running + remaining) ELSE 0.0 END::DOUBLE AS progress_pct
+FROM c"""
+    q["q13b_failed_runs"] = f"""
+WITH {latest}
+SELECT user_id, attempts_failed AS attempts, props AS failure_reason FROM lt WHERE status = 'failed'"""
+
+    pred14 = "CASE WHEN len(" + words("a.text") + ") < 8 THEN 'No answer generated' ELSE a.text END"
+    q["q14_sentinels"] = f"""
+WITH p AS (
+  SELECT u.conv_id, u.turn, u.text AS question, {pred14} AS prediction
+  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+  WHERE u.role = 'user' AND a.role = 'assistant')
+SELECT conv_id, turn, prediction IN ('No answer generated', 'Error generating answer') AS is_sentinel,
+       {substring_recall_list('lower(prediction)', "[question, 'No']")} AS substring_recall,
+       {token_recall_list(tokens('prediction'), "[question, 'No']")} AS token_recall
+FROM p"""
+
+    q["q15_latest_value"] = """
+SELECT user_id, event_type, arg_max(value, struct_pack(t := ts, e := event_id)) AS latest_value,
+       arg_max(event_id, struct_pack(t := ts, e := event_id)) AS latest_event_id, count(*)::BIGINT AS n_writes
+FROM events GROUP BY user_id, event_type"""
+
+    q["q16_progress"] = f"""
+WITH {SCORED_PAIRS},
+  r AS (SELECT (conv_id % 2)::BIGINT AS run, conv_id, turn, substring_recall FROM scored),
+  w AS (SELECT run, conv_id, turn,
+          row_number() OVER (PARTITION BY run ORDER BY conv_id, turn)::BIGINT AS position,
+          count(*) OVER (PARTITION BY run)::BIGINT AS run_count,
+          avg(substring_recall) OVER (PARTITION BY run ORDER BY conv_id, turn
+                                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rm
+        FROM r)
+SELECT run, conv_id, turn, position, run_count, round(rm, 6) AS running_mean,
+       round(position * 100.0::DOUBLE / run_count, 6) AS progress_pct, position % 100 = 0 AS is_report
+FROM w WHERE position = 1 OR position % 10 = 0"""
+
+    q["q17_series"] = f"""
+WITH {SCORED_PAIRS},
+  r AS (SELECT (conv_id % 2)::BIGINT AS run,
+               (row_number() OVER (PARTITION BY conv_id % 2 ORDER BY conv_id, turn) - 1)::BIGINT AS iteration,
+               substring_recall, token_recall FROM scored)
+SELECT run, 'Training Progress' AS title, 'substring_recall' AS series, iteration, substring_recall AS value FROM r
+UNION ALL
+SELECT run, 'Training Progress', 'token_recall', iteration, token_recall FROM r"""
+
+    q["q17b_telemetry_series"] = """
+WITH r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS iteration,
+                  value, json_extract(props, '$.k')::DOUBLE AS k FROM events)
+SELECT user_id, 'telemetry' AS title, 'value' AS series, iteration, value FROM r
+UNION ALL SELECT user_id, 'telemetry', 'k', iteration, k FROM r"""
+
+    q["q18_preview"] = """
+WITH r AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id)::BIGINT AS position,
+                  count(*) OVER (PARTITION BY lang)::BIGINT AS run_count FROM documents)
+SELECT lang, doc_id, position, run_count, greatest(run_count - 100, 0)::BIGINT AS n_more
+FROM r WHERE position <= 100"""
+
+    q["q19_recall_join"] = f"""
+WITH b AS (SELECT item_id, {tokens('text')} AS t FROM benchmark),
+     d AS (SELECT doc_id, {tokens('text')} AS dt FROM documents),
+     x AS (SELECT item_id, doc_id, len(list_intersect(t, dt))::BIGINT AS overlap, len(t)::BIGINT AS n_tokens
+           FROM b, d WHERE len(t) > 0)
+SELECT item_id, doc_id, overlap, n_tokens, overlap::DOUBLE / n_tokens AS token_recall
+FROM x WHERE overlap::DOUBLE / n_tokens >= 0.8"""
+
+    q["q20_retrieve_dense"] = """
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n
+           FROM embeddings),
+     s AS (SELECT a.vec_id AS query_id, b.vec_id AS context_id,
+                  CASE WHEN a.n > 0 AND b.n > 0 THEN list_dot_product(a.v, b.v) / (a.n * b.n) ELSE 0.0 END AS score
+           FROM e a, e b WHERE a.vec_id <> b.vec_id),
+     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, context_id)::BIGINT AS rank FROM s)
+SELECT query_id, rank, context_id, round(score, 6) AS score FROM r WHERE rank <= 3"""
+
+    q["q21_retrieve_lexical"] = f"""
+WITH b AS (SELECT item_id, {tokens('text')} AS t FROM benchmark),
+     d AS (SELECT doc_id, {tokens('text')} AS dt FROM documents),
+     s AS (SELECT item_id AS query_id, doc_id AS context_id,
+                  CASE WHEN len(t) = 0 THEN 0.0 ELSE len(list_intersect(t, dt))::DOUBLE / len(t) END AS score
+           FROM b, d),
+     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, context_id)::BIGINT AS rank FROM s)
+SELECT query_id, rank, context_id, score FROM r WHERE rank <= 3"""
+
+    q["q22_tokens"] = f"""
+SELECT doc_id, len({words('text')})::BIGINT AS n_words, len({tokens('text')})::BIGINT AS n_tokens
+FROM documents"""
+
+    q["q24_multi_answer"] = f"""
+WITH f AS (SELECT conv_id, arg_min(text, turn) AS prediction FROM conversations WHERE role = 'user' GROUP BY conv_id),
+     t AS (SELECT conv_id, list(text) AS truths FROM conversations WHERE role = 'assistant' GROUP BY conv_id)
+SELECT f.conv_id,
+       {substring_recall_list('lower(f.prediction)', 't.truths')} AS substring_recall,
+       {token_recall_list(tokens('f.prediction'), 't.truths')} AS token_recall,
+       len(t.truths)::BIGINT AS n_truths
+FROM f JOIN t ON t.conv_id = f.conv_id"""
+
+    ctx = """
+  u AS (SELECT conv_id, turn, text AS question FROM conversations WHERE role = 'user'),
+  pr AS (SELECT conv_id, turn + 1 AS turn, text AS ctx FROM conversations WHERE role = 'assistant'),
+  j AS (SELECT u.conv_id, u.turn, u.question, pr.ctx FROM u LEFT JOIN pr ON pr.conv_id = u.conv_id AND pr.turn = u.turn)"""
+    tmpl = "'Context:' || chr(10) || '{context}' || chr(10) || chr(10) || 'Question: {question}'"
+    filled = f"CASE WHEN ctx IS NOT NULL THEN replace(replace({tmpl}, '{{context}}', ctx), '{{question}}', question) " \
+             f"ELSE replace({tmpl}, '{{question}}', question) END"
+    q["q25_prompts"] = f"""
+WITH {ctx}
+SELECT conv_id, turn,
+       'Question: ' || question || chr(10) || 'Answer:' AS prompt_plain,
+       {filled} AS prompt_ctx,
+       'Answer briefly.' || chr(10) || chr(10) || {filled} AS prompt_sys
+FROM j"""
+
+    q["q26_messages"] = f"""
+WITH {ctx},
+  sy AS (SELECT conv_id, arg_min(text, turn) AS system_prompt FROM conversations WHERE role = 'system' GROUP BY conv_id),
+  m AS (SELECT j.conv_id, j.turn,
+          CASE WHEN sy.system_prompt IS NOT NULL AND sy.system_prompt <> '' THEN sy.system_prompt
+               WHEN j.ctx IS NOT NULL THEN 'Context: ' || j.ctx END AS sys_content,
+          j.question
+        FROM j LEFT JOIN sy ON sy.conv_id = j.conv_id)
+SELECT conv_id, turn, 0::BIGINT AS msg_pos, 'system' AS role, sys_content AS content FROM m WHERE sys_content IS NOT NULL
+UNION ALL
+SELECT conv_id, turn, (CASE WHEN sys_content IS NOT NULL THEN 1 ELSE 0 END)::BIGINT, 'user', question
+FROM m WHERE question IS NOT NULL"""
+
+    raw = "('  <THINK>' || question || '</think>' || chr(10) || prediction || chr(9) || '<think/> ' || chr(160))"
+    cleaned = collapse(
+        "regexp_replace(regexp_replace(regexp_replace(" + collapse(raw) + ", '(?is)<think>.*?</think>', '', 'g'), "
+        f"'(?i)<think{WS}*/>', '', 'g'), '(?i)</?think>', '', 'g')")
+    q["q27_clean"] = f"""
+WITH {PAIRS}, c AS (SELECT conv_id, turn, {cleaned} AS c FROM pairs)
+SELECT conv_id, turn, CASE WHEN c = '' THEN 'No answer generated' ELSE c END AS cleaned FROM c"""
+
     return q
 
 
