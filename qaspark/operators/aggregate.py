@@ -128,9 +128,10 @@ def metric_category(name) -> Column:
     return expr.otherwise(F.lit("other"))
 
 
-def format_metric(name, value) -> Column:
+def format_metric(name, value, integral: bool = False) -> Column:
     """display text of a metric value by name (display only; the DOUBLE
-    stays the value of record -- half-way rounding differs from Python's)."""
+    stays the value of record -- half-way rounding differs from Python's).
+    ``integral`` marks an integer-typed metric: the fallback prints it as is."""
     n = F.lower(F.col(name) if isinstance(name, str) else name)
     v = F.col(value) if isinstance(value, str) else value
 
@@ -145,20 +146,23 @@ def format_metric(name, value) -> Column:
              .when(has("recall", "precision", "f1"), F.format_string("%.4f", v))
              .when(has("time", "duration", "seconds"), F.format_string("%.2f", v))
              .when(has("num", "count", "examples"), as_int.cast("string"))
-             .otherwise(F.format_string("%.4f", v)))
+             .otherwise(as_int.cast("string") if integral else F.format_string("%.4f", v)))
 
 
 def metrics_long(wide: DataFrame, id_cols: list[str]) -> DataFrame:
     """Unpivot the numeric metric columns of a wide run record into
     ``(id…, metric, value DOUBLE, category, display)``; non-numeric columns
     are dropped."""
-    numeric = [f.name for f in wide.schema.fields
+    integral = {"long", "integer", "short"}
+    numeric = [(f.name, f.dataType.typeName() in integral) for f in wide.schema.fields
                if f.name not in id_cols and f.dataType.typeName() in
                ("double", "float", "long", "integer", "short", "decimal")]
-    casted = wide.select(*id_cols, *[F.col(c).cast("double").alias(c) for c in numeric])
-    long = casted.unpivot(id_cols, numeric, "metric", "value")
-    return (long.withColumn("category", metric_category("metric"))
-                .withColumn("display", format_metric("metric", "value")))
+    entries = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"),
+                                 format_metric(F.lit(c), F.col(c).cast("double"), is_int).alias("display"))
+                        for c, is_int in numeric])
+    long = wide.select(*id_cols, F.inline(entries))
+    return long.withColumn("category", metric_category("metric")).select(
+        *id_cols, "metric", "value", "category", "display")
 
 
 def flatten_config(df: DataFrame, config_col: str, id_cols: list[str]) -> DataFrame:
