@@ -77,8 +77,9 @@ def _safe_ratio(num: Column, den: Column) -> Column:
 
 def token_recall_one(pred_tokens, truth) -> Column:
     """|T ∩ P| / |T| for one truth text; 0.0 when the truth has no words."""
-    t = tokens(truth)
-    return _safe_ratio(F.size(F.array_intersect(t, _c(pred_tokens))), F.size(t))
+    return F.element_at(F.transform(
+        F.array(tokens(truth)),
+        lambda t: _safe_ratio(F.size(F.array_intersect(t, _c(pred_tokens))), F.size(t))), 1)
 
 
 def token_recall(pred_tokens, truths) -> Column:
@@ -97,13 +98,18 @@ def token_recall(pred_tokens, truths) -> Column:
     return F.coalesce(F.array_max(scores), F.lit(0.0))
 
 
+def _substring_share(pred_lower: Column, w: Column) -> Column:
+    hits = F.size(F.filter(w, lambda x: F.instr(pred_lower, x) > 0))
+    return _safe_ratio(hits, F.size(w))
+
+
 def substring_recall_one(pred_lower, truth) -> Column:
     """share of truth words (bag) found as substrings of the lower-cased
     prediction; 0.0 when the truth has no words."""
-    w = words(truth)
-    p = _c(pred_lower)
-    hits = F.size(F.filter(w, lambda x: F.instr(p, x) > 0))
-    return _safe_ratio(hits, F.size(w))
+    # the word list is built once inside a one-element transform: lambdas do
+    # not share sub-expressions, and the regex is the expensive part
+    return F.element_at(F.transform(F.array(words(truth)),
+                                    lambda w: _substring_share(_c(pred_lower), w)), 1)
 
 
 def substring_recall(pred_lower, truths) -> Column:
@@ -113,7 +119,8 @@ def substring_recall(pred_lower, truths) -> Column:
     """
     p = _c(pred_lower)
     eligible = F.filter(_c(truths), lambda t: t.isNotNull() & (t != ""))
-    scores = F.transform(eligible, lambda t: substring_recall_one(p, t))
+    per_truth = F.transform(eligible, lambda t: F.struct(words(t).alias("w")))
+    scores = F.transform(per_truth, lambda s: _substring_share(p, s["w"]))
     return F.coalesce(F.array_max(scores), F.lit(0.0))
 
 

@@ -63,6 +63,9 @@ def running_stats(df: DataFrame, run_cols: list[str], order_cols: list[str],
     column (sum over rows up to and including this one).
 
     ``order_cols`` must make the order within a run total (unique keys).
+    The rows are shuffled once, on ``(run, block)``. Block totals come from a
+    partial aggregation of the (column-pruned) input, so their shuffle is
+    tiny; only the per-block offset table is joined back.
     """
     value_cols = value_cols or []
     b = "__block"
