@@ -7,7 +7,7 @@ Plan (published set-similarity-join technique, prefix filtering):
    postings are semi-joined to the truth vocabulary first, so tokens no truth
    uses never reach a shuffle;
 2. document frequency per token (partial aggregation, hot tokens are
-   pre-reduced per task);
+   pre-reduced per task), from a sample of the texts by default;
 3. each truth keeps its ``n - m + 1`` rarest tokens (``m`` = smallest overlap
    that can reach the threshold). A text reaching the threshold must contain
    one of them, so the prefix join finds every result;
@@ -29,9 +29,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..session import broadcast_if_bounded
+from ..session import broadcast_if_bounded, materialize
 
 SALT_BUCKETS = 16
+DF_SAMPLE = 0.05                 # share of texts whose frequencies order the tokens
 BROADCAST_MAX_ROWS = 2_000_000   # proven-size bound for the truth-side broadcast
 
 
@@ -54,17 +55,35 @@ def min_overlap(threshold: float, n_col: str = "n_tokens"):
 
 def recall_join(truths: DataFrame, texts: DataFrame, truth_id: str, truth_text: str,
                 text_id: str, text_col: str, threshold: float,
-                salt_buckets: int = SALT_BUCKETS) -> DataFrame:
+                salt_buckets: int = SALT_BUCKETS, df_sample: float | None = DF_SAMPLE,
+                materialize_postings: bool = False) -> DataFrame:
     """Pairs ``(truth_id, text_id, overlap, n_tokens, token_recall)`` with
-    ``token_recall >= threshold`` (``0 < threshold <= 1``)."""
+    ``token_recall >= threshold`` (``0 < threshold <= 1``).
+
+    Prefix filtering is exact for *any* fixed global token order; rarest
+    first only keeps the candidate set small. So the document frequencies
+    that set the order may come from a sample of the texts (``df_sample``),
+    which saves one full tokenising pass. ``materialize_postings`` writes the
+    vocabulary-filtered postings once with a reliable checkpoint (shared
+    checkpoint folder) and reads them for every later step instead of
+    tokenising the texts again; frequencies are then exact.
+    """
     if not (0.0 < threshold <= 1.0) or math.isnan(threshold):
         raise ValueError("threshold must be in (0, 1]")
     tt = truth_token_rows(truths, truth_id, truth_text)
     tt_small = broadcast_if_bounded(tt, BROADCAST_MAX_ROWS)
     vocab = tt_small.select("token").distinct()
     post = postings(texts, text_id, text_col).join(vocab, on="token", how="left_semi")
-
-    dfreq = post.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    if materialize_postings:
+        post = materialize(post)
+        freq_src = post
+    elif df_sample and df_sample < 1.0:
+        freq_src = postings(texts.sample(False, df_sample, seed=11), text_id, text_col) \
+            .join(vocab, on="token", how="left_semi")
+    else:
+        freq_src = post
+
+    dfreq = freq_src.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     ranked = (tt_small.join(dfreq, on="token", how="left")
               .withColumn("df", F.coalesce("df", F.lit(0)))
               .withColumn("r", F.row_number().over(
