@@ -62,12 +62,15 @@ def context_stats(preds: DataFrame, group_col: str = "context_type", recall_col:
 
 
 def distinct_values(df: DataFrame, group_cols: list[str], value_col: str) -> DataFrame:
-    """A3: sorted distinct values per group, as rows (``rank`` 1..n) rather than
-    one collected array, so no group is ever gathered into a single value."""
+    """A3: sorted distinct values per group, as rows (``value_rank`` 1..n and
+    ``n_distinct``) rather than one collected array, so no group is ever
+    gathered into a single value. The rank is the block-split running count,
+    so a group with very many distinct values is spread over many tasks."""
+    from .sequence import running_stats
     d = df.select(*group_cols, value_col).where(F.col(value_col).isNotNull()).distinct()
-    w = Window.partitionBy(*group_cols).orderBy(value_col)
-    return (d.withColumn("value_rank", F.row_number().over(w).cast("bigint"))
-             .withColumn("n_distinct", F.count(F.lit(1)).over(Window.partitionBy(*group_cols)).cast("bigint")))
+    r = running_stats(d, group_cols, [value_col])
+    return r.select(*group_cols, value_col, F.col("position").alias("value_rank"),
+                    F.col("run_count").alias("n_distinct"))
 
 
 def latest_value(df: DataFrame, key_cols: list[str], value_col: str, order_cols: list[str]) -> DataFrame:

@@ -12,11 +12,14 @@ proven row bound and is broadcast, the corpus stays partitioned where it is:
   WindowGroupLimit (partial limit before the shuffle, final after it).
 
 Ties are broken by corpus id ascending at every step, so the result is exact.
-A query set above the bound is processed in hash blocks of bounded size.
+A query set above the bound is processed in hash blocks of bounded size, one
+job per block (see :func:`_collect_candidates`).
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import tokens
-from ..session import bounded_rows
+from ..session import bounded_rows, ensure_checkpoint_dir
 
 QUERY_BLOCK_ROWS = 20_000
 CHUNK_ROWS = 1024
@@ -51,6 +54,21 @@ def _blocks(queries: DataFrame, id_col: str, max_rows: int):
         nb *= 2
 
 
+def _collect_candidates(spark, results: list[DataFrame], schema: T.StructType) -> DataFrame:
+    """One block stays a lazy plan. Several blocks run as one job each,
+    appending their (small) top-k candidates to a folder under the shared
+    checkpoint directory, so the plan does not grow with the number of
+    blocks; the final top-k reads the folder."""
+    if not results:
+        return spark.createDataFrame([], schema)
+    if len(results) == 1:
+        return results[0]
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/retrieve-{uuid.uuid4().hex}"
+    for r in results:
+        r.write.mode("append").parquet(folder)
+    return spark.read.schema(schema).parquet(folder)
+
+
 def _final_top_k(cands: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("context_id").asc())
     return (cands.withColumn("rank", F.row_number().over(w).cast("bigint"))
@@ -101,12 +119,8 @@ def retrieve_dense(queries: DataFrame, corpus: DataFrame, query_id: str, query_v
                     yield pd.DataFrame({"query_id": qq[keep], "context_id": cc[keep], "score": vv[keep]})
 
         results.append(corpus.select(corpus_id, corpus_vec).mapInPandas(score_partition, out_schema))
-    if not results:
-        return spark.createDataFrame([], out_schema.add("rank", T.LongType()))
-    cands = results[0]
-    for r in results[1:]:
-        cands = cands.unionByName(r)
-    return _final_top_k(cands, k).select("query_id", "rank", "context_id", "score")
+    return _final_top_k(_collect_candidates(spark, results, out_schema), k).select(
+        "query_id", "rank", "context_id", "score")
 
 
 def build_postings(corpus: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -131,7 +145,7 @@ def retrieve_lexical(queries: DataFrame, corpus: DataFrame, query_id: str, query
 
     Tokens are computed JVM-side; each task maps its texts' tokens onto the
     broadcast query vocabulary and counts shared tokens with numpy.
-    Returns ``(query_id, rank, context_id, score, overlap)``.
+    Returns ``(query_id, rank, context_id, score)``.
     """
     spark = corpus.sparkSession
     out_schema = T.StructType([T.StructField("query_id", T.LongType()),
@@ -181,9 +195,5 @@ def retrieve_lexical(queries: DataFrame, corpus: DataFrame, query_id: str, query
 
         corpus_tok = corpus.select(F.col(corpus_id).alias("cid"), tokens(F.col(corpus_text)).alias("toks"))
         results.append(corpus_tok.mapInPandas(score_partition, out_schema))
-    if not results:
-        return spark.createDataFrame([], out_schema.add("rank", T.LongType()))
-    cands = results[0]
-    for r in results[1:]:
-        cands = cands.unionByName(r)
-    return _final_top_k(cands, k).select("query_id", "rank", "context_id", "score")
+    return _final_top_k(_collect_candidates(spark, results, out_schema), k).select(
+        "query_id", "rank", "context_id", "score")
