@@ -22,7 +22,7 @@ from ..operators.grid import run_grid, with_memory_estimate
 from ..operators.recall_join import recall_join
 from ..operators.retrieve import retrieve_dense, retrieve_lexical
 from ..operators.score import pair_next_turn, score, to_prediction
-from ..operators.telemetry import peak_telemetry
+from ..operators.telemetry import POWER_WARN, gpu_series, peak_telemetry, power_utilisation_pct
 from ..sources.tables import table
 
 MEAN_DIGITS = 6   # means are order-dependent in the last bits; compare rounded
@@ -392,6 +392,36 @@ def q27_clean(spark, sf):
     return p.select("conv_id", "turn", F.when(c == "", F.lit(NO_ANSWER)).otherwise(c).alias("cleaned"))
 
 
+def _gpu_samples(spark, sf):
+    """Events as GPU memory samples: GPU = user, total GB = props.k / 4 (0 for
+    k = 0, which exercises the zero-total rule), used GB = value / 20 capped
+    by the total, free = total - used."""
+    ev = table(spark, sf, "events")
+    total = F.get_json_object("props", "$.k").cast("double") / F.lit(4.0)
+    used = F.least(F.col("value") / F.lit(20.0), total)
+    return ev.select(F.col("user_id").alias("gpu"), "ts", total.alias("total_gb"), (total - used).alias("free_gb"))
+
+
+def q28_gpu_utilisation(spark, sf):
+    """A10: per GPU and day, mean and max usage % (0 when total is 0) and mean
+    used GB, plus how many samples were busy (usage above 5 %)."""
+    j = gpu_series(_gpu_samples(spark, sf), "gpu", "ts", "1 day")
+    return j.select("gpu", F.to_date(F.col("window.start")).alias("day"),
+                    F.round("avg_usage_pct", MEAN_DIGITS).alias("avg_usage_pct"),
+                    F.round("max_usage_pct", MEAN_DIGITS).alias("max_usage_pct"),
+                    F.round("avg_used_gb", MEAN_DIGITS).alias("avg_used_gb"), "busy_samples")
+
+
+def q29_power(spark, sf):
+    """Power utilisation of every error event read as a power sample
+    (draw = value, limit = props.k; 0 % when the limit is 0) and the warning
+    flag above 90 %."""
+    ev = table(spark, sf, "events").filter(F.col("event_type") == "error")
+    lim = F.get_json_object("props", "$.k").cast("double")
+    pct = power_utilisation_pct(F.col("value"), lim)
+    return ev.select("event_id", pct.alias("power_pct"), (pct > F.lit(POWER_WARN * 100)).alias("power_warn"))
+
+
 QUERIES = {
     "q01_has_question": q01_has_question,
     "q02_dataset_stats": q02_dataset_stats,
@@ -422,4 +452,6 @@ QUERIES = {
     "q25_prompts": q25_prompts,
     "q26_messages": q26_messages,
     "q27_clean": q27_clean,
+    "q28_gpu_utilisation": q28_gpu_utilisation,
+    "q29_power": q29_power,
 }

@@ -357,6 +357,22 @@ FROM m WHERE question IS NOT NULL"""
 WITH {PAIRS}, c AS (SELECT conv_id, turn, {cleaned} AS c FROM pairs)
 SELECT conv_id, turn, CASE WHEN c = '' THEN 'No answer generated' ELSE c END AS cleaned FROM c"""
 
+    q["q28_gpu_utilisation"] = """
+WITH s AS (SELECT user_id AS gpu, ts, json_extract(props, '$.k')::DOUBLE / 4.0 AS total_gb, value FROM events),
+     f AS (SELECT gpu, ts, total_gb, total_gb - least(value / 20.0, total_gb) AS free_gb FROM s),
+     u AS (SELECT gpu, ts, total_gb, total_gb - free_gb AS used_gb FROM f),
+     p AS (SELECT gpu, date_trunc('day', ts)::DATE AS day, used_gb,
+                  CASE WHEN total_gb <> 0 THEN used_gb * 100.0 / total_gb ELSE 0.0 END AS usage_pct FROM u)
+SELECT gpu, day, round(avg(usage_pct), 6) AS avg_usage_pct, round(max(usage_pct), 6) AS max_usage_pct,
+       round(avg(used_gb), 6) AS avg_used_gb, count(*) FILTER (WHERE usage_pct > 5.0)::BIGINT AS busy_samples
+FROM p GROUP BY gpu, day"""
+
+    q["q29_power"] = """
+WITH e AS (SELECT event_id, value, json_extract(props, '$.k')::DOUBLE AS lim FROM events WHERE event_type = 'error'),
+     p AS (SELECT event_id, CASE WHEN lim IS NOT NULL AND lim <> 0 THEN value * 100.0 / lim ELSE 0.0 END AS power_pct
+           FROM e)
+SELECT event_id, power_pct, power_pct > 90.0 AS power_warn FROM p"""
+
     return q
 
 

@@ -153,3 +153,35 @@ def test_telemetry_golden(spark, tmp_path):
     g = gpu_utilisation(spark.createDataFrame([(16.0, 15.5), (0.0, 0.0)], "total_gb double, free_gb double")).collect()
     assert (g[0].used_gb, g[0].usage_pct, g[0].busy) == (0.5, 3.125, False)
     assert g[1].usage_pct == 0.0
+
+
+def test_snapshot_and_index_size(spark, qa_file, tmp_path):
+    from qaspark.operators.retrieve import build_postings, index_size
+    from qaspark.sources.qa_jsonl import snapshot
+    snap = snapshot(read_qa(spark, qa_file), str(tmp_path / "snap"))
+    assert snap.count() == 9 and snap.filter(F.col("question") == "q").count() == 7
+    corpus = spark.createDataFrame([(1, "a b a"), (2, "b c")], "id long, t string")
+    size = index_size(build_postings(corpus, "id", "t")).first()
+    assert (size.postings, size.tokens, size.token_bytes) == (4, 3, 4)
+
+
+def test_join_texts_and_extract_chain(spark):
+    from qaspark.functions.prompts import extract_answer
+    from qaspark.functions.text import join_texts, tokens
+    df = spark.createDataFrame([(["a b", "c"], "Q: x Answer: y", "promptANS", "prompt", "assistant: hi")],
+                               "arr array<string>, t1 string, t2 string, p string, t3 string")
+    r = df.select(join_texts("arr").alias("j"), F.sort_array(tokens(join_texts("arr"))).alias("tk"),
+                  extract_answer("t1", F.col("p")).alias("e1"), extract_answer("t2", F.col("p")).alias("e2"),
+                  extract_answer("t3", F.col("p"), F.lit(True)).alias("e3")).first()
+    assert (r.j, r.tk, r.e1, r.e2, r.e3) == ("a b c", ["a", "b", "c"], "y", "ANS", "hi")
+
+
+def test_gpu_series(spark):
+    from qaspark.operators.telemetry import gpu_series
+    s = spark.createDataFrame([(0, "2024-01-01 00:10:00", 16.0, 15.5), (0, "2024-01-01 00:20:00", 16.0, 8.0),
+                               (1, "2024-01-01 00:30:00", 0.0, 0.0)],
+                              "gpu int, ts string, total_gb double, free_gb double").withColumn(
+        "ts", F.to_timestamp("ts"))
+    rows = {r.gpu: r for r in gpu_series(s, "gpu", "ts", "1 hour").collect()}
+    assert rows[0].max_usage_pct == 50.0 and rows[0].busy_samples == 1 and rows[0].avg_used_gb == 4.25
+    assert rows[1].avg_usage_pct == 0.0 and rows[1].busy_samples == 0
