@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import GEN_ERROR, clean_answer
+from ..session import materialize
 
 CONSTANT_ANSWER = "Test answer"   # U2: the constant model's answer
 CONSTANT_MODEL_BYTES = 1024       # U2: its reported size
@@ -81,8 +82,19 @@ def select_model(config: dict):
     return MODELS[t](config)
 
 
-def run_inference(df: DataFrame, config: dict, prompt_col: str = "prompt") -> DataFrame:
-    """Generate with the configured model, then clean the answers."""
+def run_inference(df: DataFrame, config: dict, prompt_col: str = "prompt",
+                  materialize_output: bool = True) -> DataFrame:
+    """Generate with the configured model, then clean the answers.
+
+    A real model's output is written once with a reliable checkpoint (shared
+    checkpoint folder) before anything reads it, so predictions and metrics
+    never trigger a second inference, not even after an executor loss.
+    """
     fn = select_model(config)
-    raw = constant_model(df) if fn is None else infer(df, fn, prompt_col)
+    if fn is None:
+        raw = constant_model(df)
+    else:
+        raw = infer(df, fn, prompt_col)
+        if materialize_output:
+            raw = materialize(raw)
     return answers(raw)

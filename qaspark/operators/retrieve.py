@@ -4,8 +4,9 @@ Both retrievers scan the corpus once per query block; the query block has a
 proven row bound and is broadcast, the corpus stays partitioned where it is:
 
 * each corpus partition scores its rows against the whole query block with
-  numpy (Arrow batches in, no per-row Python calls), in chunks of
-  ``CHUNK_ROWS`` corpus rows sorted by id;
+  numpy on Arrow batches (``mapInArrow``; vectors and token lists are
+  unpacked by vectorised Arrow calls, no per-row Python), in chunks of corpus
+  rows sorted by id and sized so one score matrix stays bounded;
 * only the top ``k`` rows per query and chunk leave the task -- never all
   pairs;
 * the final top-k per query is ``row_number() <= k``, which Spark plans as a
@@ -22,6 +23,8 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +34,10 @@ from ..session import bounded_rows, ensure_checkpoint_dir
 
 QUERY_BLOCK_ROWS = 20_000
 CHUNK_ROWS = 1024
+MAX_CHUNK_CELLS = 4_000_000      # bound of one (chunk x queries) score matrix
+OUT_SCHEMA = T.StructType([T.StructField("query_id", T.LongType()),
+                           T.StructField("context_id", T.LongType()),
+                           T.StructField("score", T.DoubleType())])
 
 
 def _top_k_rows(score: np.ndarray, corpus_ids: np.ndarray, query_ids: np.ndarray, k: int):
@@ -75,6 +82,35 @@ def _final_top_k(cands: DataFrame, k: int) -> DataFrame:
                  .filter(F.col("rank") <= k))
 
 
+def _chunk_rows(n_queries: int) -> int:
+    """Corpus rows per scoring chunk, so a (chunk x queries) matrix stays
+    under ``MAX_CHUNK_CELLS`` entries whatever the query block size."""
+    return int(max(16, min(CHUNK_ROWS, MAX_CHUNK_CELLS // max(1, n_queries))))
+
+
+def _sorted_by_id(batch: pa.RecordBatch, id_col: str) -> pa.RecordBatch:
+    return batch.take(pc.sort_indices(batch.column(id_col)))
+
+
+def _vectors(col: pa.Array) -> np.ndarray:
+    """``array<float>`` column of equal-length vectors → 2-D float64 matrix,
+    without a per-row Python loop."""
+    if len(col) == 0:
+        return np.zeros((0, 0))
+    flat = pc.list_flatten(col).to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(col), -1)
+
+
+def _unit_rows(m: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(m, axis=1)
+    return np.divide(m, n[:, None], out=np.zeros_like(m), where=n[:, None] > 0)
+
+
+def _out_batch(qq, cc, vv) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(qq, pa.int64()), pa.array(cc, pa.int64()),
+                                       pa.array(vv, pa.float64())], names=["query_id", "context_id", "score"])
+
+
 def retrieve_dense(queries: DataFrame, corpus: DataFrame, query_id: str, query_vec: str,
                    corpus_id: str, corpus_vec: str, k: int = 3, exclude_self: bool = False,
                    max_query_rows: int = QUERY_BLOCK_ROWS) -> DataFrame:
@@ -85,41 +121,36 @@ def retrieve_dense(queries: DataFrame, corpus: DataFrame, query_id: str, query_v
     itself).
     """
     spark = corpus.sparkSession
-    out_schema = T.StructType([T.StructField("query_id", T.LongType()),
-                               T.StructField("context_id", T.LongType()),
-                               T.StructField("score", T.DoubleType())])
     results = []
     for block in _blocks(queries.select(query_id, query_vec), query_id, max_query_rows):
-        pdf = block.toPandas()
-        if pdf.empty:
+        tbl = block.toArrow()
+        if tbl.num_rows == 0:
             continue
-        qids = pdf[query_id].to_numpy(dtype=np.int64)
-        qm = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[query_vec]])
-        qn = np.linalg.norm(qm, axis=1)
-        qm = np.divide(qm, qn[:, None], out=np.zeros_like(qm), where=qn[:, None] > 0)
+        qids = tbl.column(query_id).to_numpy().astype(np.int64)
+        qm = _unit_rows(_vectors(tbl.column(query_vec).combine_chunks()))
         bq = spark.sparkContext.broadcast((qids, qm))
+        chunk = _chunk_rows(len(qids))
+        kk = k + (1 if exclude_self else 0)
 
-        def score_partition(it, bq=bq):
+        def score_partition(it, bq=bq, chunk=chunk, kk=kk):
             q_ids, q_mat = bq.value
             for batch in it:
-                if batch.empty:
+                if batch.num_rows == 0:
                     continue
-                batch = batch.sort_values(corpus_id, kind="stable")
-                for s in range(0, len(batch), CHUNK_ROWS):
-                    ch = batch.iloc[s:s + CHUNK_ROWS]
-                    ids = ch[corpus_id].to_numpy(dtype=np.int64)
-                    m = np.vstack([np.asarray(v, dtype=np.float64) for v in ch[corpus_vec]])
-                    n = np.linalg.norm(m, axis=1)
-                    m = np.divide(m, n[:, None], out=np.zeros_like(m), where=n[:, None] > 0)
-                    sc = m @ q_mat.T                                    # (chunk, queries)
+                batch = _sorted_by_id(batch, corpus_id)
+                ids_all = batch.column(corpus_id).to_numpy().astype(np.int64)
+                vecs = _unit_rows(_vectors(batch.column(corpus_vec)))
+                for s in range(0, batch.num_rows, chunk):
+                    ids = ids_all[s:s + chunk]
+                    sc = vecs[s:s + chunk] @ q_mat.T                    # (chunk, queries)
                     if exclude_self:
                         sc = np.where(ids[:, None] == q_ids[None, :], -np.inf, sc)
-                    qq, cc, vv = _top_k_rows(sc, ids, q_ids, k + (1 if exclude_self else 0))
+                    qq, cc, vv = _top_k_rows(sc, ids, q_ids, kk)
                     keep = np.isfinite(vv)
-                    yield pd.DataFrame({"query_id": qq[keep], "context_id": cc[keep], "score": vv[keep]})
+                    yield _out_batch(qq[keep], cc[keep], vv[keep])
 
-        results.append(corpus.select(corpus_id, corpus_vec).mapInPandas(score_partition, out_schema))
-    return _final_top_k(_collect_candidates(spark, results, out_schema), k).select(
+        results.append(corpus.select(corpus_id, corpus_vec).mapInArrow(score_partition, OUT_SCHEMA))
+    return _final_top_k(_collect_candidates(spark, results, OUT_SCHEMA), k).select(
         "query_id", "rank", "context_id", "score")
 
 
@@ -144,45 +175,47 @@ def retrieve_lexical(queries: DataFrame, corpus: DataFrame, query_id: str, query
     (``|Q ∩ D| / |Q|``; 0 for a query without words).
 
     Tokens are computed JVM-side; each task maps its texts' tokens onto the
-    broadcast query vocabulary and counts shared tokens with numpy.
+    broadcast query vocabulary (vectorised hash lookup on the flattened Arrow
+    token array) and counts shared tokens with numpy.
     Returns ``(query_id, rank, context_id, score)``.
     """
     spark = corpus.sparkSession
-    out_schema = T.StructType([T.StructField("query_id", T.LongType()),
-                               T.StructField("context_id", T.LongType()),
-                               T.StructField("score", T.DoubleType())])
     qtok = queries.select(F.col(query_id).alias("qid"), tokens(F.col(query_text)).alias("toks"))
     results = []
     for block in _blocks(qtok, "qid", max_query_rows):
-        pdf = block.toPandas()
-        if pdf.empty:
+        tbl = block.toArrow()
+        if tbl.num_rows == 0:
             continue
-        qids = pdf["qid"].to_numpy(dtype=np.int64)
-        sizes = np.array([len(t) for t in pdf["toks"]], dtype=np.float64)
-        ex = pdf[["toks"]].assign(q=np.arange(len(pdf))).explode("toks").dropna()
-        vocab = pd.Index(pd.unique(ex["toks"]))
-        post_v = vocab.get_indexer(ex["toks"]).astype(np.int64)
-        post_q = ex["q"].to_numpy(dtype=np.int64)
+        qids = tbl.column("qid").to_numpy().astype(np.int64)
+        toks = tbl.column("toks").combine_chunks()
+        sizes = pc.list_value_length(toks).fill_null(0).to_numpy().astype(np.float64)
+        flat = pc.list_flatten(toks).to_numpy(zero_copy_only=False)
+        owner = pc.list_parent_indices(toks).to_numpy()
+        vocab = pd.Index(pd.unique(flat))
+        post_v = vocab.get_indexer(flat).astype(np.int64)
         order = np.argsort(post_v, kind="stable")
-        post_v, post_q = post_v[order], post_q[order]
+        post_v, post_q = post_v[order], owner[order].astype(np.int64)
         starts = np.searchsorted(post_v, np.arange(len(vocab) + 1))
         bq = spark.sparkContext.broadcast((qids, sizes, vocab, starts, post_q))
+        chunk = _chunk_rows(len(qids))
 
-        def score_partition(it, bq=bq):
+        def score_partition(it, bq=bq, chunk=chunk):
             q_ids, q_sizes, voc, st, pq = bq.value
             nq = len(q_ids)
             for batch in it:
-                if batch.empty:
+                if batch.num_rows == 0:
                     continue
-                batch = batch.sort_values("cid", kind="stable")
-                for s in range(0, len(batch), CHUNK_ROWS):
-                    ch = batch.iloc[s:s + CHUNK_ROWS]
-                    ids = ch["cid"].to_numpy(dtype=np.int64)
-                    ex_d = ch[["toks"]].assign(r=np.arange(len(ch))).explode("toks").dropna()
-                    v = voc.get_indexer(ex_d["toks"])
+                batch = _sorted_by_id(batch, "cid")
+                ids_all = batch.column("cid").to_numpy().astype(np.int64)
+                lists = batch.column("toks")
+                for s in range(0, batch.num_rows, chunk):
+                    part = lists.slice(s, chunk)
+                    ids = ids_all[s:s + chunk]
+                    rows = pc.list_parent_indices(part).to_numpy().astype(np.int64)
+                    v = voc.get_indexer(pc.list_flatten(part).to_numpy(zero_copy_only=False))
                     hit = v >= 0
-                    rows, v = ex_d["r"].to_numpy(dtype=np.int64)[hit], v[hit]
-                    counts = np.zeros((len(ch), nq), dtype=np.float64)
+                    rows, v = rows[hit], v[hit]
+                    counts = np.zeros((len(ids), nq), dtype=np.float64)
                     if len(v):
                         # expand each text token into the queries that hold it
                         lens = st[v + 1] - st[v]
@@ -190,10 +223,9 @@ def retrieve_lexical(queries: DataFrame, corpus: DataFrame, query_id: str, query
                         idx = np.arange(lens.sum()) - np.repeat(before, lens) + np.repeat(st[v], lens)
                         np.add.at(counts, (np.repeat(rows, lens), pq[idx]), 1.0)
                     sc = np.divide(counts, q_sizes[None, :], out=np.zeros_like(counts), where=q_sizes[None, :] > 0)
-                    qq, cc, vv = _top_k_rows(sc, ids, q_ids, k)
-                    yield pd.DataFrame({"query_id": qq, "context_id": cc, "score": vv})
+                    yield _out_batch(*_top_k_rows(sc, ids, q_ids, k))
 
         corpus_tok = corpus.select(F.col(corpus_id).alias("cid"), tokens(F.col(corpus_text)).alias("toks"))
-        results.append(corpus_tok.mapInPandas(score_partition, out_schema))
-    return _final_top_k(_collect_candidates(spark, results, out_schema), k).select(
+        results.append(corpus_tok.mapInArrow(score_partition, OUT_SCHEMA))
+    return _final_top_k(_collect_candidates(spark, results, OUT_SCHEMA), k).select(
         "query_id", "rank", "context_id", "score")

@@ -22,15 +22,11 @@ def _with_run_meta(df: DataFrame, run_name: str | None) -> DataFrame:
     return out.withColumn("experiment_name", F.lit(run_name)) if run_name else out
 
 
-def _dynamic(df: DataFrame) -> None:
-    df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-
-
 def write_predictions(preds: DataFrame, root: str, run_col: str = "run_id", fmt: str = "json") -> str:
     """K1: ``question_id, question, ground_truth, predicted_answer`` per run."""
-    _dynamic(preds)
     out = preds.select(run_col, "question_id", "question", "ground_truth", "predicted_answer")
-    out.write.mode("overwrite").partitionBy(run_col).format(fmt).save(f"{root}/predictions")
+    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy(run_col).format(fmt).save(f"{root}/predictions"))
     return f"{root}/predictions"
 
 
@@ -51,8 +47,8 @@ def write_run_config(configs: DataFrame, root: str, run_col: str = "run_id",
 
 def write_telemetry(samples: DataFrame, peaks: DataFrame, root: str, run_col: str = "run_id") -> tuple[str, str]:
     """K4: telemetry samples and per-run peaks as two tables."""
-    _dynamic(samples)
-    samples.write.mode("overwrite").partitionBy(run_col).parquet(f"{root}/telemetry/samples")
+    (samples.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy(run_col).parquet(f"{root}/telemetry/samples"))
     peaks.write.mode("append").parquet(f"{root}/telemetry/peaks")
     return f"{root}/telemetry/samples", f"{root}/telemetry/peaks"
 
@@ -60,10 +56,10 @@ def write_telemetry(samples: DataFrame, peaks: DataFrame, root: str, run_col: st
 def write_series(series: DataFrame, root: str) -> str:
     """K5: scalar series, one CSV folder per (title, series) with '/' and
     spaces in the names replaced by '_'."""
-    _dynamic(series)
     out = (series.withColumn("title", sanitize_series(F.col("title")))
                  .withColumn("series", sanitize_series(F.col("series"))))
-    out.write.mode("overwrite").partitionBy("title", "series").option("header", True).csv(f"{root}/series")
+    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("title", "series").option("header", True).csv(f"{root}/series"))
     return f"{root}/series"
 
 

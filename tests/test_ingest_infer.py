@@ -185,3 +185,17 @@ def test_gpu_series(spark):
     rows = {r.gpu: r for r in gpu_series(s, "gpu", "ts", "1 hour").collect()}
     assert rows[0].max_usage_pct == 50.0 and rows[0].busy_samples == 1 and rows[0].avg_used_gb == 4.25
     assert rows[1].avg_usage_pct == 0.0 and rows[1].busy_samples == 0
+
+
+def test_run_inference_registered_model_runs_once(spark):
+    from qaspark.operators import infer as inf
+    inf.MODELS["echo"] = lambda cfg: (lambda prompts: prompts.str.replace("Question: ", "", regex=False))
+    try:
+        items = prepare_items(synthetic_items(spark)).withColumn("prompt", render_prompt("question"))
+        out = run_inference(items, {"model_type": "echo"})
+        # the checkpointed output has no Python stage left in its plan
+        assert "MapInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+        r = with_recalls(out, "predicted_answer", "truths").orderBy("ordinal").first()
+        assert r.predicted_answer == "Test question 0 Answer:" and r.token_recall == 1.0   # test, answer, 0
+    finally:
+        inf.MODELS.pop("echo")
