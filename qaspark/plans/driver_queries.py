@@ -195,9 +195,9 @@ def q12_run_record(spark, sf):
     tel = _telemetry_samples(spark, sf).withColumnRenamed("user_id", "run_id")
     peaks = peak_telemetry(tel, ["run_id"], ["ts", "event_id"]).drop("n_samples")
     ev = table(spark, sf, "events")
+    # microsecond difference of the NTZ timestamps: independent of the session time zone
     dur = ev.groupBy(F.col("user_id").alias("run_id")).agg(
-        ((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp")))
-         / F.lit(1e6)).alias("duration_seconds"))
+        (F.timestamp_diff("MICROSECOND", F.min("ts"), F.max("ts")) / F.lit(1e6)).alias("duration_seconds"))
     rec = quality.join(dur, "run_id", "left").join(peaks, "run_id", "left")
     model_bytes = F.lit(1024).cast("bigint")          # size of the constant model (U2)
     out = rec.select(
