@@ -33,7 +33,7 @@ from ..session import broadcast_if_bounded, materialize
 
 SALT_BUCKETS = 16
 DF_SAMPLE = 0.05                 # share of texts whose frequencies order the tokens
-BROADCAST_MAX_ROWS = 2_000_000   # proven-size bound for the truth-side broadcast
+BROADCAST_MAX_ROWS = 500_000     # proven-size bound for the truth-side broadcast
 
 
 def truth_token_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
