@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import naming
-from ..functions.prompts import chat_messages, render_prompt
-from ..functions.text import (NO_ANSWER, collapse_ws, strip_reasoning, substring_recall_one,
-                              token_recall_one, tokens, words)
+from ..functions.prompts import (answer_after_marker, answer_after_prompt, answer_from_chat, chat_messages,
+                                 render_prompt)
+from ..functions.text import (NO_ANSWER, collapse_ws, sanitize_series, strip_reasoning,
+                              substring_recall_one, token_recall_one, tokens, words)
 from ..operators import aggregate as agg
 from ..operators import sequence as seq
 from ..operators.grid import run_grid, with_memory_estimate
@@ -23,6 +24,7 @@ from ..operators.recall_join import recall_join
 from ..operators.retrieve import retrieve_dense, retrieve_lexical
 from ..operators.score import pair_next_turn, score, to_prediction
 from ..operators.telemetry import POWER_WARN, gpu_series, peak_telemetry, power_utilisation_pct
+from ..sources.qa_jsonl import parse_items
 from ..sources.tables import table
 
 MEAN_DIGITS = 6   # means are order-dependent in the last bits; compare rounded
@@ -422,6 +424,73 @@ def q29_power(spark, sf):
     return ev.select("event_id", pct.alias("power_pct"), (pct > F.lit(POWER_WARN * 100)).alias("power_warn"))
 
 
+def q30_object_paths(spark, sf):
+    """Every page URL split into bucket (host) and key,
+    the key as file stem and as series name, and the results path of a run
+    named by the stem in the bucket named by the host."""
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    bucket, key = naming.split_object_path("url")
+    p = pages.select("page_id", bucket.alias("bucket"), key.alias("key"))
+    return p.select("page_id", "bucket", "key",
+                    naming.file_stem("key").alias("stem"),
+                    sanitize_series("key").alias("series"),
+                    naming.bucket_name("bucket").alias("bucket_name"),
+                    naming.results_path("s3", naming.bucket_name("bucket"), naming.file_stem("key"),
+                                        F.lit("metrics")).alias("results_path"))
+
+
+def q31_extract_answer(spark, sf):
+    """the reply recovered from three generated-text shapes -- after the
+    last ``Answer:``, after the prompt's length, and from a chat transcript."""
+    p = _pairs(spark, sf)
+    plain = F.concat(F.col("question"), F.lit("\nAnswer: "), F.col("prediction"))
+    echoed = F.concat(F.col("question"), F.col("prediction"))
+    chat = F.concat(F.lit("<|im_start|>user\n"), F.col("question"), F.lit("<|im_end|>\n<|im_start|>assistant\n"),
+                    F.col("prediction"), F.lit("<|im_end|>\n"))
+    return p.select("conv_id", "turn", answer_after_marker(plain).alias("after_marker"),
+                    answer_after_prompt(echoed, F.col("question")).alias("after_prompt"),
+                    answer_from_chat(chat).alias("from_chat"))
+
+
+def q32_flatten_config(spark, sf):
+    """A nested config per event (model name/size section plus a top-level
+    seed) flattened to (section, key, value) rows."""
+    ev = table(spark, sf, "events")
+    cfg = F.to_json(F.struct(
+        F.struct(F.col("event_type").alias("name"), F.col("user_id").cast("string").alias("size")).alias("model"),
+        F.get_json_object("props", "$.k").alias("seed")))
+    return agg.flatten_config(ev.select("event_id", cfg.alias("config")), "config", ["event_id"])
+
+
+def _json_string(c):
+    """JSON text of a string column (quoted and escaped)."""
+    j = F.to_json(F.array(c))
+    return j.substr(F.lit(2), F.length(j) - 2)
+
+
+def q33_ingest(spark, sf):
+    """Every conversation turn written as one QA JSON line -- an
+    assistant turn with a list answer (its text, a null and a blank), a user
+    turn with a padded scalar answer, a system turn with a null answer --
+    then parsed (VARIANT), normalised and checked for scorability."""
+    c = table(spark, sf, "conversations")
+    qid = (F.col("conv_id") * 1000 + F.col("turn"))
+    ans = (F.when(F.col("role") == "assistant",
+                  F.concat(F.lit("["), _json_string(F.col("text")), F.lit(',null,"  "]')))
+            .when(F.col("role") == "user", _json_string(F.concat(F.lit(" "), F.col("text"), F.lit(" "))))
+            .otherwise(F.lit("null")))
+    line = F.concat(F.lit('{"question_id":'), qid.cast("string"), F.lit(',"question":'),
+                    _json_string(F.col("text")), F.lit(',"answer":'), ans, F.lit("}"))
+    lines = c.select(F.struct(F.lit("conversations").alias("file"), F.lit(0).cast("bigint").alias("block"),
+                              qid.alias("row")).alias("ordinal"), line.alias("line"))
+    items, _ = parse_items(lines, strict=True)
+    items = items.filter(F.col("question").isNotNull() & (F.col("question") != ""))
+    n = F.when(F.col("answer").isNull(), F.lit(None)).otherwise(F.size("answer")).cast("bigint")
+    return items.select(F.col("metadata.question_id").alias("question_id"), "question",
+                        n.alias("n_answers"), F.array_join("answer", "|").alias("answer_text"),
+                        F.coalesce(F.size("answer") > 0, F.lit(False)).alias("scorable"))
+
+
 QUERIES = {
     "q01_has_question": q01_has_question,
     "q02_dataset_stats": q02_dataset_stats,
@@ -454,4 +523,8 @@ QUERIES = {
     "q27_clean": q27_clean,
     "q28_gpu_utilisation": q28_gpu_utilisation,
     "q29_power": q29_power,
+    "q30_object_paths": q30_object_paths,
+    "q31_extract_answer": q31_extract_answer,
+    "q32_flatten_config": q32_flatten_config,
+    "q33_ingest": q33_ingest,
 }

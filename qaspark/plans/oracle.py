@@ -373,6 +373,45 @@ WITH e AS (SELECT event_id, value, json_extract(props, '$.k')::DOUBLE AS lim FRO
            FROM e)
 SELECT event_id, power_pct, power_pct > 90.0 AS power_warn FROM p"""
 
+    q["q30_object_paths"] = """
+WITH p AS (SELECT page_id, regexp_extract(url, '^[a-zA-Z0-9]+://([^/]*)', 1) AS bucket,
+                  regexp_extract(url, '^[a-zA-Z0-9]+://[^/]*/(.*)$', 1) AS key FROM pages)
+SELECT page_id, bucket, key, translate(key, '/\\', '__') AS stem, translate(key, '/ ', '__') AS series,
+       lower(replace(bucket, '_', '-')) AS bucket_name,
+       's3://' || lower(replace(bucket, '_', '-')) || '/' || translate(key, '/\\', '__') || '/experiment_results/'
+         || translate(translate(key, '/\\', '__'), '/\\', '__') || '_metrics.json' AS results_path
+FROM p"""
+
+    nl = "chr(10)"
+    plain = f"(question || {nl} || 'Answer: ' || prediction)"
+    chat = (f"('<|im_start|>user' || {nl} || question || '<|im_end|>' || {nl} || '<|im_start|>assistant' || {nl} "
+            f"|| prediction || '<|im_end|>' || {nl})")
+    after_marker = strip(f"string_split({plain}, 'Answer:')[-1]")
+    after_prompt = strip("substring(question || prediction, length(question) + 1)")
+    from_chat = strip(f"regexp_replace({strip(f'string_split({chat}, {chr(39)}<|im_start|>assistant{chr(39)})[-1]')}, "
+                      "'(?s)<\\|im_end\\|>.*$', '')")
+    q["q31_extract_answer"] = f"""
+WITH {PAIRS}
+SELECT conv_id, turn, {after_marker} AS after_marker, {after_prompt} AS after_prompt, {from_chat} AS from_chat
+FROM pairs"""
+
+    q["q32_flatten_config"] = """
+SELECT event_id, 'model' AS section, 'name' AS key, event_type AS value FROM events
+UNION ALL SELECT event_id, 'model', 'size', user_id::VARCHAR FROM events
+UNION ALL SELECT event_id, 'seed', NULL, json_extract(props, '$.k')::VARCHAR FROM events"""
+
+    q["q33_ingest"] = f"""
+SELECT (conv_id * 1000 + turn)::VARCHAR AS question_id, text AS question,
+       CASE WHEN role = 'assistant' THEN (CASE WHEN {strip('text')} <> '' THEN 1 ELSE 0 END)
+            WHEN role = 'user' THEN (CASE WHEN {strip("' ' || text || ' '")} <> '' THEN 1 END)
+       END::BIGINT AS n_answers,
+       CASE WHEN role = 'assistant' THEN (CASE WHEN {strip('text')} <> '' THEN text ELSE '' END)
+            WHEN role = 'user' AND {strip("' ' || text || ' '")} <> '' THEN {strip("' ' || text || ' '")}
+       END AS answer_text,
+       CASE WHEN role = 'assistant' THEN {strip('text')} <> ''
+            WHEN role = 'user' THEN {strip("' ' || text || ' '")} <> '' ELSE false END AS scorable
+FROM conversations WHERE text IS NOT NULL AND text <> ''"""
+
     return q
 
 
