@@ -69,10 +69,58 @@ def answers(df: DataFrame, raw_col: str = "raw_answer", out_col: str = "predicte
     return df.withColumn(out_col, clean_answer(F.col(raw_col)))
 
 
+def infer_by_model(df: DataFrame, models: dict[str, dict], model_col: str = "model", prompt_col: str = "prompt",
+                   out_col: str = "raw_answer", error_col: str = "error") -> DataFrame:
+    """U1-U3 for many runs in one job: rows carry their model name in
+    ``model_col``; each task sorts its rows by model (no shuffle), builds a
+    model's batch function once on first use and calls it per model slice.
+    Models of type ``constant`` answer with the constant text."""
+    schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.StringType()),
+                                              T.StructField(error_col, T.StringType())])
+    # factories are resolved (and unknown types rejected) on the driver and
+    # shipped with the task; each task builds a model at most once
+    factories = {name: _factory(cfg) for name, cfg in models.items()}
+
+    def run(it):
+        loaded: dict[str, Callable | None] = {}
+        for pdf in it:
+            outs = pd.Series([None] * len(pdf), index=pdf.index, dtype="object")
+            errs = pd.Series([None] * len(pdf), index=pdf.index, dtype="object")
+            for name, part in pdf.groupby(model_col, sort=False):
+                if name not in loaded:
+                    make = factories.get(name)
+                    loaded[name] = make() if make is not None else None
+                fn = loaded[name]
+                if fn is None:
+                    outs.loc[part.index] = CONSTANT_ANSWER
+                    continue
+                try:
+                    outs.loc[part.index] = list(fn(part[prompt_col]))
+                except Exception:  # noqa: BLE001 -- per-row retry, keep the run going
+                    for i, p in part[prompt_col].items():
+                        try:
+                            outs.loc[i] = list(fn(pd.Series([p])))[0]
+                        except Exception as e:  # noqa: BLE001
+                            outs.loc[i], errs.loc[i] = GEN_ERROR, f"{type(e).__name__}: {e}"
+            yield pdf.assign(**{out_col: outs, error_col: errs})
+
+    return df.sortWithinPartitions(model_col).mapInPandas(run, schema)
+
+
 # Model selection by ``model_type``.
 MODELS: dict[str, Callable] = {"constant": lambda cfg: None}
 
 
+def _factory(config: dict):
+    """Driver-side U3: a zero-argument builder of the model's batch function
+    (``None`` builder result = the constant model)."""
+    t = config.get("model_type", "constant")
+    if t not in MODELS:
+        raise ValueError(f"unknown model_type {t!r}; register it in MODELS")
+    make = MODELS[t]
+    return lambda: make(config)
+
+
 def select_model(config: dict):
     """The batch function for a model config; ``constant`` (or a config
     without a type) selects the literal model. Unknown types are an error."""

@@ -49,15 +49,18 @@ def score(df: DataFrame, prediction: str = "prediction", truths: str = "truths")
 
 def to_prediction(df: DataFrame, *, question_id: str, question: str, prediction: str,
                   truths: str, context_type, model_name, dataset_name,
-                  prompt: str | None = None, contexts: str | None = None) -> DataFrame:
+                  prompt: str | None = None, contexts: str | None = None,
+                  keep: list[str] | None = None) -> DataFrame:
     """The prediction record, with honest names for both recalls.
 
     ``context_type``/``model_name``/``dataset_name`` are column names or
-    Columns (use ``F.lit`` for a constant run attribute).
+    Columns (use ``F.lit`` for a constant run attribute); ``keep`` columns
+    (e.g. ``run_id``) are carried through in front.
     """
     def col(x):
         return F.col(x) if isinstance(x, str) else x
     return df.select(
+        *(keep or []),
         col(question_id).cast("string").alias("question_id"),
         col(question).alias("question"),
         col(prediction).alias("predicted_answer"),

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.naming import run_name
 from ..functions.prompts import chat_messages, is_chat_model, render_prompt
 from ..operators.aggregate import run_quality
-from ..operators.infer import run_inference
+from ..operators.infer import answers, infer_by_model, run_inference
+from ..session import bounded_rows, materialize
 from ..operators.ingest import dataset_stats, prepare_items
 from ..operators.score import score, to_prediction
 
@@ -57,3 +58,48 @@ def evaluate_run(items: DataFrame, *, model: dict, dataset: dict, mode: dict,
                .withColumn("model", F.lit(model["name"])).withColumn("dataset", F.lit(dataset["name"]))
                .withColumn("experiment_mode", F.lit(mode["name"])))
     return preds, metrics
+
+
+MAX_GRID_ROWS = 100_000
+
+
+def evaluate_grid(items: DataFrame, grid: DataFrame, models: dict[str, dict], mode: dict,
+                  dataset_col: str = "dataset", system_prompt: str | None = None,
+                  materialize_output: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Evaluate every run of a grid in one job.
+
+    ``items`` carries a ``dataset`` column next to the S1 item columns;
+    ``grid`` has one row per run with ``model``, ``dataset`` and ``run_name``
+    (for example :func:`qaspark.operators.grid.run_grid`) and optionally
+    ``model_path``; ``models`` maps a model name to its config (``model_type``
+    selects the batch function). Each item is evaluated by every model whose
+    grid row names its dataset. Returns ``(predictions, metrics)``; metrics
+    have one row per grid run, 0.0 / 0.0 / 0 for a run without items.
+    """
+    if bounded_rows(grid, MAX_GRID_ROWS) is None:
+        raise ValueError(f"run grid exceeds {MAX_GRID_ROWS} rows")
+    g = grid.select(F.col("run_name").alias("run_id"), "model", F.col("dataset").alias(dataset_col),
+                    (F.col("model_path") if "model_path" in grid.columns else F.lit("")).alias("model_path"))
+    prepared = prepare_items(items, mode.get("max_samples"), [dataset_col] if mode.get("max_samples") else None)
+    runs_items = prepared.join(F.broadcast(g), on=dataset_col, how="inner")      # bound proven above
+    template = F.lit(mode.get("prompt_template")).cast("string")
+    system = F.lit(system_prompt).cast("string")
+    no_ctx = F.array().cast("array<string>")
+    prompted = runs_items.withColumn(
+        "prompt", F.when(is_chat_model("model_path"), F.to_json(chat_messages("question", no_ctx, template, system)))
+                   .otherwise(render_prompt("question", no_ctx, template, system)))
+    raw = infer_by_model(prompted, models)
+    if materialize_output:
+        raw = materialize(raw)
+    scored = score(answers(raw), "predicted_answer", "truths")
+    preds = to_prediction(scored, question_id="metadata.id", question="question", prediction="predicted_answer",
+                          truths="answer", context_type=F.lit(mode.get("context_type") or "none"),
+                          model_name="model", dataset_name=dataset_col, prompt="prompt", keep=["run_id"])
+    quality = run_quality(scored, g.select("run_id"), ["run_id"])
+    stats = dataset_stats(items, mode.get("max_samples"), [dataset_col]).select(
+        dataset_col, F.col("eval_size").alias("dataset_eval_size"),
+        F.col("valid_count").alias("dataset_valid_count"), F.col("to_process").alias("dataset_to_process"))
+    metrics = (quality.join(g.select("run_id", "model", dataset_col), on="run_id", how="inner")
+               .join(stats, on=dataset_col, how="left")
+               .withColumn("experiment_mode", F.lit(mode["name"])))
+    return preds, metrics

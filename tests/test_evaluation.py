@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from qaspark.operators import infer as inf
-from qaspark.plans.evaluation import evaluate_run
+from qaspark.plans.evaluation import evaluate_grid, evaluate_run
 from qaspark.sources.qa_jsonl import read_qa, synthetic_items
 
 
@@ -49,3 +49,32 @@ def test_chat_model_prompt_is_messages(spark):
                             dataset={"name": "s"}, mode={"name": "no_context", "prompt_template": "T {question}"},
                             system_prompt="S")
     assert preds.first().prompt.startswith('[{"role":"system","content":"S"},{"role":"user","content":"T Test question')
+
+
+def test_grid_many_runs_one_job(spark):
+    from pyspark.sql import functions as F
+    from qaspark.operators.grid import run_grid
+    from qaspark.sources.qa_jsonl import synthetic_items
+    items = (synthetic_items(spark, 6).withColumn("dataset", F.lit("syn"))
+             .unionByName(synthetic_items(spark, 3).withColumn("dataset", F.lit("small"))))
+    ms = spark.createDataFrame([("const", "const"), ("upper", "upper")], "model string, model_stem string")
+    ds = spark.createDataFrame([("syn", "syn"), ("small", "small"), ("empty", "empty")],
+                               "dataset string, dataset_stem string")
+    grid = run_grid(ms, ds, "no_context")
+    inf.MODELS["upper"] = lambda cfg: (lambda prompts: prompts.str.upper())
+    try:
+        models = {"const": {"model_type": "constant"}, "upper": {"model_type": "upper"}}
+        preds, metrics = evaluate_grid(items, grid, models, {"name": "no_context", "max_samples": 5})
+        m = {r.run_id: r for r in metrics.collect()}
+        assert len(m) == 6
+        c = m["const_syn_no_context"]
+        assert (c.num_examples, c.dataset_eval_size, c.dataset_to_process) == (5, 6, 5)
+        assert c.token_recall == pytest.approx(2 / 3)
+        assert m["const_small_no_context"].num_examples == 3
+        e = m["upper_empty_no_context"]
+        assert (e.num_examples, e.token_recall, e.substring_recall) == (0, 0.0, 0.0)
+        up = m["upper_syn_no_context"]          # "QUESTION: TEST QUESTION i ANSWER:" vs "Test answer i"
+        assert up.token_recall == 1.0 and up.num_examples == 5
+        assert preds.filter("run_id = 'upper_syn_no_context'").count() == 5
+    finally:
+        inf.MODELS.pop("upper")
