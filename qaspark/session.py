@@ -6,7 +6,6 @@ shared checkpoint folder and guard broadcasts with a proven row bound.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession

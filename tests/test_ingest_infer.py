@@ -37,6 +37,12 @@ def qa_file(tmp_path):
 
 
 def test_ingest_golden(spark, qa_file):
+    from pyspark.sql.types import _parse_datatype_string
+    from qaspark.sources.qa_jsonl import ITEM_SCHEMA
+    want = _parse_datatype_string(ITEM_SCHEMA)
+    got = read_qa(spark, qa_file).schema
+    assert [(f.name, f.dataType.simpleString()) for f in got] == [(f.name, f.dataType.simpleString()) for f in want]
+    assert synthetic_items(spark).schema.simpleString() == got.simpleString()
     items = read_qa(spark, qa_file).orderBy("ordinal").collect()
     assert len(items) == 9                           # blank line skipped
     answers_ = [r.answer for r in items]

@@ -6,7 +6,6 @@ import re
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from qaspark.operators import sequence as seq
 from qaspark.operators.recall_join import recall_join

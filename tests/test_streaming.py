@@ -2,7 +2,6 @@
 
 import tempfile
 
-import pytest
 from pyspark.sql import functions as F
 
 from qaspark.operators import aggregate as agg
