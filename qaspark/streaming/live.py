@@ -16,8 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import aggregate as agg
+from ..operators.score import score
 from ..operators.telemetry import MEMORY_MEASURES
 
+PREDICTION_FILE_SCHEMA = ("run_id string, question_id string, question string, ground_truth array<string>, "
+                          "predicted_answer string")
+
 
 def running_quality(scored: DataFrame, run_cols: list[str]) -> DataFrame:
     """Mean substring / token recall and count so far per run (update mode)."""
@@ -27,6 +31,22 @@ def running_quality(scored: DataFrame, run_cols: list[str]) -> DataFrame:
         F.count(F.lit(1)).cast("bigint").alias("num_examples"))
 
 
+def predictions_stream(spark, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Prediction records (K1 JSON Lines under ``path``, partitioned by run)
+    as they arrive."""
+    r = spark.readStream.schema(PREDICTION_FILE_SCHEMA)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    return r.json(path)
+
+
+def live_quality(predictions: DataFrame, run_cols: list[str] | None = None) -> DataFrame:
+    """T1 from prediction records: each arriving record is scored with the
+    same built-in recall expressions as the batch path, then the running
+    means per run are kept (state: one row per run)."""
+    return running_quality(score(predictions, "predicted_answer", "ground_truth"), run_cols or ["run_id"])
+
+
 def windowed_peaks(samples: DataFrame, run_cols: list[str], ts_col: str, window: str = "1 hour",
                    watermark: str = "10 minutes", measures=MEMORY_MEASURES,
                    draw: str = "gpu_power_draw_w") -> DataFrame:

@@ -94,3 +94,26 @@ def test_batch_progress_stream(spark, tmp_path):
         "status", F.when(F.col("event_type") == "purchase", "completed").otherwise("running"))
     b = agg.batch_rollup(agg.latest_status(bev, "user_id", "status", ["ts", "event_id"])).first()
     assert out["last"] == b
+
+
+def test_live_quality_from_prediction_files(spark, tmp_path):
+    """Prediction records in the K1 layout (JSON Lines partitioned by run),
+    appended in two parts, read back as a stream and scored on arrival; the
+    final state equals the batch A1."""
+    from qaspark.operators.score import pair_next_turn, score
+    conv = spark.read.parquet(f"{SF_SMALL}/conversations.parquet")
+    pairs = pair_next_turn(conv).select(
+        (F.col("conv_id") % 3).cast("string").alias("run_id"),
+        F.concat_ws(":", "conv_id", "turn").alias("question_id"), "question",
+        F.array("question").alias("ground_truth"), F.col("prediction").alias("predicted_answer"))
+    root = str(tmp_path / "out")
+    for part in pairs.randomSplit([0.5, 0.5], seed=3):
+        part.write.mode("append").partitionBy("run_id").json(f"{root}/predictions")
+    q = live.to_memory(live.live_quality(live.predictions_stream(spark, f"{root}/predictions", 1)),
+                       "t1_live", "complete", str(tmp_path / "c"))
+    _run(q)
+    got = {r.run_id: (r.num_examples, round(r.token_recall, 9), round(r.substring_recall, 9))
+           for r in spark.table("t1_live").collect()}
+    b = score(pairs, "predicted_answer", "ground_truth").groupBy("run_id").agg(
+        F.count("*").alias("n"), F.avg("token_recall").alias("t"), F.avg("substring_recall").alias("s"))
+    assert got == {r.run_id: (r.n, round(r.t, 9), round(r.s, 9)) for r in b.collect()}
