@@ -5,9 +5,11 @@ A plain ``Window.partitionBy(run)`` puts a whole run into one task. The
 running operators here split every run into ordinal *blocks* first:
 
 1. block boundaries are sampled from ``(run, order…)`` keys (a bounded sample,
-   sorted by Spark) and turned into a literal array;
-2. each row's block = number of boundaries ≤ its key (a pure expression, so the
-   block of a row is the same in every branch and on every retry);
+   sorted by Spark) and turned into literal arrays; the number of blocks grows
+   with the data (about ``ROWS_PER_BLOCK`` rows each);
+2. each row's block = number of boundaries ≤ its key (a pure expression with a
+   two-level lookup, so the block of a row is the same in every branch and on
+   every retry);
 3. local running values use ``Window.partitionBy(run, block)``;
 4. per ``(run, block)`` totals (a small table: #runs + #blocks rows) get
    exclusive prefix sums per run, joined back on ``(run, block)``.
@@ -18,26 +20,61 @@ key (a hot key) is ever needed.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BLOCKS = 64
-SAMPLE_PER_BLOCK = 20
+DEFAULT_BLOCKS = 64            # at least this many blocks (when there are enough rows)
+ROWS_PER_BLOCK = 2_000_000     # above DEFAULT_BLOCKS * this, blocks grow with the data
+MAX_BLOCKS = 16_384
+SAMPLE_PER_BLOCK = 16
+LEVEL_SIZE = 128               # boundaries per lookup level (two levels above this)
 
 
 def _key(run_cols: list[str], order_cols: list[str]) -> Column:
     return F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(run_cols + order_cols)])
 
 
+def _lit_key(values, key_type) -> Column:
+    return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(values, key_type.fields)])
+
+
+def block_of(key: Column, bounds: list, key_type, level_size: int = LEVEL_SIZE) -> Column:
+    """Number of sorted boundaries ``<= key``.
+
+    Up to ``level_size`` boundaries: one pass over a literal array. Beyond
+    that, two levels -- a coarse array of every g-th boundary, then the g-1
+    boundaries between two coarse ones -- so a row costs about 2·sqrt(B)
+    comparisons instead of B.
+    """
+    if len(bounds) <= level_size:
+        arr = F.array(*[_lit_key(b, key_type) for b in bounds])
+        return F.size(F.filter(arr, lambda b: b <= key))
+    g = int(math.ceil(math.sqrt(len(bounds))))
+    coarse = bounds[::g]
+    fine = [bounds[i * g + 1:(i + 1) * g] for i in range(len(coarse))]
+    c = F.size(F.filter(F.array(*[_lit_key(b, key_type) for b in coarse]), lambda b: b <= key))
+    empty = F.array().cast(f"array<{key_type.simpleString()}>")
+    fine_arr = F.array(*[F.array(*[_lit_key(b, key_type) for b in part]) if part else empty for part in fine])
+    inner = F.size(F.filter(F.element_at(fine_arr, F.greatest(c, F.lit(1))), lambda b: b <= key))
+    return F.when(c == 0, F.lit(0)).otherwise((c - 1) * g + 1 + inner)
+
+
 def assign_blocks(df: DataFrame, run_cols: list[str], order_cols: list[str],
-                  n_blocks: int = DEFAULT_BLOCKS, col: str = "__block") -> DataFrame:
+                  n_blocks: int | None = None, col: str = "__block") -> DataFrame:
     """Add ``col``: the ordinal block of each row (contiguous in ``(run, order)``).
 
-    The boundary sample is bounded (``n_blocks * SAMPLE_PER_BLOCK`` keys on
-    average), so only a few thousand small keys reach the driver.
+    The number of blocks grows with the row count (``ROWS_PER_BLOCK``), at
+    least ``DEFAULT_BLOCKS`` and at most ``MAX_BLOCKS``, unless ``n_blocks``
+    is given. The boundary sample is bounded (about ``SAMPLE_PER_BLOCK`` small
+    keys per block reach the driver); the boundaries are literals, so every
+    branch and every retry assigns the same block to a row.
     """
     key = _key(run_cols, order_cols)
     n = df.count()
+    if n_blocks is None:
+        n_blocks = int(min(MAX_BLOCKS, max(DEFAULT_BLOCKS, math.ceil(n / ROWS_PER_BLOCK))))
     if n == 0 or n_blocks <= 1:
         return df.withColumn(col, F.lit(0))
     target = n_blocks * SAMPLE_PER_BLOCK
@@ -47,17 +84,14 @@ def assign_blocks(df: DataFrame, run_cols: list[str], order_cols: list[str],
     if len(sample) < 2:
         return df.withColumn(col, F.lit(0))
     step = max(1, len(sample) // n_blocks)
-    picked = [sample[i]["k"] for i in range(step, len(sample), step)]
+    picked = [tuple(sample[i]["k"]) for i in range(step, len(sample), step)]
+    picked = [b for i, b in enumerate(picked) if i == 0 or b != picked[i - 1]]
     key_type = df.select(key.alias("k")).schema["k"].dataType
-    bounds = F.array(*[F.lit(None).cast(key_type) if b is None else
-                       F.struct(*[F.lit(v).cast(f.dataType).alias(f.name)
-                                  for v, f in zip(b, key_type.fields)]) for b in picked])
-    # block = how many boundaries sort at or below this row's key
-    return df.withColumn(col, F.size(F.filter(bounds, lambda b: b <= key)))
+    return df.withColumn(col, block_of(key, picked, key_type))
 
 
 def running_stats(df: DataFrame, run_cols: list[str], order_cols: list[str],
-                  value_cols: list[str] | None = None, n_blocks: int = DEFAULT_BLOCKS) -> DataFrame:
+                  value_cols: list[str] | None = None, n_blocks: int | None = None) -> DataFrame:
     """Add ``position`` (1-based, in ``order_cols`` within the run),
     ``run_count`` (rows in the run) and ``running_sum_<v>`` for each value
     column (sum over rows up to and including this one).
@@ -98,7 +132,7 @@ def running_stats(df: DataFrame, run_cols: list[str], order_cols: list[str],
 
 
 def running_mean(df: DataFrame, run_cols: list[str], order_cols: list[str], value: str,
-                 out: str = "running_mean", n_blocks: int = DEFAULT_BLOCKS) -> DataFrame:
+                 out: str = "running_mean", n_blocks: int | None = None) -> DataFrame:
     """Mean of ``value`` over the run's rows up to the current one."""
     r = running_stats(df, run_cols, order_cols, [value], n_blocks)
     return (r.withColumn(out, F.col(f"running_sum_{value}") / F.col("position"))
@@ -107,7 +141,7 @@ def running_mean(df: DataFrame, run_cols: list[str], order_cols: list[str], valu
 
 def progress_rows(df: DataFrame, run_cols: list[str], order_cols: list[str], value: str,
                   every: int = 10, report_every: int = 100,
-                  n_blocks: int = DEFAULT_BLOCKS) -> DataFrame:
+                  n_blocks: int | None = None) -> DataFrame:
     """Running mean at the progress rows (position 1 or a multiple of
     ``every``), the percentage of the run processed, and a flag for the
     telemetry report rows (multiples of ``report_every``)."""
@@ -119,7 +153,7 @@ def progress_rows(df: DataFrame, run_cols: list[str], order_cols: list[str], val
 
 
 def scalar_series(df: DataFrame, run_cols: list[str], order_cols: list[str], series_cols: list[str],
-                  title: str, zero_based: bool = True, n_blocks: int = DEFAULT_BLOCKS) -> DataFrame:
+                  title: str, zero_based: bool = True, n_blocks: int | None = None) -> DataFrame:
     """Long scalar series ``(run…, title, series, iteration, value)``;
     one row per item and series column, iteration in item order."""
     r = running_stats(df.select(*run_cols, *order_cols, *series_cols), run_cols, order_cols, [], n_blocks)

@@ -103,3 +103,33 @@ def test_lexical_top_k(spark):
         sc.sort(key=lambda x: (-x[0], x[1]))
         want += [(qid, i + 1, cid, s) for i, (s, cid) in enumerate(sc[:3])]
     assert got == sorted(want)
+
+
+def test_block_lookup_two_levels_matches_bisect(spark):
+    import bisect
+    from pyspark.sql import functions as F
+    from qaspark.operators.sequence import block_of
+    rnd = random.Random(9)
+    bounds = sorted({(rnd.randint(0, 5), rnd.randint(0, 1000)) for _ in range(300)})
+    rows = [(rnd.randint(0, 5), rnd.randint(-5, 1005)) for _ in range(2000)] + list(bounds)
+    df = spark.createDataFrame(rows, "r long, o long")
+    key = F.struct(F.col("r").alias("k0"), F.col("o").alias("k1"))
+    key_type = df.select(key.alias("k")).schema["k"].dataType
+    for level in (1000, 16):                    # one level, then two levels
+        got = df.select("r", "o", block_of(key, bounds, key_type, level_size=level).alias("b")).collect()
+        for r in got:
+            assert r.b == bisect.bisect_right(bounds, (r.r, r.o))
+
+
+def test_running_stats_many_blocks(spark):
+    rnd = random.Random(4)
+    rows = [(0 if rnd.random() < 0.7 else rnd.randint(1, 3), i, float(rnd.randint(0, 9))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "run long, o long, v double")
+    got = {(r.run, r.o): (r.position, r.run_count, r.running_sum_v) for r in
+           seq.running_stats(df, ["run"], ["o"], ["v"], n_blocks=400).collect()}
+    acc = {}
+    for run, o, v in sorted(rows, key=lambda x: (x[0], x[1])):
+        cnt, tot = acc.get(run, (0, 0.0))
+        acc[run] = (cnt + 1, tot + v)
+        assert got[(run, o)][0] == cnt + 1 and got[(run, o)][2] == tot + v
+    assert all(got[(run, o)][1] == acc[run][0] for run, o, _ in rows)
