@@ -11,10 +11,11 @@ Plan (published set-similarity-join technique, prefix filtering):
 3. each truth keeps its ``n - m + 1`` rarest tokens (``m`` = smallest overlap
    that can reach the threshold). A text reaching the threshold must contain
    one of them, so the prefix join finds every result;
-4. candidates = prefix tokens ⋈ postings on ``(token, salt)``: every token is
-   spread over ``salt_buckets`` by a hash of the text id and the (small)
-   prefix side is replicated per bucket, so a token present in a third of all
-   texts is split over many tasks;
+4. candidates = prefix tokens ⋈ postings on ``(token, salt)``: a hot token's
+   postings are spread over buckets (one per ``rows_per_salt`` estimated
+   postings, by a hash of the text id) and its prefix rows are replicated
+   per bucket, so a token present in a third of all texts is split over many
+   tasks; rare tokens keep one bucket;
 5. exact verification of each candidate by counting shared tokens (equi-join
    on ``(did, token)``), then the threshold filter.
 
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..session import broadcast_if_bounded, materialize
 
-SALT_BUCKETS = 16
+ROWS_PER_SALT = 1_000_000        # postings per salt bucket of a hot token
+MAX_SALT = 4096
+MAX_HOT_TOKENS = 100_000         # salted tokens (the most frequent); bounds the broadcast
 DF_SAMPLE = 0.05                 # share of texts whose frequencies order the tokens
 BROADCAST_MAX_ROWS = 500_000     # proven-size bound for the truth-side broadcast
 
@@ -55,7 +58,7 @@ def min_overlap(threshold: float, n_col: str = "n_tokens"):
 
 def recall_join(truths: DataFrame, texts: DataFrame, truth_id: str, truth_text: str,
                 text_id: str, text_col: str, threshold: float,
-                salt_buckets: int = SALT_BUCKETS, df_sample: float | None = DF_SAMPLE,
+                rows_per_salt: int = ROWS_PER_SALT, df_sample: float | None = DF_SAMPLE,
                 materialize_postings: bool = False) -> DataFrame:
     """Pairs ``(truth_id, text_id, overlap, n_tokens, token_recall)`` with
     ``token_recall >= threshold`` (``0 < threshold <= 1``).
@@ -90,9 +93,18 @@ def recall_join(truths: DataFrame, texts: DataFrame, truth_id: str, truth_text:
                   Window.partitionBy("tid").orderBy("df", "token"))))
     prefix = ranked.filter(F.col("r") <= F.col("n_tokens") - min_overlap(threshold) + 1)
 
-    salted_prefix = prefix.select("tid", "token",
-                                  F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))).alias("salt"))
-    salted_post = post.withColumn("salt", F.pmod(F.xxhash64("did"), F.lit(salt_buckets)).cast("int"))
+    # per-token salting: a token's postings are spread over buckets in
+    # proportion to its (estimated) frequency; the prefix rows of that token
+    # are replicated once per bucket. Only hot tokens get more than one.
+    scale = (1.0 / df_sample) if (df_sample and df_sample < 1.0 and not materialize_postings) else 1.0
+    nsalt = F.least(F.lit(MAX_SALT), F.greatest(F.lit(1), F.ceil(F.col("df") * F.lit(scale) / F.lit(rows_per_salt))))
+    hot = F.broadcast(dfreq.select("token", nsalt.cast("int").alias("nsalt")).filter(F.col("nsalt") > 1)
+                      .orderBy(F.col("nsalt").desc(), "token").limit(MAX_HOT_TOKENS))   # bounded by the limit
+    buckets = F.coalesce(F.col("nsalt"), F.lit(1))
+    salted_prefix = (prefix.join(hot, on="token", how="left")
+                     .select("tid", "token", F.explode(F.sequence(F.lit(0), buckets - 1)).alias("salt")))
+    salted_post = (post.join(hot, on="token", how="left")
+                   .select("did", "token", F.pmod(F.xxhash64("did"), buckets).cast("int").alias("salt")))
     cand = (salted_prefix.join(salted_post, on=["token", "salt"], how="inner")
             .select("tid", "did").distinct())
 

@@ -31,14 +31,16 @@ def _corpus(n, seed, hot="the"):
     return out
 
 
-@pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
-def test_recall_join_matches_brute_force(spark, threshold):
+@pytest.mark.parametrize("threshold,rps", [(0.5, 1_000_000), (0.8, 10), (1.0, 3)])
+def test_recall_join_matches_brute_force(spark, threshold, rps):
+    """Exact against brute force, without salting and with hot tokens salted
+    over many buckets."""
     truths = _corpus(25, 1) + [(100, "the"), (101, "the w1"), (102, "!!!")]
     texts = _corpus(300, 2)
     tdf = spark.createDataFrame(truths, "tid long, text string")
     ddf = spark.createDataFrame(texts, "did long, text string")
     got = {(r.tid, r.did): r.token_recall for r in
-           recall_join(tdf, ddf, "tid", "text", "did", "text", threshold, salt_buckets=4).collect()}
+           recall_join(tdf, ddf, "tid", "text", "did", "text", threshold, rows_per_salt=rps).collect()}
     want = {}
     for (tid, tt), (did, dt) in itertools.product(truths, texts):
         t = _tok(tt)
