@@ -28,25 +28,33 @@ CONSTANT_ANSWER = "Test answer"   # U2: the constant model's answer
 CONSTANT_MODEL_BYTES = 1024       # U2: its reported size
 
 
-def infer(df: DataFrame, generate: Callable[[pd.Series], pd.Series], prompt_col: str = "prompt",
-          out_col: str = "raw_answer", error_col: str = "error") -> DataFrame:
+def infer(df: DataFrame, generate: Callable[[pd.Series], pd.Series] | None = None, prompt_col: str = "prompt",
+          out_col: str = "raw_answer", error_col: str = "error",
+          factory: Callable[[], Callable[[pd.Series], pd.Series]] | None = None) -> DataFrame:
     """U1 + U5: add ``out_col`` (generated text) and ``error_col`` (message or
     null) to every row of ``df``. Filter and cap *before* calling this:
-    Catalyst cannot push predicates through ``mapInPandas``."""
+    Catalyst cannot push predicates through ``mapInPandas``.
+
+    Pass either ``generate`` (a light batch function shipped with the task)
+    or ``factory`` (called once per task on the executor to build the batch
+    function -- load a model there, not on the driver)."""
+    if (generate is None) == (factory is None):
+        raise ValueError("pass exactly one of generate / factory")
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.StringType()),
                                               T.StructField(error_col, T.StringType())])
 
     def run(it):
+        fn = generate if generate is not None else factory()
         for pdf in it:
             prompts = pdf[prompt_col]
             try:
-                out = pd.Series(list(generate(prompts)), index=pdf.index, dtype="object")
+                out = pd.Series(list(fn(prompts)), index=pdf.index, dtype="object")
                 err = pd.Series([None] * len(pdf), index=pdf.index, dtype="object")
             except Exception:  # noqa: BLE001 -- retry per row, keep the run going
                 outs, errs = [], []
                 for p in prompts:
                     try:
-                        outs.append(list(generate(pd.Series([p])))[0])
+                        outs.append(list(fn(pd.Series([p])))[0])
                         errs.append(None)
                     except Exception as e:  # noqa: BLE001
                         outs.append(GEN_ERROR)
@@ -122,8 +130,9 @@ def _factory(config: dict):
 
 
 def select_model(config: dict):
-    """The batch function for a model config; ``constant`` (or a config
-    without a type) selects the literal model. Unknown types are an error."""
+    """The batch function for a model config, built here (driver side);
+    ``constant`` (or a config without a type) gives ``None``, the literal
+    model. Unknown types are an error."""
     t = config.get("model_type", "constant")
     if t not in MODELS:
         raise ValueError(f"unknown model_type {t!r}; register it in MODELS")
@@ -138,11 +147,10 @@ def run_inference(df: DataFrame, config: dict, prompt_col: str = "prompt",
     checkpoint folder) before anything reads it, so predictions and metrics
     never trigger a second inference, not even after an executor loss.
     """
-    fn = select_model(config)
-    if fn is None:
-        raw = constant_model(df)
-    else:
-        raw = infer(df, fn, prompt_col)
-        if materialize_output:
-            raw = materialize(raw)
+    t = config.get("model_type", "constant")
+    if t == "constant":
+        return answers(constant_model(df))
+    raw = infer(df, prompt_col=prompt_col, factory=_factory(config))     # model built once per task
+    if materialize_output:
+        raw = materialize(raw)
     return answers(raw)
