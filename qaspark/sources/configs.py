@@ -28,6 +28,13 @@ def yaml_field(text: Column, key: str) -> Column:
     return F.when((raw == "") | (unq == "null") | (unq == "~"), F.lit(None).cast("string")).otherwise(unq)
 
 
+def yaml_list(text: Column, key: str) -> Column:
+    """Top-level block list ``key:`` followed by ``- item`` lines → ``array<string>``
+    (empty when the key is absent)."""
+    block = F.regexp_extract(text, rf"(?m)^{key}:[ \t]*(?:#.*)?\n((?:[ \t]+-[^\n]*(?:\n|$))*)", 1)
+    return F.regexp_extract_all(block, F.lit(r"(?m)^[ \t]+-[ \t]*([^#\n]*?)[ \t]*(?:#.*)?$"), 1)
+
+
 def config_dimension(spark: SparkSession, folder: str, fields: tuple[str, ...]) -> DataFrame:
     files = spark.read.text(f"{folder.rstrip('/')}/*.yaml", wholetext=True)
     stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.ya?ml$", 1)
@@ -48,6 +55,9 @@ def datasets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def modes(spark: SparkSession, folder: str) -> DataFrame:
-    d = config_dimension(spark, folder, MODE_FIELDS)
+    files = spark.read.text(f"{folder.rstrip('/')}/*.yaml", wholetext=True)
+    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.ya?ml$", 1)
+    d = files.select(stem.alias("stem"), *[yaml_field(F.col("value"), f).alias(f) for f in MODE_FIELDS],
+                     yaml_list(F.col("value"), "metrics").alias("metrics")).orderBy("stem")
     return (d.withColumn("use_retriever", F.col("use_retriever").try_cast("boolean"))
              .withColumn("max_samples", F.col("max_samples").try_cast("bigint")))

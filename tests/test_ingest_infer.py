@@ -124,7 +124,8 @@ def test_config_dimensions(spark, tmp_path):
         encoding="utf-8")
     (tmp_path / "mode" / "plain.yaml").write_text(
         'name: plain\ndescription: "no context"\nuse_retriever: false\ncontext_type: none\n'
-        'prompt_template: "Answer briefly.\\n\\nQuestion: {question}"\nmax_samples: null  # all\n',
+        'prompt_template: "Answer briefly.\\n\\nQuestion: {question}"\nmax_samples: null  # all\n'
+        'metrics:\n  - token_recall\n  - substring_recall  # both\n',
         encoding="utf-8")
     m = models(spark, str(tmp_path / "model")).collect()
     assert [r.stem for r in m] == ["a_model", "b_model"]
@@ -134,6 +135,7 @@ def test_config_dimensions(spark, tmp_path):
     o = modes(spark, str(tmp_path / "mode")).first()
     assert o.name == "plain" and o.description == "no context" and o.max_samples is None
     assert o.prompt_template == "Answer briefly.\n\nQuestion: {question}" and o.use_retriever is False
+    assert o.metrics == ["token_recall", "substring_recall"]
 
 
 def test_telemetry_golden(spark, tmp_path):
