@@ -135,3 +135,15 @@ def test_running_stats_many_blocks(spark):
         acc[run] = (cnt + 1, tot + v)
         assert got[(run, o)][0] == cnt + 1 and got[(run, o)][2] == tot + v
     assert all(got[(run, o)][1] == acc[run][0] for run, o, _ in rows)
+
+
+def test_recall_join_checkpointed_postings(spark):
+    truths = _corpus(20, 5) + [(100, "the w2")]
+    texts = _corpus(200, 6)
+    tdf = spark.createDataFrame(truths, "tid long, text string")
+    ddf = spark.createDataFrame(texts, "did long, text string")
+    got = {(r.tid, r.did) for r in recall_join(tdf, ddf, "tid", "text", "did", "text", 0.7, rows_per_salt=5,
+                                               materialize_postings=True).collect()}
+    want = {(tid, did) for (tid, tt), (did, dt) in itertools.product(truths, texts)
+            if _tok(tt) and len(_tok(tt) & _tok(dt)) / len(_tok(tt)) >= 0.7}
+    assert got == want
