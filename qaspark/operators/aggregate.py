@@ -44,6 +44,35 @@ def run_quality(scored: DataFrame, runs: DataFrame, run_cols: list[str]) -> Data
                     F.coalesce("__n", F.lit(0)).cast("bigint").alias("num_examples")))
 
 
+def run_record(quality: DataFrame, run_cols: list[str], durations: DataFrame | None = None,
+               peaks: DataFrame | None = None, sizes: DataFrame | None = None,
+               peak_cols: tuple[str, ...] = ()) -> DataFrame:
+    """The wide run-metrics record -- quality (A1) + duration +
+    model / retriever sizes in bytes and MB + telemetry peaks (A4).
+
+    Every input has one row per run, so the joins never meet a hot key.
+    ``sizes`` may carry ``model_size_bytes`` and ``retriever_index_size_bytes``;
+    absent sizes, durations and peaks are 0.
+    """
+    rec = quality
+    for extra in (durations, peaks, sizes):
+        if extra is not None:
+            rec = rec.join(extra, on=run_cols, how="left")
+    cols = set(rec.columns)
+
+    def num(c, t):
+        return (F.coalesce(F.col(c), F.lit(0)) if c in cols else F.lit(0)).cast(t)
+    out = rec.select(
+        *run_cols, "substring_recall", "token_recall", "num_examples",
+        num("duration_seconds", "double").alias("duration_seconds"),
+        num("model_size_bytes", "bigint").alias("model_size_bytes"),
+        (num("model_size_bytes", "double") / F.lit(1048576.0)).alias("model_size_mb"),
+        num("retriever_index_size_bytes", "bigint").alias("retriever_index_size_bytes"),
+        (num("retriever_index_size_bytes", "double") / F.lit(1048576.0)).alias("retriever_index_size_mb"),
+        *[num(c, "double").alias(c) for c in peak_cols])
+    return out
+
+
 def context_stats(preds: DataFrame, group_col: str = "context_type", recall_col: str = "substring_recall",
                   truth_col: str = "ground_truth") -> DataFrame:
     """A2: per context type -- count, total recall, has-truth count, average

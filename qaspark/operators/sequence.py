@@ -178,3 +178,12 @@ def first_n(df: DataFrame, run_cols: list[str], order_cols: list[str], n: int) -
     totals = df.groupBy(*run_cols).agg(F.count(F.lit(1)).alias("run_count"))
     return (head.join(totals, on=run_cols, how="inner")
                 .withColumn("n_more", F.greatest(F.col("run_count") - F.lit(n), F.lit(0)).cast("bigint")))
+
+
+def previews(preds: DataFrame, run_cols: list[str], order_cols: list[str], n_predictions: int = 100,
+             n_prompts: int = 20, prompt_col: str = "prompt") -> tuple[DataFrame, DataFrame]:
+    """The first ``n_predictions`` predictions and the first ``n_prompts``
+    predictions that carry a prompt, per run, each with the run total and the
+    "``k`` more" count."""
+    return (first_n(preds, run_cols, order_cols, n_predictions),
+            first_n(preds.filter(F.col(prompt_col).isNotNull()), run_cols, order_cols, n_prompts))

@@ -200,22 +200,12 @@ def q12_run_record(spark, sf):
     # microsecond difference of the NTZ timestamps: independent of the session time zone
     dur = ev.groupBy(F.col("user_id").alias("run_id")).agg(
         (F.timestamp_diff("MICROSECOND", F.min("ts"), F.max("ts")) / F.lit(1e6)).alias("duration_seconds"))
-    rec = quality.join(dur, "run_id", "left").join(peaks, "run_id", "left")
-    model_bytes = F.lit(1024).cast("bigint")          # size of the constant model (U2)
-    out = rec.select(
-        "run_id",
-        F.round("substring_recall", MEAN_DIGITS).alias("substring_recall"),
-        F.round("token_recall", MEAN_DIGITS).alias("token_recall"),
-        "num_examples",
-        F.coalesce("duration_seconds", F.lit(0.0)).alias("duration_seconds"),
-        model_bytes.alias("model_size_bytes"),
-        naming.bytes_to_mb(model_bytes).alias("model_size_mb"),
-        F.lit(0).cast("bigint").alias("retriever_index_size_bytes"),
-        F.lit(0.0).alias("retriever_index_size_mb"),
-        *[F.coalesce(c, F.lit(0.0)).alias(c) for c in
-          ("cpu_ram_used_mb", "gpu_ram_used_mb", "gpu_ram_peak_mb", "reserved_gpu_ram_mb",
-           "gpu_power_draw_w", "gpu_power_limit_w")])
-    return out
+    sizes = runs.select("run_id", F.lit(1024).cast("bigint").alias("model_size_bytes"))   # constant model (U2)
+    peak_cols = ("cpu_ram_used_mb", "gpu_ram_used_mb", "gpu_ram_peak_mb", "reserved_gpu_ram_mb",
+                 "gpu_power_draw_w", "gpu_power_limit_w")
+    rec = agg.run_record(quality, ["run_id"], dur, peaks, sizes, peak_cols)
+    return rec.withColumn("substring_recall", F.round("substring_recall", MEAN_DIGITS)) \
+              .withColumn("token_recall", F.round("token_recall", MEAN_DIGITS))
 
 
 def _latest_status(spark, sf):

@@ -53,13 +53,23 @@ def write_telemetry(samples: DataFrame, peaks: DataFrame, root: str, run_col: st
     return f"{root}/telemetry/samples", f"{root}/telemetry/peaks"
 
 
-def write_series(series: DataFrame, root: str) -> str:
+def write_single_values(values: DataFrame, root: str, key_cols: list[str], value_col: str = "value",
+                        order_cols: tuple[str, ...] = ("ts",)) -> str:
+    """K6: single values -- last write wins per key (A8), then written as JSON."""
+    from ..operators.aggregate import latest_value
+    latest_value(values, key_cols, value_col, list(order_cols)).write.mode("overwrite").json(f"{root}/single_values")
+    return f"{root}/single_values"
+
+
+def write_series(series: DataFrame, root: str, with_json: bool = True) -> str:
     """K5: scalar series, one CSV folder per (title, series) with '/' and
-    spaces in the names replaced by '_'."""
+    spaces in the names replaced by '_' (and all series as JSON Lines)."""
     out = (series.withColumn("title", sanitize_series(F.col("title")))
                  .withColumn("series", sanitize_series(F.col("series"))))
     (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("title", "series").option("header", True).csv(f"{root}/series"))
+    if with_json:
+        series.write.mode("overwrite").json(f"{root}/series_json")
     return f"{root}/series"
 
 
@@ -97,5 +107,5 @@ def object_result_path(scheme: str, bucket: str, run: str, kind: str) -> str:
     return f"{scheme}://{bucket}/{run}/experiment_results/{stem}_{kind}.json"
 
 
-__all__ = ["write_predictions", "write_run_metrics", "write_run_config", "write_telemetry", "write_series",
+__all__ = ["write_predictions", "write_run_metrics", "write_single_values", "write_run_config", "write_telemetry", "write_series",
            "write_table", "write_text_log", "manifest_rows", "append_manifest", "object_result_path", "file_stem"]

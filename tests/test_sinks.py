@@ -37,3 +37,20 @@ def test_predictions_metrics_series_roundtrip(spark, tmp_path):
                                                 "n string, p string, s string, experiment string"), "n", "p", "s")
     W.append_manifest(man, root)
     assert spark.read.parquet(f"{root}/artifacts").first().experiment == "m_d"
+
+
+def test_single_values_last_write_wins(spark, tmp_path):
+    vals = spark.createDataFrame([("eval_size", 1.0, 1), ("eval_size", 3.0, 3), ("eval_size", 2.0, 2), ("x", 5.0, 1)],
+                                 "name string, value double, ts int")
+    W.write_single_values(vals, str(tmp_path), ["name"])
+    got = {r.name: r.latest_value for r in spark.read.json(str(tmp_path / "single_values")).collect()}
+    assert got == {"eval_size": 3.0, "x": 5.0}
+
+
+def test_previews(spark):
+    from qaspark.operators.sequence import previews
+    preds = spark.createDataFrame([(i % 2, i, None if i % 3 else f"p{i}") for i in range(300)],
+                                  "run int, i int, prompt string")
+    head, prompts = previews(preds, ["run"], ["i"])
+    assert head.count() == 200 and prompts.count() == 40
+    assert {r.n_more for r in head.collect()} == {50} and {r.n_more for r in prompts.collect()} == {30}
