@@ -114,11 +114,12 @@ def _stem(c):
 
 
 def q05_run_grid(spark, sf):
-    """Nation as model × region as dataset for one mode."""
+    """Nation as model × region as dataset for one mode,
+    listed sorted by model and dataset stem."""
     models = table(spark, sf, "nation").select(F.col("n_name").alias("model"), _stem("n_name").alias("model_stem"))
     datasets = table(spark, sf, "region").select(F.col("r_name").alias("dataset"),
                                                  _stem("r_name").alias("dataset_stem"))
-    return run_grid(models, datasets, MODE)
+    return run_grid(models, datasets, MODE).orderBy("model_stem", "dataset_stem")
 
 
 def q06_metric_long(spark, sf):
