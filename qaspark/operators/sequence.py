@@ -61,33 +61,53 @@ def block_of(key: Column, bounds: list, key_type, level_size: int = LEVEL_SIZE)
     return F.when(c == 0, F.lit(0)).otherwise((c - 1) * g + 1 + inner)
 
 
-def assign_blocks(df: DataFrame, run_cols: list[str], order_cols: list[str],
-                  n_blocks: int | None = None, col: str = "__block") -> DataFrame:
-    """Add ``col``: the ordinal block of each row (contiguous in ``(run, order)``).
+def plan_blocks(df: DataFrame, run_cols: list[str], order_cols: list[str],
+                n_blocks: int | None = None) -> tuple[list, object] | None:
+    """Sample the ``(run, order)`` keys and return ``(boundaries, key_type)``,
+    or ``None`` when no run needs splitting.
 
     The number of blocks grows with the row count (``ROWS_PER_BLOCK``), at
-    least ``DEFAULT_BLOCKS`` and at most ``MAX_BLOCKS``, unless ``n_blocks``
-    is given. The boundary sample is bounded (about ``SAMPLE_PER_BLOCK`` small
-    keys per block reach the driver); the boundaries are literals, so every
-    branch and every retry assigns the same block to a row.
+    least ``DEFAULT_BLOCKS`` and at most ``MAX_BLOCKS``. Without an explicit
+    ``n_blocks``, runs are only split when the sample estimates some run above
+    ``ROWS_PER_BLOCK`` rows -- then a run-partitioned window would put too
+    much into one task. The sample is bounded (about ``SAMPLE_PER_BLOCK``
+    small keys per block reach the driver).
     """
     key = _key(run_cols, order_cols)
     n = df.count()
+    forced = n_blocks is not None
     if n_blocks is None:
         n_blocks = int(min(MAX_BLOCKS, max(DEFAULT_BLOCKS, math.ceil(n / ROWS_PER_BLOCK))))
     if n == 0 or n_blocks <= 1:
-        return df.withColumn(col, F.lit(0))
-    target = n_blocks * SAMPLE_PER_BLOCK
-    frac = min(1.0, target / n)
+        return None
+    frac = min(1.0, n_blocks * SAMPLE_PER_BLOCK / n)
     sample = (df.select(key.alias("k")).sample(False, frac, seed=17)
                 .orderBy("k").collect())
     if len(sample) < 2:
-        return df.withColumn(col, F.lit(0))
+        return None
+    if not forced:
+        per_run: dict = {}
+        for r in sample:
+            rk = tuple(r["k"])[:len(run_cols)]
+            per_run[rk] = per_run.get(rk, 0) + 1
+        if max(per_run.values()) / frac <= ROWS_PER_BLOCK:
+            return None
     step = max(1, len(sample) // n_blocks)
     picked = [tuple(sample[i]["k"]) for i in range(step, len(sample), step)]
     picked = [b for i, b in enumerate(picked) if i == 0 or b != picked[i - 1]]
-    key_type = df.select(key.alias("k")).schema["k"].dataType
-    return df.withColumn(col, block_of(key, picked, key_type))
+    return picked, df.select(key.alias("k")).schema["k"].dataType
+
+
+def assign_blocks(df: DataFrame, run_cols: list[str], order_cols: list[str],
+                  n_blocks: int | None = None, col: str = "__block") -> DataFrame:
+    """Add ``col``: the ordinal block of each row (contiguous in ``(run, order)``;
+    0 everywhere when no run needs splitting). The boundaries are literals,
+    so every branch and every retry assigns the same block to a row."""
+    plan = plan_blocks(df, run_cols, order_cols, n_blocks)
+    if plan is None:
+        return df.withColumn(col, F.lit(0))
+    bounds, key_type = plan
+    return df.withColumn(col, block_of(_key(run_cols, order_cols), bounds, key_type))
 
 
 def running_stats(df: DataFrame, run_cols: list[str], order_cols: list[str],
@@ -103,7 +123,18 @@ def running_stats(df: DataFrame, run_cols: list[str], order_cols: list[str],
     """
     value_cols = value_cols or []
     b = "__block"
-    blocked = assign_blocks(df, run_cols, order_cols, n_blocks, b)
+    plan = plan_blocks(df, run_cols, order_cols, n_blocks)
+    if plan is None:
+        # no hot run: one window per run (one shuffle) is enough
+        w_run = Window.partitionBy(*run_cols)
+        w_upto = w_run.orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = (df.withColumn("position", F.count(F.lit(1)).over(w_upto).cast("bigint"))
+                 .withColumn("run_count", F.count(F.lit(1)).over(w_run).cast("bigint")))
+        for v in value_cols:
+            out = out.withColumn(f"running_sum_{v}", F.sum(F.col(v)).over(w_upto))
+        return out
+    bounds, key_type = plan
+    blocked = df.withColumn(b, block_of(_key(run_cols, order_cols), bounds, key_type))
     w_local = (Window.partitionBy(*run_cols, b).orderBy(*order_cols)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = blocked.withColumn("__lpos", F.count(F.lit(1)).over(w_local))

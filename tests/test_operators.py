@@ -147,3 +147,16 @@ def test_recall_join_checkpointed_postings(spark):
     want = {(tid, did) for (tid, tt), (did, dt) in itertools.product(truths, texts)
             if _tok(tt) and len(_tok(tt) & _tok(dt)) / len(_tok(tt)) >= 0.7}
     assert got == want
+
+
+def test_running_stats_splits_only_hot_runs(spark, monkeypatch):
+    rows = [(0, i, 1.0) for i in range(400)] + [(r, i, 2.0) for r in range(1, 4) for i in range(5)]
+    df = spark.createDataFrame(rows, "run long, o long, v double")
+    assert seq.plan_blocks(df, ["run"], ["o"]) is None                 # nothing hot at the default size
+    monkeypatch.setattr(seq, "ROWS_PER_BLOCK", 50)
+    plan = seq.plan_blocks(df, ["run"], ["o"])
+    assert plan is not None and len(plan[0]) > 1                      # the 400-row run is split
+    got = {(r.run, r.o): (r.position, r.run_count, r.running_sum_v)
+           for r in seq.running_stats(df, ["run"], ["o"], ["v"]).collect()}
+    assert got[(0, 399)] == (400, 400, 400.0) and got[(2, 4)] == (5, 5, 10.0)
+    assert all(got[(0, i)][0] == i + 1 for i in range(400))
