@@ -35,6 +35,7 @@ from ..session import bounded_rows, ensure_checkpoint_dir
 QUERY_BLOCK_ROWS = 20_000
 CHUNK_ROWS = 1024
 MAX_CHUNK_CELLS = 4_000_000      # bound of one (chunk x queries) score matrix
+MAX_BLOCK_BYTES = 32 << 20       # bound of one broadcast dense query block
 OUT_SCHEMA = T.StructType([T.StructField("query_id", T.LongType()),
                            T.StructField("context_id", T.LongType()),
                            T.StructField("score", T.DoubleType())])
@@ -121,8 +122,12 @@ def retrieve_dense(queries: DataFrame, corpus: DataFrame, query_id: str, query_v
     itself).
     """
     spark = corpus.sparkSession
+    first = queries.select(F.size(query_vec).alias("d")).where(F.col("d") > 0).limit(1).collect()
+    dim = first[0]["d"] if first else 1
+    # bound the broadcast bytes too: rows x dim doubles stay under MAX_BLOCK_BYTES
+    block_rows = max(1, min(max_query_rows, MAX_BLOCK_BYTES // (8 * dim)))
     results = []
-    for block in _blocks(queries.select(query_id, query_vec), query_id, max_query_rows):
+    for block in _blocks(queries.select(query_id, query_vec), query_id, block_rows):
         tbl = block.toArrow()
         if tbl.num_rows == 0:
             continue
