@@ -88,9 +88,14 @@ def parse_items(lines: DataFrame, strict: bool = True) -> tuple[DataFrame, DataF
     return items, bad
 
 
-def read_qa(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """All records of a QA JSONL file (``eval_size`` counts these)."""
-    return parse_items(read_lines(spark, path), strict)[0]
+def read_qa(spark: SparkSession, path: str, strict: bool = True, dataset_from_file: bool = False) -> DataFrame:
+    """All records of a QA JSONL file or folder (``eval_size`` counts
+    these). ``dataset_from_file`` adds ``dataset`` = the source file's stem,
+    so one folder of files feeds a multi-dataset grid."""
+    items = parse_items(read_lines(spark, path), strict)[0]
+    if dataset_from_file:
+        items = items.withColumn("dataset", F.regexp_extract(F.col("ordinal.file"), r"([^/]+?)(\.[^./]*)?$", 1))
+    return items
 
 
 def snapshot(items: DataFrame, snapshot_path: str) -> DataFrame:

@@ -207,3 +207,12 @@ def test_run_inference_registered_model_runs_once(spark):
         assert r.predicted_answer == "Test question 0 Answer:" and r.token_recall == 1.0   # test, answer, 0
     finally:
         inf.MODELS.pop("echo")
+
+
+def test_folder_of_datasets(spark, tmp_path):
+    d = tmp_path / "qa"
+    d.mkdir()
+    (d / "nq.jsonl").write_text('{"question":"a","answer":"x"}\n{"question":"b","answer":"y"}\n', encoding="utf-8")
+    (d / "simple.jsonl").write_text('{"question":"c","answer":["z"]}\n', encoding="utf-8")
+    got = sorted((r.dataset, r.question) for r in read_qa(spark, str(d), dataset_from_file=True).collect())
+    assert got == [("nq", "a"), ("nq", "b"), ("simple", "c")]
