@@ -38,33 +38,28 @@ def _non_blank(line: Column) -> Column:
     return F.regexp_replace(line, f"^{WS_CLASS}+$", "") != ""
 
 
+def _text(v: Column) -> Column:
+    """JSON value as text: a string as is, a number / boolean as written,
+    an object or list as JSON, null as null (the VARIANT → STRING cast)."""
+    return F.try_variant_get(v, "$", "string")
+
+
 def normalize_answer(v: Column) -> Column:
     """VARIANT answer → ``array<string>``.
 
     A list keeps its non-null elements whose text is not blank (survivors are
     *not* stripped); a scalar is stripped and wrapped, blank → null; null or
-    absent → null.
+    absent → null. Small expressions on purpose: they stay inside whole-stage
+    code generation.
     """
-    kind = F.schema_of_variant(v)
     as_list = F.try_variant_get(v, "$", "array<variant>")
-    elems = F.transform(as_list, lambda e: F.when(
-        F.schema_of_variant(e) == "STRING", F.try_variant_get(e, "$", "string"))
-        .when(F.is_variant_null(e), F.lit(None).cast("string"))
-        .otherwise(F.to_json(e)))
-    kept = F.filter(elems, lambda x: x.isNotNull() & (strip_ws(x) != ""))
-    scalar = strip_ws(F.when(kind == "STRING", F.try_variant_get(v, "$", "string")).otherwise(F.to_json(v)))
-    return (F.when(v.isNull() | F.is_variant_null(v), F.lit(None).cast("array<string>"))
-             .when(kind.startswith("ARRAY"), kept)
-             .when(scalar == "", F.lit(None).cast("array<string>"))
+    kept = F.filter(F.transform(as_list, _text), lambda x: x.isNotNull() & (strip_ws(x) != ""))
+    scalar = strip_ws(_text(v))
+    return (F.when(as_list.isNotNull(), kept)
+             .when(scalar.isNull() | (scalar == ""), F.lit(None).cast("array<string>"))
              .otherwise(F.array(scalar)))
 
 
-def _scalar_text(v: Column) -> Column:
-    return (F.when(v.isNull() | F.is_variant_null(v), F.lit(None).cast("string"))
-             .when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
-             .otherwise(F.to_json(v)))
-
-
 def parse_items(lines: DataFrame, strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """S1 + P3: parsed items and the malformed lines.
 
@@ -78,13 +73,15 @@ def parse_items(lines: DataFrame, strict: bool = True) -> tuple[DataFrame, DataF
                      F.when(_non_blank(F.col("line")), parse(F.col("line"))).alias("v"))
     bad = j.filter(F.col("v").isNull()).select("ordinal", "line")
     ok = j if strict else j.filter(F.col("v").isNotNull())
-    qid = _scalar_text(F.try_variant_get(F.col("v"), "$.question_id", "variant"))
-    question = _scalar_text(F.try_variant_get(F.col("v"), "$.question", "variant"))
+    qid = F.try_variant_get(F.col("v"), "$.question_id", "string")
+    question = F.try_variant_get(F.col("v"), "$.question", "string")
     answer = normalize_answer(F.try_variant_get(F.col("v"), "$.answer", "variant"))
-    items = ok.select(
-        "ordinal", question.alias("question"), answer.alias("answer"),
-        F.lit(None).cast("string").alias("context"),
-        F.struct(qid.alias("id"), qid.alias("question_id"), answer.alias("all_answers")).alias("metadata"))
+    # each field is computed once; the struct below only references columns
+    staged = ok.select("ordinal", qid.alias("__qid"), question.alias("question"), answer.alias("answer"))
+    items = staged.select(
+        "ordinal", "question", "answer", F.lit(None).cast("string").alias("context"),
+        F.struct(F.col("__qid").alias("id"), F.col("__qid").alias("question_id"),
+                 F.col("answer").alias("all_answers")).alias("metadata"))
     return items, bad
 
 
