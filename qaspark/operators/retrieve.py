@@ -220,13 +220,17 @@ def retrieve_lexical(queries: DataFrame, corpus: DataFrame, query_id: str, query
                     v = voc.get_indexer(pc.list_flatten(part).to_numpy(zero_copy_only=False))
                     hit = v >= 0
                     rows, v = rows[hit], v[hit]
-                    counts = np.zeros((len(ids), nq), dtype=np.float64)
                     if len(v):
-                        # expand each text token into the queries that hold it
+                        # expand each text token into the queries that hold it, then
+                        # count (text row, query) pairs in one bincount
                         lens = st[v + 1] - st[v]
                         before = np.cumsum(lens) - lens
                         idx = np.arange(lens.sum()) - np.repeat(before, lens) + np.repeat(st[v], lens)
-                        np.add.at(counts, (np.repeat(rows, lens), pq[idx]), 1.0)
+                        flat_ix = np.repeat(rows, lens) * nq + pq[idx]
+                        counts = np.bincount(flat_ix, minlength=len(ids) * nq).astype(np.float64)
+                        counts = counts.reshape(len(ids), nq)
+                    else:
+                        counts = np.zeros((len(ids), nq), dtype=np.float64)
                     sc = np.divide(counts, q_sizes[None, :], out=np.zeros_like(counts), where=q_sizes[None, :] > 0)
                     yield _out_batch(*_top_k_rows(sc, ids, q_ids, k))
 
