@@ -482,6 +482,21 @@ def q33_ingest(spark, sf):
                         F.coalesce(F.size("answer") > 0, F.lit(False)).alias("scorable"))
 
 
+def q34_sql_recalls(spark, sf):
+    """F4/F5 through Spark SQL only: the registered ``qa_*`` SQL functions over a
+    view of the conversations (same result as q23)."""
+    from ..functions.sql import register_sql_functions
+    register_sql_functions(spark)
+    table(spark, sf, "conversations").createOrReplaceTempView("qaspark_conversations")
+    return spark.sql("""
+        SELECT u.conv_id, u.turn,
+               qa_substring_recall(a.text, array(u.text)) AS substring_recall,
+               qa_token_recall(a.text, array(u.text)) AS token_recall
+        FROM qaspark_conversations u
+        JOIN qaspark_conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+        WHERE u.role = 'user' AND a.role = 'assistant'""")
+
+
 QUERIES = {
     "q01_has_question": q01_has_question,
     "q02_dataset_stats": q02_dataset_stats,
@@ -518,4 +533,5 @@ QUERIES = {
     "q31_extract_answer": q31_extract_answer,
     "q32_flatten_config": q32_flatten_config,
     "q33_ingest": q33_ingest,
+    "q34_sql_recalls": q34_sql_recalls,
 }

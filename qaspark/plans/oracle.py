@@ -412,6 +412,8 @@ SELECT (conv_id * 1000 + turn)::VARCHAR AS question_id, text AS question,
             WHEN role = 'user' THEN {strip("' ' || text || ' '")} <> '' ELSE false END AS scorable
 FROM conversations WHERE text IS NOT NULL AND text <> ''"""
 
+    q["q34_sql_recalls"] = q["q23_recalls"]
+
     return q
 
 
