@@ -238,3 +238,20 @@ def retrieve_lexical(queries: DataFrame, corpus: DataFrame, query_id: str, query
         results.append(corpus_tok.mapInArrow(score_partition, OUT_SCHEMA))
     return _final_top_k(_collect_candidates(spark, results, OUT_SCHEMA), k).select(
         "query_id", "rank", "context_id", "score")
+
+
+def attach_contexts(retrieved: DataFrame, corpus: DataFrame, corpus_id: str, corpus_text: str,
+                    k: int) -> DataFrame:
+    """Retrieval results as prompt contexts: ``(query_id, contexts, scores)``
+    with the texts of each query's top-``k`` corpus rows in rank order.
+
+    ``retrieved`` is the top-k output of a retriever (at most ``k`` rows per
+    query), so each collected list is bounded by ``k``.
+    """
+    hits = (retrieved.filter(F.col("rank") <= k)
+            .join(corpus.select(F.col(corpus_id).alias("context_id"), F.col(corpus_text).alias("__ctx")),
+                  on="context_id", how="inner"))
+    g = hits.groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "__ctx", "score"))).alias("__hits"))
+    return g.select("query_id", F.transform("__hits", lambda h: h["__ctx"]).alias("contexts"),
+                    F.transform("__hits", lambda h: h["score"]).alias("scores"))

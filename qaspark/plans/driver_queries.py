@@ -21,7 +21,7 @@ from ..operators import aggregate as agg
 from ..operators import sequence as seq
 from ..operators.grid import run_grid, with_memory_estimate
 from ..operators.recall_join import recall_join
-from ..operators.retrieve import retrieve_dense, retrieve_lexical
+from ..operators.retrieve import attach_contexts, retrieve_dense, retrieve_lexical
 from ..operators.score import pair_next_turn, score, to_prediction
 from ..operators.telemetry import POWER_WARN, gpu_series, peak_telemetry, power_utilisation_pct
 from ..sources.qa_jsonl import parse_items
@@ -497,6 +497,19 @@ def q34_sql_recalls(spark, sf):
         WHERE u.role = 'user' AND a.role = 'assistant'""")
 
 
+def q35_context_prompts(spark, sf):
+    """J4 → F8: each benchmark text used as a question, its top-3 documents by
+    token recall attached as contexts (rank order), and the context prompt
+    rendered from the template (contexts joined by newlines)."""
+    bench = table(spark, sf, "benchmark")
+    docs = table(spark, sf, "documents")
+    top = retrieve_lexical(bench, docs, "item_id", "text", "doc_id", "text", k=TOP_K)
+    ctx = attach_contexts(top, docs, "doc_id", "text", TOP_K)
+    q = bench.select(F.col("item_id").alias("query_id"), F.col("text").alias("question")).join(ctx, "query_id")
+    return q.select("query_id", F.size("contexts").cast("bigint").alias("n_contexts"),
+                    render_prompt("question", "contexts", F.lit(CONTEXT_TEMPLATE)).alias("prompt"))
+
+
 QUERIES = {
     "q01_has_question": q01_has_question,
     "q02_dataset_stats": q02_dataset_stats,
@@ -534,4 +547,5 @@ QUERIES = {
     "q32_flatten_config": q32_flatten_config,
     "q33_ingest": q33_ingest,
     "q34_sql_recalls": q34_sql_recalls,
+    "q35_context_prompts": q35_context_prompts,
 }

@@ -29,18 +29,21 @@ def evaluate_run(items: DataFrame, *, model: dict, dataset: dict, mode: dict,
     ``model.get('model_type')``; ``dataset['name']``; ``mode['name']``,
     ``mode.get('prompt_template')``, ``mode.get('max_samples')``,
     ``mode.get('context_type')``. Items carry ``ordinal, question, answer,
-    context, metadata`` (S1/S4 schema). Contexts are empty in this mode, as in
-    a closed-book run.
+    context, metadata`` (S1/S4 schema) and optionally ``contexts``
+    (``array<string>``, e.g. from :func:`qaspark.operators.retrieve.attach_contexts`);
+    without it the run is closed-book (no contexts).
     """
     name = run_name(F.lit(model["name"]), F.lit(dataset["name"]), F.lit(mode["name"]))
     prepared = prepare_items(items, mode.get("max_samples"))
     template = F.lit(mode.get("prompt_template")).cast("string")
     system = F.lit(system_prompt).cast("string")
-    no_ctx = F.array().cast("array<string>")
+    # retrieved contexts, when the items carry them (see retrieve.attach_contexts)
+    ctx = F.coalesce(F.col("contexts"), F.array().cast("array<string>")) if "contexts" in items.columns \
+        else F.array().cast("array<string>")
     chat = is_chat_model(F.lit(model.get("model_path") or ""))
-    prompted = prepared.withColumn(
-        "prompt", F.when(chat, F.to_json(chat_messages("question", no_ctx, template, system)))
-                   .otherwise(render_prompt("question", no_ctx, template, system)))
+    prompted = prepared.withColumn("__ctx", ctx).withColumn(
+        "prompt", F.when(chat, F.to_json(chat_messages("question", "__ctx", template, system)))
+                   .otherwise(render_prompt("question", "__ctx", template, system)))
     answered = run_inference(prompted, model, "prompt")
     scored = score(answered, "predicted_answer", "truths").withColumn("run_id", name)
     # the source id, null when the line has none (no positional fallback)
@@ -48,7 +51,7 @@ def evaluate_run(items: DataFrame, *, model: dict, dataset: dict, mode: dict,
                           prediction="predicted_answer", truths="answer",
                           context_type=F.lit(mode.get("context_type") or "none"),
                           model_name=F.lit(model["name"]), dataset_name=F.lit(dataset["name"]),
-                          prompt="prompt").withColumn("run_id", name)
+                          prompt="prompt", contexts="__ctx").withColumn("run_id", name)
     runs = items.sparkSession.range(1).select(name.alias("run_id"))
     quality = run_quality(scored, runs, ["run_id"])
     stats = dataset_stats(items.withColumn("run_id", name), mode.get("max_samples"), ["run_id"]).select(

@@ -414,6 +414,20 @@ FROM conversations WHERE text IS NOT NULL AND text <> ''"""
 
     q["q34_sql_recalls"] = q["q23_recalls"]
 
+    tmpl = "'Context:' || chr(10) || '{context}' || chr(10) || chr(10) || 'Question: {question}'"
+    q["q35_context_prompts"] = f"""
+WITH b AS (SELECT item_id, text, {tokens('text')} AS t FROM benchmark),
+     d AS (SELECT doc_id, text, {tokens('text')} AS dt FROM documents),
+     s AS (SELECT b.item_id AS query_id, d.doc_id AS context_id, d.text AS ctx,
+                  CASE WHEN len(t) = 0 THEN 0.0 ELSE len(list_intersect(t, dt))::DOUBLE / len(t) END AS score
+           FROM b, d),
+     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, context_id) AS rank FROM s),
+     c AS (SELECT query_id, count(*)::BIGINT AS n_contexts, string_agg(ctx, chr(10) ORDER BY rank) AS ctx_text
+           FROM r WHERE rank <= 3 GROUP BY query_id)
+SELECT c.query_id, c.n_contexts,
+       replace(replace({tmpl}, '{{context}}', c.ctx_text), '{{question}}', b.text) AS prompt
+FROM c JOIN benchmark b ON b.item_id = c.query_id"""
+
     return q
 
 

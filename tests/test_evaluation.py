@@ -78,3 +78,21 @@ def test_grid_many_runs_one_job(spark):
         assert preds.filter("run_id = 'upper_syn_no_context'").count() == 5
     finally:
         inf.MODELS.pop("upper")
+
+
+def test_run_with_retrieved_contexts(spark):
+    from pyspark.sql import functions as F
+    from qaspark.operators.retrieve import attach_contexts, retrieve_lexical
+    corpus = spark.createDataFrame([(1, "Paris is the capital of France"), (2, "Berlin is in Germany"),
+                                    (3, "The sky is blue")], "doc_id long, text string")
+    items = synthetic_items(spark, 1).withColumn("question", F.lit("capital of France"))
+    q = items.select(F.lit(0).cast("long").alias("qid"), "question")
+    ctx = attach_contexts(retrieve_lexical(q, corpus, "qid", "question", "doc_id", "text", k=2),
+                          corpus, "doc_id", "text", 2)
+    items = (items.withColumn("__k", F.lit(0).cast("long"))
+             .join(ctx.withColumnRenamed("query_id", "__k"), "__k").drop("__k", "scores"))
+    preds, _ = evaluate_run(items, model={"name": "c", "model_type": "constant"}, dataset={"name": "s"},
+                            mode={"name": "ctx", "prompt_template": "C: {context} Q: {question}"})
+    p = preds.first()
+    assert p.contexts[0] == "Paris is the capital of France" and len(p.contexts) == 2
+    assert p.prompt.startswith("C: Paris is the capital of France\n") and p.prompt.endswith("Q: capital of France")
