@@ -43,9 +43,10 @@ def gpu_utilisation(df: DataFrame, total_gb: str = "total_gb", free_gb: str = "f
 
 
 def gpu_series(df: DataFrame, gpu_col: str, ts_col: str, window: str = "1 minute") -> DataFrame:
-    """A10 series: per GPU and time window, mean/max usage, mean used GB and
-    the number of busy samples (one partial aggregation)."""
+    """A10 series: per GPU and time window, mean/max usage, mean/max used GB,
+    and the busy and total sample counts (one partial aggregation)."""
     return (gpu_utilisation(df).groupBy(gpu_col, F.window(ts_col, window).alias("window"))
             .agg(F.avg("usage_pct").alias("avg_usage_pct"), F.max("usage_pct").alias("max_usage_pct"),
-                 F.avg("used_gb").alias("avg_used_gb"),
-                 F.count_if("busy").cast("bigint").alias("busy_samples")))
+                 F.avg("used_gb").alias("avg_used_gb"), F.max("used_gb").alias("max_used_gb"),
+                 F.count_if("busy").cast("bigint").alias("busy_samples"),
+                 F.count(F.lit(1)).cast("bigint").alias("n_samples")))

@@ -363,8 +363,8 @@ WITH s AS (SELECT user_id AS gpu, ts, json_extract(props, '$.k')::DOUBLE / 4.0 A
      u AS (SELECT gpu, ts, total_gb, total_gb - free_gb AS used_gb FROM f),
      p AS (SELECT gpu, date_trunc('day', ts)::DATE AS day, used_gb,
                   CASE WHEN total_gb <> 0 THEN used_gb * 100.0 / total_gb ELSE 0.0 END AS usage_pct FROM u)
-SELECT gpu, day, round(avg(usage_pct), 6) AS avg_usage_pct, round(max(usage_pct), 6) AS max_usage_pct,
-       round(avg(used_gb), 6) AS avg_used_gb, count(*) FILTER (WHERE usage_pct > 5.0)::BIGINT AS busy_samples
+SELECT gpu, day, max(usage_pct) AS max_usage_pct, max(used_gb) AS max_used_gb,
+       count(*) FILTER (WHERE usage_pct > 5.0)::BIGINT AS busy_samples, count(*)::BIGINT AS n_samples
 FROM p GROUP BY gpu, day"""
 
     q["q29_power"] = """
