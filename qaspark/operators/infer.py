@@ -14,6 +14,7 @@ model never runs twice -- also not after an executor loss.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import pandas as pd
@@ -28,24 +29,43 @@ CONSTANT_ANSWER = "Test answer"   # U2: the constant model's answer
 CONSTANT_MODEL_BYTES = 1024       # U2: its reported size
 
 
+TELEMETRY_FIELDS = [T.StructField("gen_end_ts", T.DoubleType()), T.StructField("gen_seconds", T.DoubleType()),
+                    T.StructField("worker_peak_rss_mb", T.DoubleType())]
+
+
+def _worker_peak_rss_mb() -> float:
+    try:
+        import resource
+        return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024.0   # KiB on Linux
+    except (ImportError, OSError):
+        return 0.0
+
+
 def infer(df: DataFrame, generate: Callable[[pd.Series], pd.Series] | None = None, prompt_col: str = "prompt",
           out_col: str = "raw_answer", error_col: str = "error",
-          factory: Callable[[], Callable[[pd.Series], pd.Series]] | None = None) -> DataFrame:
+          factory: Callable[[], Callable[[pd.Series], pd.Series]] | None = None,
+          telemetry: bool = False) -> DataFrame:
     """U1 + U5: add ``out_col`` (generated text) and ``error_col`` (message or
     null) to every row of ``df``. Filter and cap *before* calling this:
     Catalyst cannot push predicates through ``mapInPandas``.
 
     Pass either ``generate`` (a light batch function shipped with the task)
     or ``factory`` (called once per task on the executor to build the batch
-    function -- load a model there, not on the driver)."""
+    function -- load a model there, not on the driver).
+
+    ``telemetry`` adds, per row, the end time of its batch (epoch seconds),
+    the batch's generation seconds and the Python worker's peak RSS in MB --
+    the samples the run record's duration and memory peak are built from."""
     if (generate is None) == (factory is None):
         raise ValueError("pass exactly one of generate / factory")
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.StringType()),
-                                              T.StructField(error_col, T.StringType())])
+                                              T.StructField(error_col, T.StringType())]
+                          + (TELEMETRY_FIELDS if telemetry else []))
 
     def run(it):
         fn = generate if generate is not None else factory()
         for pdf in it:
+            started = time.time()
             prompts = pdf[prompt_col]
             try:
                 out = pd.Series(list(fn(prompts)), index=pdf.index, dtype="object")
@@ -61,7 +81,11 @@ def infer(df: DataFrame, generate: Callable[[pd.Series], pd.Series] | None = Non
                         errs.append(f"{type(e).__name__}: {e}")
                 out = pd.Series(outs, index=pdf.index, dtype="object")
                 err = pd.Series(errs, index=pdf.index, dtype="object")
-            yield pdf.assign(**{out_col: out, error_col: err})
+            cols = {out_col: out, error_col: err}
+            if telemetry:
+                ended = time.time()
+                cols.update(gen_end_ts=ended, gen_seconds=ended - started, worker_peak_rss_mb=_worker_peak_rss_mb())
+            yield pdf.assign(**cols)
 
     return df.mapInPandas(run, schema)
 
@@ -140,7 +164,7 @@ def select_model(config: dict):
 
 
 def run_inference(df: DataFrame, config: dict, prompt_col: str = "prompt",
-                  materialize_output: bool = True) -> DataFrame:
+                  materialize_output: bool = True, telemetry: bool = False) -> DataFrame:
     """Generate with the configured model, then clean the answers.
 
     A real model's output is written once with a reliable checkpoint (shared
@@ -150,7 +174,7 @@ def run_inference(df: DataFrame, config: dict, prompt_col: str = "prompt",
     t = config.get("model_type", "constant")
     if t == "constant":
         return answers(constant_model(df))
-    raw = infer(df, prompt_col=prompt_col, factory=_factory(config))     # model built once per task
+    raw = infer(df, prompt_col=prompt_col, factory=_factory(config), telemetry=telemetry)  # built once per task
     if materialize_output:
         raw = materialize(raw)
     return answers(raw)

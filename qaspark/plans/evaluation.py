@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.naming import run_name
 from ..functions.prompts import chat_messages, is_chat_model, render_prompt
-from ..operators.aggregate import run_quality
+from ..operators.aggregate import run_quality, run_record
 from ..operators.infer import answers, infer_by_model, run_inference
 from ..session import bounded_rows, materialize
 from ..operators.ingest import dataset_stats, prepare_items
@@ -44,7 +44,8 @@ def evaluate_run(items: DataFrame, *, model: dict, dataset: dict, mode: dict,
     prompted = prepared.withColumn("__ctx", ctx).withColumn(
         "prompt", F.when(chat, F.to_json(chat_messages("question", "__ctx", template, system)))
                    .otherwise(render_prompt("question", "__ctx", template, system)))
-    answered = run_inference(prompted, model, "prompt")
+    real_model = model.get("model_type", "constant") != "constant"
+    answered = run_inference(prompted, model, "prompt", telemetry=real_model)
     scored = score(answered, "predicted_answer", "truths").withColumn("run_id", name)
     # the source id, null when the line has none (no positional fallback)
     preds = to_prediction(scored, question_id="metadata.id", question="question",
@@ -57,7 +58,15 @@ def evaluate_run(items: DataFrame, *, model: dict, dataset: dict, mode: dict,
     stats = dataset_stats(items.withColumn("run_id", name), mode.get("max_samples"), ["run_id"]).select(
         "run_id", F.col("eval_size").alias("dataset_eval_size"),
         F.col("valid_count").alias("dataset_valid_count"), F.col("to_process").alias("dataset_to_process"))
-    metrics = (quality.join(stats, on="run_id", how="left")
+    if real_model:
+        # generation telemetry of the run: first batch start to last batch end, peak worker RSS
+        tel = scored.groupBy("run_id").agg(
+            (F.max("gen_end_ts") - F.min(F.col("gen_end_ts") - F.col("gen_seconds"))).alias("duration_seconds"),
+            F.max("worker_peak_rss_mb").alias("cpu_ram_used_mb"))
+    else:
+        tel = None
+    record = run_record(quality, ["run_id"], durations=tel, peak_cols=("cpu_ram_used_mb",))
+    metrics = (record.join(stats, on="run_id", how="left")
                .withColumn("model", F.lit(model["name"])).withColumn("dataset", F.lit(dataset["name"]))
                .withColumn("experiment_mode", F.lit(mode["name"])))
     return preds, metrics

@@ -39,6 +39,8 @@ def test_jsonl_run_with_model_and_cap(spark, tmp_path):
         m = metrics.first()
         assert (m.num_examples, m.dataset_eval_size, m.dataset_valid_count, m.dataset_to_process) == (2, 4, 3, 2)
         assert m.token_recall == 0.5
+        assert m.duration_seconds >= 0.0 and m.cpu_ram_used_mb > 0.0          # generation telemetry
+        assert m.model_size_mb == 0.0 and m.retriever_index_size_bytes == 0
     finally:
         inf.MODELS.pop("lookup")
 
