@@ -102,13 +102,15 @@ def answers(df: DataFrame, raw_col: str = "raw_answer", out_col: str = "predicte
 
 
 def infer_by_model(df: DataFrame, models: dict[str, dict], model_col: str = "model", prompt_col: str = "prompt",
-                   out_col: str = "raw_answer", error_col: str = "error") -> DataFrame:
+                   out_col: str = "raw_answer", error_col: str = "error", telemetry: bool = True) -> DataFrame:
     """U1-U3 for many runs in one job: rows carry their model name in
     ``model_col``; each task sorts its rows by model (no shuffle), builds a
     model's batch function once on first use and calls it per model slice.
-    Models of type ``constant`` answer with the constant text."""
+    Models of type ``constant`` answer with the constant text. ``telemetry``
+    adds the per-slice samples described in :func:`infer`."""
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.StringType()),
-                                              T.StructField(error_col, T.StringType())])
+                                              T.StructField(error_col, T.StringType())]
+                          + (TELEMETRY_FIELDS if telemetry else []))
     # factories are resolved (and unknown types rejected) on the driver and
     # shipped with the task; each task builds a model at most once
     factories = {name: _factory(cfg) for name, cfg in models.items()}
@@ -118,13 +120,17 @@ def infer_by_model(df: DataFrame, models: dict[str, dict], model_col: str = "mod
         for pdf in it:
             outs = pd.Series([None] * len(pdf), index=pdf.index, dtype="object")
             errs = pd.Series([None] * len(pdf), index=pdf.index, dtype="object")
+            ends = pd.Series(0.0, index=pdf.index)
+            secs = pd.Series(0.0, index=pdf.index)
             for name, part in pdf.groupby(model_col, sort=False):
                 if name not in loaded:
                     make = factories.get(name)
                     loaded[name] = make() if make is not None else None
                 fn = loaded[name]
+                started = time.time()
                 if fn is None:
                     outs.loc[part.index] = CONSTANT_ANSWER
+                    ends.loc[part.index], secs.loc[part.index] = time.time(), time.time() - started
                     continue
                 try:
                     outs.loc[part.index] = list(fn(part[prompt_col]))
@@ -134,7 +140,12 @@ def infer_by_model(df: DataFrame, models: dict[str, dict], model_col: str = "mod
                             outs.loc[i] = list(fn(pd.Series([p])))[0]
                         except Exception as e:  # noqa: BLE001
                             outs.loc[i], errs.loc[i] = GEN_ERROR, f"{type(e).__name__}: {e}"
-            yield pdf.assign(**{out_col: outs, error_col: errs})
+                ended = time.time()
+                ends.loc[part.index], secs.loc[part.index] = ended, ended - started
+            cols = {out_col: outs, error_col: errs}
+            if telemetry:
+                cols.update(gen_end_ts=ends, gen_seconds=secs, worker_peak_rss_mb=_worker_peak_rss_mb())
+            yield pdf.assign(**cols)
 
     return df.sortWithinPartitions(model_col).mapInPandas(run, schema)
 

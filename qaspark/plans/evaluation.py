@@ -108,10 +108,14 @@ def evaluate_grid(items: DataFrame, grid: DataFrame, models: dict[str, dict], mo
                           truths="answer", context_type=F.lit(mode.get("context_type") or "none"),
                           model_name="model", dataset_name=dataset_col, prompt="prompt", keep=["run_id"])
     quality = run_quality(scored, g.select("run_id"), ["run_id"])
+    tel = scored.groupBy("run_id").agg(
+        (F.max("gen_end_ts") - F.min(F.col("gen_end_ts") - F.col("gen_seconds"))).alias("duration_seconds"),
+        F.max("worker_peak_rss_mb").alias("cpu_ram_used_mb"))
+    record = run_record(quality, ["run_id"], durations=tel, peak_cols=("cpu_ram_used_mb",))
     stats = dataset_stats(items, mode.get("max_samples"), [dataset_col]).select(
         dataset_col, F.col("eval_size").alias("dataset_eval_size"),
         F.col("valid_count").alias("dataset_valid_count"), F.col("to_process").alias("dataset_to_process"))
-    metrics = (quality.join(g.select("run_id", "model", dataset_col), on="run_id", how="inner")
+    metrics = (record.join(g.select("run_id", "model", dataset_col), on="run_id", how="inner")
                .join(stats, on=dataset_col, how="left")
                .withColumn("experiment_mode", F.lit(mode["name"])))
     return preds, metrics

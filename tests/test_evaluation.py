@@ -78,6 +78,7 @@ def test_grid_many_runs_one_job(spark):
         up = m["upper_syn_no_context"]          # "QUESTION: TEST QUESTION i ANSWER:" vs "Test answer i"
         assert up.token_recall == 1.0 and up.num_examples == 5
         assert preds.filter("run_id = 'upper_syn_no_context'").count() == 5
+        assert up.duration_seconds >= 0.0 and up.cpu_ram_used_mb > 0.0 and e.duration_seconds == 0.0
     finally:
         inf.MODELS.pop("upper")
 
