@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from ..functions.naming import file_stem
 from ..functions.text import sanitize_series
 
-FORMAT_VERSION = "1"
+# ---- fixed values ----------------------------------------------------------
+FORMAT_VERSION = "1.0"           # K9: format version written with the run metadata
+# ---------------------------------------------------------------------------
 
 
 def _with_run_meta(df: DataFrame, run_name: str | None) -> DataFrame:

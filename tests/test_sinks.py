@@ -21,7 +21,7 @@ def test_predictions_metrics_series_roundtrip(spark, tmp_path):
                                     "token_recall double, num_examples bigint")
     W.write_run_metrics(metrics, root)
     m = spark.read.json(f"{root}/metrics").first()
-    assert (m.run_id, m.substring_recall, m.format_version) == ("r1", 0.5, "1")
+    assert (m.run_id, m.substring_recall, m.format_version) == ("r1", 0.5, "1.0")
 
     series = spark.createDataFrame([("r1", "memory/model x", "cpu ram", 0, 1.5)],
                                    "run_id string, title string, series string, iteration bigint, value double")
