@@ -25,6 +25,7 @@ from ..operators.retrieve import attach_contexts, retrieve_dense, retrieve_lexic
 from ..operators.score import pair_next_turn, score, to_prediction
 from ..operators.telemetry import POWER_WARN, gpu_series, peak_telemetry, power_utilisation_pct
 from ..sources.qa_jsonl import parse_items
+from ..sources.telemetry import parse_memory_lines, parse_power_lines
 from ..sources.tables import table
 
 MEAN_DIGITS = 6   # means are order-dependent in the last bits; compare rounded
@@ -510,6 +511,22 @@ def q35_context_prompts(spark, sf):
                     render_prompt("question", "contexts", F.lit(CONTEXT_TEMPLATE)).alias("prompt"))
 
 
+def q36_telemetry_lines(spark, sf):
+    """Every event rendered as a GPU power line ``index, draw,
+    limit`` (user, value, props.k) and as a memory line (value in MB), then
+    parsed back: power draw, limit and utilisation %, memory in GB."""
+    ev = table(spark, sf, "events")
+    k = F.get_json_object("props", "$.k")
+    lines = ev.select("event_id",
+                      F.concat_ws(", ", F.col("user_id").cast("string"), F.col("value").cast("string"), k)
+                      .alias("line"),
+                      F.concat(F.lit(" "), F.col("value").cast("string"), F.lit(" ")).alias("mem_line"))
+    power = parse_power_lines(lines, "line")
+    mem = parse_memory_lines(power, "mem_line")
+    return mem.select("event_id", "gpu_index", "power_draw", "power_limit", "power_pct",
+                      F.col("gb").alias("memory_gb"))
+
+
 QUERIES = {
     "q01_has_question": q01_has_question,
     "q02_dataset_stats": q02_dataset_stats,
@@ -548,4 +565,5 @@ QUERIES = {
     "q33_ingest": q33_ingest,
     "q34_sql_recalls": q34_sql_recalls,
     "q35_context_prompts": q35_context_prompts,
+    "q36_telemetry_lines": q36_telemetry_lines,
 }

@@ -428,6 +428,15 @@ SELECT c.query_id, c.n_contexts,
        replace(replace({tmpl}, '{{context}}', c.ctx_text), '{{question}}', b.text) AS prompt
 FROM c JOIN benchmark b ON b.item_id = c.query_id"""
 
+    q["q36_telemetry_lines"] = """
+WITH e AS (SELECT event_id, user_id::INTEGER AS gpu_index, value AS power_draw,
+                  json_extract(props, '$.k')::DOUBLE AS power_limit FROM events)
+SELECT event_id, gpu_index, power_draw, power_limit,
+       CASE WHEN power_limit IS NOT NULL AND power_limit <> 0 THEN power_draw * 100.0 / power_limit ELSE 0.0 END
+         AS power_pct,
+       power_draw / 1024.0 AS memory_gb
+FROM e"""
+
     return q
 
 

@@ -31,6 +31,12 @@ def parse_power_lines(lines: DataFrame, col: str = "line") -> DataFrame:
         .withColumn("power_pct", power_utilisation_pct("power_draw", "power_limit"))
 
 
+def parse_memory_lines(lines: DataFrame, col: str = "line") -> DataFrame:
+    """S9 over a column of lines: ``mb`` (null when not a number) and ``gb``."""
+    mb = F.trim(F.col(col)).try_cast("double")
+    return lines.withColumn("mb", mb).withColumn("gb", mb_to_gb(F.col("mb")))
+
+
 def read_memory_mb(spark: SparkSession, path: str) -> DataFrame:
     """One MB number per line → ``(line_mb, gb)``; lines that are not a
     number are dropped."""
