@@ -402,7 +402,7 @@ def q28_gpu_utilisation(spark, sf):
     all. (The series' means are left out of the comparison: these inputs put
     them on exact rounding ties, where summation order decides.)"""
     j = gpu_series(_gpu_samples(spark, sf), "gpu", "ts", "1 day")
-    return j.select("gpu", F.to_date(F.col("window.start")).alias("day"), "max_usage_pct", "max_used_gb",
+    return j.select("gpu", F.date_format(F.col("window.start"), "yyyy-MM-dd").alias("day"), "max_usage_pct", "max_used_gb",
                     "busy_samples", "n_samples")
 
 
@@ -523,7 +523,8 @@ def q36_telemetry_lines(spark, sf):
                       F.concat(F.lit(" "), F.col("value").cast("string"), F.lit(" ")).alias("mem_line"))
     power = parse_power_lines(lines, "line")
     mem = parse_memory_lines(power, "mem_line")
-    return mem.select("event_id", "gpu_index", "power_draw", "power_limit", "power_pct",
+    return mem.select("event_id", F.col("gpu_index").cast("bigint").alias("gpu_index"), "power_draw", "power_limit",
+                      "power_pct",
                       F.col("gb").alias("memory_gb"))
 
 

@@ -361,7 +361,7 @@ SELECT conv_id, turn, CASE WHEN c = '' THEN 'No answer generated' ELSE c END AS
 WITH s AS (SELECT user_id AS gpu, ts, json_extract(props, '$.k')::DOUBLE / 4.0 AS total_gb, value FROM events),
      f AS (SELECT gpu, ts, total_gb, total_gb - least(value / 20.0, total_gb) AS free_gb FROM s),
      u AS (SELECT gpu, ts, total_gb, total_gb - free_gb AS used_gb FROM f),
-     p AS (SELECT gpu, date_trunc('day', ts)::DATE AS day, used_gb,
+     p AS (SELECT gpu, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, used_gb,
                   CASE WHEN total_gb <> 0 THEN used_gb * 100.0 / total_gb ELSE 0.0 END AS usage_pct FROM u)
 SELECT gpu, day, max(usage_pct) AS max_usage_pct, max(used_gb) AS max_used_gb,
        count(*) FILTER (WHERE usage_pct > 5.0)::BIGINT AS busy_samples, count(*)::BIGINT AS n_samples
@@ -429,7 +429,7 @@ SELECT c.query_id, c.n_contexts,
 FROM c JOIN benchmark b ON b.item_id = c.query_id"""
 
     q["q36_telemetry_lines"] = """
-WITH e AS (SELECT event_id, user_id::INTEGER AS gpu_index, value AS power_draw,
+WITH e AS (SELECT event_id, user_id::BIGINT AS gpu_index, value AS power_draw,
                   json_extract(props, '$.k')::DOUBLE AS power_limit FROM events)
 SELECT event_id, gpu_index, power_draw, power_limit,
        CASE WHEN power_limit IS NOT NULL AND power_limit <> 0 THEN power_draw * 100.0 / power_limit ELSE 0.0 END
