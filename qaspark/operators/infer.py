@@ -105,7 +105,8 @@ def infer_by_model(df: DataFrame, models: dict[str, dict], model_col: str = "mod
                    out_col: str = "raw_answer", error_col: str = "error", telemetry: bool = True) -> DataFrame:
     """U1-U3 for many runs in one job: rows carry their model name in
     ``model_col``; each task sorts its rows by model (no shuffle), builds a
-    model's batch function once on first use and calls it per model slice.
+    model's batch function once on first use and calls it per model slice
+    (partition by model first to keep one model per task).
     Models of type ``constant`` answer with the constant text. ``telemetry``
     adds the per-slice samples described in :func:`infer`."""
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.StringType()),

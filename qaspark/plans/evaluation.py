@@ -75,6 +75,10 @@ def evaluate_run(items: DataFrame, *, model: dict, dataset: dict, mode: dict,
 MAX_GRID_ROWS = 100_000
 
 
+def spark_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 def evaluate_grid(items: DataFrame, grid: DataFrame, models: dict[str, dict], mode: dict,
                   dataset_col: str = "dataset", system_prompt: str | None = None,
                   materialize_output: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -100,6 +104,11 @@ def evaluate_grid(items: DataFrame, grid: DataFrame, models: dict[str, dict], mo
     prompted = runs_items.withColumn(
         "prompt", F.when(is_chat_model("model_path"), F.to_json(chat_messages("question", no_ctx, template, system)))
                    .otherwise(render_prompt("question", no_ctx, template, system)))
+    # one model per task where possible (a task loads each model it meets): hash-partition the
+    # prompts by (model, salt); the salt splits a model's items over several tasks
+    slices = max(1, int(spark_partitions(items)) // max(1, len(models)))
+    salt = F.pmod(F.xxhash64(F.col("ordinal")), F.lit(slices))
+    prompted = prompted.repartition(F.col("model"), salt)
     raw = infer_by_model(prompted, models)
     if materialize_output:
         raw = materialize(raw)
