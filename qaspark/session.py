@@ -49,17 +49,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for reliable checkpoints.
 
     On a cluster ``spark.checkpoint.dir`` names a shared (distributed) folder and
-    is used as is. Only when it is unset -- local runs and tests -- do we make a
-    scratch folder of our own.
+    is used as is. Only when nothing is configured -- local runs and tests -- do
+    we give the SparkContext a scratch folder of our own (the setting itself is
+    a core config and cannot be changed at runtime).
     """
     sc = spark.sparkContext
-    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="qaspark-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(current)
-    return current
+        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="qaspark-ckpt-"))
+    return configured or sc.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:
