@@ -42,3 +42,29 @@ def test_answer_extraction(spark):
     r = df.select(answer_after_marker("a").alias("a"), answer_from_chat("b").alias("b"),
                   answer_after_prompt("c", "p").alias("c"), answer_from_chat("d").alias("d")).first()
     assert (r.a, r.b, r.c, r.d) == ("z", "hello", "ANS", "hi")
+
+
+def test_prompt_edge_cases(spark):
+    """Empty template and system prompt count as absent; null contexts are no
+    contexts; only the template's placeholders are filled (a question that
+    contains "{context}" keeps it)."""
+    df = spark.createDataFrame([("q {context}", None)], "q string, ctx array<string>")
+    r = df.select(
+        render_prompt("q", "ctx", F.lit("")).alias("a"),
+        render_prompt("q", "ctx", F.lit("T {context} {question}")).alias("b"),
+        render_prompt("q", F.array(F.lit("c")), F.lit("T {context} {question}")).alias("c"),
+        render_prompt("q", None, None, F.lit("")).alias("d"),
+        chat_messages("q", "ctx", None, F.lit("")).alias("m"),
+    ).first()
+    assert r.a == "Question: q {context}\nAnswer:"
+    assert r.b == "T {context} q {context}"
+    assert r.c == "T c q {context}"
+    assert r.d == "Question: q {context}\nAnswer:"
+    assert [(m.role, m.content) for m in r.m] == [("user", "q {context}")]
+
+
+def test_extract_answer_without_markers(spark):
+    from qaspark.functions.prompts import extract_answer
+    df = spark.createDataFrame([("  just text  ", "no-role text")], "a string, b string")
+    r = df.select(extract_answer("a").alias("a"), extract_answer("b", None, F.lit(True)).alias("b")).first()
+    assert r.a == "just text" and r.b == ""
