@@ -46,13 +46,15 @@ def run_quality(scored: DataFrame, runs: DataFrame, run_cols: list[str]) -> Data
 
 def run_record(quality: DataFrame, run_cols: list[str], durations: DataFrame | None = None,
                peaks: DataFrame | None = None, sizes: DataFrame | None = None,
-               peak_cols: tuple[str, ...] = ()) -> DataFrame:
+               peak_cols: tuple[str, ...] = (), model_size_bytes: int | None = None) -> DataFrame:
     """The wide run-metrics record -- quality (A1) + duration +
     model / retriever sizes in bytes and MB + telemetry peaks (A4).
 
     Every input has one row per run, so the joins never meet a hot key.
-    ``sizes`` may carry ``model_size_bytes`` and ``retriever_index_size_bytes``;
-    absent sizes, durations and peaks are 0.
+    ``durations`` / ``peaks`` may be the same DataFrame (pass it once, as
+    ``peaks``, when it carries ``duration_seconds``). ``sizes`` may carry
+    ``model_size_bytes`` and ``retriever_index_size_bytes``; a single model's
+    size can be given as ``model_size_bytes`` instead. Absent values are 0.
     """
     rec = quality
     for extra in (durations, peaks, sizes):
@@ -61,6 +63,8 @@ def run_record(quality: DataFrame, run_cols: list[str], durations: DataFrame | N
     cols = set(rec.columns)
 
     def num(c, t):
+        if c == "model_size_bytes" and model_size_bytes is not None and c not in cols:
+            return F.lit(model_size_bytes).cast(t)
         return (F.coalesce(F.col(c), F.lit(0)) if c in cols else F.lit(0)).cast(t)
     out = rec.select(
         *run_cols, "substring_recall", "token_recall", "num_examples",

@@ -16,14 +16,22 @@ POWER_WARN = 0.9        # draw / limit above this warns
 
 def peak_telemetry(samples: DataFrame, run_cols: list[str], order_cols: list[str],
                    measures=MEMORY_MEASURES, draw: str = "gpu_power_draw_w",
-                   limit: str = "gpu_power_limit_w") -> DataFrame:
-    """A4: one row of peaks per run (partial aggregation, hot runs pre-reduced)."""
+                   limit: str = "gpu_power_limit_w", duration_ts: str | None = None) -> DataFrame:
+    """A4: one row of peaks per run (partial aggregation, hot runs pre-reduced).
+
+    ``duration_ts`` also returns ``duration_seconds`` -- last minus first
+    sample time -- from the same aggregation (A5), so the samples are read and
+    shuffled once."""
     o = F.struct(*order_cols)
     d, lim = F.col(draw), F.col(limit)
     aggs = [F.max(F.coalesce(F.col(m), F.lit(0.0))).alias(m) for m in measures]
     aggs.append(F.coalesce(F.max(F.when(d != 0, d)), F.lit(0.0)).alias(draw))
     aggs.append(F.coalesce(F.max_by(F.when(lim != 0, lim), F.when(lim != 0, o)), F.lit(0.0)).alias(limit))
     aggs.append(F.count(F.lit(1)).cast("bigint").alias("n_samples"))
+    if duration_ts:
+        # microseconds between the first and last sample; time-zone independent for NTZ input
+        aggs.append((F.timestamp_diff("MICROSECOND", F.min(duration_ts), F.max(duration_ts)) / F.lit(1e6))
+                    .alias("duration_seconds"))
     return samples.groupBy(*run_cols).agg(*aggs)
 
 

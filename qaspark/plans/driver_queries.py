@@ -20,6 +20,7 @@ from ..functions.text import (NO_ANSWER, collapse_ws, sanitize_series, strip_rea
 from ..operators import aggregate as agg
 from ..operators import sequence as seq
 from ..operators.grid import run_grid, with_memory_estimate
+from ..operators.infer import CONSTANT_MODEL_BYTES
 from ..operators.recall_join import recall_join
 from ..operators.retrieve import attach_contexts, retrieve_dense, retrieve_lexical
 from ..operators.score import pair_next_turn, score, to_prediction
@@ -197,15 +198,12 @@ def q12_run_record(spark, sf):
     runs = conv.select(F.col("conv_id").alias("run_id")).distinct()
     quality = agg.run_quality(_scored_pairs(spark, sf).withColumnRenamed("conv_id", "run_id"), runs, ["run_id"])
     tel = _telemetry_samples(spark, sf).withColumnRenamed("user_id", "run_id")
-    peaks = peak_telemetry(tel, ["run_id"], ["ts", "event_id"]).drop("n_samples")
-    ev = table(spark, sf, "events")
-    # microsecond difference of the NTZ timestamps: independent of the session time zone
-    dur = ev.groupBy(F.col("user_id").alias("run_id")).agg(
-        (F.timestamp_diff("MICROSECOND", F.min("ts"), F.max("ts")) / F.lit(1e6)).alias("duration_seconds"))
-    sizes = runs.select("run_id", F.lit(1024).cast("bigint").alias("model_size_bytes"))   # constant model (U2)
+    # peaks and duration from one aggregation of the events
+    peaks = peak_telemetry(tel, ["run_id"], ["ts", "event_id"], duration_ts="ts").drop("n_samples")
     peak_cols = ("cpu_ram_used_mb", "gpu_ram_used_mb", "gpu_ram_peak_mb", "reserved_gpu_ram_mb",
                  "gpu_power_draw_w", "gpu_power_limit_w")
-    rec = agg.run_record(quality, ["run_id"], dur, peaks, sizes, peak_cols)
+    rec = agg.run_record(quality, ["run_id"], peaks=peaks, peak_cols=peak_cols,
+                         model_size_bytes=CONSTANT_MODEL_BYTES)
     return rec.withColumn("substring_recall", F.round("substring_recall", MEAN_DIGITS)) \
               .withColumn("token_recall", F.round("token_recall", MEAN_DIGITS))
 
