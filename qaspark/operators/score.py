@@ -51,7 +51,9 @@ def to_prediction(df: DataFrame, *, question_id: str, question: str, prediction:
                   truths: str, context_type, model_name, dataset_name,
                   prompt: str | None = None, contexts: str | None = None,
                   keep: list[str] | None = None) -> DataFrame:
-    """The prediction record, with honest names for both recalls.
+    """The prediction record, with honest names for both recalls and a
+    ``metadata`` struct (dataset, ``token_recall_tokens``, then the item's
+    metadata fields such as ``id``, ``question_id``, ``all_answers``).
 
     ``context_type``/``model_name``/``dataset_name`` are column names or
     Columns (use ``F.lit`` for a constant run attribute); ``keep`` columns
@@ -59,6 +61,13 @@ def to_prediction(df: DataFrame, *, question_id: str, question: str, prediction:
     """
     def col(x):
         return F.col(x) if isinstance(x, str) else x
+    # metadata: dataset and token recall first, then the item's own metadata fields
+    # (struct fields instead of a dict merge; the item struct has no colliding keys)
+    meta = [col(dataset_name).alias("dataset"), F.col("token_recall").alias("token_recall_tokens")]
+    if "metadata" in df.columns:
+        item_meta = df.schema["metadata"].dataType
+        meta += [F.col(f"metadata.{f.name}").alias(f.name) for f in item_meta.fields
+                 if f.name not in ("dataset", "token_recall_tokens")]
     return df.select(
         *(keep or []),
         col(question_id).cast("string").alias("question_id"),
@@ -73,4 +82,5 @@ def to_prediction(df: DataFrame, *, question_id: str, question: str, prediction:
         F.col("token_recall"),
         F.col("is_sentinel"),
         (col(prompt) if prompt else F.lit(None).cast("string")).alias("prompt"),
+        F.struct(*meta).alias("metadata"),
     )

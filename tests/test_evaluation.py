@@ -17,6 +17,8 @@ def test_synthetic_constant_run(spark):
     assert m.substring_recall == pytest.approx(2 / 3) and m.token_recall == pytest.approx(2 / 3)
     p = preds.orderBy("question_id").first()
     assert (p.question_id, p.predicted_answer, p.ground_truth) == ("0", "Test answer", ["Test answer 0"])
+    assert (p.metadata.dataset, p.metadata.id) == ("synthetic", "0")
+    assert p.metadata.token_recall_tokens == pytest.approx(2 / 3) == p.token_recall
 
 
 def test_jsonl_run_with_model_and_cap(spark, tmp_path):
