@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from .naming import DEFAULT_MEMORY_GB, GB_PER_BILLION_PARAMS
-from .text import GEN_ERROR, NO_ANSWER, OPENER_PATTERNS, THINK_PATTERNS, WORD_RE, WS_CLASS
+from .text import GEN_ERROR, NO_ANSWER, OPENER_PATTERNS, THINK_PATTERNS, WORD_RE, WS_CHARS, WS_CLASS
 
 
 def _lit(s: str) -> str:
@@ -33,7 +33,7 @@ def _clean_body(patterns: list[str]) -> str:
 
 def _definitions() -> list[str]:
     word, ws = _lit(WORD_RE), WS_CLASS
-    strip = _lit(f"^{ws}+|{ws}+$")
+    ws_chars = "'" + "".join(f"\\u{ord(c):04x}" for c in WS_CHARS) + "'"   # \uXXXX escapes
     collapse = _lit(ws + "+")
     think = [_lit(p) for p in THINK_PATTERNS]
     openers = [_lit(p) for p in OPENER_PATTERNS]
@@ -49,7 +49,7 @@ def _definitions() -> list[str]:
         f"CREATE OR REPLACE {tf} qa_words(t STRING) RETURNS ARRAY<STRING> "
         f"RETURN regexp_extract_all(lower(t), {word}, 0)",
         f"CREATE OR REPLACE {tf} qa_tokens(t STRING) RETURNS ARRAY<STRING> RETURN array_distinct(qa_words(t))",
-        f"CREATE OR REPLACE {tf} qa_strip(t STRING) RETURNS STRING RETURN regexp_replace(t, {strip}, '')",
+        f"CREATE OR REPLACE {tf} qa_strip(t STRING) RETURNS STRING RETURN trim(BOTH {ws_chars} FROM t)",
         f"CREATE OR REPLACE {tf} qa_collapse_ws(t STRING) RETURNS STRING "
         f"RETURN qa_strip(regexp_replace(t, {collapse}, ' '))",
         # best token recall over the truths; truths without words are skipped

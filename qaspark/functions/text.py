@@ -23,6 +23,10 @@ WORD_RE = WORD_CLASS + "+"
 # U+2000..U+200A, U+2028, U+2029, U+202F, U+205F, U+3000.
 WS_CLASS = (r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
             r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+# The same whitespace set as explicit characters (for trim, which needs no regex).
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+            "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+            "\u2028\u2029\u202f\u205f\u3000")
 # Sentinel answers: an empty generation and a failed generation.
 NO_ANSWER = "No answer generated"
 GEN_ERROR = "Error generating answer"
@@ -61,9 +65,10 @@ def join_texts(arr) -> Column:
 
 
 def strip_ws(text) -> Column:
-    """Strip leading/trailing whitespace of the full Unicode class (``trim``
-    only removes spaces)."""
-    return F.regexp_replace(_c(text), F.lit(f"^{WS_CLASS}+|{WS_CLASS}+$"), F.lit(""))
+    """Strip leading/trailing whitespace of the full Unicode class: ``trim``
+    with the explicit character set (plain ``trim`` only removes spaces); no
+    regex, so only the two ends of the text are looked at."""
+    return F.trim(_c(text), F.lit(WS_CHARS))
 
 
 def collapse_ws(text) -> Column:
