@@ -72,8 +72,12 @@ def strip_ws(text) -> Column:
 
 
 def collapse_ws(text) -> Column:
-    """every whitespace run becomes one space, then strip."""
-    return strip_ws(F.regexp_replace(_c(text), F.lit(WS_CLASS + "+"), F.lit(" ")))
+    """every whitespace run becomes one space, then strip.
+
+    Every whitespace character is first mapped to a space with ``translate``
+    (no regex), so the remaining regex only squeezes runs of plain spaces."""
+    spaced = F.translate(_c(text), WS_CHARS, " " * len(WS_CHARS))
+    return F.trim(F.regexp_replace(spaced, F.lit("  +"), F.lit(" ")))
 
 
 def _safe_ratio(num: Column, den: Column) -> Column:
