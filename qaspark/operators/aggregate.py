@@ -203,13 +203,14 @@ def metrics_long(wide: DataFrame, id_cols: list[str]) -> DataFrame:
 
 def flatten_config(df: DataFrame, config_col: str, id_cols: list[str]) -> DataFrame:
     """A JSON config column → ``(section, key, value)`` rows; a scalar at
-    the top level gives ``(section, null, value)``."""
+    the top level gives ``(section, null, value)``. One pass: each section
+    becomes an array of entries that is inlined."""
     top = df.select(*id_cols, F.explode(F.from_json(F.col(config_col), "map<string,string>")).alias("section", "raw"))
     nested = F.from_json(F.col("raw"), "map<string,string>")
-    is_obj = F.col("raw").startswith("{")
-    inner = top.select(*id_cols, "section", F.when(is_obj, nested).alias("m"), "raw")
-    objs = inner.filter(F.col("m").isNotNull()).select(
-        *id_cols, "section", F.explode("m").alias("key", "value"))
-    scal = inner.filter(F.col("m").isNull()).select(
-        *id_cols, "section", F.lit(None).cast("string").alias("key"), F.col("raw").alias("value"))
-    return objs.unionByName(scal)
+    entry = "struct<key:string,value:string>"
+    entries = (F.when(F.col("raw").startswith("{") & nested.isNotNull(),
+                      F.transform(F.map_entries(nested),
+                                  lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
+                .otherwise(F.array(F.struct(F.lit(None).cast("string").alias("key"),
+                                            F.col("raw").alias("value")))).cast(f"array<{entry}>"))
+    return top.select(*id_cols, "section", F.inline(entries))

@@ -50,9 +50,10 @@ def test_metrics_long_keeps_numbers_only(spark):
 
 
 def test_flatten_config(spark):
-    df = spark.createDataFrame([(1, '{"model":{"name":"m","size":"1B"},"seed":1}')], "id int, c string")
+    df = spark.createDataFrame([(1, '{"model":{"name":"m","size":"1B"},"seed":1,"note":"{x","empty":{}}')],
+                               "id int, c string")
     got = sorted((r.section, r.key, r.value) for r in flatten_config(df, "c", ["id"]).collect())
-    assert got == [("model", "name", "m"), ("model", "size", "1B"), ("seed", None, "1")]
+    assert got == [("model", "name", "m"), ("model", "size", "1B"), ("note", None, "{x"), ("seed", None, "1")]
 
 
 def test_grid_and_estimates(spark):
