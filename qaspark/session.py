@@ -49,13 +49,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for reliable checkpoints.
 
     On a cluster ``spark.checkpoint.dir`` names a shared (distributed) folder and
-    is used as is. Only when nothing is configured -- local runs and tests -- do
-    we give the SparkContext a scratch folder of our own (the setting itself is
-    a core config and cannot be changed at runtime).
+    is used as is; a cluster without it is an error. Only for a local master
+    with nothing configured -- local runs and tests -- do we give the
+    SparkContext a scratch folder of our own (the setting itself is a core
+    config and cannot be changed at runtime).
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not configured and not sc.master.startswith("local"):
+            # a machine-local folder is not shared by the executors of a cluster
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS, object store, ...)")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="qaspark-ckpt-"))
     return configured or sc.getCheckpointDir()
 
