@@ -526,6 +526,32 @@ def q36_telemetry_lines(spark, sf):
                       F.col("gb").alias("memory_gb"))
 
 
+def q37_evaluate_constant(spark, sf):
+    """U2 + the whole evaluation flow (P1/P4/P6 preparation, prompt rendering,
+    clean-up, both recalls, run record, dataset stats): every user turn is a
+    question whose truth is the reply that follows it (no reply: an item
+    without an answer, counted in eval_size but not scored), answered by the
+    constant model."""
+    from .evaluation import evaluate_run
+    conv = table(spark, sf, "conversations")
+    users = conv.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
+    replies = (conv.filter(F.col("role") == "assistant")
+                   .select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply")))
+    j = users.join(replies, on=["conv_id", "turn"], how="left")
+    qid = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    answer = F.when(F.col("reply").isNotNull(), F.array("reply"))
+    items = j.select(
+        F.struct(F.lit("conversations").alias("file"), F.lit(0).cast("bigint").alias("block"),
+                 (F.col("conv_id") * 1000 + F.col("turn")).alias("row")).alias("ordinal"),
+        "question", answer.alias("answer"), F.lit(None).cast("string").alias("context"),
+        F.struct(qid.alias("id"), qid.alias("question_id"), answer.alias("all_answers")).alias("metadata"))
+    _, metrics = evaluate_run(items, model={"name": "constant", "model_type": "constant"},
+                              dataset={"name": "conversations"}, mode={"name": MODE})
+    return metrics.select("run_id", F.round("substring_recall", MEAN_DIGITS).alias("substring_recall"),
+                          F.round("token_recall", MEAN_DIGITS).alias("token_recall"), "num_examples",
+                          "dataset_eval_size", "dataset_valid_count", "dataset_to_process")
+
+
 QUERIES = {
     "q01_has_question": q01_has_question,
     "q02_dataset_stats": q02_dataset_stats,
@@ -565,4 +591,5 @@ QUERIES = {
     "q34_sql_recalls": q34_sql_recalls,
     "q35_context_prompts": q35_context_prompts,
     "q36_telemetry_lines": q36_telemetry_lines,
+    "q37_evaluate_constant": q37_evaluate_constant,
 }

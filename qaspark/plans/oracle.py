@@ -437,6 +437,24 @@ SELECT event_id, gpu_index, power_draw, power_limit,
        power_draw / 1024.0 AS memory_gb
 FROM e"""
 
+    const = "'Test answer'"
+    q["q37_evaluate_constant"] = f"""
+WITH u AS (SELECT conv_id, turn, text AS question FROM conversations WHERE role = 'user'),
+     a AS (SELECT conv_id, turn - 1 AS turn, text AS reply FROM conversations WHERE role = 'assistant'),
+     i AS (SELECT u.question, a.reply FROM u LEFT JOIN a ON a.conv_id = u.conv_id AND a.turn = u.turn),
+     s AS (SELECT {substring_recall_one('lower(' + const + ')', 'reply')} AS sr,
+                  {token_recall_one(tokens(const), 'reply')} AS tr
+           FROM i WHERE question IS NOT NULL AND question <> '' AND reply IS NOT NULL)
+SELECT 'constant_conversations_no_context' AS run_id,
+       round(coalesce((SELECT avg(sr) FROM s), 0.0), 6) AS substring_recall,
+       round(coalesce((SELECT avg(tr) FROM s), 0.0), 6) AS token_recall,
+       (SELECT count(*) FROM s)::BIGINT AS num_examples,
+       (SELECT count(*) FROM i)::BIGINT AS dataset_eval_size,
+       (SELECT count(*) FROM i WHERE question IS NOT NULL AND question <> '' AND reply IS NOT NULL)::BIGINT
+         AS dataset_valid_count,
+       (SELECT count(*) FROM i WHERE question IS NOT NULL AND question <> '' AND reply IS NOT NULL)::BIGINT
+         AS dataset_to_process"""
+
     return q
 
 
