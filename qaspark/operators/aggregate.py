@@ -46,7 +46,8 @@ def run_quality(scored: DataFrame, runs: DataFrame, run_cols: list[str]) -> Data
 
 def run_record(quality: DataFrame, run_cols: list[str], durations: DataFrame | None = None,
                peaks: DataFrame | None = None, sizes: DataFrame | None = None,
-               peak_cols: tuple[str, ...] = (), model_size_bytes: int | None = None) -> DataFrame:
+               peak_cols: tuple[str, ...] = (), model_size_bytes: int | None = None,
+               extra_cols: tuple[str, ...] = ()) -> DataFrame:
     """The wide run-metrics record -- quality (A1) + duration +
     model / retriever sizes in bytes and MB + telemetry peaks (A4).
 
@@ -55,6 +56,7 @@ def run_record(quality: DataFrame, run_cols: list[str], durations: DataFrame | N
     ``peaks``, when it carries ``duration_seconds``). ``sizes`` may carry
     ``model_size_bytes`` and ``retriever_index_size_bytes``; a single model's
     size can be given as ``model_size_bytes`` instead. Absent values are 0.
+    ``extra_cols`` of ``quality`` are carried through.
     """
     rec = quality
     for extra in (durations, peaks, sizes):
@@ -73,7 +75,8 @@ def run_record(quality: DataFrame, run_cols: list[str], durations: DataFrame | N
         (num("model_size_bytes", "double") / F.lit(1048576.0)).alias("model_size_mb"),
         num("retriever_index_size_bytes", "bigint").alias("retriever_index_size_bytes"),
         (num("retriever_index_size_bytes", "double") / F.lit(1048576.0)).alias("retriever_index_size_mb"),
-        *[num(c, "double").alias(c) for c in peak_cols])
+        *[num(c, "double").alias(c) for c in peak_cols],
+        *[F.col(c) for c in extra_cols])
     return out
 
 

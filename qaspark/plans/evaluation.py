@@ -53,22 +53,28 @@ def evaluate_run(items: DataFrame, *, model: dict, dataset: dict, mode: dict,
                           context_type=F.lit(mode.get("context_type") or "none"),
                           model_name=F.lit(model["name"]), dataset_name=F.lit(dataset["name"]),
                           prompt="prompt", contexts="__ctx").withColumn("run_id", name)
-    runs = items.sparkSession.range(1).select(name.alias("run_id"))
-    quality = run_quality(scored, runs, ["run_id"])
-    stats = dataset_stats(items.withColumn("run_id", name), mode.get("max_samples"), ["run_id"]).select(
-        "run_id", F.col("eval_size").alias("dataset_eval_size"),
-        F.col("valid_count").alias("dataset_valid_count"), F.col("to_process").alias("dataset_to_process"))
+    # one run: every piece below is a one-row global aggregate; they are merged
+    # by a union + max (no join on a constant key, which would plan a cross join)
+    q_aggs = [F.avg("substring_recall").alias("substring_recall"), F.avg("token_recall").alias("token_recall"),
+              F.count(F.lit(1)).cast("bigint").alias("num_examples")]
     if real_model:
-        # generation telemetry of the run: first batch start to last batch end, peak worker RSS
-        tel = scored.groupBy("run_id").agg(
-            (F.max("gen_end_ts") - F.min(F.col("gen_end_ts") - F.col("gen_seconds"))).alias("duration_seconds"),
-            F.max("worker_peak_rss_mb").alias("cpu_ram_used_mb"))
-    else:
-        tel = None
-    record = run_record(quality, ["run_id"], durations=tel, peak_cols=("cpu_ram_used_mb",))
-    metrics = (record.join(stats, on="run_id", how="left")
-               .withColumn("model", F.lit(model["name"])).withColumn("dataset", F.lit(dataset["name"]))
-               .withColumn("experiment_mode", F.lit(mode["name"])))
+        # generation telemetry: first batch start to last batch end, peak worker RSS
+        q_aggs += [(F.max("gen_end_ts") - F.min(F.col("gen_end_ts") - F.col("gen_seconds"))).alias("duration_seconds"),
+                   F.max("worker_peak_rss_mb").alias("cpu_ram_used_mb")]
+    quality = scored.agg(*q_aggs)
+    stats = dataset_stats(items, mode.get("max_samples")).select(
+        F.col("eval_size").alias("dataset_eval_size"), F.col("valid_count").alias("dataset_valid_count"),
+        F.col("to_process").alias("dataset_to_process"))
+    cols = quality.columns + stats.columns
+    merged = (quality.unionByName(stats, allowMissingColumns=True)
+              .agg(*[F.max(c).alias(c) for c in cols]))
+    merged = (merged.withColumn("substring_recall", F.coalesce("substring_recall", F.lit(0.0)))
+                    .withColumn("token_recall", F.coalesce("token_recall", F.lit(0.0)))
+                    .withColumn("run_id", name))
+    record = run_record(merged, ["run_id"], peak_cols=("cpu_ram_used_mb",),
+                        extra_cols=("dataset_eval_size", "dataset_valid_count", "dataset_to_process"))
+    metrics = (record.withColumn("model", F.lit(model["name"])).withColumn("dataset", F.lit(dataset["name"]))
+                     .withColumn("experiment_mode", F.lit(mode["name"])))
     return preds, metrics
 
 

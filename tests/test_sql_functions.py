@@ -1,11 +1,8 @@
 """The qa_* SQL functions agree with the Column functions."""
 
-import pytest
-from pyspark.sql import functions as F
-
 from qaspark.functions.naming import memory_estimate_gb
 from qaspark.functions.sql import register_sql_functions
-from qaspark.functions.text import clean_answer, with_recalls
+from qaspark.functions.text import with_recalls
 from tests.test_differential import POOL
 from tests.test_text import CLEAN_ROWS, RECALL_ROWS
 
