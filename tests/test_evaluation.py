@@ -9,9 +9,15 @@ from qaspark.plans.evaluation import evaluate_grid, evaluate_run
 from qaspark.sources.qa_jsonl import read_qa, synthetic_items
 
 
+def _no_cross_product(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
 def test_synthetic_constant_run(spark):
     preds, metrics = evaluate_run(synthetic_items(spark), model={"name": "const", "model_type": "constant"},
                                   dataset={"name": "synthetic"}, mode={"name": "no_context"})
+    assert _no_cross_product(metrics) and _no_cross_product(preds)
     m = metrics.first()
     assert (m.run_id, m.num_examples, m.dataset_eval_size) == ("const_synthetic_no_context", 10, 10)
     assert m.substring_recall == pytest.approx(2 / 3) and m.token_recall == pytest.approx(2 / 3)
@@ -69,6 +75,7 @@ def test_grid_many_runs_one_job(spark):
     try:
         models = {"const": {"model_type": "constant"}, "upper": {"model_type": "upper"}}
         preds, metrics = evaluate_grid(items, grid, models, {"name": "no_context", "max_samples": 5})
+        assert _no_cross_product(metrics) and _no_cross_product(preds)
         m = {r.run_id: r for r in metrics.collect()}
         assert len(m) == 6
         c = m["const_syn_no_context"]
