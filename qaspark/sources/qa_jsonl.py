@@ -68,9 +68,12 @@ def parse_items(lines: DataFrame, strict: bool = True) -> tuple[DataFrame, DataF
     to the second DataFrame (``bad_records``).
     """
     parse = F.parse_json if strict else F.try_parse_json
-    # guarded by CASE so a pushed-down predicate never parses a blank line
-    j = lines.select("ordinal", "line",
-                     F.when(_non_blank(F.col("line")), parse(F.col("line"))).alias("v"))
+    # The parse is the output of a one-element inline: Catalyst does not push
+    # predicates on a generator's output below it, so a later filter on a
+    # parsed field (e.g. P1) reads the parsed value instead of re-parsing the
+    # line. The CASE keeps blank lines away from the parser.
+    parsed = F.array(F.struct(F.when(_non_blank(F.col("line")), parse(F.col("line"))).alias("v")))
+    j = lines.select("ordinal", "line", F.inline(parsed))
     bad = j.filter(F.col("v").isNull()).select("ordinal", "line")
     ok = j if strict else j.filter(F.col("v").isNotNull())
     qid = F.try_variant_get(F.col("v"), "$.question_id", "string")
