@@ -87,7 +87,8 @@ def recall_join(truths: DataFrame, texts: DataFrame, truth_id: str, truth_text:
         freq_src = post
 
     dfreq = freq_src.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    ranked = (tt_small.join(dfreq, on="token", how="left")
+    # tt is the preserved (left) side here, so the broadcast hint would not apply
+    ranked = (tt.join(dfreq, on="token", how="left")
               .withColumn("df", F.coalesce("df", F.lit(0)))
               .withColumn("r", F.row_number().over(
                   Window.partitionBy("tid").orderBy("df", "token"))))
