@@ -65,10 +65,10 @@ def join_texts(arr) -> Column:
 
 
 def strip_ws(text) -> Column:
-    """Strip leading/trailing whitespace of the full Unicode class: ``trim``
+    """Strip leading/trailing whitespace of the full Unicode class: ``btrim``
     with the explicit character set (plain ``trim`` only removes spaces); no
     regex, so only the two ends of the text are looked at."""
-    return F.trim(_c(text), F.lit(WS_CHARS))
+    return F.btrim(_c(text), F.lit(WS_CHARS))
 
 
 def collapse_ws(text) -> Column:
