@@ -99,6 +99,8 @@ def _vectors(col: pa.Array) -> np.ndarray:
     if len(col) == 0:
         return np.zeros((0, 0))
     flat = pc.list_flatten(col).to_numpy(zero_copy_only=False).astype(np.float64)
+    if flat.size % len(col):
+        raise ValueError("embeddings of different lengths cannot be compared")
     return flat.reshape(len(col), -1)
 
 
@@ -126,8 +128,16 @@ def retrieve_dense(queries: DataFrame, corpus: DataFrame, query_id: str, query_v
     dim = first[0]["d"] if first else 1
     # bound the broadcast bytes too: rows x dim doubles stay under MAX_BLOCK_BYTES
     block_rows = max(1, min(max_query_rows, MAX_BLOCK_BYTES // (8 * dim)))
+
+    def zero_if_missing(c: str):
+        """A null or empty vector is a zero vector (it scores 0 against everything)."""
+        v = F.col(c)
+        return F.when(v.isNull() | (F.size(v) == 0), F.array_repeat(F.lit(0.0), dim)) \
+                .otherwise(v.cast("array<double>")).alias(c)
+    queries = queries.select(query_id, zero_if_missing(query_vec))
+    corpus = corpus.select(corpus_id, zero_if_missing(corpus_vec))
     results = []
-    for block in _blocks(queries.select(query_id, query_vec), query_id, block_rows):
+    for block in _blocks(queries, query_id, block_rows):
         tbl = block.toArrow()
         if tbl.num_rows == 0:
             continue

@@ -160,3 +160,12 @@ def test_running_stats_splits_only_hot_runs(spark, monkeypatch):
            for r in seq.running_stats(df, ["run"], ["o"], ["v"]).collect()}
     assert got[(0, 399)] == (400, 400, 400.0) and got[(2, 4)] == (5, 5, 10.0)
     assert all(got[(0, i)][0] == i + 1 for i in range(400))
+
+
+def test_dense_null_vectors_score_zero(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.9, 0.1]), (2, None), (3, [])]
+    df = spark.createDataFrame(rows, "id long, e array<float>")
+    got = {(r.query_id, r.rank): (r.context_id, r.score) for r in
+           retrieve_dense(df, df, "id", "e", "id", "e", k=3, exclude_self=True).collect()}
+    assert got[(0, 1)][0] == 1 and got[(0, 2)] == (2, 0.0) and got[(0, 3)] == (3, 0.0)
+    assert got[(2, 1)] == (0, 0.0)                     # a zero query scores 0 everywhere (ties by id)
