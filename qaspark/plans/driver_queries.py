@@ -24,6 +24,7 @@ from ..operators.infer import CONSTANT_MODEL_BYTES
 from ..operators.recall_join import recall_join
 from ..operators.retrieve import attach_contexts, retrieve_dense, retrieve_lexical
 from ..operators.score import pair_next_turn, score, to_prediction
+from ..operators.skew import skew_join
 from ..operators.telemetry import POWER_WARN, gpu_series, peak_telemetry, power_utilisation_pct
 from ..sources.qa_jsonl import parse_items
 from ..sources.telemetry import parse_memory_lines, parse_power_lines
@@ -319,13 +320,15 @@ def q24_multi_answer(spark, sf):
     for token recall, empty ones for substring recall).
 
     The max over the truth list is a grouped max over (item, truth) rows, so a
-    conversation with a huge number of turns is never gathered into one list.
+    conversation with a huge number of turns is never gathered into one list,
+    and the join that builds those rows salts hot conversations.
     """
     conv = table(spark, sf, "conversations")
     first = (conv.filter(F.col("role") == "user").groupBy("conv_id")
                  .agg(F.min_by("text", "turn").alias("prediction")))
-    truths = conv.filter(F.col("role") == "assistant").select("conv_id", F.col("text").alias("truth"))
-    j = first.join(truths, on="conv_id", how="inner")
+    truths = conv.filter(F.col("role") == "assistant").select("conv_id", "turn", F.col("text").alias("truth"))
+    # a conversation with a huge number of replies is salted over several buckets
+    j = skew_join(truths, first, ["conv_id"]).drop("turn")
     j = j.withColumn("__pt", tokens("prediction")).withColumn("__pl", F.lower("prediction"))
     tt = tokens("truth")
     j = j.select("conv_id",

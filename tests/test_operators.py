@@ -169,3 +169,18 @@ def test_dense_null_vectors_score_zero(spark):
            retrieve_dense(df, df, "id", "e", "id", "e", k=3, exclude_self=True).collect()}
     assert got[(0, 1)][0] == 1 and got[(0, 2)] == (2, 0.0) and got[(0, 3)] == (3, 0.0)
     assert got[(2, 1)] == (0, 0.0)                     # a zero query scores 0 everywhere (ties by id)
+
+
+def test_skew_join_matches_plain_join(spark):
+    from qaspark.operators.skew import hot_keys, skew_join
+    rnd = random.Random(11)
+    big = spark.createDataFrame([(0 if rnd.random() < 0.4 else rnd.randint(1, 30), i, rnd.random())
+                                 for i in range(3000)], "k long, i long, v double")
+    small = spark.createDataFrame([(k, f"s{k}", j) for k in range(0, 25) for j in range(2)], "k long, s string, j int")
+    hot = {r.k: r.buckets for r in hot_keys(big, ["k"], rows_per_bucket=100, sample=1.0).collect()}
+    assert hot.get(0, 1) > 5                                        # the hot key is split
+    for how in ("inner", "left"):
+        got = sorted(tuple(r) for r in skew_join(big, small, ["k"], how, rows_per_bucket=100, sample=0.5)
+                     .select("k", "i", "s", "j").collect())
+        want = sorted(tuple(r) for r in big.join(small, ["k"], how).select("k", "i", "s", "j").collect())
+        assert got == want
