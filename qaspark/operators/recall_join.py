@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..session import broadcast_if_bounded, materialize
+from ..session import bounded_rows, materialize
+from .skew import skew_join
 
 ROWS_PER_SALT = 1_000_000        # postings per salt bucket of a hot token
 MAX_SALT = 4096
@@ -74,7 +75,8 @@ def recall_join(truths: DataFrame, texts: DataFrame, truth_id: str, truth_text:
     if not (0.0 < threshold <= 1.0) or math.isnan(threshold):
         raise ValueError("threshold must be in (0, 1]")
     tt = truth_token_rows(truths, truth_id, truth_text)
-    tt_small = broadcast_if_bounded(tt, BROADCAST_MAX_ROWS)
+    tt_is_small = bounded_rows(tt, BROADCAST_MAX_ROWS) is not None
+    tt_small = F.broadcast(tt) if tt_is_small else tt
     vocab = tt_small.select("token").distinct()
     post = postings(texts, text_id, text_col).join(vocab, on="token", how="left_semi")
     if materialize_postings:
@@ -111,7 +113,10 @@ def recall_join(truths: DataFrame, texts: DataFrame, truth_id: str, truth_text:
 
     # a uniform equi-join on (did, token); restricting it to candidate texts
     # first was measured slower -- it costs another pass over the texts
-    overlap = (cand.join(tt_small, on="tid", how="inner")
+    # a broadcast when the truth tokens are small; otherwise a truth with very
+    # many candidate texts is a hot key, salted by skew_join
+    expanded = cand.join(tt_small, on="tid", how="inner") if tt_is_small else skew_join(cand, tt, ["tid"])
+    overlap = (expanded
                    .join(post, on=["did", "token"], how="inner")
                    .groupBy("tid", "did", "n_tokens")
                    .agg(F.count(F.lit(1)).cast("bigint").alias("overlap")))

@@ -370,7 +370,7 @@ def q26_messages(spark, sf):
     conv = table(spark, sf, "conversations")
     sys_t = conv.filter(F.col("role") == "system").groupBy("conv_id").agg(
         F.min_by("text", "turn").alias("system_prompt"))
-    j = _with_context(spark, sf).join(sys_t, on="conv_id", how="left")
+    j = skew_join(_with_context(spark, sf), sys_t, ["conv_id"], how="left")   # hot conversations salted
     m = j.select("conv_id", "turn", F.posexplode(chat_messages(
         "question", "contexts", None, F.col("system_prompt"))).alias("msg_pos", "msg"))
     return m.select("conv_id", "turn", F.col("msg_pos").cast("bigint").alias("msg_pos"),

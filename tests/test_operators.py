@@ -184,3 +184,18 @@ def test_skew_join_matches_plain_join(spark):
                      .select("k", "i", "s", "j").collect())
         want = sorted(tuple(r) for r in big.join(small, ["k"], how).select("k", "i", "s", "j").collect())
         assert got == want
+
+
+def test_recall_join_without_truth_broadcast(spark, monkeypatch):
+    """Truth tokens above the broadcast bound: the candidate expansion goes
+    through the salted skew join and the result stays exact."""
+    from qaspark.operators import recall_join as rj
+    monkeypatch.setattr(rj, "BROADCAST_MAX_ROWS", 5)
+    truths = _corpus(15, 21) + [(100, "the w3")]
+    texts = _corpus(150, 22)
+    tdf = spark.createDataFrame(truths, "tid long, text string")
+    ddf = spark.createDataFrame(texts, "did long, text string")
+    got = {(r.tid, r.did) for r in rj.recall_join(tdf, ddf, "tid", "text", "did", "text", 0.6).collect()}
+    want = {(tid, did) for (tid, tt), (did, dt) in itertools.product(truths, texts)
+            if _tok(tt) and len(_tok(tt) & _tok(dt)) / len(_tok(tt)) >= 0.6}
+    assert got == want
