@@ -23,10 +23,19 @@ def peak_telemetry(samples: DataFrame, run_cols: list[str], order_cols: list[str
     sample time -- from the same aggregation (A5), so the samples are read and
     shuffled once."""
     o = F.struct(*order_cols)
-    d, lim = F.col(draw), F.col(limit)
-    aggs = [F.max(F.coalesce(F.col(m), F.lit(0.0))).alias(m) for m in measures]
-    aggs.append(F.coalesce(F.max(F.when(d != 0, d)), F.lit(0.0)).alias(draw))
-    aggs.append(F.coalesce(F.max_by(F.when(lim != 0, lim), F.when(lim != 0, o)), F.lit(0.0)).alias(limit))
+    have = set(samples.columns)
+    # a measure without a column has no samples: its peak is 0 (null reads as 0)
+    aggs = [(F.max(F.coalesce(F.col(m), F.lit(0.0))) if m in have else F.lit(0.0)).alias(m) for m in measures]
+    if draw in have:
+        d = F.col(draw)
+        aggs.append(F.coalesce(F.max(F.when(d != 0, d)), F.lit(0.0)).alias(draw))
+    else:
+        aggs.append(F.lit(0.0).alias(draw))
+    if limit in have:
+        lim = F.col(limit)
+        aggs.append(F.coalesce(F.max_by(F.when(lim != 0, lim), F.when(lim != 0, o)), F.lit(0.0)).alias(limit))
+    else:
+        aggs.append(F.lit(0.0).alias(limit))
     aggs.append(F.count(F.lit(1)).cast("bigint").alias("n_samples"))
     if duration_ts:
         # microseconds between the first and last sample; time-zone independent for NTZ input

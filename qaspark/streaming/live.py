@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import aggregate as agg
 from ..operators.score import score
-from ..operators.telemetry import MEMORY_MEASURES
+from ..operators.telemetry import MEMORY_MEASURES, peak_telemetry
 
 PREDICTION_FILE_SCHEMA = ("run_id string, question_id string, question string, ground_truth array<string>, "
                           "predicted_answer string")
@@ -47,6 +47,13 @@ def live_quality(predictions: DataFrame, run_cols: list[str] | None = None) -> D
     return running_quality(score(predictions, "predicted_answer", "ground_truth"), run_cols or ["run_id"])
 
 
+def live_peaks(samples: DataFrame, run_cols: list[str], order_cols: list[str]) -> DataFrame:
+    """T2 (so far): the A4 peaks per run over every sample seen so far --
+    the batch aggregate as a streaming one (update or complete mode; state is
+    one row per run)."""
+    return peak_telemetry(samples, run_cols, order_cols)
+
+
 def windowed_peaks(samples: DataFrame, run_cols: list[str], ts_col: str, window: str = "1 hour",
                    watermark: str = "10 minutes", measures=MEMORY_MEASURES,
                    draw: str = "gpu_power_draw_w") -> DataFrame:

@@ -117,3 +117,20 @@ def test_live_quality_from_prediction_files(spark, tmp_path):
     b = score(pairs, "predicted_answer", "ground_truth").groupBy("run_id").agg(
         F.count("*").alias("n"), F.avg("token_recall").alias("t"), F.avg("substring_recall").alias("s"))
     assert got == {r.run_id: (r.n, round(r.t, 9), round(r.s, 9)) for r in b.collect()}
+
+
+def test_live_peaks_stream_equals_batch(spark, tmp_path):
+    from qaspark.operators.telemetry import peak_telemetry
+
+    def samples(df):
+        return df.select("user_id", "ts", "event_id",
+                         F.when(F.col("event_type") == "view", F.col("value")).alias("cpu_ram_used_mb"),
+                         F.when(F.col("event_type") == "error", F.col("value")).alias("gpu_power_draw_w"),
+                         F.when(F.col("event_type") == "error",
+                                F.get_json_object("props", "$.k").cast("double")).alias("gpu_power_limit_w"))
+    s = live.live_peaks(samples(_stream(spark, "events")), ["user_id"], ["ts", "event_id"])
+    _run(live.to_memory(s, "t2_live", "complete", str(tmp_path / "c")))
+    cols = ["user_id", "cpu_ram_used_mb", "gpu_power_draw_w", "gpu_power_limit_w", "n_samples"]
+    got = {tuple(r) for r in spark.table("t2_live").select(*cols).collect()}
+    b = peak_telemetry(samples(spark.read.parquet(f"{SF_SMALL}/events.parquet")), ["user_id"], ["ts", "event_id"])
+    assert got == {tuple(r) for r in b.select(*cols).collect()}
