@@ -2,7 +2,9 @@
 share of all rows.
 
 A plain ``Window.partitionBy(run)`` puts a whole run into one task. The
-running operators here split every run into ordinal *blocks* first:
+running operators here sample the ``(run, order…)`` keys first; when the
+sample shows a run larger than ``ROWS_PER_BLOCK`` rows they split the runs
+into ordinal *blocks* (otherwise one window per run, one shuffle, is used):
 
 1. block boundaries are sampled from ``(run, order…)`` keys (a bounded sample,
    sorted by Spark) and turned into literal arrays; the number of blocks grows
@@ -117,9 +119,10 @@ def running_stats(df: DataFrame, run_cols: list[str], order_cols: list[str],
     column (sum over rows up to and including this one).
 
     ``order_cols`` must make the order within a run total (unique keys).
-    The rows are shuffled once, on ``(run, block)``. Block totals come from a
-    partial aggregation of the (column-pruned) input, so their shuffle is
-    tiny; only the per-block offset table is joined back.
+    Without a hot run this is one window per run. Otherwise the rows are
+    shuffled once, on ``(run, block)``; block totals come from a partial
+    aggregation of the (column-pruned) input, so their shuffle is tiny; only
+    the per-block offset table is joined back.
     """
     value_cols = value_cols or []
     b = "__block"
