@@ -1,8 +1,10 @@
 """Aggregations over scored predictions, run statuses and logged values
 (A1-A3, A5-A9, P13, P15, P16, F17, F18).
 
-All of them are hash aggregations with map-side partial aggregation, so a run
-holding a third of all rows is reduced per map task before the shuffle.
+The aggregations run with map-side partial aggregation, so a run holding a
+third of all rows is reduced per map task before the shuffle; the one ranking
+(``distinct_values``) uses the block-split running count of
+:mod:`qaspark.operators.sequence`.
 """
 
 from __future__ import annotations
