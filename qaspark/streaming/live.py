@@ -1,10 +1,11 @@
 """Structured Streaming versions of the live reports.
 
-Each function takes a *streaming* DataFrame and returns the streaming
-aggregate; state is one row per key (T1, T3, T4) or per key and time window
-(T2, bounded by the watermark). The same built-in aggregates as the batch
-operators are used, so a stream over the same rows ends with the batch
-result.
+The report functions take a *streaming* DataFrame and return the streaming
+aggregate; state is one row per key (T1, T3, T4, T2 so far) or per key and
+time window (windowed T2, bounded by the watermark). The same built-in
+aggregates as the batch operators are used, so a stream over the same rows
+ends with the batch result. ``predictions_stream`` opens the K1 folder as a
+stream; ``to_memory`` starts a query into an in-memory table.
 """
 
 from __future__ import annotations
