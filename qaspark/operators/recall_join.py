@@ -59,7 +59,7 @@ def min_overlap(threshold: float, n_col: str = "n_tokens"):
 
 def recall_join(truths: DataFrame, texts: DataFrame, truth_id: str, truth_text: str,
                 text_id: str, text_col: str, threshold: float,
-                rows_per_salt: int = ROWS_PER_SALT, df_sample: float | None = DF_SAMPLE,
+                rows_per_salt: int | None = None, df_sample: float | None = DF_SAMPLE,
                 materialize_postings: bool = False) -> DataFrame:
     """Pairs ``(truth_id, text_id, overlap, n_tokens, token_recall)`` with
     ``token_recall >= threshold`` (``0 < threshold <= 1``).
@@ -74,6 +74,7 @@ def recall_join(truths: DataFrame, texts: DataFrame, truth_id: str, truth_text:
     """
     if not (0.0 < threshold <= 1.0) or math.isnan(threshold):
         raise ValueError("threshold must be in (0, 1]")
+    rows_per_salt = rows_per_salt or ROWS_PER_SALT
     tt = truth_token_rows(truths, truth_id, truth_text)
     tt_is_small = bounded_rows(tt, BROADCAST_MAX_ROWS) is not None
     tt_small = F.broadcast(tt) if tt_is_small else tt

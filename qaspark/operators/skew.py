@@ -43,10 +43,13 @@ def hot_keys(df: DataFrame, keys: list[str], rows_per_bucket: int = ROWS_PER_BUC
 
 
 def skew_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner",
-              rows_per_bucket: int = ROWS_PER_BUCKET, sample: float = SAMPLE) -> DataFrame:
-    """``big.join(small, keys, how)`` with hot keys of ``big`` salted."""
+              rows_per_bucket: int | None = None, sample: float | None = None) -> DataFrame:
+    """``big.join(small, keys, how)`` with hot keys of ``big`` salted
+    (defaults: ``ROWS_PER_BUCKET`` and ``SAMPLE``)."""
     if how not in ("inner", "left", "left_outer"):
         raise ValueError("skew_join preserves the big side only: inner or left")
+    rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
+    sample = sample or SAMPLE
     hot = F.broadcast(hot_keys(big, keys, rows_per_bucket, sample))          # bounded by its limit
     n = F.coalesce(F.col("buckets"), F.lit(1))
     b = (big.join(hot, on=keys, how="left")
