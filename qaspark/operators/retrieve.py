@@ -116,7 +116,7 @@ def _out_batch(qq, cc, vv) -> pa.RecordBatch:
 
 def retrieve_dense(queries: DataFrame, corpus: DataFrame, query_id: str, query_vec: str,
                    corpus_id: str, corpus_vec: str, k: int = 3, exclude_self: bool = False,
-                   max_query_rows: int = QUERY_BLOCK_ROWS) -> DataFrame:
+                   max_query_rows: int | None = None) -> DataFrame:
     """Top-k corpus rows per query by cosine similarity (0 when a norm is 0).
 
     Returns ``(query_id, rank, context_id, score)``; ``exclude_self`` drops a
@@ -127,7 +127,7 @@ def retrieve_dense(queries: DataFrame, corpus: DataFrame, query_id: str, query_v
     first = queries.select(F.size(query_vec).alias("d")).where(F.col("d") > 0).limit(1).collect()
     dim = first[0]["d"] if first else 1
     # bound the broadcast bytes too: rows x dim doubles stay under MAX_BLOCK_BYTES
-    block_rows = max(1, min(max_query_rows, MAX_BLOCK_BYTES // (8 * dim)))
+    block_rows = max(1, min(max_query_rows or QUERY_BLOCK_ROWS, MAX_BLOCK_BYTES // (8 * dim)))
 
     def zero_if_missing(c: str):
         """A null or empty vector is a zero vector (it scores 0 against everything)."""
@@ -185,7 +185,7 @@ def index_size(postings: DataFrame) -> DataFrame:
 
 def retrieve_lexical(queries: DataFrame, corpus: DataFrame, query_id: str, query_text: str,
                      corpus_id: str, corpus_text: str, k: int = 3,
-                     max_query_rows: int = QUERY_BLOCK_ROWS) -> DataFrame:
+                     max_query_rows: int | None = None) -> DataFrame:
     """Top-k corpus texts per query by token recall of the query in the text
     (``|Q ∩ D| / |Q|``; 0 for a query without words).
 
@@ -197,7 +197,7 @@ def retrieve_lexical(queries: DataFrame, corpus: DataFrame, query_id: str, query
     spark = corpus.sparkSession
     qtok = queries.select(F.col(query_id).alias("qid"), tokens(F.col(query_text)).alias("toks"))
     results = []
-    for block in _blocks(qtok, "qid", max_query_rows):
+    for block in _blocks(qtok, "qid", max_query_rows or QUERY_BLOCK_ROWS):
         tbl = block.toArrow()
         if tbl.num_rows == 0:
             continue
