@@ -36,6 +36,7 @@ QUERY_BLOCK_ROWS = 20_000
 CHUNK_ROWS = 1024
 MAX_CHUNK_CELLS = 4_000_000      # bound of one (chunk x queries) score matrix
 MAX_BLOCK_BYTES = 32 << 20       # bound of one broadcast dense query block
+MAX_EXPANSION = 4_000_000        # bound of one (text token → query) expansion slice
 OUT_SCHEMA = T.StructType([T.StructField("query_id", T.LongType()),
                            T.StructField("context_id", T.LongType()),
                            T.StructField("score", T.DoubleType())])
@@ -214,7 +215,7 @@ def retrieve_lexical(queries: DataFrame, corpus: DataFrame, query_id: str, query
         bq = spark.sparkContext.broadcast((qids, sizes, vocab, starts, post_q))
         chunk = _chunk_rows(len(qids))
 
-        def score_partition(it, bq=bq, chunk=chunk):
+        def score_partition(it, bq=bq, chunk=chunk, max_expansion=MAX_EXPANSION):
             q_ids, q_sizes, voc, st, pq = bq.value
             nq = len(q_ids)
             for batch in it:
@@ -230,17 +231,26 @@ def retrieve_lexical(queries: DataFrame, corpus: DataFrame, query_id: str, query
                     v = voc.get_indexer(pc.list_flatten(part).to_numpy(zero_copy_only=False))
                     hit = v >= 0
                     rows, v = rows[hit], v[hit]
+                    counts = np.zeros(len(ids) * nq, dtype=np.float64)
                     if len(v):
-                        # expand each text token into the queries that hold it, then
-                        # count (text row, query) pairs in one bincount
+                        # expand each text token into the queries that hold it and count
+                        # (text row, query) pairs with bincount -- in slices of text tokens
+                        # whose expansion stays under MAX_EXPANSION entries (a token shared
+                        # by every query would otherwise blow the index arrays up)
                         lens = st[v + 1] - st[v]
-                        before = np.cumsum(lens) - lens
-                        idx = np.arange(lens.sum()) - np.repeat(before, lens) + np.repeat(st[v], lens)
-                        flat_ix = np.repeat(rows, lens) * nq + pq[idx]
-                        counts = np.bincount(flat_ix, minlength=len(ids) * nq).astype(np.float64)
-                        counts = counts.reshape(len(ids), nq)
-                    else:
-                        counts = np.zeros((len(ids), nq), dtype=np.float64)
+                        ends = np.cumsum(lens)
+                        lo = 0
+                        while lo < len(v):
+                            base = ends[lo - 1] if lo else 0
+                            hi = max(lo + 1, int(np.searchsorted(ends, base + max_expansion, side="right")))
+                            sl = slice(lo, hi)
+                            ln = lens[sl]
+                            before = np.cumsum(ln) - ln
+                            idx = np.arange(ln.sum()) - np.repeat(before, ln) + np.repeat(st[v[sl]], ln)
+                            flat_ix = np.repeat(rows[sl], ln) * nq + pq[idx]
+                            counts += np.bincount(flat_ix, minlength=len(ids) * nq)
+                            lo = hi
+                    counts = counts.reshape(len(ids), nq)
                     sc = np.divide(counts, q_sizes[None, :], out=np.zeros_like(counts), where=q_sizes[None, :] > 0)
                     yield _out_batch(*_top_k_rows(sc, ids, q_ids, k))
 

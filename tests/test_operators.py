@@ -199,3 +199,17 @@ def test_recall_join_without_truth_broadcast(spark, monkeypatch):
     want = {(tid, did) for (tid, tt), (did, dt) in itertools.product(truths, texts)
             if _tok(tt) and len(_tok(tt) & _tok(dt)) / len(_tok(tt)) >= 0.6}
     assert got == want
+
+
+def test_lexical_expansion_in_slices(spark, monkeypatch):
+    """Tiny expansion slices (a common token shared by every query) give the
+    same top-k as one big expansion."""
+    from qaspark.operators import retrieve
+    queries = [(i, f"the w{i % 7} w{i % 5}") for i in range(40)]
+    corpus = _corpus(120, 31)
+    q = spark.createDataFrame(queries, "qid long, text string")
+    c = spark.createDataFrame(corpus, "cid long, text string")
+    want = sorted(tuple(r) for r in retrieve_lexical(q, c, "qid", "text", "cid", "text", k=3).collect())
+    monkeypatch.setattr(retrieve, "MAX_EXPANSION", 7)
+    got = sorted(tuple(r) for r in retrieve_lexical(q, c, "qid", "text", "cid", "text", k=3).collect())
+    assert got == want
