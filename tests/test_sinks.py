@@ -54,3 +54,19 @@ def test_previews(spark):
     head, prompts = previews(preds, ["run"], ["i"])
     assert head.count() == 200 and prompts.count() == 40
     assert {r.n_more for r in head.collect()} == {50} and {r.n_more for r in prompts.collect()} == {30}
+
+
+def test_telemetry_tables_and_text_log(spark, tmp_path):
+    root = str(tmp_path / "out")
+    samples = spark.createDataFrame([("r1", 1, 10.0), ("r1", 2, 30.0), ("r2", 1, 5.0)],
+                                    "run_id string, seq int, cpu_ram_used_mb double")
+    peaks = samples.groupBy("run_id").agg(F.max("cpu_ram_used_mb").alias("cpu_ram_used_mb"))
+    sp, pp = W.write_telemetry(samples, peaks, root)
+    assert spark.read.parquet(sp).count() == 3
+    assert {r.run_id: r.cpu_ram_used_mb for r in spark.read.parquet(pp).collect()} == {"r1": 30.0, "r2": 5.0}
+    t = W.write_table(spark.createDataFrame([(1, "a")], "i int, s string"), root, "preview/predictions 1")
+    assert t.endswith("tables/preview_predictions_1") and spark.read.parquet(t).count() == 1
+    log = spark.createDataFrame([("r1", "started")], "run_id string, text string").withColumn("ts", F.current_timestamp())
+    W.write_text_log(log, root)
+    W.write_text_log(log, root)                                   # appends
+    assert spark.read.parquet(f"{root}/log").count() == 2
