@@ -216,3 +216,12 @@ def test_folder_of_datasets(spark, tmp_path):
     (d / "simple.jsonl").write_text('{"question":"c","answer":["z"]}\n', encoding="utf-8")
     got = sorted((r.dataset, r.question) for r in read_qa(spark, str(d), dataset_from_file=True).collect())
     assert got == [("nq", "a"), ("nq", "b"), ("simple", "c")]
+
+
+def test_read_power_file(spark, tmp_path):
+    from qaspark.sources.telemetry import read_power
+    f = tmp_path / "power.csv"
+    f.write_text("0, 125.50, 250.00\n1, 80.0, 0\nbad line\n", encoding="utf-8")
+    rows = {r.gpu_index: r for r in read_power(spark, str(f)).collect()}
+    assert set(rows) == {0, 1}                                  # the malformed line is dropped
+    assert rows[0].power_pct == pytest.approx(50.2) and rows[1].power_pct == 0.0

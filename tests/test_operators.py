@@ -213,3 +213,12 @@ def test_lexical_expansion_in_slices(spark, monkeypatch):
     monkeypatch.setattr(retrieve, "MAX_EXPANSION", 7)
     got = sorted(tuple(r) for r in retrieve_lexical(q, c, "qid", "text", "cid", "text", k=3).collect())
     assert got == want
+
+
+def test_assign_blocks_contiguous(spark):
+    rnd = random.Random(8)
+    rows = [(rnd.randint(0, 2), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "run long, o long")
+    got = sorted((r["run"], r["o"], r["__block"]) for r in seq.assign_blocks(df, ["run"], ["o"], n_blocks=10).collect())
+    blocks = [b for _, _, b in got]
+    assert blocks == sorted(blocks) and len(set(blocks)) > 5      # non-decreasing along (run, o): contiguous
