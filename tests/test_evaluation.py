@@ -108,3 +108,27 @@ def test_run_with_retrieved_contexts(spark):
     p = preds.first()
     assert p.contexts[0] == "Paris is the capital of France" and len(p.contexts) == 2
     assert p.prompt.startswith("C: Paris is the capital of France\n") and p.prompt.endswith("Q: capital of France")
+
+
+def test_grid_failing_row_gets_sentinel(spark):
+    from pyspark.sql import functions as F
+    from qaspark.operators.grid import run_grid
+
+    def flaky(cfg):
+        def gen(prompts):
+            if prompts.str.contains("question 2").any():
+                raise RuntimeError("model fault")
+            return prompts.str.lower()
+        return gen
+    inf.MODELS["flaky"] = flaky
+    try:
+        items = synthetic_items(spark, 4).withColumn("dataset", F.lit("syn"))
+        grid = run_grid(spark.createDataFrame([("f", "f")], "model string, model_stem string"),
+                        spark.createDataFrame([("syn", "syn")], "dataset string, dataset_stem string"), "m")
+        preds, metrics = evaluate_grid(items, grid, {"f": {"model_type": "flaky"}}, {"name": "m"})
+        got = {r.question_id: r.predicted_answer for r in preds.collect()}
+        assert got["2"] == "Error generating answer"                    # only the failing row
+        assert got["0"] == "question: test question 0 answer:" and len(got) == 4
+        assert metrics.first().num_examples == 4                        # the sentinel is still scored
+    finally:
+        inf.MODELS.pop("flaky")
