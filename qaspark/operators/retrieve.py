@@ -37,6 +37,8 @@ CHUNK_ROWS = 1024
 MAX_CHUNK_CELLS = 4_000_000      # bound of one (chunk x queries) score matrix
 MAX_BLOCK_BYTES = 32 << 20       # bound of one broadcast dense query block
 MAX_EXPANSION = 4_000_000        # bound of one (text token → query) expansion slice
+FREQ_QUERIES = 32                # tokens in more queries than this use the dense product
+MAX_DENSE_CELLS = 4_000_000      # bound of the broadcast (tokens x queries) incidence matrix
 OUT_SCHEMA = T.StructType([T.StructField("query_id", T.LongType()),
                            T.StructField("context_id", T.LongType()),
                            T.StructField("score", T.DoubleType())])
@@ -212,11 +214,27 @@ def retrieve_lexical(queries: DataFrame, corpus: DataFrame, query_id: str, query
         order = np.argsort(post_v, kind="stable")
         post_v, post_q = post_v[order], owner[order].astype(np.int64)
         starts = np.searchsorted(post_v, np.arange(len(vocab) + 1))
-        bq = spark.sparkContext.broadcast((qids, sizes, vocab, starts, post_q))
+        # tokens shared by many queries are scored by a dense matrix product:
+        # fcol maps a vocabulary index to its row of the (F x queries) incidence
+        # matrix, -1 for the others (F x queries stays under MAX_DENSE_CELLS)
+        q_per_token = np.diff(starts)
+        freq = np.nonzero(q_per_token > FREQ_QUERIES)[0]
+        max_f = MAX_DENSE_CELLS // max(1, len(qids))
+        if len(freq) > max_f:
+            freq = freq[np.argsort(-q_per_token[freq], kind="stable")[:max_f]]
+        fcol = np.full(len(vocab), -1, dtype=np.int64)
+        fcol[freq] = np.arange(len(freq))
+        inc = np.zeros((len(freq), len(qids)), dtype=np.float32)
+        if len(freq):
+            ln = q_per_token[freq]
+            before = np.cumsum(ln) - ln
+            idx = np.arange(ln.sum()) - np.repeat(before, ln) + np.repeat(starts[freq], ln)
+            inc[np.repeat(np.arange(len(freq)), ln), post_q[idx]] = 1.0
+        bq = spark.sparkContext.broadcast((qids, sizes, vocab, starts, post_q, fcol, inc))
         chunk = _chunk_rows(len(qids))
 
         def score_partition(it, bq=bq, chunk=chunk, max_expansion=MAX_EXPANSION):
-            q_ids, q_sizes, voc, st, pq = bq.value
+            q_ids, q_sizes, voc, st, pq, fc, inc_m = bq.value
             nq = len(q_ids)
             for batch in it:
                 if batch.num_rows == 0:
@@ -232,6 +250,14 @@ def retrieve_lexical(queries: DataFrame, corpus: DataFrame, query_id: str, query
                     hit = v >= 0
                     rows, v = rows[hit], v[hit]
                     counts = np.zeros(len(ids) * nq, dtype=np.float64)
+                    dense = fc[v] >= 0
+                    if dense.any():
+                        # tokens of a text are distinct, so presence is 0/1; float32
+                        # products of small integers are exact
+                        pres = np.zeros((len(ids), inc_m.shape[0]), dtype=np.float32)
+                        pres[rows[dense], fc[v[dense]]] = 1.0
+                        counts += (pres @ inc_m).ravel()
+                        rows, v = rows[~dense], v[~dense]
                     if len(v):
                         # expand each text token into the queries that hold it and count
                         # (text row, query) pairs with bincount -- in slices of text tokens

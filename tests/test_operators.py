@@ -222,3 +222,24 @@ def test_assign_blocks_contiguous(spark):
     got = sorted((r["run"], r["o"], r["__block"]) for r in seq.assign_blocks(df, ["run"], ["o"], n_blocks=10).collect())
     blocks = [b for _, _, b in got]
     assert blocks == sorted(blocks) and len(set(blocks)) > 5      # non-decreasing along (run, o): contiguous
+
+
+@pytest.mark.parametrize("freq", [0, 3])
+def test_lexical_dense_path_matches_brute_force(spark, monkeypatch, freq):
+    """Shared tokens scored by the dense product (all of them, or those in
+    more than 3 queries) give the brute-force top-k."""
+    from qaspark.operators import retrieve
+    monkeypatch.setattr(retrieve, "FREQ_QUERIES", freq)
+    queries = _corpus(30, 41) + [(500, "")]
+    corpus = _corpus(150, 42)
+    q = spark.createDataFrame(queries, "qid long, text string")
+    c = spark.createDataFrame(corpus, "cid long, text string")
+    got = sorted((r.query_id, r.rank, r.context_id, r.score) for r in
+                 retrieve_lexical(q, c, "qid", "text", "cid", "text", k=3, max_query_rows=12).collect())
+    want = []
+    for qid, qt in queries:
+        t = _tok(qt)
+        sc = sorted(((len(t & _tok(ct)) / len(t) if t else 0.0), cid) for cid, ct in corpus)
+        sc.sort(key=lambda x: (-x[0], x[1]))
+        want += [(qid, i + 1, cid, s) for i, (s, cid) in enumerate(sc[:3])]
+    assert got == sorted(want)
