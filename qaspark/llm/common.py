@@ -48,7 +48,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash (multiply and xor-shift rounds)."""
     x = np.asarray(x, dtype=np.uint64)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -66,16 +66,21 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 _BASE = 0x9E3779B97F4A7C15 | 5          # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE_CODE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
+_BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
 _POW_CHUNK = _powers(_BASE, SLICE_BYTES * 2 + 1)
 _INV_CHUNK = _powers(_INVERSE, SLICE_BYTES * 2 + 1)
 
 
-def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end offsets of the words (runs without ASCII white space) of one text."""
+#: Letters, digits and every byte of a non-ASCII character: words without punctuation.
+PLAIN_GAP = np.array([not (b >= 128 or chr(b).isalnum()) for b in range(256)])
+
+
+def word_spans(data: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end offsets of the words of one text: runs without ASCII white space,
+    or without the bytes that ``gap`` marks."""
     if not len(data):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    inside = ~_SPACE[data]
+    inside = ~gap[data]
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     if inside[0]:
         edge = np.concatenate(([0], edge))
@@ -102,7 +107,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         s = np.zeros(hi - lo + 1, np.uint64)
         np.cumsum(_BYTE_CODE[data[lo:hi]] * _POW_CHUNK[:hi - lo], out=s[1:])
         a, b = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = _mix((s[b] - s[a]) * _INV_CHUNK[a] + (b - a).astype(np.uint64))
+        out[i:j] = mix((s[b] - s[a]) * _INV_CHUNK[a] + (b - a).astype(np.uint64))
         i = j
     return out
 
@@ -115,7 +120,7 @@ def _long_hash(data: np.ndarray) -> np.uint64:
         piece = data[k:k + SLICE_BYTES]
         total += int(np.sum(_BYTE_CODE[piece] * _POW_CHUNK[:len(piece)], dtype=np.uint64)) * scale
         scale = scale * step % (1 << 64)
-    return _mix(np.array([(total + len(data)) % (1 << 64)], dtype=np.uint64))[0]
+    return mix(np.array([(total + len(data)) % (1 << 64)], dtype=np.uint64))[0]
 
 
 def rolling(codes: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -123,13 +128,13 @@ def rolling(codes: np.ndarray, k: int, seed: int) -> np.ndarray:
     n = len(codes) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    base = (int(_mix(np.array([seed], np.uint64))[0]) | 1) & ((1 << 64) - 1)
+    base = (int(mix(np.array([seed], np.uint64))[0]) | 1) & ((1 << 64) - 1)
     total = np.zeros(n, np.uint64)
     scale = _powers(base, k)
     if k <= 8:
         for t in range(k):
             total += codes[t:t + n] * scale[t]
-        return _mix(total)
+        return mix(total)
     # doubling: the hash of 2m codes is that of m codes plus the next m, shifted
     have, size, done = codes, 1, 0
     rest = k
@@ -141,7 +146,7 @@ def rolling(codes: np.ndarray, k: int, seed: int) -> np.ndarray:
         if rest:
             have = have[:-size] + have[size:] * np.uint64(pow(base, size, 1 << 64))
             size *= 2
-    return _mix(total)
+    return mix(total)
 
 
 def sliding_argmin(h: np.ndarray, w: int) -> np.ndarray:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.tables import table
 from .exact_dedup import exact_dedup
 from .packing import pack_documents
+from .quality import classify_quality
 from .token_counts import token_counts
 
 
@@ -15,6 +16,11 @@ def op2_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from the labels outside fold 1."""
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates among all documents, through a new digest index."""
     return exact_dedup(table(spark, sf_dir, "documents"))
@@ -25,4 +31,4 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pattern_packing, op6_exact_dedup, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_pattern_packing, op5_quality, op6_exact_dedup, op9_token_counts)}
