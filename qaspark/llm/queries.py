@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
+from .decontaminate import find_contamination
 from .exact_dedup import exact_dedup
 from .packing import pack_documents
 from .quality import classify_quality
@@ -26,9 +27,15 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of all documents that copy a benchmark item, edited copies included."""
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents, through a new digest cache."""
     return token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pattern_packing, op5_quality, op6_exact_dedup, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_pattern_packing, op5_quality, op6_exact_dedup,
+                                     op8_decontamination, op9_token_counts)}
