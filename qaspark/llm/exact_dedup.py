@@ -64,6 +64,11 @@ class DigestIndex:
             out = out.unionByName(p)
         return out
 
+    def rows(self) -> DataFrame:
+        """The same rows read as plain files: a join against many copies of a text then
+        shuffles both sides, and Spark can split the copies over tasks."""
+        return self.spark.read.schema("digest string, keep_id long, group_size long").parquet(*self._segments())
+
     def missing(self, groups: DataFrame) -> DataFrame:
         """The rows of ``groups`` whose digest is not indexed: a sort-merge anti-join per segment."""
         for path in self._segments():
@@ -105,7 +110,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     before = index.read()
     index.append(index.missing(groups))
-    stays = index.read()
+    stays = index.rows()
     if before is not None:
         # groups that were indexed earlier keep their old row and grow
         old = groups.withColumnRenamed("group_size", "new_rows").drop("keep_id")
