@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.tables import table
 from .decontaminate import find_contamination
 from .exact_dedup import exact_dedup
+from .licenses import scan_licenses
 from .packing import pack_documents
 from .quality import classify_quality
 from .token_counts import token_counts
@@ -37,5 +38,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families of all documents that have a licence paragraph."""
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op2_pattern_packing, op5_quality, op6_exact_dedup,
-                                     op8_decontamination, op9_token_counts)}
+                                     op8_decontamination, op9_token_counts, op10_license_scan)}
