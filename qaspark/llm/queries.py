@@ -9,10 +9,16 @@ from .decontaminate import find_contamination
 from .exact_dedup import exact_dedup
 from .licenses import scan_licenses
 from .packing import pack_documents
+from .pii import pii_report
 from .quality import classify_quality
 from .token_counts import token_counts
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii_report(table(spark, sf_dir, "documents"))
+
+
 def op2_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     return pack_documents(table(spark, sf_dir, "documents"))
@@ -43,5 +49,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pattern_packing, op5_quality, op6_exact_dedup,
+QUERIES = {f.__name__: f for f in (op1_pii, op2_pattern_packing, op5_quality, op6_exact_dedup,
                                      op8_decontamination, op9_token_counts, op10_license_scan)}
