@@ -28,28 +28,24 @@ MAX_DOCS = 8                   # documents in an enumerated pattern
 FIT_STEPS = 400
 ROWS_PER_PART = 200_000        # pieces of one length that one task numbers
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-ENCODE_ROWS = 128
 
 
 def _piece_rows(vocabulary: str, capacity: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary_path(vocabulary))
-        end = np.array([END], "<u4").tobytes()
         for b in batches:
-            for i in range(0, b.num_rows, ENCODE_ROWS):
-                s = b.slice(i, ENCODE_ROWS)
-                out: list[tuple] = []
-                for doc, ids in zip(s.column(0).to_pylist(), enc.encode(s.column(1).to_pylist())):
-                    ids += end
-                    n = len(ids) // 4
-                    at, size, piece = 0, n % capacity or min(n, capacity), 0
-                    while at < n:
-                        out.append((doc, piece, at, size, zlib.crc32(ids[4 * at:4 * (at + size)])))
-                        at, size, piece = at + size, capacity, piece + 1
-                cols = list(zip(*out)) or [()] * 5
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
-                    ["doc_id", "piece", "start", "length", "ids_crc32"])
+            out: list[tuple] = []
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
+                ids = np.append(enc.encode(text.as_py()), END).astype("<u4")
+                n = len(ids)
+                at, size, piece = 0, n % capacity or min(n, capacity), 0
+                while at < n:
+                    out.append((doc, piece, at, size, zlib.crc32(ids[at:at + size])))
+                    at, size, piece = at + size, capacity, piece + 1
+            cols = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
+                ["doc_id", "piece", "start", "length", "ids_crc32"])
     return cut
 
 

@@ -19,7 +19,6 @@ from .common import prepared, shared_path, stored
 from .tokens import encoder, vocabulary_path
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
-ENCODE_ROWS = 128              # texts that are encoded together
 
 
 def tokenizer_version(path: str) -> str:
@@ -49,11 +48,8 @@ def _counter(vocabulary: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary_path(vocabulary))
         for b in batches:
-            for i in range(0, b.num_rows, ENCODE_ROWS):
-                s = b.slice(i, ENCODE_ROWS)
-                ids = enc.encode(s.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([s.column(0), pa.array([len(x) // 4 for x in ids], pa.int64())],
-                                                 ["digest", "n_tokens"])
+            n = [len(enc.encode(t.as_py())) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["digest", "n_tokens"])
     return count
 
 
