@@ -8,6 +8,7 @@ from ..sources.tables import table
 from .decontaminate import find_contamination
 from .exact_dedup import exact_dedup
 from .licenses import scan_licenses
+from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .pii import pii_report
 from .quality import classify_quality
@@ -24,6 +25,11 @@ def op2_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents, on sets of four-word shingles."""
+    return near_duplicates(table(spark, sf_dir, "documents"), size=4)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents, learned from the labels outside fold 1."""
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -49,5 +55,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_pattern_packing, op5_quality, op6_exact_dedup,
+QUERIES = {f.__name__: f for f in (op1_pii, op2_pattern_packing, op4_near_dedup, op5_quality, op6_exact_dedup,
                                      op8_decontamination, op9_token_counts, op10_license_scan)}
