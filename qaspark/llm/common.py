@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 from ..shipping import ship
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SLICE_BYTES = 1 << 20          # texts are hashed in pieces of about this many bytes
 
 
@@ -31,9 +32,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: cuts the
-    lineage, and the files outlive any executor."""
+    lineage, and the files outlive any executor. The shuffles of that write are of no
+    further use and are dropped at its end."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

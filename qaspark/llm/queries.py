@@ -12,6 +12,7 @@ from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .pii import pii_report
 from .quality import classify_quality
+from .substring_dedup import substring_dedup
 from .token_counts import token_counts
 
 
@@ -25,6 +26,11 @@ def op2_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of 35 words and more, removed from all documents."""
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents, on sets of four-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"), size=4)
@@ -55,5 +61,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_pattern_packing, op4_near_dedup, op5_quality, op6_exact_dedup,
+QUERIES = {f.__name__: f for f in (op1_pii, op2_pattern_packing, op3_substring_dedup, op4_near_dedup, op5_quality, op6_exact_dedup,
                                      op8_decontamination, op9_token_counts, op10_license_scan)}
