@@ -13,6 +13,7 @@ from .packing import pack_documents
 from .pii import pii_report
 from .quality import classify_quality
 from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
 
 
@@ -46,6 +47,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated strings of 100 bytes and more, removed from all documents but the first."""
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of all documents that copy a benchmark item, edited copies included."""
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -62,4 +68,4 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_pattern_packing, op3_substring_dedup, op4_near_dedup, op5_quality, op6_exact_dedup,
-                                     op8_decontamination, op9_token_counts, op10_license_scan)}
+                                     op7_suffix_array_dedup, op8_decontamination, op9_token_counts, op10_license_scan)}
