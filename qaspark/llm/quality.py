@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import mix, prepared, rolling, texts_of, word_hashes, word_spans
 
 DIM = 1 << 18
@@ -200,3 +201,16 @@ def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     scored = score_quality(docs, train_quality(docs, labels, id_col, text_col), id_col, text_col)
     return scored.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_quality(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores ``least`` or more.
+    Rows are judged where they are read, so nothing is shuffled."""
+    shared = ship(docs.sparkSession).sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            text = b.select([text_col]).set_column(0, text_col, b.column(text_col).fill_null(""))
+            yield b.filter(pa.array([m.score(indicators(t)) >= least for t in texts_of(text, text_col)], pa.bool_()))
+    return docs.mapInArrow(keep, docs.schema)
