@@ -26,6 +26,7 @@ CAPACITY = 2048
 END = 0                        # id that closes every document
 MAX_DOCS = 8                   # documents in an enumerated pattern
 FIT_STEPS = 400
+WASTE = 0.01                   # patterns with more unused space are left to the residual packing
 ROWS_PER_PART = 200_000        # pieces of one length that one task numbers
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -139,7 +140,8 @@ def plan_patterns(hist: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tupl
                 left[n] -= r * k
             plan.append((pattern, r))
 
-    for i in sorted(np.flatnonzero(x).tolist(), key=lambda i: (capacity - sum(patterns[i]), i)):
+    full = [i for i in np.flatnonzero(x).tolist() if capacity - sum(patterns[i]) <= WASTE * capacity]
+    for i in sorted(full, key=lambda i: (capacity - sum(patterns[i]), i)):
         take(patterns[i], int(x[i]))
     while left.any():                                          # best fit, longest first
         space, pattern = capacity, []
