@@ -1,174 +1,80 @@
 """Window / sequence operators (W1-W6) that survive one run holding a large
 share of all rows.
 
-A plain ``Window.partitionBy(run)`` puts a whole run into one task. The
-running operators here sample the ``(run, order…)`` keys first; when the
-sample shows a run larger than ``ROWS_PER_BLOCK`` rows they split the runs
-into ordinal *blocks* (otherwise one window per run, one shuffle, is used):
-
-1. block boundaries are sampled from ``(run, order…)`` keys (a bounded sample,
-   sorted by Spark) and turned into literal arrays; the number of blocks grows
-   with the data (about ``ROWS_PER_BLOCK`` rows each);
-2. each row's block = number of boundaries ≤ its key (a pure expression with a
-   two-level lookup, so the block of a row is the same in every branch and on
-   every retry);
-3. local running values use ``Window.partitionBy(run, block)``;
-4. per ``(run, block)`` totals (a small table: #runs + #blocks rows) get
+A plain ``Window.partitionBy(run)`` puts a whole run into one task. The running
+operators here follow one path at every size:
+
+1. rows are range-partitioned by ``(run, order...)``, so a large run spreads over
+   many neighbouring partitions; the number of a row's partition is its *block*.
+   The blocked rows are checkpointed, so every later branch and every retry sees
+   the same blocks;
+2. local running values use ``Window.partitionBy(run, block)``;
+3. per ``(run, block)`` totals (a partial aggregate: #runs + #blocks rows) get
    exclusive prefix sums per run, joined back on ``(run, block)``.
 
-Row counts per run come from the same small table, so no join on the bare run
-key (a hot key) is ever needed.
+The run is compared as a struct, in which nulls equal nulls: rows with a null run
+key form a run like any other. A running sum is null until the run's first value.
+Row counts per run come from the same totals, so no join on the bare run key (a
+hot key) is ever needed.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BLOCKS = 64            # at least this many blocks (when there are enough rows)
-ROWS_PER_BLOCK = 2_000_000     # above DEFAULT_BLOCKS * this, blocks grow with the data
-MAX_BLOCKS = 16_384
-SAMPLE_PER_BLOCK = 16
-LEVEL_SIZE = 128               # boundaries per lookup level (two levels above this)
-
-
-def _key(run_cols: list[str], order_cols: list[str]) -> Column:
-    return F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(run_cols + order_cols)])
+from ..session import materialize
 
-
-def _lit_key(values, key_type) -> Column:
-    return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(values, key_type.fields)])
-
-
-def block_of(key: Column, bounds: list, key_type, level_size: int = LEVEL_SIZE) -> Column:
-    """Number of sorted boundaries ``<= key``.
-
-    Up to ``level_size`` boundaries: one pass over a literal array. Beyond
-    that, two levels -- a coarse array of every g-th boundary, then the g-1
-    boundaries between two coarse ones -- so a row costs about 2·sqrt(B)
-    comparisons instead of B.
-    """
-    if len(bounds) <= level_size:
-        arr = F.array(*[_lit_key(b, key_type) for b in bounds])
-        return F.size(F.filter(arr, lambda b: b <= key))
-    g = int(math.ceil(math.sqrt(len(bounds))))
-    coarse = bounds[::g]
-    fine = [bounds[i * g + 1:(i + 1) * g] for i in range(len(coarse))]
-    c = F.size(F.filter(F.array(*[_lit_key(b, key_type) for b in coarse]), lambda b: b <= key))
-    empty = F.array().cast(f"array<{key_type.simpleString()}>")
-    fine_arr = F.array(*[F.array(*[_lit_key(b, key_type) for b in part]) if part else empty for part in fine])
-    inner = F.size(F.filter(F.element_at(fine_arr, F.greatest(c, F.lit(1))), lambda b: b <= key))
-    return F.when(c == 0, F.lit(0)).otherwise((c - 1) * g + 1 + inner)
-
-
-def plan_blocks(df: DataFrame, run_cols: list[str], order_cols: list[str],
-                n_blocks: int | None = None) -> tuple[list, object] | None:
-    """Sample the ``(run, order)`` keys and return ``(boundaries, key_type)``,
-    or ``None`` when no run needs splitting.
-
-    The number of blocks grows with the row count (``ROWS_PER_BLOCK``), at
-    least ``DEFAULT_BLOCKS`` and at most ``MAX_BLOCKS``. Without an explicit
-    ``n_blocks``, runs are only split when the sample estimates some run above
-    ``ROWS_PER_BLOCK`` rows -- then a run-partitioned window would put too
-    much into one task. The sample is bounded (about ``SAMPLE_PER_BLOCK``
-    small keys per block reach the driver).
-    """
-    key = _key(run_cols, order_cols)
-    n = df.count()
-    forced = n_blocks is not None
-    if n_blocks is None:
-        n_blocks = int(min(MAX_BLOCKS, max(DEFAULT_BLOCKS, math.ceil(n / ROWS_PER_BLOCK))))
-    if n == 0 or n_blocks <= 1:
-        return None
-    frac = min(1.0, n_blocks * SAMPLE_PER_BLOCK / n)
-    sample = (df.select(key.alias("k")).sample(False, frac, seed=17)
-                .orderBy("k").collect())
-    if len(sample) < 2:
-        return None
-    if not forced:
-        per_run: dict = {}
-        for r in sample:
-            rk = tuple(r["k"])[:len(run_cols)]
-            per_run[rk] = per_run.get(rk, 0) + 1
-        if max(per_run.values()) / frac <= ROWS_PER_BLOCK:
-            return None
-    step = max(1, len(sample) // n_blocks)
-    picked = [tuple(sample[i]["k"]) for i in range(step, len(sample), step)]
-    picked = [b for i, b in enumerate(picked) if i == 0 or b != picked[i - 1]]
-    return picked, df.select(key.alias("k")).schema["k"].dataType
+_RUN, _BLOCK = "__run", "__block"
 
 
 def assign_blocks(df: DataFrame, run_cols: list[str], order_cols: list[str],
-                  n_blocks: int | None = None, col: str = "__block") -> DataFrame:
-    """Add ``col``: the ordinal block of each row (contiguous in ``(run, order)``;
-    0 everywhere when no run needs splitting). The boundaries are literals,
-    so every branch and every retry assigns the same block to a row."""
-    plan = plan_blocks(df, run_cols, order_cols, n_blocks)
-    if plan is None:
-        return df.withColumn(col, F.lit(0))
-    bounds, key_type = plan
-    return df.withColumn(col, block_of(_key(run_cols, order_cols), bounds, key_type))
+                  n_blocks: int | None = None) -> DataFrame:
+    """Add ``__run`` (the run columns as a struct) and ``__block``: contiguous ranges
+    of ``(run, order)``, as many as shuffle partitions (or ``n_blocks``)."""
+    n = n_blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *run_cols, *order_cols)
+    return materialize(ranged.withColumn(_RUN, F.struct(*run_cols)).withColumn(_BLOCK, F.spark_partition_id()))
 
 
 def running_stats(df: DataFrame, run_cols: list[str], order_cols: list[str],
                   value_cols: list[str] | None = None, n_blocks: int | None = None) -> DataFrame:
     """Add ``position`` (1-based, in ``order_cols`` within the run),
     ``run_count`` (rows in the run) and ``running_sum_<v>`` for each value
-    column (sum over rows up to and including this one).
+    column (sum over the non-null values up to and including this row, null
+    while there is none).
 
-    ``order_cols`` must make the order within a run total (unique keys).
-    Without a hot run this is one window per run. Otherwise the rows are
-    shuffled once, on ``(run, block)``; block totals come from a partial
-    aggregation of the (column-pruned) input, so their shuffle is tiny; only
-    the per-block offset table is joined back.
+    ``order_cols`` must make the order within a run total (unique keys). Block
+    totals come from a partial aggregation of the blocked rows, so their shuffle
+    is tiny; only the per-block offset table is joined back.
     """
     value_cols = value_cols or []
-    b = "__block"
-    plan = plan_blocks(df, run_cols, order_cols, n_blocks)
-    if plan is None:
-        # no hot run: one window per run (one shuffle) is enough
-        w_run = Window.partitionBy(*run_cols)
-        w_upto = w_run.orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        out = (df.withColumn("position", F.count(F.lit(1)).over(w_upto).cast("bigint"))
-                 .withColumn("run_count", F.count(F.lit(1)).over(w_run).cast("bigint")))
-        for v in value_cols:
-            out = out.withColumn(f"running_sum_{v}", F.sum(F.col(v)).over(w_upto))
-        return out
-    bounds, key_type = plan
-    blocked = df.withColumn(b, block_of(_key(run_cols, order_cols), bounds, key_type))
-    w_local = (Window.partitionBy(*run_cols, b).orderBy(*order_cols)
+    blocked = assign_blocks(df, run_cols, order_cols, n_blocks)
+    w_local = (Window.partitionBy(_RUN, _BLOCK).orderBy(*order_cols)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = blocked.withColumn("__lpos", F.count(F.lit(1)).over(w_local))
-    for v in value_cols:
-        local = local.withColumn(f"__lsum_{v}", F.sum(F.col(v)).over(w_local))
-
-    totals = blocked.groupBy(*run_cols, b).agg(
+    local = blocked.select("*", F.count(F.lit(1)).over(w_local).alias("__lpos"),
+                           *[F.sum(F.col(v)).over(w_local).alias(f"__lsum_{v}") for v in value_cols])
+    totals = blocked.groupBy(_RUN, _BLOCK).agg(
         F.count(F.lit(1)).alias("__bcnt"),
         *[F.sum(F.col(v)).alias(f"__bsum_{v}") for v in value_cols])
-    w_prev = (Window.partitionBy(*run_cols).orderBy(b)
-              .rowsBetween(Window.unboundedPreceding, -1))
-    w_all = Window.partitionBy(*run_cols)
+    w_prev = Window.partitionBy(_RUN).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *run_cols, b,
+        _RUN, _BLOCK,
         F.coalesce(F.sum("__bcnt").over(w_prev), F.lit(0)).alias("__ocnt"),
-        F.sum("__bcnt").over(w_all).alias("run_count"),
-        *[F.coalesce(F.sum(f"__bsum_{v}").over(w_prev), F.lit(0)).alias(f"__osum_{v}")
-          for v in value_cols])
-    out = local.join(offsets, on=[*run_cols, b], how="inner")
-    out = out.withColumn("position", (F.col("__ocnt") + F.col("__lpos")).cast("bigint"))
-    out = out.withColumn("run_count", F.col("run_count").cast("bigint"))
-    for v in value_cols:
-        out = out.withColumn(f"running_sum_{v}", F.col(f"__osum_{v}") + F.col(f"__lsum_{v}"))
-    drop = [b, "__lpos", "__ocnt"] + [f"__lsum_{v}" for v in value_cols] + [f"__osum_{v}" for v in value_cols]
-    return out.drop(*drop)
+        F.sum("__bcnt").over(Window.partitionBy(_RUN)).alias("__n"),
+        *[F.sum(f"__bsum_{v}").over(w_prev).alias(f"__osum_{v}") for v in value_cols])
+    out = local.join(offsets, [_RUN, _BLOCK])
+    sums = [F.when(F.col(f"__osum_{v}").isNull(), F.col(f"__lsum_{v}"))
+             .otherwise(F.col(f"__osum_{v}") + F.coalesce(f"__lsum_{v}", F.lit(0))).alias(f"running_sum_{v}")
+            for v in value_cols]
+    return out.select(*df.columns, (F.col("__ocnt") + F.col("__lpos")).cast("bigint").alias("position"),
+                      F.col("__n").cast("bigint").alias("run_count"), *sums)
 
 
 def running_mean(df: DataFrame, run_cols: list[str], order_cols: list[str], value: str,
                  out: str = "running_mean", n_blocks: int | None = None) -> DataFrame:
     """Mean of ``value`` over the run's rows up to the current one."""
-    r = running_stats(df, run_cols, order_cols, [value], n_blocks)
+    r = running_stats(df, run_cols, order_cols, [value], n_blocks)      # a null value counts as a row without a value
     return (r.withColumn(out, F.col(f"running_sum_{value}") / F.col("position"))
              .drop(f"running_sum_{value}"))
 
@@ -209,8 +115,8 @@ def first_n(df: DataFrame, run_cols: list[str], order_cols: list[str], n: int) -
     """
     w = Window.partitionBy(*run_cols).orderBy(*order_cols)
     head = df.withColumn("position", F.row_number().over(w).cast("bigint")).filter(F.col("position") <= n)
-    totals = df.groupBy(*run_cols).agg(F.count(F.lit(1)).alias("run_count"))
-    return (head.join(totals, on=run_cols, how="inner")
+    totals = df.groupBy(*run_cols).agg(F.count(F.lit(1)).alias("run_count")).select(F.struct(*run_cols).alias(_RUN), "run_count")
+    return (head.withColumn(_RUN, F.struct(*run_cols)).join(totals, _RUN).drop(_RUN)      # null runs are runs too
                 .withColumn("n_more", F.greatest(F.col("run_count") - F.lit(n), F.lit(0)).cast("bigint")))
 
 

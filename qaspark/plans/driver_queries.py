@@ -261,6 +261,16 @@ def q16_progress(spark, sf):
                     F.round("progress_pct", MEAN_DIGITS).alias("progress_pct"), "is_report")
 
 
+def q16b_running_nulls(spark, sf):
+    """W1 on rows with a null run key and null values: running position, run size
+    and sum of the events by type (errors have no run, every third no value)."""
+    ev = table(spark, sf, "events").select(
+        F.nullif("event_type", F.lit("error")).alias("run"), "ts", "event_id",
+        F.when(F.col("event_id") % 3 != 0, F.col("value").cast("decimal(18,4)")).alias("value"))
+    return seq.running_stats(ev, ["run"], ["ts", "event_id"], ["value"]).select(
+        "run", "event_id", "position", "run_count", F.col("running_sum_value").cast("double").alias("running_sum"))
+
+
 def q17_series(spark, sf):
     """Per-item scalar series (0-based iteration), two series per run."""
     items = _run_items(spark, sf)
@@ -573,6 +583,7 @@ QUERIES = {
     "q14_sentinels": q14_sentinels,
     "q15_latest_value": q15_latest_value,
     "q16_progress": q16_progress,
+    "q16b_running_nulls": q16b_running_nulls,
     "q17_series": q17_series,
     "q17b_telemetry_series": q17b_telemetry_series,
     "q18_preview": q18_preview,

@@ -261,6 +261,15 @@ SELECT run, conv_id, turn, position, run_count, round(rm, 6) AS running_mean,
        round(position * 100.0::DOUBLE / run_count, 6) AS progress_pct, position % 100 = 0 AS is_report
 FROM w WHERE position = 1 OR position % 10 = 0"""
 
+    q["q16b_running_nulls"] = """
+WITH e AS (SELECT nullif(event_type, 'error') AS run, ts, event_id,
+             CASE WHEN event_id % 3 <> 0 THEN value::DECIMAL(18,4) END AS value FROM events)
+SELECT run, event_id, row_number() OVER (PARTITION BY run ORDER BY ts, event_id)::BIGINT AS position,
+       count(*) OVER (PARTITION BY run)::BIGINT AS run_count,
+       (sum(value) OVER (PARTITION BY run ORDER BY ts, event_id
+                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::DOUBLE AS running_sum
+FROM e"""
+
     q["q17_series"] = f"""
 WITH {SCORED_PAIRS},
   r AS (SELECT (conv_id % 2)::BIGINT AS run,

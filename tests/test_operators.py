@@ -107,22 +107,6 @@ def test_lexical_top_k(spark):
     assert got == sorted(want)
 
 
-def test_block_lookup_two_levels_matches_bisect(spark):
-    import bisect
-    from pyspark.sql import functions as F
-    from qaspark.operators.sequence import block_of
-    rnd = random.Random(9)
-    bounds = sorted({(rnd.randint(0, 5), rnd.randint(0, 1000)) for _ in range(300)})
-    rows = [(rnd.randint(0, 5), rnd.randint(-5, 1005)) for _ in range(2000)] + list(bounds)
-    df = spark.createDataFrame(rows, "r long, o long")
-    key = F.struct(F.col("r").alias("k0"), F.col("o").alias("k1"))
-    key_type = df.select(key.alias("k")).schema["k"].dataType
-    for level in (1000, 16):                    # one level, then two levels
-        got = df.select("r", "o", block_of(key, bounds, key_type, level_size=level).alias("b")).collect()
-        for r in got:
-            assert r.b == bisect.bisect_right(bounds, (r.r, r.o))
-
-
 def test_running_stats_many_blocks(spark):
     rnd = random.Random(4)
     rows = [(0 if rnd.random() < 0.7 else rnd.randint(1, 3), i, float(rnd.randint(0, 9))) for i in range(3000)]
@@ -149,17 +133,27 @@ def test_recall_join_checkpointed_postings(spark):
     assert got == want
 
 
-def test_running_stats_splits_only_hot_runs(spark, monkeypatch):
-    rows = [(0, i, 1.0) for i in range(400)] + [(r, i, 2.0) for r in range(1, 4) for i in range(5)]
-    df = spark.createDataFrame(rows, "run long, o long, v double")
-    assert seq.plan_blocks(df, ["run"], ["o"]) is None                 # nothing hot at the default size
-    monkeypatch.setattr(seq, "ROWS_PER_BLOCK", 50)
-    plan = seq.plan_blocks(df, ["run"], ["o"])
-    assert plan is not None and len(plan[0]) > 1                      # the 400-row run is split
-    got = {(r.run, r.o): (r.position, r.run_count, r.running_sum_v)
-           for r in seq.running_stats(df, ["run"], ["o"], ["v"]).collect()}
-    assert got[(0, 399)] == (400, 400, 400.0) and got[(2, 4)] == (5, 5, 10.0)
-    assert all(got[(0, i)][0] == i + 1 for i in range(400))
+@pytest.mark.parametrize("n_blocks", [1, 3, 40])
+def test_running_stats_null_runs_and_values(spark, n_blocks):
+    """Any number of blocks gives the same rows: a null run is a run, null values
+    add nothing, and a sum is null until the run's first value."""
+    rnd = random.Random(12)
+    rows = [(None if rnd.random() < 0.3 else rnd.randint(0, 2), i, None if rnd.random() < 0.4 or i < 60 else rnd.randint(0, 9))
+            for i in range(300)]
+    df = spark.createDataFrame(rows, "run long, o long, v long")
+    got = {r.o: (r.run, r.position, r.run_count, r.running_sum_v)
+           for r in seq.running_stats(df, ["run"], ["o"], ["v"], n_blocks=n_blocks).collect()}
+    count, total, want = {}, {}, {}
+    for run, o, v in rows:
+        count[run] = count.get(run, 0) + 1
+        if v is not None:
+            total[run] = total.get(run, 0) + v
+        want[o] = [run, count[run], None, total.get(run)]
+    for w in want.values():
+        w[2] = count[w[0]]
+    assert got == {o: tuple(w) for o, w in want.items()}
+    head = seq.first_n(df, ["run"], ["o"], 4).collect()
+    assert len(head) == 4 * len(count) and {(r.run, r.run_count) for r in head} == set(count.items())
 
 
 def test_dense_null_vectors_score_zero(spark):

@@ -48,20 +48,6 @@ def test_entry(spark):
     assert df.count() > 0
 
 
-@pytest.mark.parametrize("key", ["q10_distinct_models", "q16_progress", "q17_series", "q17b_telemetry_series"])
-def test_block_split_path_matches_oracle(spark, con, key, monkeypatch):
-    """The hot-run path (runs split into ordinal blocks) gives the oracle's
-    answer on the real tables: forced by a tiny rows-per-block."""
-    from qaspark.operators import sequence as seq
-    monkeypatch.setattr(seq, "ROWS_PER_BLOCK", 5)
-    monkeypatch.setattr(seq, "DEFAULT_BLOCKS", 8)
-    df = E.queries()[key](spark, SF_SMALL)
-    assert "__block" in df._jdf.queryExecution().analyzed().toString()        # the split path ran
-    res = con.execute(E.oracle_sql()[key])
-    dcols = [d[0] for d in res.description]
-    assert _norm_rows(df.columns, [tuple(r) for r in df.collect()]) == _norm_rows(dcols, res.fetchall())
-
-
 @pytest.mark.parametrize("key", ["q19_recall_join", "q24_multi_answer", "q26_messages"])
 def test_salted_paths_match_oracle(spark, con, key, monkeypatch):
     """Hot-key salting forced on the real tables (tiny bucket sizes, full
