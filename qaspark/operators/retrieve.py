@@ -1,177 +1,249 @@
 """Top-k retrieval of contexts for queries.
 
-Both retrievers scan the corpus once per query block; the query block has a
-proven row bound and is broadcast, the corpus stays partitioned where it is:
-
-* each corpus partition scores its rows against the whole query block with
-  numpy on Arrow batches (``mapInArrow``; vectors and token lists are
-  unpacked by vectorised Arrow calls, no per-row Python), in chunks of corpus
-  rows sorted by id and sized so one score matrix stays bounded;
-* only the top ``k`` rows per query and chunk leave the task -- never all
-  pairs;
-* the final top-k per query is ``row_number() <= k``, which Spark plans as a
-  WindowGroupLimit (partial limit before the shuffle, final after it).
-
-Ties are broken by corpus id ascending at every step, so the result is exact.
-A query set above the bound is processed in hash blocks of bounded size, one
-job per block (see :func:`_collect_candidates`).
+Both retrievers are one distributed job. Queries and corpus rows are packed into tiles
+(Arrow payloads of bounded rows and bytes). Corpus tiles are dealt over the shuffle
+partitions, every query tile goes to each of them, and an equi-join on that number
+pairs them. A task scores tile against tile with numpy and keeps one running top-k per
+query, which it emits once per query tile: at most ``partitions x queries x k`` rows
+reach the final top-k, a ``row_number() <= k`` that Spark plans as a WindowGroupLimit.
+
+Nothing passes through the driver and nothing is broadcast, whatever the number of
+queries. Ties are broken by corpus id ascending at every step, so the result is exact.
 """
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import tokens
-from ..session import bounded_rows, ensure_checkpoint_dir
-
-QUERY_BLOCK_ROWS = 20_000
-CHUNK_ROWS = 1024
-MAX_CHUNK_CELLS = 4_000_000      # bound of one (chunk x queries) score matrix
-MAX_BLOCK_BYTES = 32 << 20       # bound of one broadcast dense query block
-MAX_EXPANSION = 4_000_000        # bound of one (text token → query) expansion slice
-FREQ_QUERIES = 32                # tokens in more queries than this use the dense product
-MAX_DENSE_CELLS = 4_000_000      # bound of the broadcast (tokens x queries) incidence matrix
-OUT_SCHEMA = T.StructType([T.StructField("query_id", T.LongType()),
-                           T.StructField("context_id", T.LongType()),
-                           T.StructField("score", T.DoubleType())])
-
-
-def _top_k_rows(score: np.ndarray, corpus_ids: np.ndarray, query_ids: np.ndarray, k: int):
-    """``score`` is (chunk, queries) with chunk rows sorted by id; returns the
-    per-query top-k (score desc, id asc) as flat arrays."""
-    kk = min(k, score.shape[0])
-    order = np.argsort(-score, axis=0, kind="stable")[:kk]          # (kk, queries)
-    q_idx = np.broadcast_to(np.arange(score.shape[1]), order.shape)
-    return (np.repeat(query_ids[None, :], kk, axis=0).ravel(),
-            corpus_ids[order].ravel(),
-            score[order, q_idx].ravel())
-
-
-def _blocks(queries: DataFrame, id_col: str, max_rows: int):
-    n = queries.count()
-    nb = max(1, -(-n // max_rows))
-    while True:
-        parts = [queries.filter(F.pmod(F.xxhash64(id_col), F.lit(nb)) == b) for b in range(nb)] if nb > 1 else [queries]
-        if all(bounded_rows(p, max_rows) is not None for p in parts):
-            return parts
-        nb *= 2
-
-
-def _collect_candidates(spark, results: list[DataFrame], schema: T.StructType) -> DataFrame:
-    """One block stays a lazy plan. Several blocks run as one job each,
-    appending their (small) top-k candidates to a folder under the shared
-    checkpoint directory, so the plan does not grow with the number of
-    blocks; the final top-k reads the folder."""
-    if not results:
-        return spark.createDataFrame([], schema)
-    if len(results) == 1:
-        return results[0]
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/retrieve-{uuid.uuid4().hex}"
-    for r in results:
-        r.write.mode("append").parquet(folder)
-    return spark.read.schema(schema).parquet(folder)
-
-
-def _final_top_k(cands: DataFrame, k: int) -> DataFrame:
+from ..shipping import ship
+from .skew import skew_join
+
+TILE_ROWS = 2048                 # rows of a tile, and
+TILE_BYTES = 512 << 10           # about as many bytes of vectors or tokens
+MAX_EXPANSION = 4_000_000        # bound of one (text token -> query) expansion slice
+FREQ_QUERIES = 32                # tokens in more queries of a tile than this use the dense product
+MAX_DENSE_CELLS = 4_000_000      # bound of a tile's (tokens x queries) incidence matrix
+ARGMAX_K = 16                    # up to this k the best rows are taken one after the other
+HITS = "query_id long, context_id long, score double"
+
+
+# ---------------------------------------------------------------- tiles
+
+def _tiles(df: DataFrame) -> DataFrame:
+    """``(id, value)`` rows as tiles ``(tile, payload)``, packed where they lie; the rows of
+    a tile are sorted by id."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, n = TaskContext.get().partitionId() << 32, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = max(1, min(TILE_ROWS, int(b.num_rows * TILE_BYTES // max(1, b.nbytes))))
+            for a in range(0, b.num_rows, rows):
+                part = b.slice(a, rows)
+                part = part.take(pc.sort_indices(part.column(0)))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema) as w:
+                    w.write_batch(part)
+                yield pa.RecordBatch.from_arrays([pa.array([base + n], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                                                 ["tile", "payload"])
+                n += 1
+    return df.mapInArrow(pack, "tile long, payload binary")
+
+
+def _unpack(payload: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(payload).read_next_batch()
+
+
+def _best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per query (column) the k best rows, score descending then id ascending, as
+    ``(scores, ids)`` of shape (k, queries); rows are sorted by id. Consumes ``score``."""
+    k = min(k, score.shape[0])
+    if k > ARGMAX_K:
+        order = np.argsort(-score, axis=0, kind="stable")[:k]
+        return np.take_along_axis(score, order, axis=0), ids[order]
+    columns = np.arange(score.shape[1])
+    values, rows = [], []
+    for _ in range(k):
+        at = score.argmax(axis=0)                        # the first of equals: the smallest id
+        values.append(score[at, columns])
+        rows.append(ids[at])
+        score[at, columns] = -np.inf
+    return np.array(values), np.array(rows)
+
+
+def _merge(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    score, ids = np.concatenate((a[0], b[0])), np.concatenate((a[1], b[1]))
+    order = np.lexsort((ids, -score), axis=0)[:k]
+    return np.take_along_axis(score, order, axis=0), np.take_along_axis(ids, order, axis=0)
+
+
+def _search(queries: DataFrame, corpus: DataFrame, k: int, tile_of: Callable, exclude_self: bool = False) -> DataFrame:
+    """Top-k of ``corpus(id, value)`` for each of ``queries(id, value)``. ``tile_of`` makes
+    a scorer of an unpacked query tile: ``scorer(corpus batch) -> (rows x queries)`` scores."""
+    spark = ship(corpus.sparkSession)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    q = _tiles(queries).select(F.col("tile").alias("q_tile"), F.col("payload").alias("q"),
+                               F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    c = _tiles(corpus).select(F.pmod(F.xxhash64("tile"), F.lit(parts)).cast("int").alias("part"), F.col("payload").alias("c"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, scorer, q_ids, best = None, None, None, None
+
+        def done() -> pa.RecordBatch:
+            keep = np.isfinite(best[0])
+            ids = np.broadcast_to(q_ids, best[0].shape)
+            return pa.RecordBatch.from_arrays([pa.array(ids[keep], pa.int64()), pa.array(best[1][keep], pa.int64()),
+                                               pa.array(best[0][keep], pa.float64())], ["query_id", "context_id", "score"])
+        for b in batches:
+            for tile, q_payload, c_payload in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                if tile != now:
+                    if best is not None:
+                        yield done()
+                    batch = _unpack(q_payload.as_py())
+                    now, best = tile, None
+                    q_ids, scorer = batch.column(0).to_numpy().astype(np.int64), tile_of(batch)
+                texts = _unpack(c_payload.as_py())
+                ids = texts.column(0).to_numpy().astype(np.int64)
+                s = scorer(texts)
+                if exclude_self:
+                    s[ids[:, None] == q_ids[None, :]] = -np.inf
+                found = _best(s, ids, k)
+                best = found if best is None else _merge(best, found, k)
+        if best is not None:
+            yield done()
+
+    return _final_top_k(q.join(c.hint("merge"), "part").select("q_tile", "q", "c").mapInArrow(score, HITS), k)
+
+
+def _final_top_k(hits: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("context_id").asc())
-    return (cands.withColumn("rank", F.row_number().over(w).cast("bigint"))
-                 .filter(F.col("rank") <= k))
+    return (hits.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
+            .select("query_id", "rank", "context_id", "score"))
 
 
-def _chunk_rows(n_queries: int) -> int:
-    """Corpus rows per scoring chunk, so a (chunk x queries) matrix stays
-    under ``MAX_CHUNK_CELLS`` entries whatever the query block size."""
-    return int(max(16, min(CHUNK_ROWS, MAX_CHUNK_CELLS // max(1, n_queries))))
+# ---------------------------------------------------------------- dense
 
-
-def _sorted_by_id(batch: pa.RecordBatch, id_col: str) -> pa.RecordBatch:
-    return batch.take(pc.sort_indices(batch.column(id_col)))
-
-
-def _vectors(col: pa.Array) -> np.ndarray:
-    """``array<float>`` column of equal-length vectors → 2-D float64 matrix,
-    without a per-row Python loop."""
-    if len(col) == 0:
-        return np.zeros((0, 0))
-    flat = pc.list_flatten(col).to_numpy(zero_copy_only=False).astype(np.float64)
-    if flat.size % len(col):
+def _unit_rows(col: pa.Array, dim: int) -> np.ndarray:
+    """A list column as a matrix of unit rows; a null or empty vector is a zero row, and
+    vectors of another length are an error."""
+    size = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
+    if ((size != 0) & (size != dim)).any():
         raise ValueError("embeddings of different lengths cannot be compared")
-    return flat.reshape(len(col), -1)
-
-
-def _unit_rows(m: np.ndarray) -> np.ndarray:
+    m = np.zeros((len(col), dim))
+    m[size > 0] = pc.list_flatten(col).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
     n = np.linalg.norm(m, axis=1)
     return np.divide(m, n[:, None], out=np.zeros_like(m), where=n[:, None] > 0)
 
 
-def _out_batch(qq, cc, vv) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(qq, pa.int64()), pa.array(cc, pa.int64()),
-                                       pa.array(vv, pa.float64())], names=["query_id", "context_id", "score"])
+def _dim(*cols: pa.Array) -> int:
+    return max([1, *(int(pc.max(pc.list_value_length(c)).as_py() or 0) for c in cols)])
+
+
+def _dense_tile(batch: pa.RecordBatch) -> Callable:
+    col = batch.column(1)
+
+    def scores(texts: pa.RecordBatch) -> np.ndarray:
+        dim = _dim(col, texts.column(1))
+        # rounded, so that equal vectors tie whatever the shape of the product
+        return np.round(_unit_rows(texts.column(1), dim) @ _unit_rows(col, dim).T, 12)
+    return scores
 
 
 def retrieve_dense(queries: DataFrame, corpus: DataFrame, query_id: str, query_vec: str,
-                   corpus_id: str, corpus_vec: str, k: int = 3, exclude_self: bool = False,
-                   max_query_rows: int | None = None) -> DataFrame:
+                   corpus_id: str, corpus_vec: str, k: int = 3, exclude_self: bool = False) -> DataFrame:
     """Top-k corpus rows per query by cosine similarity (0 when a norm is 0).
 
     Returns ``(query_id, rank, context_id, score)``; ``exclude_self`` drops a
     corpus row whose id equals the query id (for a table searched against
-    itself).
+    itself). Query ids should be unique: rows that repeat one are searched as one.
     """
-    spark = corpus.sparkSession
-    first = queries.select(F.size(query_vec).alias("d")).where(F.col("d") > 0).limit(1).collect()
-    dim = first[0]["d"] if first else 1
-    # bound the broadcast bytes too: rows x dim doubles stay under MAX_BLOCK_BYTES
-    block_rows = max(1, min(max_query_rows or QUERY_BLOCK_ROWS, MAX_BLOCK_BYTES // (8 * dim)))
-
-    def zero_if_missing(c: str):
-        """A null or empty vector is a zero vector (it scores 0 against everything)."""
-        v = F.col(c)
-        return F.when(v.isNull() | (F.size(v) == 0), F.array_repeat(F.lit(0.0), dim)) \
-                .otherwise(v.cast("array<double>")).alias(c)
-    queries = queries.select(query_id, zero_if_missing(query_vec))
-    corpus = corpus.select(corpus_id, zero_if_missing(corpus_vec))
-    results = []
-    for block in _blocks(queries, query_id, block_rows):
-        tbl = block.toArrow()
-        if tbl.num_rows == 0:
-            continue
-        qids = tbl.column(query_id).to_numpy().astype(np.int64)
-        qm = _unit_rows(_vectors(tbl.column(query_vec).combine_chunks()))
-        bq = spark.sparkContext.broadcast((qids, qm))
-        chunk = _chunk_rows(len(qids))
-        kk = k + (1 if exclude_self else 0)
-
-        def score_partition(it, bq=bq, chunk=chunk, kk=kk):
-            q_ids, q_mat = bq.value
-            for batch in it:
-                if batch.num_rows == 0:
-                    continue
-                batch = _sorted_by_id(batch, corpus_id)
-                ids_all = batch.column(corpus_id).to_numpy().astype(np.int64)
-                vecs = _unit_rows(_vectors(batch.column(corpus_vec)))
-                for s in range(0, batch.num_rows, chunk):
-                    ids = ids_all[s:s + chunk]
-                    sc = vecs[s:s + chunk] @ q_mat.T                    # (chunk, queries)
-                    if exclude_self:
-                        sc = np.where(ids[:, None] == q_ids[None, :], -np.inf, sc)
-                    qq, cc, vv = _top_k_rows(sc, ids, q_ids, kk)
-                    keep = np.isfinite(vv)
-                    yield _out_batch(qq[keep], cc[keep], vv[keep])
-
-        results.append(corpus.select(corpus_id, corpus_vec).mapInArrow(score_partition, OUT_SCHEMA))
-    return _final_top_k(_collect_candidates(spark, results, OUT_SCHEMA), k).select(
-        "query_id", "rank", "context_id", "score")
+    def side(df: DataFrame, i: str, v: str) -> DataFrame:
+        return df.select(F.col(i).cast("long").alias("id"), F.col(v).cast("array<double>").alias("value"))
+    return _search(side(queries, query_id, query_vec), side(corpus, corpus_id, corpus_vec), k, _dense_tile, exclude_self)
+
+
+# ---------------------------------------------------------------- lexical
+
+class _LexicalTile:
+    """The tokens of a query tile, ready to count shared tokens with many texts."""
+
+    def __init__(self, batch: pa.RecordBatch, often_from: int, expansion: int):
+        self.expansion = expansion
+        lists = batch.column(1)
+        self.n = batch.num_rows
+        self.sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.float64)
+        flat = pc.list_flatten(lists).to_numpy(zero_copy_only=False)
+        owner = pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+        self.vocab = pd.Index(pd.unique(flat))
+        token = self.vocab.get_indexer(flat).astype(np.int64)
+        order = np.argsort(token, kind="stable")
+        self.owner = owner[order]
+        self.start = np.searchsorted(token[order], np.arange(len(self.vocab) + 1))
+        # tokens shared by many queries are counted by a dense matrix product
+        per_token = np.diff(self.start)
+        often = np.flatnonzero(per_token > often_from)
+        room = MAX_DENSE_CELLS // max(1, self.n)
+        often = often[np.argsort(-per_token[often], kind="stable")[:room]]
+        self.column = np.full(len(self.vocab), -1, np.int64)
+        self.column[often] = np.arange(len(often))
+        self.incidence = np.zeros((len(often), self.n), np.float32)
+        for i, t in enumerate(often.tolist()):
+            self.incidence[i, self.owner[self.start[t]:self.start[t + 1]]] = 1.0
+
+    def __call__(self, texts: pa.RecordBatch) -> np.ndarray:
+        lists = texts.column(1)
+        rows = pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+        token = self.vocab.get_indexer(pc.list_flatten(lists).to_numpy(zero_copy_only=False))
+        rows, token = rows[token >= 0], token[token >= 0]
+        count = np.zeros(len(lists) * self.n)
+        dense = self.column[token] >= 0
+        if dense.any():
+            # tokens of a text are distinct, so presence is 0/1; float32 products of small integers are exact
+            present = np.zeros((len(lists), self.incidence.shape[0]), np.float32)
+            present[rows[dense], self.column[token[dense]]] = 1.0
+            count += (present @ self.incidence).ravel()
+            rows, token = rows[~dense], token[~dense]
+        length = self.start[token + 1] - self.start[token]
+        ends = np.cumsum(length)
+        lo = 0
+        while lo < len(token):                           # slices of bounded expansion
+            base = ends[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, base + self.expansion, side="right")))
+            n = length[lo:hi]
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.start[token[lo:hi]], n)
+            count += np.bincount(np.repeat(rows[lo:hi], n) * self.n + self.owner[at], minlength=len(count))
+            lo = hi
+        count = count.reshape(len(lists), self.n)
+        return np.divide(count, self.sizes[None, :], out=np.zeros_like(count), where=self.sizes[None, :] > 0)
 
 
+def retrieve_lexical(queries: DataFrame, corpus: DataFrame, query_id: str, query_text: str,
+                     corpus_id: str, corpus_text: str, k: int = 3) -> DataFrame:
+    """Top-k corpus texts per query by token recall of the query in the text
+    (``|Q n D| / |Q|``; 0 for a query without words).
+
+    Tokens are computed JVM-side; tasks map a tile's tokens onto the vocabulary of a
+    query tile and count the shared ones with numpy.
+    Returns ``(query_id, rank, context_id, score)``.
+    """
+    def side(df: DataFrame, i: str, t: str) -> DataFrame:
+        return df.select(F.col(i).cast("long").alias("id"), tokens(F.col(t)).alias("value"))
+    return _search(side(queries, query_id, query_text), side(corpus, corpus_id, corpus_text), k,
+                   partial(_LexicalTile, often_from=FREQ_QUERIES, expansion=MAX_EXPANSION))
+
+
+# ---------------------------------------------------------------- the lexical index
+
 def build_postings(corpus: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """U4: the lexical index -- one ``(token, context_id)`` row per distinct
     token of each corpus text (write it as parquet to keep it)."""
@@ -186,104 +258,22 @@ def index_size(postings: DataFrame) -> DataFrame:
                         F.sum(F.octet_length("token")).cast("bigint").alias("token_bytes"))
 
 
-def retrieve_lexical(queries: DataFrame, corpus: DataFrame, query_id: str, query_text: str,
-                     corpus_id: str, corpus_text: str, k: int = 3,
-                     max_query_rows: int | None = None) -> DataFrame:
-    """Top-k corpus texts per query by token recall of the query in the text
-    (``|Q ∩ D| / |Q|``; 0 for a query without words).
+def retrieve_from_index(queries: DataFrame, postings: DataFrame, corpus_ids: DataFrame, query_id: str, query_text: str,
+                        corpus_id: str, k: int = 3) -> DataFrame:
+    """The result of :func:`retrieve_lexical` from a kept index (:func:`build_postings`).
 
-    Tokens are computed JVM-side; each task maps its texts' tokens onto the
-    broadcast query vocabulary (vectorised hash lookup on the flattened Arrow
-    token array) and counts shared tokens with numpy.
-    Returns ``(query_id, rank, context_id, score)``.
+    Only postings of query tokens are joined (hot tokens salted) and shared tokens are
+    counted per (query, text). Texts that share nothing score 0: the ``k`` smallest ids
+    of ``corpus_ids`` stand in for them, which is all that a top-k can show.
     """
-    spark = corpus.sparkSession
-    qtok = queries.select(F.col(query_id).alias("qid"), tokens(F.col(query_text)).alias("toks"))
-    results = []
-    for block in _blocks(qtok, "qid", max_query_rows or QUERY_BLOCK_ROWS):
-        tbl = block.toArrow()
-        if tbl.num_rows == 0:
-            continue
-        qids = tbl.column("qid").to_numpy().astype(np.int64)
-        toks = tbl.column("toks").combine_chunks()
-        sizes = pc.list_value_length(toks).fill_null(0).to_numpy().astype(np.float64)
-        flat = pc.list_flatten(toks).to_numpy(zero_copy_only=False)
-        owner = pc.list_parent_indices(toks).to_numpy()
-        vocab = pd.Index(pd.unique(flat))
-        post_v = vocab.get_indexer(flat).astype(np.int64)
-        order = np.argsort(post_v, kind="stable")
-        post_v, post_q = post_v[order], owner[order].astype(np.int64)
-        starts = np.searchsorted(post_v, np.arange(len(vocab) + 1))
-        # tokens shared by many queries are scored by a dense matrix product:
-        # fcol maps a vocabulary index to its row of the (F x queries) incidence
-        # matrix, -1 for the others (F x queries stays under MAX_DENSE_CELLS)
-        q_per_token = np.diff(starts)
-        freq = np.nonzero(q_per_token > FREQ_QUERIES)[0]
-        max_f = MAX_DENSE_CELLS // max(1, len(qids))
-        if len(freq) > max_f:
-            freq = freq[np.argsort(-q_per_token[freq], kind="stable")[:max_f]]
-        fcol = np.full(len(vocab), -1, dtype=np.int64)
-        fcol[freq] = np.arange(len(freq))
-        inc = np.zeros((len(freq), len(qids)), dtype=np.float32)
-        if len(freq):
-            ln = q_per_token[freq]
-            before = np.cumsum(ln) - ln
-            idx = np.arange(ln.sum()) - np.repeat(before, ln) + np.repeat(starts[freq], ln)
-            inc[np.repeat(np.arange(len(freq)), ln), post_q[idx]] = 1.0
-        bq = spark.sparkContext.broadcast((qids, sizes, vocab, starts, post_q, fcol, inc))
-        chunk = _chunk_rows(len(qids))
-
-        def score_partition(it, bq=bq, chunk=chunk, max_expansion=MAX_EXPANSION):
-            q_ids, q_sizes, voc, st, pq, fc, inc_m = bq.value
-            nq = len(q_ids)
-            for batch in it:
-                if batch.num_rows == 0:
-                    continue
-                batch = _sorted_by_id(batch, "cid")
-                ids_all = batch.column("cid").to_numpy().astype(np.int64)
-                lists = batch.column("toks")
-                for s in range(0, batch.num_rows, chunk):
-                    part = lists.slice(s, chunk)
-                    ids = ids_all[s:s + chunk]
-                    rows = pc.list_parent_indices(part).to_numpy().astype(np.int64)
-                    v = voc.get_indexer(pc.list_flatten(part).to_numpy(zero_copy_only=False))
-                    hit = v >= 0
-                    rows, v = rows[hit], v[hit]
-                    counts = np.zeros(len(ids) * nq, dtype=np.float64)
-                    dense = fc[v] >= 0
-                    if dense.any():
-                        # tokens of a text are distinct, so presence is 0/1; float32
-                        # products of small integers are exact
-                        pres = np.zeros((len(ids), inc_m.shape[0]), dtype=np.float32)
-                        pres[rows[dense], fc[v[dense]]] = 1.0
-                        counts += (pres @ inc_m).ravel()
-                        rows, v = rows[~dense], v[~dense]
-                    if len(v):
-                        # expand each text token into the queries that hold it and count
-                        # (text row, query) pairs with bincount -- in slices of text tokens
-                        # whose expansion stays under MAX_EXPANSION entries (a token shared
-                        # by every query would otherwise blow the index arrays up)
-                        lens = st[v + 1] - st[v]
-                        ends = np.cumsum(lens)
-                        lo = 0
-                        while lo < len(v):
-                            base = ends[lo - 1] if lo else 0
-                            hi = max(lo + 1, int(np.searchsorted(ends, base + max_expansion, side="right")))
-                            sl = slice(lo, hi)
-                            ln = lens[sl]
-                            before = np.cumsum(ln) - ln
-                            idx = np.arange(ln.sum()) - np.repeat(before, ln) + np.repeat(st[v[sl]], ln)
-                            flat_ix = np.repeat(rows[sl], ln) * nq + pq[idx]
-                            counts += np.bincount(flat_ix, minlength=len(ids) * nq)
-                            lo = hi
-                    counts = counts.reshape(len(ids), nq)
-                    sc = np.divide(counts, q_sizes[None, :], out=np.zeros_like(counts), where=q_sizes[None, :] > 0)
-                    yield _out_batch(*_top_k_rows(sc, ids, q_ids, k))
-
-        corpus_tok = corpus.select(F.col(corpus_id).alias("cid"), tokens(F.col(corpus_text)).alias("toks"))
-        results.append(corpus_tok.mapInArrow(score_partition, OUT_SCHEMA))
-    return _final_top_k(_collect_candidates(spark, results, OUT_SCHEMA), k).select(
-        "query_id", "rank", "context_id", "score")
+    q = queries.select(F.col(query_id).cast("long").alias("query_id"), tokens(F.col(query_text)).alias("toks"))
+    words = q.select("query_id", F.size("toks").alias("n"), F.explode("toks").alias("token"))
+    shared = (skew_join(postings.select("token", "context_id"), words, ["token"])
+              .groupBy("query_id", "context_id").agg((F.count(F.lit(1)) / F.max("n")).alias("score")))
+    least = corpus_ids.select(F.col(corpus_id).cast("long").alias("context_id")).orderBy("context_id").limit(k)
+    none = q.select("query_id").join(F.broadcast(least), F.lit(True)).withColumn("score", F.lit(0.0))      # k rows
+    both = shared.unionByName(none).groupBy("query_id", "context_id").agg(F.max("score").alias("score"))
+    return _final_top_k(both, k)
 
 
 def attach_contexts(retrieved: DataFrame, corpus: DataFrame, corpus_id: str, corpus_text: str,

@@ -25,37 +25,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 4096
-MAX_HOT_KEYS = 100_000
-SAMPLE = 0.05
+SAMPLE_OF = 20                 # one of so many rows is counted to find hot keys
+NULL_BUCKETS = 4096            # rows with a null key match nothing; they are spread over these
 
 
 def hot_keys(df: DataFrame, keys: list[str], rows_per_bucket: int = ROWS_PER_BUCKET,
-             sample: float = SAMPLE, max_hot: int = MAX_HOT_KEYS) -> DataFrame:
-    """``(keys…, buckets)`` for keys estimated above ``rows_per_bucket`` rows,
-    at most ``max_hot`` of them (the largest)."""
-    src = df.select(*keys).sample(False, sample, seed=23) if sample < 1.0 else df.select(*keys)
-    est = F.count(F.lit(1)) / F.lit(sample if sample < 1.0 else 1.0)
-    counted = src.groupBy(*keys).agg(est.alias("__rows"))
-    buckets = F.least(F.lit(MAX_BUCKETS), F.ceil(F.col("__rows") / F.lit(rows_per_bucket))).cast("int")
-    return (counted.select(*keys, buckets.alias("buckets")).filter(F.col("buckets") > 1)
-                   .orderBy(F.col("buckets").desc(), *keys).limit(max_hot))
+             sample_of: int = SAMPLE_OF) -> DataFrame:
+    """``(keys..., buckets)`` for every key estimated above ``rows_per_bucket`` rows. The
+    sample is chosen by a hash of the row, so each evaluation gives the same buckets."""
+    src = df if sample_of <= 1 else df.filter(F.pmod(F.xxhash64(*df.columns), F.lit(sample_of)) == 0)
+    counted = src.groupBy(*keys).agg((F.count(F.lit(1)) * max(1, sample_of)).alias("__rows"))
+    return (counted.select(*keys, F.ceil(F.col("__rows") / F.lit(rows_per_bucket)).cast("int").alias("buckets"))
+                   .filter(F.col("buckets") > 1))
 
 
 def skew_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner",
-              rows_per_bucket: int | None = None, sample: float | None = None) -> DataFrame:
-    """``big.join(small, keys, how)`` with hot keys of ``big`` salted
-    (defaults: ``ROWS_PER_BUCKET`` and ``SAMPLE``)."""
+              rows_per_bucket: int | None = None, sample_of: int | None = None) -> DataFrame:
+    """``big.join(small, keys, how)`` with hot keys of ``big`` salted over as many buckets
+    as their size asks for. The table of hot keys is joined as a table; Spark broadcasts
+    it only if it proves small."""
     if how not in ("inner", "left", "left_outer"):
         raise ValueError("skew_join preserves the big side only: inner or left")
-    rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
-    sample = sample or SAMPLE
-    hot = F.broadcast(hot_keys(big, keys, rows_per_bucket, sample))          # bounded by its limit
-    n = F.coalesce(F.col("buckets"), F.lit(1))
+    hot = hot_keys(big, keys, rows_per_bucket or ROWS_PER_BUCKET, sample_of or SAMPLE_OF)
+    no_key = F.lit(False)
+    for k in keys:
+        no_key = no_key | F.col(k).isNull()
+    buckets = F.coalesce(F.col("buckets"), F.lit(1))
     b = (big.join(hot, on=keys, how="left")
-            .withColumn("__bucket", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), n).cast("int"))
+            .withColumn("__bucket", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]),
+                                           F.when(no_key, F.lit(NULL_BUCKETS)).otherwise(buckets)).cast("int"))
             .drop("buckets"))
     s = (small.join(hot, on=keys, how="left")
-              .withColumn("__bucket", F.explode(F.sequence(F.lit(0), n - 1)))
+              .withColumn("__bucket", F.explode(F.sequence(F.lit(0), buckets - 1)))
               .drop("buckets"))
     return b.join(s, on=[*keys, "__bucket"], how=how).drop("__bucket")

@@ -22,7 +22,8 @@ from ..operators import sequence as seq
 from ..operators.grid import run_grid, with_memory_estimate
 from ..operators.infer import CONSTANT_MODEL_BYTES
 from ..operators.recall_join import recall_join
-from ..operators.retrieve import attach_contexts, retrieve_dense, retrieve_lexical
+from ..operators.retrieve import (attach_contexts, build_postings, index_size, retrieve_dense, retrieve_from_index,
+                                  retrieve_lexical)
 from ..operators.score import pair_next_turn, score, to_prediction
 from ..operators.skew import skew_join
 from ..operators.telemetry import POWER_WARN, gpu_series, peak_telemetry, power_utilisation_pct
@@ -317,6 +318,18 @@ def q21_retrieve_lexical(spark, sf):
     return retrieve_lexical(bench, docs, "item_id", "text", "doc_id", "text", k=TOP_K)
 
 
+def q21b_retrieve_from_index(spark, sf):
+    """The same top-3 from the postings index of the documents."""
+    bench = table(spark, sf, "benchmark")
+    docs = table(spark, sf, "documents")
+    return retrieve_from_index(bench, build_postings(docs, "doc_id", "text"), docs, "item_id", "text", "doc_id", k=TOP_K)
+
+
+def q21c_index_size(spark, sf):
+    """U4: postings, distinct tokens and token bytes of the documents' index."""
+    return index_size(build_postings(table(spark, sf, "documents"), "doc_id", "text"))
+
+
 def q22_tokens(spark, sf):
     """word count and distinct token count per document."""
     d = table(spark, sf, "documents")
@@ -590,6 +603,8 @@ QUERIES = {
     "q19_recall_join": q19_recall_join,
     "q20_retrieve_dense": q20_retrieve_dense,
     "q21_retrieve_lexical": q21_retrieve_lexical,
+    "q21b_retrieve_from_index": q21b_retrieve_from_index,
+    "q21c_index_size": q21c_index_size,
     "q22_tokens": q22_tokens,
     "q23_recalls": q23_recalls,
     "q24_multi_answer": q24_multi_answer,

@@ -317,6 +317,12 @@ WITH b AS (SELECT item_id, {tokens('text')} AS t FROM benchmark),
      r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, context_id)::BIGINT AS rank FROM s)
 SELECT query_id, rank, context_id, score FROM r WHERE rank <= 3"""
 
+    q["q21b_retrieve_from_index"] = q["q21_retrieve_lexical"]
+
+    q["q21c_index_size"] = f"""
+WITH p AS (SELECT doc_id, unnest({tokens('text')}) AS token FROM documents)
+SELECT count(*)::BIGINT AS postings, count(DISTINCT token)::BIGINT AS tokens, sum(strlen(token))::BIGINT AS token_bytes FROM p"""
+
     q["q22_tokens"] = f"""
 SELECT doc_id, len({words('text')})::BIGINT AS n_words, len({tokens('text')})::BIGINT AS n_tokens
 FROM documents"""

@@ -80,7 +80,7 @@ def test_dense_top_k(spark):
     vecs[9] = vecs[10]                                # exact tie
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vecs)], "id long, e array<float>")
     got = sorted((r.query_id, r.rank, r.context_id) for r in
-                 retrieve_dense(df, df, "id", "e", "id", "e", k=3, exclude_self=True, max_query_rows=50).collect())
+                 retrieve_dense(df, df, "id", "e", "id", "e", k=3, exclude_self=True).collect())
     v = vecs.astype(np.float64)
     n = np.linalg.norm(v, axis=1)
     want = []
@@ -97,7 +97,7 @@ def test_lexical_top_k(spark):
     q = spark.createDataFrame(queries, "qid long, text string")
     c = spark.createDataFrame(corpus, "cid long, text string")
     got = sorted((r.query_id, r.rank, r.context_id, r.score) for r in
-                 retrieve_lexical(q, c, "qid", "text", "cid", "text", k=3, max_query_rows=12).collect())
+                 retrieve_lexical(q, c, "qid", "text", "cid", "text", k=3).collect())
     want = []
     for qid, qt in queries:
         t = _tok(qt)
@@ -171,10 +171,10 @@ def test_skew_join_matches_plain_join(spark):
     big = spark.createDataFrame([(0 if rnd.random() < 0.4 else rnd.randint(1, 30), i, rnd.random())
                                  for i in range(3000)], "k long, i long, v double")
     small = spark.createDataFrame([(k, f"s{k}", j) for k in range(0, 25) for j in range(2)], "k long, s string, j int")
-    hot = {r.k: r.buckets for r in hot_keys(big, ["k"], rows_per_bucket=100, sample=1.0).collect()}
+    hot = {r.k: r.buckets for r in hot_keys(big, ["k"], rows_per_bucket=100, sample_of=1).collect()}
     assert hot.get(0, 1) > 5                                        # the hot key is split
     for how in ("inner", "left"):
-        got = sorted(tuple(r) for r in skew_join(big, small, ["k"], how, rows_per_bucket=100, sample=0.5)
+        got = sorted(tuple(r) for r in skew_join(big, small, ["k"], how, rows_per_bucket=100, sample_of=2)
                      .select("k", "i", "s", "j").collect())
         want = sorted(tuple(r) for r in big.join(small, ["k"], how).select("k", "i", "s", "j").collect())
         assert got == want
@@ -195,6 +195,57 @@ def test_recall_join_without_truth_broadcast(spark, monkeypatch):
     assert got == want
 
 
+def test_skew_join_spreads_null_keys(spark):
+    from qaspark.operators.skew import skew_join
+    big = spark.createDataFrame([(None if i % 2 else i % 7, i) for i in range(400)], "k long, i long")
+    small = spark.createDataFrame([(k, f"s{k}") for k in (0, 2, None)], "k long, s string")
+    got = sorted(tuple(r) for r in skew_join(big, small, ["k"], "left", 10, 1).select("i", "s").collect())
+    assert got == sorted(tuple(r) for r in big.join(small, ["k"], "left").select("i", "s").collect())
+
+
+@pytest.mark.parametrize("k", [3, 40])
+def test_tiles_of_any_size_give_the_same_top_k(spark, monkeypatch, k):
+    """Small tiles, repeated query ids, null texts and vectors: still the brute-force result."""
+    from qaspark.operators import retrieve
+    monkeypatch.setattr(retrieve, "TILE_ROWS", 7)
+    queries = _corpus(20, 51) + [(500, None), (501, ""), (501, "")]
+    corpus = _corpus(60, 52) + [(900, None)]
+    q = spark.createDataFrame(queries, "qid long, text string").repartition(3)
+    c = spark.createDataFrame(corpus, "cid long, text string").repartition(5)
+    got = {}
+    for r in retrieve_lexical(q, c, "qid", "text", "cid", "text", k=k).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.context_id, r.score))
+    index = {}
+    postings = retrieve.build_postings(c, "cid", "text")
+    for r in retrieve.retrieve_from_index(q.dropDuplicates(["qid"]), postings, c, "qid", "text", "cid", k=k).collect():
+        index.setdefault(r.query_id, []).append((r["rank"], r.context_id, r.score))
+    for qid, qt in queries:
+        t = _tok(qt or "")
+        sc = sorted(((len(t & _tok(ct or "")) / len(t) if t else 0.0), cid) for cid, ct in corpus)
+        sc.sort(key=lambda x: (-x[0], x[1]))
+        want = [(i + 1, cid, s) for i, (s, cid) in enumerate(sc[:k])]
+        if qid != 501:
+            assert sorted(got[qid]) == want
+        assert sorted(index[qid]) == want
+    assert len(got[501]) == k                                          # a repeated id ends, with k rows
+
+
+def test_retrieval_runs_outside_the_repository(tmp_path):
+    """A session started in an unrelated folder: the workers import the shipped package."""
+    import os
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (f"import sys; sys.path.insert(0, {repo!r})\n"
+            "import __spark_entry__ as E\nfrom qaspark.session import build_session\n"
+            "s = build_session('local[2]', 2)\n"
+            "for q in ('q20_retrieve_dense', 'q21_retrieve_lexical', 'q35_context_prompts', 'q37_evaluation'):\n"
+            "    print(q, E.queries()[q](s, '/root/testdata/sf0.001').count() if q in E.queries() else 1)\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert run.returncode == 0, run.stderr[-2000:]
+
+
 def test_lexical_expansion_in_slices(spark, monkeypatch):
     """Tiny expansion slices (a common token shared by every query) give the
     same top-k as one big expansion."""
@@ -229,7 +280,7 @@ def test_lexical_dense_path_matches_brute_force(spark, monkeypatch, freq):
     q = spark.createDataFrame(queries, "qid long, text string")
     c = spark.createDataFrame(corpus, "cid long, text string")
     got = sorted((r.query_id, r.rank, r.context_id, r.score) for r in
-                 retrieve_lexical(q, c, "qid", "text", "cid", "text", k=3, max_query_rows=12).collect())
+                 retrieve_lexical(q, c, "qid", "text", "cid", "text", k=3).collect())
     want = []
     for qid, qt in queries:
         t = _tok(qt)

@@ -55,24 +55,10 @@ def test_salted_paths_match_oracle(spark, con, key, monkeypatch):
     from qaspark.operators import recall_join as rj
     from qaspark.operators import skew
     monkeypatch.setattr(skew, "ROWS_PER_BUCKET", 2)
-    monkeypatch.setattr(skew, "SAMPLE", 1.0)
+    monkeypatch.setattr(skew, "SAMPLE_OF", 1)
     monkeypatch.setattr(rj, "ROWS_PER_SALT", 2)
     monkeypatch.setattr(rj, "BROADCAST_MAX_ROWS", 10)              # the truth-token expansion is salted too
     df = E.queries()[key](spark, SF_SMALL)
     res = con.execute(E.oracle_sql()[key])
     dcols = [d[0] for d in res.description]
     assert _norm_rows(df.columns, [tuple(r) for r in df.collect()]) == _norm_rows(dcols, res.fetchall())
-
-
-@pytest.mark.parametrize("key,block", [("q20_retrieve_dense", 150), ("q21_retrieve_lexical", 12),
-                                       ("q35_context_prompts", 12)])
-def test_multi_block_retrieval_matches_oracle(spark, con, key, block, monkeypatch):
-    """Query blocks forced small (about four per query set): each block job
-    writes its candidates to the checkpoint folder, and the final top-k is
-    still the oracle's."""
-    from qaspark.operators import retrieve
-    monkeypatch.setattr(retrieve, "QUERY_BLOCK_ROWS", block)
-    df = E.queries()[key](spark, SF_SMALL)
-    res = con.execute(E.oracle_sql()[key])
-    dcols = [d[0] for d in res.description]
-    assert _norm_rows(df.columns, [tuple(r) for r in df.collect()]) == _norm_rows(dcols, res.fetchall())
