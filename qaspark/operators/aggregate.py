@@ -208,12 +208,18 @@ def metrics_long(wide: DataFrame, id_cols: list[str]) -> DataFrame:
 
 def flatten_config(df: DataFrame, config_col: str, id_cols: list[str]) -> DataFrame:
     """A JSON config column → ``(section, key, value)`` rows; a scalar at
-    the top level gives ``(section, null, value)``. One pass: each section
-    becomes an array of entries that is inlined."""
-    top = df.select(*id_cols, F.explode(F.from_json(F.col(config_col), "map<string,string>")).alias("section", "raw"))
+    the top level gives ``(section, null, value)``. A section is what *is* an
+    object; a string that looks like one stays a value, so the JSON type (VARIANT)
+    decides and the text is only rendered. Each section becomes an array of
+    entries that is inlined."""
+    sections = F.try_variant_get(F.try_parse_json(F.col(config_col)), "$", "map<string,variant>")
+    kinds = F.transform_values(sections, lambda _, v: F.schema_of_variant(v).startswith("OBJECT"))
+    top = (df.select(*id_cols, kinds.alias("__kinds"),
+                     F.explode(F.from_json(F.col(config_col), "map<string,string>")).alias("section", "raw"))
+             .withColumn("__object", F.coalesce(F.element_at("__kinds", F.col("section")), F.lit(False))).drop("__kinds"))
     nested = F.from_json(F.col("raw"), "map<string,string>")
     entry = "struct<key:string,value:string>"
-    entries = (F.when(F.col("raw").startswith("{") & nested.isNotNull(),
+    entries = (F.when(F.col("__object") & nested.isNotNull(),
                       F.transform(F.map_entries(nested),
                                   lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
                 .otherwise(F.array(F.struct(F.lit(None).cast("string").alias("key"),

@@ -1,10 +1,8 @@
 """Run grid (J1, J2, O1, O2): every model × every dataset for one mode, with
 the memory estimate looked up per model.
 
-The grid is a product of two *configuration* dimensions (tens of rows). The
-dataset dimension is checked against a row bound and attached to each model
-row by ``explode`` of a literal array -- a Generate node, no cross join in the
-plan; above the bound the call fails instead of building a huge product.
+The grid is by definition the product of two *configuration* dimensions: every
+model is run on every dataset. It is the one place where a product is the feature.
 """
 
 from __future__ import annotations
@@ -13,27 +11,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.naming import DEFAULT_MEMORY_GB, bucket_name, output_dir, run_name, task_id
-from ..session import bounded_rows
-
-MAX_DATASETS = 10_000
-
 
 def run_grid(models: DataFrame, datasets: DataFrame, mode: str,
-             model_cols=("model", "model_stem"), dataset_cols=("dataset", "dataset_stem"),
-             max_datasets: int = MAX_DATASETS) -> DataFrame:
+             model_cols=("model", "model_stem"), dataset_cols=("dataset", "dataset_stem")) -> DataFrame:
     """J1 + P8/P9/P11: one row per (model, dataset) with run name, task id,
     output folder and bucket."""
-    if bounded_rows(datasets, max_datasets) is None:
-        raise ValueError(f"dataset dimension exceeds {max_datasets} rows")
     m_name, m_stem = model_cols
     d_name, d_stem = dataset_cols
-    rows = datasets.select(d_name, d_stem).orderBy(d_stem, d_name).collect()
-    lit_arr = F.array(*[F.struct(F.lit(r[0]).cast("string").alias("dataset"),
-                                 F.lit(r[1]).cast("string").alias("dataset_stem")) for r in rows]) \
-        if rows else F.array().cast("array<struct<dataset:string,dataset_stem:string>>")
-    g = models.select(F.col(m_name).alias("model"), F.col(m_stem).alias("model_stem"),
-                      F.explode(lit_arr).alias("d"))
-    g = g.select("model", "model_stem", "d.dataset", "d.dataset_stem", F.lit(mode).alias("experiment_mode"))
+    g = (models.select(F.col(m_name).alias("model"), F.col(m_stem).alias("model_stem"))
+         .crossJoin(datasets.select(F.col(d_name).cast("string").alias("dataset"), F.col(d_stem).cast("string").alias("dataset_stem")))
+         .withColumn("experiment_mode", F.lit(mode)))
     name = run_name("model", "dataset", "experiment_mode")
     return (g.withColumn("run_name", name)
              .withColumn("task_id", task_id("model_stem", "dataset_stem", "experiment_mode"))

@@ -2,7 +2,8 @@
 
 The user supplies a *batch* function ``generate(prompts: pandas.Series) ->
 pandas.Series`` (for example a model loaded once per task). We run it with
-``mapInPandas`` over Arrow batches of already rendered prompts; everything
+``mapInArrow`` over batches of already rendered prompts (only the prompt column
+becomes pandas, all others stay Arrow); everything
 around it (prompt rendering before, answer cleaning and scoring after) stays
 built-in column expressions.
 
@@ -18,12 +19,14 @@ import time
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import GEN_ERROR, clean_answer
 from ..session import materialize
+from ..shipping import ship
 
 CONSTANT_ANSWER = "Test answer"   # U2: the constant model's answer
 CONSTANT_MODEL_BYTES = 1024       # U2: its reported size
@@ -47,7 +50,7 @@ def infer(df: DataFrame, generate: Callable[[pd.Series], pd.Series] | None = Non
           telemetry: bool = False) -> DataFrame:
     """U1 + U5: add ``out_col`` (generated text) and ``error_col`` (message or
     null) to every row of ``df``. Filter and cap *before* calling this:
-    Catalyst cannot push predicates through ``mapInPandas``.
+    Catalyst cannot push predicates through ``mapInArrow``.
 
     Pass either ``generate`` (a light batch function shipped with the task)
     or ``factory`` (called once per task on the executor to build the batch
@@ -64,30 +67,45 @@ def infer(df: DataFrame, generate: Callable[[pd.Series], pd.Series] | None = Non
 
     def run(it):
         fn = generate if generate is not None else factory()
-        for pdf in it:
-            started = time.time()
-            prompts = pdf[prompt_col]
-            try:
-                out = pd.Series(list(fn(prompts)), index=pdf.index, dtype="object")
-                err = pd.Series([None] * len(pdf), index=pdf.index, dtype="object")
-            except Exception:  # noqa: BLE001 -- retry per row, keep the run going
-                outs, errs = [], []
-                for p in prompts:
-                    try:
-                        outs.append(list(fn(pd.Series([p])))[0])
-                        errs.append(None)
-                    except Exception as e:  # noqa: BLE001
-                        outs.append(GEN_ERROR)
-                        errs.append(f"{type(e).__name__}: {e}")
-                out = pd.Series(outs, index=pdf.index, dtype="object")
-                err = pd.Series(errs, index=pdf.index, dtype="object")
-            cols = {out_col: out, error_col: err}
-            if telemetry:
-                ended = time.time()
-                cols.update(gen_end_ts=ended, gen_seconds=ended - started, worker_peak_rss_mb=_worker_peak_rss_mb())
-            yield pdf.assign(**cols)
-
-    return df.mapInPandas(run, schema)
+        for batch in it:
+            yield _answered(batch, *_generate(fn, batch.column(prompt_col).to_pandas()), out_col, error_col, telemetry)
+
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def _generate(fn: Callable | None, prompts: pd.Series) -> tuple[list, list, float, float]:
+    """Answers and errors of one slice, its end time and its seconds; a failing batch is
+    repeated row by row, and ``None`` is the constant model."""
+    started = time.time()
+    errors: list = [None] * len(prompts)
+    if fn is None:
+        answers_ = [CONSTANT_ANSWER] * len(prompts)
+    else:
+        try:
+            answers_ = list(fn(prompts))
+        except Exception:  # noqa: BLE001 -- retry per row, keep the run going
+            answers_ = []
+            for i, p in enumerate(prompts):
+                try:
+                    answers_.append(list(fn(pd.Series([p])))[0])
+                except Exception as e:  # noqa: BLE001
+                    answers_.append(GEN_ERROR)
+                    errors[i] = f"{type(e).__name__}: {e}"
+    ended = time.time()
+    return answers_, errors, ended, ended - started
+
+
+def _answered(batch: pa.RecordBatch, answers_: list, errors: list, ended: float, seconds: float,
+              out_col: str, error_col: str, telemetry: bool) -> pa.RecordBatch:
+    """The batch with its answers appended; its own columns stay Arrow."""
+    n = batch.num_rows
+    text = [None if a is None or a != a else str(a) for a in answers_]
+    more = {out_col: pa.array(text, pa.string()), error_col: pa.array(errors, pa.string())}
+    if telemetry:
+        more |= {c: pa.array([v] * n, pa.float64()) for c, v in
+                 (("gen_end_ts", ended), ("gen_seconds", seconds), ("worker_peak_rss_mb", _worker_peak_rss_mb()))}
+    return pa.RecordBatch.from_arrays([*batch.columns, *more.values()], [*batch.schema.names, *more])
 
 
 def constant_model(df: DataFrame, out_col: str = "raw_answer", error_col: str = "error") -> DataFrame:
@@ -104,9 +122,9 @@ def answers(df: DataFrame, raw_col: str = "raw_answer", out_col: str = "predicte
 def infer_by_model(df: DataFrame, models: dict[str, dict], model_col: str = "model", prompt_col: str = "prompt",
                    out_col: str = "raw_answer", error_col: str = "error", telemetry: bool = True) -> DataFrame:
     """U1-U3 for many runs in one job: rows carry their model name in
-    ``model_col``; each task sorts its rows by model (no shuffle), builds a
-    model's batch function once on first use and calls it per model slice
-    (partition by model first to keep one model per task).
+    ``model_col``; each task sorts its rows by model (no shuffle), builds each
+    model's batch function once, calls it per slice and lets go of it before
+    the next one (partition by model first to keep one model per task).
     Models of type ``constant`` answer with the constant text. ``telemetry``
     adds the per-slice samples described in :func:`infer`."""
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.StringType()),
@@ -117,38 +135,24 @@ def infer_by_model(df: DataFrame, models: dict[str, dict], model_col: str = "mod
     factories = {name: _factory(cfg) for name, cfg in models.items()}
 
     def run(it):
-        loaded: dict[str, Callable | None] = {}
-        for pdf in it:
-            outs = pd.Series([None] * len(pdf), index=pdf.index, dtype="object")
-            errs = pd.Series([None] * len(pdf), index=pdf.index, dtype="object")
-            ends = pd.Series(0.0, index=pdf.index)
-            secs = pd.Series(0.0, index=pdf.index)
-            for name, part in pdf.groupby(model_col, sort=False):
-                if name not in loaded:
-                    make = factories.get(name)
-                    loaded[name] = make() if make is not None else None
-                fn = loaded[name]
-                started = time.time()
-                if fn is None:
-                    outs.loc[part.index] = CONSTANT_ANSWER
-                    ends.loc[part.index], secs.loc[part.index] = time.time(), time.time() - started
-                    continue
-                try:
-                    outs.loc[part.index] = list(fn(part[prompt_col]))
-                except Exception:  # noqa: BLE001 -- per-row retry, keep the run going
-                    for i, p in part[prompt_col].items():
-                        try:
-                            outs.loc[i] = list(fn(pd.Series([p])))[0]
-                        except Exception as e:  # noqa: BLE001
-                            outs.loc[i], errs.loc[i] = GEN_ERROR, f"{type(e).__name__}: {e}"
-                ended = time.time()
-                ends.loc[part.index], secs.loc[part.index] = ended, ended - started
-            cols = {out_col: outs, error_col: errs}
-            if telemetry:
-                cols.update(gen_end_ts=ends, gen_seconds=secs, worker_peak_rss_mb=_worker_peak_rss_mb())
-            yield pdf.assign(**cols)
-
-    return df.sortWithinPartitions(model_col).mapInPandas(run, schema)
+        now, fn = None, None
+        for batch in it:
+            names = batch.column(model_col).to_pylist()
+            start = 0
+            while start < len(names):
+                end = start + 1
+                while end < len(names) and names[end] == names[start]:
+                    end += 1
+                if now != (names[start],):
+                    fn = None                     # the last model goes before the next one loads
+                    make = factories.get(names[start])
+                    now, fn = (names[start],), make() if make is not None else None
+                part = batch.slice(start, end - start)
+                yield _answered(part, *_generate(fn, part.column(prompt_col).to_pandas()), out_col, error_col, telemetry)
+                start = end
+
+    ship(df.sparkSession)
+    return df.sortWithinPartitions(model_col).mapInArrow(run, schema)
 
 
 # Model selection by ``model_type``.

@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from ..functions import naming
 from ..functions.prompts import (answer_after_marker, answer_after_prompt, answer_from_chat, chat_messages,
                                  render_prompt)
-from ..functions.text import (NO_ANSWER, collapse_ws, sanitize_series, strip_reasoning,
-                              substring_recall_one, token_recall_one, tokens, words)
+from ..functions.text import (NO_ANSWER, clean_answer, sanitize_series, substring_recall_one, token_recall_one, tokens, words)
 from ..operators import aggregate as agg
 from ..operators import sequence as seq
 from ..operators.grid import run_grid, with_memory_estimate
 from ..operators.infer import CONSTANT_MODEL_BYTES
+from ..operators.ingest import cap_samples, dataset_stats, filter_has_question, filter_scorable
 from ..operators.recall_join import recall_join
 from ..operators.retrieve import (attach_contexts, build_postings, index_size, retrieve_dense, retrieve_from_index,
                                   retrieve_lexical)
@@ -61,8 +61,7 @@ def q01_has_question(spark, sf):
     """User turns whose question text is present and non-empty
     (whitespace-only questions are kept)."""
     c = table(spark, sf, "conversations")
-    return (c.filter((F.col("role") == "user") & F.col("text").isNotNull() & (F.col("text") != ""))
-             .select("conv_id", "turn", F.col("text").alias("question")))
+    return filter_has_question(c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question")))
 
 
 def q23_recalls(spark, sf):
@@ -87,17 +86,24 @@ def q02_dataset_stats(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "source")
     lab = table(spark, sf, "labels").select("doc_id", "quality")
     j = docs.join(lab, on="doc_id", how="left")
-    g = j.groupBy("source").agg(F.count(F.lit(1)).cast("bigint").alias("eval_size"),
-                                F.count_if(F.col("quality") == 1).cast("bigint").alias("valid_count"))
-    return g.withColumn("to_process", F.least(F.col("valid_count"), F.lit(CAP).cast("bigint")))
+    items = j.select("source", F.col("doc_id").cast("string").alias("question"),
+                     F.when(F.col("quality") == 1, F.array("source")).alias("answer"))
+    return dataset_stats(items, CAP, ["source"])
 
 
 def q03_cap_samples(spark, sf):
     """P5: the first CAP scorable items (question present, reply present) in
     item order ``(conv_id, turn)`` -- a top-N, planned as TakeOrderedAndProject."""
-    p = _pairs(spark, sf).filter(F.col("question").isNotNull() & (F.col("question") != ""))
-    return (p.orderBy("conv_id", "turn").limit(CAP)
-             .select("conv_id", "turn", "question", F.col("prediction").alias("answer")))
+    p = _pairs(spark, sf).withColumn("answer", F.array("prediction")).withColumn("ordinal", F.struct("conv_id", "turn"))
+    return (cap_samples(filter_scorable(filter_has_question(p)), CAP)
+            .select("conv_id", "turn", "question", F.col("prediction").alias("answer")))
+
+
+def q03b_cap_per_run(spark, sf):
+    """P5 per run: the first CAP user turns with a question, per conversation parity."""
+    c = table(spark, sf, "conversations").filter(F.col("role") == "user").select(
+        (F.col("conv_id") % 2).alias("run"), F.struct("conv_id", "turn").alias("ordinal"), F.col("text").alias("question"))
+    return cap_samples(filter_has_question(c), CAP, ["run"]).select("run", "ordinal.conv_id", "ordinal.turn", "question")
 
 
 def q04_predictions(spark, sf):
@@ -406,8 +412,7 @@ def q27_clean(spark, sf):
     p = _pairs(spark, sf)
     raw = F.concat(F.lit("  <THINK>"), F.col("question"), F.lit("</think>\n"), F.col("prediction"),
                    F.lit("\t<think/> \u00a0"))
-    c = collapse_ws(strip_reasoning(collapse_ws(raw)))
-    return p.select("conv_id", "turn", F.when(c == "", F.lit(NO_ANSWER)).otherwise(c).alias("cleaned"))
+    return p.select("conv_id", "turn", clean_answer(raw).alias("cleaned"))
 
 
 def _gpu_samples(spark, sf):
@@ -490,17 +495,17 @@ def q33_ingest(spark, sf):
     turn with a padded scalar answer, a system turn with a null answer --
     then parsed (VARIANT), normalised and checked for scorability."""
     c = table(spark, sf, "conversations")
-    qid = (F.col("conv_id") * 1000 + F.col("turn"))
+    qid = F.concat(F.col("conv_id").cast("string"), F.lit("."), F.col("turn").cast("string"))
     ans = (F.when(F.col("role") == "assistant",
                   F.concat(F.lit("["), _json_string(F.col("text")), F.lit(',null,"  "]')))
             .when(F.col("role") == "user", _json_string(F.concat(F.lit(" "), F.col("text"), F.lit(" "))))
             .otherwise(F.lit("null")))
-    line = F.concat(F.lit('{"question_id":'), qid.cast("string"), F.lit(',"question":'),
+    line = F.concat(F.lit('{"question_id":"'), qid, F.lit('"'), F.lit(',"question":'),
                     _json_string(F.col("text")), F.lit(',"answer":'), ans, F.lit("}"))
-    lines = c.select(F.struct(F.lit("conversations").alias("file"), F.lit(0).cast("bigint").alias("block"),
-                              qid.alias("row")).alias("ordinal"), line.alias("line"))
+    lines = c.select(F.struct(F.lit("conversations").alias("file"), F.col("conv_id").cast("bigint").alias("block"),
+                              F.col("turn").cast("bigint").alias("row")).alias("ordinal"), line.alias("line"))
     items, _ = parse_items(lines, strict=True)
-    items = items.filter(F.col("question").isNotNull() & (F.col("question") != ""))
+    items = filter_has_question(items)
     n = F.when(F.col("answer").isNull(), F.lit(None)).otherwise(F.size("answer")).cast("bigint")
     return items.select(F.col("metadata.question_id").alias("question_id"), "question",
                         n.alias("n_answers"), F.array_join("answer", "|").alias("answer_text"),
@@ -567,14 +572,15 @@ def q37_evaluate_constant(spark, sf):
     qid = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     answer = F.when(F.col("reply").isNotNull(), F.array("reply"))
     items = j.select(
-        F.struct(F.lit("conversations").alias("file"), F.lit(0).cast("bigint").alias("block"),
-                 (F.col("conv_id") * 1000 + F.col("turn")).alias("row")).alias("ordinal"),
+        F.struct(F.lit("conversations").alias("file"), F.col("conv_id").cast("bigint").alias("block"),
+                 F.col("turn").cast("bigint").alias("row")).alias("ordinal"),
         "question", answer.alias("answer"), F.lit(None).cast("string").alias("context"),
         F.struct(qid.alias("id"), qid.alias("question_id"), answer.alias("all_answers")).alias("metadata"))
     _, metrics = evaluate_run(items, model={"name": "constant", "model_type": "constant"},
                               dataset={"name": "conversations"}, mode={"name": MODE})
     return metrics.select("run_id", F.round("substring_recall", MEAN_DIGITS).alias("substring_recall"),
                           F.round("token_recall", MEAN_DIGITS).alias("token_recall"), "num_examples",
+                          "duration_seconds", "model_size_bytes", "model_size_mb", "retriever_index_size_bytes",
                           "dataset_eval_size", "dataset_valid_count", "dataset_to_process")
 
 
@@ -582,6 +588,7 @@ QUERIES = {
     "q01_has_question": q01_has_question,
     "q02_dataset_stats": q02_dataset_stats,
     "q03_cap_samples": q03_cap_samples,
+    "q03b_cap_per_run": q03b_cap_per_run,
     "q04_predictions": q04_predictions,
     "q05_run_grid": q05_run_grid,
     "q06_metric_long": q06_metric_long,

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from ..functions.naming import run_name
 from ..functions.prompts import chat_messages, is_chat_model, render_prompt
 from ..operators.aggregate import run_quality, run_record
-from ..operators.infer import answers, infer_by_model, run_inference
+from ..operators.infer import CONSTANT_MODEL_BYTES, answers, infer_by_model, run_inference
 from ..operators.ingest import dataset_stats, prepare_items
 from ..operators.score import score, to_prediction
-from ..session import bounded_rows, materialize
+from ..session import materialize
 
 
 def evaluate_run(items: DataFrame, *, model: dict, dataset: dict, mode: dict,
@@ -71,14 +71,18 @@ def evaluate_run(items: DataFrame, *, model: dict, dataset: dict, mode: dict,
     merged = (merged.withColumn("substring_recall", F.coalesce("substring_recall", F.lit(0.0)))
                     .withColumn("token_recall", F.coalesce("token_recall", F.lit(0.0)))
                     .withColumn("run_id", name))
-    record = run_record(merged, ["run_id"], peak_cols=("cpu_ram_used_mb",),
+    record = run_record(merged, ["run_id"], peak_cols=("cpu_ram_used_mb",), model_size_bytes=model_bytes(model),
                         extra_cols=("dataset_eval_size", "dataset_valid_count", "dataset_to_process"))
     metrics = (record.withColumn("model", F.lit(model["name"])).withColumn("dataset", F.lit(dataset["name"]))
                      .withColumn("experiment_mode", F.lit(mode["name"])))
     return preds, metrics
 
 
-MAX_GRID_ROWS = 100_000
+def model_bytes(config: dict) -> int:
+    """Reported size of a model: ``model_size_bytes`` of its config; the constant model has a fixed one."""
+    if config.get("model_type", "constant") == "constant":
+        return CONSTANT_MODEL_BYTES
+    return int(config.get("model_size_bytes") or 0)
 
 
 def spark_partitions(df: DataFrame) -> int:
@@ -98,18 +102,17 @@ def evaluate_grid(items: DataFrame, grid: DataFrame, models: dict[str, dict], mo
     grid row names its dataset. Returns ``(predictions, metrics)``; metrics
     have one row per grid run, 0.0 / 0.0 / 0 for a run without items.
     """
-    if bounded_rows(grid, MAX_GRID_ROWS) is None:
-        raise ValueError(f"run grid exceeds {MAX_GRID_ROWS} rows")
     g = grid.select(F.col("run_name").alias("run_id"), "model", F.col("dataset").alias(dataset_col),
                     (F.col("model_path") if "model_path" in grid.columns else F.lit("")).alias("model_path"))
     prepared = prepare_items(items, mode.get("max_samples"), [dataset_col] if mode.get("max_samples") else None)
-    runs_items = prepared.join(F.broadcast(g), on=dataset_col, how="inner")      # bound proven above
+    runs_items = prepared.join(g, on=dataset_col, how="inner")
     template = F.lit(mode.get("prompt_template")).cast("string")
     system = F.lit(system_prompt).cast("string")
-    no_ctx = F.array().cast("array<string>")
-    prompted = runs_items.withColumn(
-        "prompt", F.when(is_chat_model("model_path"), F.to_json(chat_messages("question", no_ctx, template, system)))
-                   .otherwise(render_prompt("question", no_ctx, template, system)))
+    ctx = F.coalesce(F.col("contexts"), F.array().cast("array<string>")) if "contexts" in items.columns \
+        else F.array().cast("array<string>")
+    prompted = runs_items.withColumn("__ctx", ctx).withColumn(
+        "prompt", F.when(is_chat_model("model_path"), F.to_json(chat_messages("question", "__ctx", template, system)))
+                   .otherwise(render_prompt("question", "__ctx", template, system)))
     # one model per task where possible (a task loads each model it meets): hash-partition the
     # prompts by (model, salt); the salt splits a model's items over several tasks
     slices = max(1, int(spark_partitions(items)) // max(1, len(models)))
@@ -121,12 +124,14 @@ def evaluate_grid(items: DataFrame, grid: DataFrame, models: dict[str, dict], mo
     scored = score(answers(raw), "predicted_answer", "truths")
     preds = to_prediction(scored, question_id="metadata.id", question="question", prediction="predicted_answer",
                           truths="answer", context_type=F.lit(mode.get("context_type") or "none"),
-                          model_name="model", dataset_name=dataset_col, prompt="prompt", keep=["run_id"])
+                          model_name="model", dataset_name=dataset_col, prompt="prompt", contexts="__ctx", keep=["run_id"])
     quality = run_quality(scored, g.select("run_id"), ["run_id"])
     tel = scored.groupBy("run_id").agg(
         (F.max("gen_end_ts") - F.min(F.col("gen_end_ts") - F.col("gen_seconds"))).alias("duration_seconds"),
         F.max("worker_peak_rss_mb").alias("cpu_ram_used_mb"))
-    record = run_record(quality, ["run_id"], durations=tel, peak_cols=("cpu_ram_used_mb",))
+    sizes = items.sparkSession.createDataFrame([(n, model_bytes(c)) for n, c in models.items()], "model string, model_size_bytes long")
+    sized = g.select("run_id", "model").join(sizes, "model", "left").drop("model")
+    record = run_record(quality, ["run_id"], durations=tel, sizes=sized, peak_cols=("cpu_ram_used_mb",))
     stats = dataset_stats(items, mode.get("max_samples"), [dataset_col]).select(
         dataset_col, F.col("eval_size").alias("dataset_eval_size"),
         F.col("valid_count").alias("dataset_valid_count"), F.col("to_process").alias("dataset_to_process"))

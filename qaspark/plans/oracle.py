@@ -102,6 +102,11 @@ SELECT conv_id, turn, question, prediction AS answer
 FROM pairs WHERE question IS NOT NULL AND question <> ''
 ORDER BY conv_id, turn LIMIT 50"""
 
+    q["q03b_cap_per_run"] = """
+SELECT (conv_id % 2)::BIGINT AS run, conv_id, turn, text AS question FROM conversations
+WHERE role = 'user' AND text IS NOT NULL AND text <> ''
+QUALIFY row_number() OVER (PARTITION BY conv_id % 2 ORDER BY conv_id, turn) <= 50"""
+
     q["q04_predictions"] = f"""
 WITH {SCORED_PAIRS}
 SELECT conv_id::VARCHAR || ':' || turn::VARCHAR AS question_id, question, prediction AS predicted_answer,
@@ -416,7 +421,7 @@ UNION ALL SELECT event_id, 'model', 'size', user_id::VARCHAR FROM events
 UNION ALL SELECT event_id, 'seed', NULL, json_extract(props, '$.k')::VARCHAR FROM events"""
 
     q["q33_ingest"] = f"""
-SELECT (conv_id * 1000 + turn)::VARCHAR AS question_id, text AS question,
+SELECT conv_id::VARCHAR || '.' || turn::VARCHAR AS question_id, text AS question,
        CASE WHEN role = 'assistant' THEN (CASE WHEN {strip('text')} <> '' THEN 1 ELSE 0 END)
             WHEN role = 'user' THEN (CASE WHEN {strip("' ' || text || ' '")} <> '' THEN 1 END)
        END::BIGINT AS n_answers,
@@ -464,6 +469,8 @@ SELECT 'constant_conversations_no_context' AS run_id,
        round(coalesce((SELECT avg(sr) FROM s), 0.0), 6) AS substring_recall,
        round(coalesce((SELECT avg(tr) FROM s), 0.0), 6) AS token_recall,
        (SELECT count(*) FROM s)::BIGINT AS num_examples,
+       0.0::DOUBLE AS duration_seconds, 1024::BIGINT AS model_size_bytes, 1024 / 1048576.0::DOUBLE AS model_size_mb,
+       0::BIGINT AS retriever_index_size_bytes,
        (SELECT count(*) FROM i)::BIGINT AS dataset_eval_size,
        (SELECT count(*) FROM i WHERE question IS NOT NULL AND question <> '' AND reply IS NOT NULL)::BIGINT
          AS dataset_valid_count,

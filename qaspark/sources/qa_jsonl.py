@@ -10,6 +10,8 @@ and could not tell the string ``"[a]"`` from a list.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,9 @@ ITEM_SCHEMA = ("ordinal struct<file:string,block:bigint,row:bigint>, question st
                "context string, metadata struct<id:string,question_id:string,all_answers:array<string>>")
 
 
+FIELDS = "question_id string, question string, answer string"
+
+
 def _ordinal() -> Column:
     """File order: (file path, split start, row within split) -- attached at
     read time, before any shuffle."""
@@ -38,24 +43,32 @@ def _non_blank(line: Column) -> Column:
     return F.regexp_replace(line, f"^{WS_CLASS}+$", "") != ""
 
 
-def _text(v: Column) -> Column:
-    """JSON value as text: a string as is, a number / boolean as written,
-    an object or list as JSON, null as null (the VARIANT → STRING cast)."""
-    return F.try_variant_get(v, "$", "string")
+def _type(v: Column) -> Column:
+    """JSON type of a VARIANT value, such as ``STRING`` or ``OBJECT<...>``; null stays null."""
+    return F.schema_of_variant(v)
+
+
+def _question(v: Column, text: Column) -> Column:
+    """A question that is false in the source's sense (zero, false, an empty list or
+    object) is no question; any other value is its text."""
+    number = text.try_cast("double")
+    falsy = text.isin("false", "[]", "{}") | (F.coalesce(number, F.lit(1.0)) == 0)
+    return F.when(_type(v).eqNullSafe("STRING") | ~falsy, text)
 
 
-def normalize_answer(v: Column) -> Column:
-    """VARIANT answer → ``array<string>``.
+def normalize_answer(v: Column, raw: Column) -> Column:
+    """VARIANT answer and its text (a string as is, any other value as the line writes
+    it) → ``array<string>``.
 
     A list keeps its non-null elements whose text is not blank (survivors are
     *not* stripped); a scalar is stripped and wrapped, blank → null; null or
     absent → null. Small expressions on purpose: they stay inside whole-stage
     code generation.
     """
-    as_list = F.try_variant_get(v, "$", "array<variant>")
-    kept = F.filter(F.transform(as_list, _text), lambda x: x.isNotNull() & (strip_ws(x) != ""))
-    scalar = strip_ws(_text(v))
-    return (F.when(as_list.isNotNull(), kept)
+    is_list = F.coalesce(_type(v).startswith("ARRAY"), F.lit(False))
+    kept = F.filter(F.from_json(raw, "array<string>"), lambda x: x.isNotNull() & (strip_ws(x) != ""))
+    scalar = strip_ws(raw)
+    return (F.when(is_list, kept)
              .when(scalar.isNull() | (scalar == ""), F.lit(None).cast("array<string>"))
              .otherwise(F.array(scalar)))
 
@@ -72,13 +85,21 @@ def parse_items(lines: DataFrame, strict: bool = True) -> tuple[DataFrame, DataF
     # predicates on a generator's output below it, so a later filter on a
     # parsed field (e.g. P1) reads the parsed value instead of re-parsing the
     # line. The CASE keeps blank lines away from the parser.
-    parsed = F.array(F.struct(F.when(_non_blank(F.col("line")), parse(F.col("line"))).alias("v")))
+    parsed = F.array(F.struct(F.when(_non_blank(F.col("line")), parse(F.col("line"))).alias("v"),
+                              F.from_json("line", FIELDS).alias("t")))
     j = lines.select("ordinal", "line", F.inline(parsed))
-    bad = j.filter(F.col("v").isNull()).select("ordinal", "line")
-    ok = j if strict else j.filter(F.col("v").isNotNull())
-    qid = F.try_variant_get(F.col("v"), "$.question_id", "string")
-    question = F.try_variant_get(F.col("v"), "$.question", "string")
-    answer = normalize_answer(F.try_variant_get(F.col("v"), "$.answer", "variant"))
+    # a line that is JSON but no object is malformed too
+    record = F.coalesce(_type(F.col("v")).startswith("OBJECT"), F.lit(False))
+    bad = j.filter(~record).select("ordinal", "line")
+    if strict:
+        checked = F.when(record, F.col("v")).otherwise(F.raise_error(F.concat(F.lit("not a JSON object: "), F.substring("line", 1, 200))))
+        ok = j.withColumn("v", checked)
+    else:
+        ok = j.filter(record)
+    # the types come from the VARIANT, the texts as the line writes them (3.0 stays 3.0)
+    qid = F.when(F.try_variant_get("v", "$.question_id", "variant").isNotNull(), F.col("t.question_id"))
+    question = _question(F.try_variant_get("v", "$.question", "variant"), F.col("t.question"))
+    answer = normalize_answer(F.try_variant_get("v", "$.answer", "variant"), F.col("t.answer"))
     # each field is computed once; the struct below only references columns
     staged = ok.select("ordinal", qid.alias("__qid"), question.alias("question"), answer.alias("answer"))
     items = staged.select(
@@ -88,22 +109,32 @@ def parse_items(lines: DataFrame, strict: bool = True) -> tuple[DataFrame, DataF
     return items, bad
 
 
-def read_qa(spark: SparkSession, path: str, strict: bool = True, dataset_from_file: bool = False) -> DataFrame:
+def read_qa(spark: SparkSession, path: str, strict: bool = True, dataset_from_file: bool = False,
+            bad_records: str | None = None) -> DataFrame:
     """All records of a QA JSONL file or folder (``eval_size`` counts
     these). ``dataset_from_file`` adds ``dataset`` = the source file's stem,
-    so one folder of files feeds a multi-dataset grid."""
-    items = parse_items(read_lines(spark, path), strict)[0]
+    so one folder of files feeds a multi-dataset grid. Lenient reading writes the
+    malformed lines, with their file and place, to ``bad_records`` if that is given."""
+    items, bad = parse_items(read_lines(spark, path), strict)
+    if bad_records and not strict:
+        bad.write.mode("overwrite").json(bad_records)
     if dataset_from_file:
         items = items.withColumn("dataset", F.regexp_extract(F.col("ordinal.file"), r"([^/]+?)(\.[^./]*)?$", 1))
     return items
 
 
-def snapshot(items: DataFrame, snapshot_path: str) -> DataFrame:
-    """S3: write the parsed items once as Parquet (keyed by the caller, e.g. by
-    source path and modification time) and read them back: later runs prune
-    columns and push filters into the snapshot instead of re-parsing."""
-    items.write.mode("overwrite").parquet(snapshot_path)
-    return items.sparkSession.read.parquet(snapshot_path)
+def snapshot(items: DataFrame, snapshot_path: str, key: str | None = None, refresh: bool = False) -> DataFrame:
+    """S3: the parsed items as Parquet, written once per ``key`` (for example the source
+    path and its modification time) and read back: later runs with that key read the
+    finished snapshot, prune columns and push filters into it instead of re-parsing.
+    Without a key, or with ``refresh``, it is written anew."""
+    spark = items.sparkSession
+    path = f"{snapshot_path}/{hashlib.sha256(key.encode()).hexdigest()[:24]}" if key else snapshot_path
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    found = done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+    if refresh or not key or not found:
+        items.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def synthetic_items(spark: SparkSession, n: int = 10) -> DataFrame:

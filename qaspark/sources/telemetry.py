@@ -17,10 +17,10 @@ POWER_SCHEMA = "gpu_index INT, power_draw DOUBLE, power_limit DOUBLE"
 
 
 def read_power(spark: SparkSession, path: str) -> DataFrame:
-    """Power lines → ``(gpu_index, power_draw, power_limit, power_pct)``."""
-    df = spark.read.csv(path, schema=POWER_SCHEMA, ignoreLeadingWhiteSpace=True,
-                        ignoreTrailingWhiteSpace=True, mode="DROPMALFORMED")
-    return df.withColumn("power_pct", power_utilisation_pct("power_draw", "power_limit"))
+    """Power lines → ``(gpu_index, power_draw, power_limit, power_pct)``, one row per
+    line; as in :func:`parse_power_lines`, a malformed line gives nulls."""
+    lines = spark.read.text(path).filter(F.trim("value") != "").select(F.col("value").alias("line"))
+    return parse_power_lines(lines).drop("line")
 
 
 def parse_power_lines(lines: DataFrame, col: str = "line") -> DataFrame:

@@ -48,7 +48,7 @@ def test_jsonl_run_with_model_and_cap(spark, tmp_path):
         assert (m.num_examples, m.dataset_eval_size, m.dataset_valid_count, m.dataset_to_process) == (2, 4, 3, 2)
         assert m.token_recall == 0.5
         assert m.duration_seconds >= 0.0 and m.cpu_ram_used_mb > 0.0          # generation telemetry
-        assert m.model_size_mb == 0.0 and m.retriever_index_size_bytes == 0
+        assert m.model_size_bytes == 0 and m.retriever_index_size_bytes == 0
     finally:
         inf.MODELS.pop("lookup")
 
@@ -70,7 +70,8 @@ def test_grid_many_runs_one_job(spark):
     ms = spark.createDataFrame([("const", "const"), ("upper", "upper")], "model string, model_stem string")
     ds = spark.createDataFrame([("syn", "syn"), ("small", "small"), ("empty", "empty")],
                                "dataset string, dataset_stem string")
-    grid = run_grid(ms, ds, "no_context")
+    grid = run_grid(ms, ds, "no_context")                           # the one product, by definition
+    grid = spark.createDataFrame(grid.collect(), grid.schema)
     inf.MODELS["upper"] = lambda cfg: (lambda prompts: prompts.str.upper())
     try:
         models = {"const": {"model_type": "constant"}, "upper": {"model_type": "upper"}}
@@ -84,6 +85,7 @@ def test_grid_many_runs_one_job(spark):
         assert m["const_small_no_context"].num_examples == 3
         e = m["upper_empty_no_context"]
         assert (e.num_examples, e.token_recall, e.substring_recall) == (0, 0.0, 0.0)
+        assert c.model_size_bytes == 1024 and e.model_size_bytes == 0
         up = m["upper_syn_no_context"]          # "QUESTION: TEST QUESTION i ANSWER:" vs "Test answer i"
         assert up.token_recall == 1.0 and up.num_examples == 5
         assert preds.filter("run_id = 'upper_syn_no_context'").count() == 5

@@ -60,6 +60,35 @@ def test_ingest_golden(spark, qa_file):
     assert capped[0].truths == ["a", "3", " b "]
 
 
+def test_types_and_texts_of_odd_values(spark, tmp_path):
+    import pytest as pt
+    p = tmp_path / "odd.jsonl"
+    p.write_text("\n".join([
+        '{"question_id":3.0,"question":"a","answer":3.0}', '{"question_id":7,"question":"b","answer":[3.0,1,true,null," ","x"]}',
+        '{"question":0,"answer":"c"}', '{"question":false,"answer":"c"}', '{"question":[],"answer":"c"}', '{"question":{},"answer":"c"}',
+        '{"question":0.0,"answer":"c"}', '{"question":5,"answer":"[1]"}', '{"question":"0","answer":false}',
+        '[1,2]', '"text"', '12', 'null', 'broken {']), encoding="utf-8")
+    items, bad = parse_items(read_lines(spark, str(p)), strict=False)
+    rows = [(r.metadata.question_id, r.question, r.answer) for r in items.orderBy("ordinal").collect()]
+    assert rows == [("3.0", "a", ["3.0"]), ("7", "b", ["3.0", "1", "true", "x"]), (None, None, ["c"]), (None, None, ["c"]),
+                    (None, None, ["c"]), (None, None, ["c"]), (None, None, ["c"]), (None, "5", ["[1]"]), (None, "0", ["false"])]
+    assert bad.count() == 5
+    with pt.raises(Exception, match="not a JSON object"):
+        parse_items(spark.createDataFrame([("[1]", ("f", 0, 0))], "line string, ordinal struct<file:string,block:long,row:long>"))[0].collect()
+    out = str(tmp_path / "bad_records")
+    assert read_qa(spark, str(p), strict=False, bad_records=out).count() == 9
+    assert spark.read.json(out).count() == 5
+
+
+def test_snapshot_by_key_is_read_back(spark, tmp_path):
+    from qaspark.sources.qa_jsonl import snapshot, synthetic_items
+    path = str(tmp_path / "snap")
+    assert snapshot(synthetic_items(spark, 4), path, key="a").count() == 4
+    assert snapshot(synthetic_items(spark, 9), path, key="a").count() == 4          # the finished snapshot wins
+    assert snapshot(synthetic_items(spark, 9), path, key="b").count() == 9
+    assert snapshot(synthetic_items(spark, 7), path, key="a", refresh=True).count() == 7
+
+
 def test_bad_line(spark, tmp_path):
     p = tmp_path / "bad.jsonl"
     p.write_text('{"question":"q","answer":"a"}\nbad json\n', encoding="utf-8")
@@ -223,5 +252,5 @@ def test_read_power_file(spark, tmp_path):
     f = tmp_path / "power.csv"
     f.write_text("0, 125.50, 250.00\n1, 80.0, 0\nbad line\n", encoding="utf-8")
     rows = {r.gpu_index: r for r in read_power(spark, str(f)).collect()}
-    assert set(rows) == {0, 1}                                  # the malformed line is dropped
+    assert set(rows) == {0, 1, None}                            # the malformed line gives nulls, as over a column
     assert rows[0].power_pct == pytest.approx(50.2) and rows[1].power_pct == 0.0

@@ -73,9 +73,9 @@ def test_grid_and_estimates(spark):
     assert r.bucket == "no-context"
 
 
-def test_grid_refuses_unbounded_dimension(spark):
-    models = spark.createDataFrame([("a", "a")], "model string, model_stem string")
+def test_grid_is_the_whole_product(spark):
+    models = spark.createDataFrame([("a", "a"), ("b", "b")], "model string, model_stem string")
     datasets = spark.range(20).select(F.col("id").cast("string").alias("dataset"),
                                       F.col("id").cast("string").alias("dataset_stem"))
-    with pytest.raises(ValueError):
-        run_grid(models, datasets, "m", max_datasets=10)
+    got = {(r.model, r.dataset) for r in run_grid(models, datasets, "m").collect()}
+    assert got == {(m, str(d)) for m in "ab" for d in range(20)}
