@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -45,9 +45,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def struct_hash(*cols: Column | str) -> Column:
-    """64-bit hash of some columns, for salts and orders."""
-    return F.xxhash64(*cols)
+def hashed_sample(df: DataFrame, key: str, n: int) -> DataFrame:
+    """At most ``n`` rows, the first ones by a hash of ``key``. Rows are thinned by that
+    hash before they are ordered, so about ``4 n`` rows are, whatever the table holds."""
+    total = df.count()
+    if total > 4 * n:
+        df = df.filter(F.xxhash64(key) < F.lit(int(-2 ** 63 + 2 ** 64 * (4 * n / total))))
+    return df.orderBy(F.xxhash64(key), key).limit(n)
 
 
 # ---------------------------------------------------------------- byte and word hashing

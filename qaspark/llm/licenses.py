@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLAIN_GAP, prepared, rolling, texts_of, word_hashes, word_spans
+from .common import PLAIN_GAP, hashed_sample, prepared, rolling, texts_of, word_hashes, word_spans
 
 #: The usual short notices of the licence families.
 TEMPLATES = {
@@ -231,8 +231,7 @@ def fit(unknown: list[str], seed: int = 5) -> Scanner:
 def sample_paragraphs(docs: DataFrame, id_col: str, text_col: str) -> list[str]:
     """At most ``SAMPLE_PARAGRAPHS`` paragraphs of the first ``SAMPLE_DOCS`` documents by
     a hash of their id, each cut to one window of words: the unknown class."""
-    rows = (prepared(docs, id_col, text_col)
-            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    rows = (hashed_sample(prepared(docs, id_col, text_col), "doc_id", SAMPLE_DOCS)
             .select(F.explode(F.slice(F.split("text", "\n"), 1, 40)).alias("p"))
             .select(F.array_join(F.slice(F.split(F.trim("p"), " +"), 1, WINDOW), " ").alias("p"))
             .filter(F.length("p").between(1, 2000)).distinct().orderBy(F.xxhash64("p"), "p").limit(SAMPLE_PARAGRAPHS))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import mix, prepared, rolling, texts_of, word_hashes, word_spans
+from .common import hashed_sample, mix, prepared, rolling, texts_of, word_hashes, word_spans
 
 DIM = 1 << 18
 MAX_TRAIN_DOCS = 6000          # labelled rows that are fitted on at most
@@ -167,8 +167,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     left out; an id with several labels counts by their mean."""
     chosen = (labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").alias("label"))
               .dropna().filter(fold(F.col("doc_id")) != 1)
-              .groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs))
+              .groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label")))
+    chosen = hashed_sample(chosen, "doc_id", max_docs)
     found = prepared(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")          # max_docs rows at most
     rows, labels_, total = [], [], 0
     got = found.select("doc_id", "label", "text").mapInArrow(_indicator_rows, "doc_id long, label int, ids binary")
