@@ -179,6 +179,9 @@ def is_sentinel(text) -> Column:
     return _c(text).isin(NO_ANSWER, GEN_ERROR)
 
 
+SERIES_REPLACED = "/ "         # characters that become '_' in series and title names
+
+
 def sanitize_series(name) -> Column:
     """'/' and ' ' become '_' in series and title names."""
-    return F.translate(_c(name), "/ ", "__")
+    return F.translate(_c(name), SERIES_REPLACED, "_" * len(SERIES_REPLACED))

@@ -27,6 +27,7 @@ from ..operators.retrieve import (attach_contexts, build_postings, index_size, r
 from ..operators.score import pair_next_turn, score, to_prediction
 from ..operators.skew import skew_join
 from ..operators.telemetry import POWER_WARN, gpu_series, peak_telemetry, power_utilisation_pct
+from ..sinks import writers as sinks
 from ..sources.qa_jsonl import parse_items
 from ..sources.telemetry import parse_memory_lines, parse_power_lines
 from ..sources.tables import table
@@ -584,6 +585,57 @@ def q37_evaluate_constant(spark, sf):
                           "dataset_eval_size", "dataset_valid_count", "dataset_to_process")
 
 
+WRITTEN_AT = "2024-01-01T00:00:00"      # stands in for the write time, so that results can be compared
+
+
+def q38_prediction_records(spark, sf):
+    """K1: the prediction record of every scored pair, by run (conversation)."""
+    p = _pairs(spark, sf).select(F.col("conv_id").alias("run_id"), F.col("turn").cast("string").alias("question_id"), "question",
+                                 F.array("question").alias("ground_truth"), F.col("prediction").alias("predicted_answer"))
+    r = sinks.prediction_records(p)
+    return r.withColumn("ground_truth", F.array_join("ground_truth", "|"))
+
+
+def q39_metric_records(spark, sf):
+    """K2/K9: the metrics record of every run with its run metadata."""
+    return sinks.metric_records(q08_run_quality(spark, sf), "conv_id", at=F.lit(WRITTEN_AT))
+
+
+def q40_config_records(spark, sf):
+    """K3: one JSON config per run (event)."""
+    ev = table(spark, sf, "events").select(F.col("event_id").alias("run_id"), "event_type", "user_id")
+    return sinks.config_records(ev)
+
+
+def q41_series_records(spark, sf):
+    """Scalar series (a value per event) with file-safe titles and series names."""
+    ev = table(spark, sf, "events").select(
+        F.col("user_id").alias("run_id"), F.concat(F.lit("usage/"), "event_type").alias("title"),
+        F.concat(F.lit("k of "), "event_type").alias("series"), F.col("event_id").alias("iteration"), "value")
+    return sinks.series_records(ev)
+
+
+def q42_single_values(spark, sf):
+    """The single values of each run (user), last write by (ts, event_id)."""
+    ev = table(spark, sf, "events").withColumnRenamed("user_id", "run_id")
+    return sinks.single_value_records(ev, ["event_type"], "value", ("ts", "event_id")).select("run_id", "event_type", "latest_value")
+
+
+def q43_table_records(spark, sf):
+    """K7: the record of the table that each run (source) logs."""
+    d = table(spark, sf, "documents").select(F.col("source").alias("run_id"), "doc_id", "lang", "n_chars")
+    r = sinks.table_records(d, "documents", "by source", 1, at=F.lit(WRITTEN_AT))
+    return r.withColumn("columns", F.array_join("columns", ","))
+
+
+def q44_manifest(spark, sf):
+    """A manifest row per document source and language, with its metadata as JSON."""
+    d = table(spark, sf, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+    rows = d.select(F.concat("source", F.lit("_"), "lang").alias("name"), F.concat(F.lit("/in/"), "source").alias("path"),
+                    F.concat(F.lit("/out/"), "source").alias("saved"), sinks.artifact_metadata(kind="texts", lang=F.col("lang"), n=F.col("n")).alias("metadata"))
+    return sinks.manifest_rows(rows, "name", "path", "saved", at=F.lit(WRITTEN_AT))
+
+
 QUERIES = {
     "q01_has_question": q01_has_question,
     "q02_dataset_stats": q02_dataset_stats,
@@ -628,4 +680,11 @@ QUERIES = {
     "q35_context_prompts": q35_context_prompts,
     "q36_telemetry_lines": q36_telemetry_lines,
     "q37_evaluate_constant": q37_evaluate_constant,
+    "q38_prediction_records": q38_prediction_records,
+    "q39_metric_records": q39_metric_records,
+    "q40_config_records": q40_config_records,
+    "q41_series_records": q41_series_records,
+    "q42_single_values": q42_single_values,
+    "q43_table_records": q43_table_records,
+    "q44_manifest": q44_manifest,
 }

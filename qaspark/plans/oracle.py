@@ -477,6 +477,34 @@ SELECT 'constant_conversations_no_context' AS run_id,
        (SELECT count(*) FROM i WHERE question IS NOT NULL AND question <> '' AND reply IS NOT NULL)::BIGINT
          AS dataset_to_process"""
 
+    q["q38_prediction_records"] = f"""
+WITH {PAIRS}
+SELECT conv_id AS run_id, turn::VARCHAR AS question_id, question, coalesce(question, '') AS ground_truth, prediction AS predicted_answer
+FROM pairs"""
+
+    q["q39_metric_records"] = f"""
+SELECT *, conv_id::VARCHAR AS experiment_name, '2024-01-01T00:00:00' AS timestamp, '1.0' AS format_version
+FROM ({q["q08_run_quality"]})"""
+
+    q["q40_config_records"] = """
+SELECT event_id AS run_id, json_object('event_type', event_type, 'user_id', user_id)::VARCHAR AS config FROM events"""
+
+    q["q41_series_records"] = """
+SELECT user_id AS run_id, 'usage_' || translate(event_type, '/ ', '__') AS title,
+       'k_of_' || translate(event_type, '/ ', '__') AS series, event_id AS iteration, value FROM events"""
+
+    q["q42_single_values"] = """
+SELECT user_id AS run_id, event_type, arg_max(value, (ts, event_id)) AS latest_value FROM events GROUP BY user_id, event_type"""
+
+    q["q43_table_records"] = """
+SELECT source AS run_id, 'documents' AS title, 'by source' AS series, 1::BIGINT AS iteration, 'doc_id,lang,n_chars' AS columns,
+       count(*)::BIGINT AS n_rows, '2024-01-01T00:00:00' AS timestamp FROM documents GROUP BY source"""
+
+    q["q44_manifest"] = """
+SELECT source || '_' || lang AS name, '/in/' || source AS original_path, '/out/' || source AS saved_path,
+       '2024-01-01T00:00:00' AS timestamp, json_object('kind', 'texts', 'lang', lang, 'n', count(*))::VARCHAR AS metadata
+FROM documents GROUP BY source, lang"""
+
     return q
 
 
