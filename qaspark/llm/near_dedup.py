@@ -10,7 +10,10 @@ and components of the verified links are the groups.
 Documents with equal sets are one class from the start. A bucket never lists its pairs:
 its members are first compared with its smallest member only; once the components of
 those links are known, only members of *different* components that share a bucket are
-compared, so no link that could join two components is left out.
+compared, so no link that could join two components is left out. A small bucket does so
+pair by pair; a large one is cut into tiles of bounded size, and each pair of tiles
+counts its common shingles by a matrix product and reports one link for each pair of
+components.
 """
 
 from __future__ import annotations
@@ -28,6 +31,9 @@ from .components import connected_components
 PERCENT = 80                   # least Jaccard similarity of a link, in percent
 ROWS, BANDS = 6, 40            # a link at 80 % is missed by all bands with probability 0.738 ** 40 < 6e-6
 PLACES = ROWS * BANDS          # at most 256, places are bytes
+SMALL_BUCKET = 32              # members up to which the pairs of a bucket are compared one by one
+TILE_ROWS, TILE_SHINGLES = 1024, 1 << 18   # about as much of a larger bucket is one tile
+COLUMNS = 4096                 # shingles whose product is taken at once
 GROUP = 60_000                 # shingles whose signatures are made side by side
 SIGNATURES = "doc_id long, n_shingles long, digest binary, bands array<long>"
 
@@ -142,8 +148,37 @@ def _verifier(percent: int):
     return verify
 
 
+def _tile_links(percent: int):
+    """Links between members of different components in a pair of tiles, one for each pair
+    of components."""
+    def links(table: pa.Table) -> pa.Table:
+        rep, comp = table.column("rep").to_numpy(), table.column("component").to_numpy()
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("elements")]
+        n = np.array([len(s) for s in sets], np.float64)
+        u = v = np.empty(0, np.int64)
+        if len(np.unique(comp)) > 1:
+            _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            owner = np.repeat(np.arange(len(sets)), n.astype(np.int64))
+            common = times[code] > 1
+            owner, code = owner[common], (np.cumsum(times > 1) - 1)[code[common]]
+            order = np.argsort(code, kind="stable")
+            owner, code = owner[order], code[order]
+            both = np.zeros((len(sets), len(sets)), np.float32)
+            for a in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS):
+                lo, hi = np.searchsorted(code, [a, a + COLUMNS])
+                x = np.zeros((len(sets), COLUMNS), np.float32)
+                x[owner[lo:hi], code[lo:hi] - a] = 1.0
+                both += x @ x.T
+            linked = (100.0 * both >= percent * (n[:, None] + n[None, :] - both)) & (comp[:, None] < comp[None, :])
+            u, v = np.nonzero(linked)
+            _, first = np.unique(np.stack([comp[u], comp[v]]), axis=1, return_index=True)
+            u, v = rep[u[first]], rep[v[first]]
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+    return links
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    size: int = 5, percent: int = PERCENT) -> DataFrame:
+                    size: int = 5, percent: int = PERCENT, small_bucket: int = SMALL_BUCKET) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept``.
 
     Documents are linked if ``100 * intersection >= percent * union`` of their sets of
@@ -181,16 +216,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # members of one bucket that are still in different components
     labelled = (shared.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
                 .select("band", "rep", "n", "first", F.coalesce("component", "rep").alias("component")))
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band")
-    rest = stored(labelled.filter("rep <> first").join(mixed, "band", "left_semi"), "mixed")
+    mixed = (labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
+                                          F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
+             .filter("lo < hi").select("band", "members", "shingles"))
+    rest = stored(labelled.filter("rep <> first").join(mixed, "band"), "mixed")
+    # large buckets, tile against tile
+    tiles = F.greatest(F.ceil(F.col("members") / TILE_ROWS), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int")
+    dealt = (rest.filter(F.col("members") > small_bucket).withColumn("tiles", tiles)
+             .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+             .select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "component"))
+    from_tiles = (dealt.join(elements.withColumnRenamed("doc_id", "rep"), "rep").groupBy("band", "i", "j")
+                  .applyInArrow(_tile_links(percent), "u long, v long"))
+    # small buckets, pair by pair
+    rest = rest.filter(F.col("members") <= small_bucket)
     a = rest.select("band", F.col("rep").alias("u"), F.col("n").alias("un"), F.col("component").alias("uc"))
     b = rest.select("band", F.col("rep").alias("v"), F.col("n").alias("vn"), F.col("component").alias("vc"))
     others = (a.join(b, "band").filter((F.col("uc") < F.col("vc")) & like_sizes("un", "vn"))
               .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    more = stored(verified(others), "links")
+    more = stored(verified(others).unionByName(from_tiles), "links")
     # the components so far, as stars, plus the links between them
-    final = connected_components(groups.select(F.col("node").alias("u"), F.col("component").alias("v"))
-                                 .unionByName(more.select("u", "v")))
+    final = groups if more.isEmpty() else connected_components(
+        groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more.select("u", "v")))
     label = (classes.join(final.withColumnRenamed("node", "rep"), "rep", "left")
              .select("digest", F.coalesce("component", "rep").alias("component")))
     out = signed.select("doc_id", "n_shingles", "digest").join(label, "digest", "left")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from qaspark.llm import near_dedup as N
 from qaspark.llm.components import connected_components
@@ -22,7 +23,9 @@ def test_query_equals_all_pairs(spark):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got.collect())
 
 
-def test_chains_ties_nulls_and_clashing_columns(spark):
+@pytest.mark.parametrize("small,tile", [(N.SMALL_BUCKET, N.TILE_ROWS), (0, N.TILE_ROWS), (1, 5)])
+def test_chains_ties_nulls_and_clashing_columns(spark, monkeypatch, small, tile):
+    monkeypatch.setattr(N, "TILE_ROWS", tile)
     rng = random.Random(4)
     vocab = [f"w{i}" for i in range(4000)]
     docs, i = {}, 0
@@ -40,7 +43,7 @@ def test_chains_ties_nulls_and_clashing_columns(spark):
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "k long, body string, band string, component long")
     want = brute.near_components(docs)
-    got = N.near_duplicates(df, "k", "body", size=4)
+    got = N.near_duplicates(df, "k", "body", size=4, small_bucket=small)
     assert _rows(got) == want
     assert len({c for _, c in want.values()}) < len(docs) - 40
     doubled = N.near_duplicates(df.unionAll(df).unionAll(spark.createDataFrame([(None, "one two", "", 0)], df.schema)), "k", "body", size=4)
@@ -51,6 +54,23 @@ def test_chains_ties_nulls_and_clashing_columns(spark):
     assert N.near_duplicates(df.limit(0), "k", "body").collect() == []
 
 
+def test_loose_group_in_one_bucket(spark):
+    """Many edits of one text: most pairs are no links, and the few that are must be found."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    docs = {}
+    for i in range(90):
+        words = list(base)
+        for p in rng.sample(range(150), rng.randrange(0, 9)):
+            words[p] = f"x{rng.randrange(10 ** 6)}"
+        docs[i] = " ".join(words)
+    want = brute.near_components(docs)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    for small in (0, 1000):
+        assert _rows(N.near_duplicates(df, size=4, small_bucket=small)) == want
+    assert 1 < len({c for _, c in want.values()}) < 80
+
+
 def test_signature_estimates_with_little_variance():
     rng = np.random.default_rng(2)
     shares = []
