@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import PLAIN_GAP, rolling, texts_of, word_hashes, word_spans
+from .common import PLAIN_GAP, rolling, stored, texts_of, word_hashes, word_spans
 
 SEED_WORDS = 4                 # words in a seed; shorter items are one seed as a whole
 COMMON = 4                     # a seed in more than COMMON times the documents of the item's median seed is not rare
@@ -162,19 +162,21 @@ def _lowered(b: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([b.column(0), text], ["doc_id", "text"])
 
 
-def _read_items(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple[int, str]]]:
-    """The query set in blocks of at most ``BLOCK_ITEMS`` items and about ``BLOCK_BYTES``."""
-    blocks: list[list[tuple[int, str]]] = [[]]
+def _read_items(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
+    """The query set in blocks of at most ``BLOCK_ITEMS`` items and about ``BLOCK_BYTES``,
+    one after the other; the driver holds one block at a time."""
+    block: list[tuple[int, str]] = []
     size = 0
     rows = (benchmark.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t"))
             .dropna().distinct().orderBy("i", "t"))
     for r in rows.toLocalIterator():
-        if blocks[-1] and (size + len(r["t"]) > BLOCK_BYTES or len(blocks[-1]) >= BLOCK_ITEMS):
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r["i"], r["t"]))
+        if block and (size + len(r["t"]) > BLOCK_BYTES or len(block) >= BLOCK_ITEMS):
+            yield block
+            block, size = [], 0
+        block.append((r["i"], r["t"]))
         size += len(r["t"])
-    return blocks
+    if block:
+        yield block
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -192,8 +194,6 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     out = spark.createDataFrame([], HITS)
     for items in _read_items(benchmark, item_id_col, item_text_col):
-        if not items:
-            continue
         block = _Block(items)
         counted = spark.sparkContext.broadcast(block)                   # at most a few times BLOCK_BYTES
 
@@ -211,6 +211,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
         frequency = {r["gram"]: r["n"] for r in texts.mapInArrow(count, "gram long, n long")
                      .groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator()}      # seeds of the block at most
+        counted.unpersist()
         block.keep_rare(frequency)
         seeds = spark.sparkContext.broadcast(block)
 
@@ -249,5 +250,6 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
                     [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))],
                     ["doc_id", "item_id", "score", "start", "end"])
 
-        out = out.unionByName(texts.mapInArrow(search, HITS))
+        out = out.unionByName(stored(texts.mapInArrow(search, HITS), "hits"))       # one block after the other
+        seeds.unpersist()
     return out
