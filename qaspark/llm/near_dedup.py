@@ -209,6 +209,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def verified(pairs: DataFrame) -> DataFrame:
         x = elements.select(F.col("doc_id").alias("u"), F.col("elements").alias("x"))
         y = elements.select(F.col("doc_id").alias("v"), F.col("elements").alias("y"))
+        pairs = stored(pairs, "pairs")          # both joins shuffle both sides: a hot member can be split
         return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(_verifier(percent), "u long, v long")
 
     links = stored(verified(stars), "links")
