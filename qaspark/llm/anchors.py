@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, rolling, sliding_argmin, stored
+from .common import dropped, mix, rolling, sliding_argmin, stored
 
 #: Runs of a document: anchor hash, run key, first window, number of windows.
 RUNS = "array<struct<anchor:bigint,run:bigint,first:bigint,n:int>>"
@@ -34,21 +34,23 @@ def window_runs(codes: np.ndarray, gram: int, window: int) -> tuple[np.ndarray,
     return g[at], key, first, n, wh
 
 
-def repeated_runs(runs: DataFrame, name: str) -> DataFrame:
+def repeated_runs(runs: DataFrame, name: str) -> tuple[DataFrame, list[DataFrame]]:
     """Of ``runs(doc_id, anchor, run, first, n)`` those whose anchor occurs at two places at
     least, with ``first_doc, first_at`` (the earliest place of an equal run), ``again``
     (whether an equal run is elsewhere) and ``kinds`` (different runs of that anchor).
-    Counts are pre-aggregated by task; equal rows are one place."""
+    Counts are pre-aggregated by task; equal rows are one place. Also the stored tables that
+    the result still reads."""
     # the small tables are written, so that the joins shuffle both sides and Spark can
     # split the rows of an anchor that very many documents share
     twice = stored(runs.groupBy("anchor").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"),
                                               F.min("first").alias("f0"), F.max("first").alias("f1"))
                    .filter("d0 < d1 OR f0 < f1").select("anchor"), f"{name}-anchors")
     held = stored(runs.join(twice, "anchor", "left_semi"), name)
+    dropped(twice)
     kinds = (held.groupBy("anchor", "run")
              .agg(F.min(F.struct("doc_id", "first")).alias("lo"), F.max(F.struct("doc_id", "first")).alias("hi")))
     many = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
     known = stored(kinds.join(many, "anchor")
                    .select("anchor", "run", F.col("lo.doc_id").alias("first_doc"), F.col("lo.first").alias("first_at"),
                            (F.col("lo") < F.col("hi")).alias("again"), "kinds"), f"{name}-kinds")
-    return held.join(known, ["anchor", "run"])
+    return held.join(known, ["anchor", "run"]), [held, known]

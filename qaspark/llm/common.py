@@ -42,7 +42,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         conf.set(_CLEANUP, before)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def dropped(table: DataFrame) -> None:
+    """Delete the files of a table made by :func:`stored` once all that was read from it
+    has been written elsewhere."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def hashed_sample(df: DataFrame, key: str, n: int) -> DataFrame:

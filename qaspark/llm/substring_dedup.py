@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import RUNS, repeated_runs, window_runs
-from .common import prepared, stored, texts_of, word_hashes, word_spans
+from .common import dropped, prepared, stored, texts_of, word_hashes, word_spans
 
 WINDOW = 35
 GRAM = 6                       # words of a seed
@@ -112,11 +112,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = prepared(docs, id_col, text_col)
     read = stored(texts.mapInArrow(_scan(window), f"doc_id long, n_words long, sha string, runs {RUNS}"), "word-runs")
     runs = read.filter("doc_id IS NOT NULL").select("doc_id", F.explode("runs").alias("r")).select("doc_id", "r.*")
-    found = repeated_runs(runs, "word-seeds")
+    counted = stored(read.select("doc_id", "n_words", "sha"), "word-counts")
+    found, parts = repeated_runs(runs, "word-seeds")
+    dropped(read)
     # runs that differ from others of their anchor: one document of each kind takes part
     rows = found.select("doc_id", F.struct("first", "n", "again", (
         (F.col("kinds") > 1) & (F.col("doc_id") == F.col("first_doc"))).alias("open")).alias("r"))
     matched = stored(texts.join(rows.groupBy("doc_id").agg(F.collect_list("r").alias("runs")).hint("shuffle_hash"), "doc_id"), "matched")
+    for t in parts:
+        dropped(t)
     windows = stored(matched.mapInArrow(_windows(window), "doc_id long, at long, window long"), "windows")
     twice = (windows.groupBy("window").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"),
                                            F.min("at").alias("a0"), F.max("at").alias("a1"))
@@ -124,6 +128,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     single = windows.join(twice, "window", "left_semi").groupBy("doc_id").agg(F.collect_set("at").alias("single"))
     removed = (matched.join(single, "doc_id", "left").select("doc_id", "runs", "single", "text")
                .mapInArrow(_remove(window), "doc_id long, n_removed long, kept string").dropDuplicates(["doc_id"]))
-    return (read.select("doc_id", "n_words", "sha").join(removed, "doc_id", "left")
+    return (counted.join(removed, "doc_id", "left")
             .select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
                     F.coalesce("kept", "sha").alias("kept_sha256")))

@@ -1,9 +1,9 @@
 """Substring deduplication on bytes with sharded suffix arrays.
 
 Every string of ``window`` bytes has a winnowed anchor, and equal strings share theirs, so
-shards of anchors can be handled apart. A shard's text is made of the stretches around
-anchors that occur at two places at least, each distinct stretch once, at its earliest
-place; copies of a stretch are told by their key before and share its suffixes. Each
+shards of anchors can be handled apart. Equal stretches around an anchor are told by their
+key: all but the earliest go as a whole. A shard's text is made of the stretches around
+anchors that have several different ones, each once, at its earliest place. Each
 shard gets a suffix array by induced sorting and permuted common prefixes; suffixes that
 agree over the whole window are one string, and only its earliest place stays.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import RUNS, repeated_runs, window_runs
-from .common import mix, prepared, stored, texts_of
+from .common import dropped, mix, prepared, stored, texts_of
 from .substring_dedup import run_lists
 from .suffix_array import permuted_prefixes, suffix_array
 
@@ -60,11 +60,11 @@ def _scan(window: int):
 
 
 def _segments(window: int):
-    """The stretch of each run that is the earliest of its kind."""
+    """The stretch of each run that is the earliest of its kind, if its anchor has other kinds."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for doc, runs, data in zip(b.column("doc_id").to_pylist(), b.column("runs").to_pylist(), texts_of(b)):
-                own = [r for r in runs if r["earliest"]]
+                own = [r for r in runs if r["earliest"] and r["shared"]]
                 if own:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([r["anchor"] for r in own], pa.int64()), pa.array([doc] * len(own), pa.int64()),
@@ -183,17 +183,21 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = prepared(docs, id_col, text_col)
     read = stored(texts.mapInArrow(_scan(window), f"doc_id long, n_bytes long, sha string, runs {RUNS}"), "byte-runs")
     runs = read.filter("doc_id IS NOT NULL").select("doc_id", F.explode("runs").alias("r")).select("doc_id", "r.*")
-    found = repeated_runs(runs, "byte-seeds")
+    counted = stored(read.select("doc_id", "n_bytes", "sha"), "byte-counts")
+    found, parts = repeated_runs(runs, "byte-seeds")
+    dropped(read)
     rows = found.select("doc_id", F.struct(
         "anchor", "first", "n", ((F.col("doc_id") == F.col("first_doc")) & (F.col("first") == F.col("first_at"))).alias("earliest"),
-        (F.col("kinds") > hot_kinds).alias("hot")).alias("r"))
+        (F.col("kinds") > 1).alias("shared"), (F.col("kinds") > hot_kinds).alias("hot")).alias("r"))
     matched = stored(texts.join(rows.groupBy("doc_id").agg(F.collect_list("r").alias("runs")).hint("shuffle_hash"), "doc_id"), "matched")
+    for t in parts:
+        dropped(t)
     segments = stored(matched.mapInArrow(_segments(window), SEGMENTS), "segments")
     shards = segments.filter("NOT hot").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "first")
     spans = (shards.mapInArrow(_shards(window), SPANS).unionByName(_hot_windows(segments.filter("hot"), window))
              .groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
     removed = (matched.join(spans, "doc_id", "left").select("doc_id", "runs", "spans", "text")
                .mapInArrow(_remove(window), "doc_id long, n_removed long, n_spans long, kept string").dropDuplicates(["doc_id"]))
-    return (read.select("doc_id", "n_bytes", "sha").join(removed, "doc_id", "left")
+    return (counted.join(removed, "doc_id", "left")
             .select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
                     F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256")))
