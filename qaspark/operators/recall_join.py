@@ -34,9 +34,7 @@ from ..session import bounded_rows, materialize
 from .skew import skew_join
 
 ROWS_PER_SALT = 1_000_000        # postings per salt bucket of a hot token
-MAX_SALT = 4096
-MAX_HOT_TOKENS = 100_000         # salted tokens (the most frequent); bounds the broadcast
-DF_SAMPLE = 0.05                 # share of texts whose frequencies order the tokens
+DF_SAMPLE = 0.05                 # share of texts, by a hash of their id, whose frequencies order the tokens
 BROADCAST_MAX_ROWS = 500_000     # proven-size bound for the truth-side broadcast
 
 
@@ -84,8 +82,9 @@ def recall_join(truths: DataFrame, texts: DataFrame, truth_id: str, truth_text:
         post = materialize(post)
         freq_src = post
     elif df_sample and df_sample < 1.0:
-        freq_src = postings(texts.sample(False, df_sample, seed=11), text_id, text_col) \
-            .join(vocab, on="token", how="left_semi")
+        # chosen by a hash, so that every evaluation finds the same frequencies and buckets
+        some = F.pmod(F.xxhash64(text_id), F.lit(10_000)) < F.lit(int(df_sample * 10_000))
+        freq_src = postings(texts.filter(some), text_id, text_col).join(vocab, on="token", how="left_semi")
     else:
         freq_src = post
 
@@ -101,9 +100,8 @@ def recall_join(truths: DataFrame, texts: DataFrame, truth_id: str, truth_text:
     # proportion to its (estimated) frequency; the prefix rows of that token
     # are replicated once per bucket. Only hot tokens get more than one.
     scale = (1.0 / df_sample) if (df_sample and df_sample < 1.0 and not materialize_postings) else 1.0
-    nsalt = F.least(F.lit(MAX_SALT), F.greatest(F.lit(1), F.ceil(F.col("df") * F.lit(scale) / F.lit(rows_per_salt))))
-    hot = F.broadcast(dfreq.select("token", nsalt.cast("int").alias("nsalt")).filter(F.col("nsalt") > 1)
-                      .orderBy(F.col("nsalt").desc(), "token").limit(MAX_HOT_TOKENS))   # bounded by the limit
+    nsalt = F.greatest(F.lit(1), F.ceil(F.col("df") * F.lit(scale) / F.lit(rows_per_salt)))
+    hot = dfreq.select("token", nsalt.cast("int").alias("nsalt")).filter(F.col("nsalt") > 1)
     buckets = F.coalesce(F.col("nsalt"), F.lit(1))
     salted_prefix = (prefix.join(hot, on="token", how="left")
                      .select("tid", "token", F.explode(F.sequence(F.lit(0), buckets - 1)).alias("salt")))
