@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -188,6 +189,16 @@ def sliding_argmin(h: np.ndarray, w: int) -> np.ndarray:
     return best
 
 
+def struct_lists(col: pa.ListArray) -> Iterator[dict[str, np.ndarray]]:
+    """For each row of a list-of-structs column its fields as arrays (null: empty ones)."""
+    flat = col.flatten()
+    fields = {flat.type.field(i).name: flat.field(i).to_numpy(zero_copy_only=False) for i in range(flat.type.num_fields)}
+    length = np.array([0 if n is None else n for n in pc.list_value_length(col).to_pylist()], np.int64)
+    ends = np.cumsum(length)
+    for a, b in zip((ends - length).tolist(), ends.tolist()):
+        yield {k: v[a:b] for k, v in fields.items()}
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> Iterator[np.ndarray]:
     """The UTF-8 bytes of each text of a batch, without copying them (null: empty)."""
     col = batch.column(batch.schema.get_field_index(name))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import RUNS, repeated_runs, window_runs
-from .common import dropped, prepared, stored, texts_of, word_hashes, word_spans
+from .common import dropped, prepared, stored, struct_lists, texts_of, word_hashes, word_spans
 
 WINDOW = 35
 GRAM = 6                       # words of a seed
@@ -65,11 +65,12 @@ def _windows(window: int):
     """Hashes of the windows that must be compared one by one."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, runs, data in zip(b.column("doc_id").to_pylist(), b.column("runs").to_pylist(), texts_of(b)):
-                at = [np.arange(r["first"], r["first"] + r["n"]) for r in runs if r["open"]]
-                if not at:
+            for doc, runs, data in zip(b.column("doc_id").to_pylist(), struct_lists(b.column("runs")), texts_of(b)):
+                own = runs["open"].astype(bool)
+                if not own.any():
                     continue
-                at = np.unique(np.concatenate(at))
+                first, n = runs["first"][own], runs["n"][own].astype(np.int64)
+                at = np.unique(np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
                 wh = window_runs(word_hashes(data, *word_spans(data)), GRAM, window)[4][at]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), doc)), pa.array(at), pa.array(wh.view(np.int64))],
                                                  ["doc_id", "at", "window"])
@@ -80,17 +81,16 @@ def _remove(window: int):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, n, sha = [], [], []
-            for doc, runs, single, data in zip(b.column("doc_id").to_pylist(), b.column("runs").to_pylist(),
+            for doc, runs, single, data in zip(b.column("doc_id").to_pylist(), struct_lists(b.column("runs")),
                                                b.column("single").to_pylist(), texts_of(b)):
                 starts, ends = word_spans(data)
                 edge = np.zeros(len(starts) + 1, np.int64)
-                for r in runs:
-                    if r["again"]:
-                        edge[r["first"]] += 1
-                        edge[r["first"] + r["n"] + window - 1] -= 1
-                for s in single or ():
-                    edge[s] += 1
-                    edge[s + window] -= 1
+                again = runs["again"].astype(bool)
+                np.add.at(edge, runs["first"][again], 1)
+                np.add.at(edge, (runs["first"] + runs["n"])[again] + window - 1, -1)
+                at = np.array(single or (), np.int64)
+                np.add.at(edge, at, 1)
+                np.add.at(edge, at + window, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 ids.append(doc)
                 n.append(int(gone.sum()))

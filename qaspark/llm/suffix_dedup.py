@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import RUNS, repeated_runs, window_runs
-from .common import dropped, mix, prepared, stored, texts_of
+from .common import dropped, mix, prepared, stored, struct_lists, texts_of
 from .substring_dedup import run_lists
 from .suffix_array import permuted_prefixes, suffix_array
 
@@ -63,14 +63,16 @@ def _segments(window: int):
     """The stretch of each run that is the earliest of its kind, if its anchor has other kinds."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, runs, data in zip(b.column("doc_id").to_pylist(), b.column("runs").to_pylist(), texts_of(b)):
-                own = [r for r in runs if r["earliest"] and r["shared"]]
-                if own:
+            for doc, runs, data in zip(b.column("doc_id").to_pylist(), struct_lists(b.column("runs")), texts_of(b)):
+                own = runs["earliest"].astype(bool) & runs["shared"].astype(bool)
+                if own.any():
+                    first, n = runs["first"][own], runs["n"][own]
+                    whole = data.tobytes()
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([r["anchor"] for r in own], pa.int64()), pa.array([doc] * len(own), pa.int64()),
-                         pa.array([r["first"] for r in own], pa.int64()), pa.array([r["n"] for r in own], pa.int32()),
-                         pa.array([data[r["first"]:r["first"] + r["n"] + window - 1].tobytes() for r in own], pa.binary()),
-                         pa.array([r["hot"] for r in own], pa.bool_())],
+                        [pa.array(runs["anchor"][own], pa.int64()), pa.array(np.full(len(n), doc), pa.int64()),
+                         pa.array(first, pa.int64()), pa.array(n, pa.int32()),
+                         pa.array([whole[s:e] for s, e in zip(first.tolist(), (first + n + window - 1).tolist())], pa.binary()),
+                         pa.array(runs["hot"][own].astype(bool), pa.bool_())],
                         ["anchor", "doc_id", "first", "n", "bytes", "hot"])
     return rows
 
@@ -151,16 +153,14 @@ def _remove(window: int):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for doc, runs, spans, data in zip(b.column("doc_id").to_pylist(), b.column("runs").to_pylist(),
-                                              b.column("spans").to_pylist(), texts_of(b)):
+            for doc, runs, spans, data in zip(b.column("doc_id").to_pylist(), struct_lists(b.column("runs")),
+                                              struct_lists(b.column("spans")), texts_of(b)):
                 edge = np.zeros(len(data) + 1, np.int32)
-                for r in runs:
-                    if not r["earliest"]:
-                        edge[r["first"]] += 1
-                        edge[r["first"] + r["n"] + window - 1] -= 1
-                for s in spans or ():
-                    edge[s["start"]] += 1
-                    edge[s["end"]] -= 1
+                copy = ~runs["earliest"].astype(bool)
+                np.add.at(edge, runs["first"][copy], 1)
+                np.add.at(edge, (runs["first"] + runs["n"])[copy] + window - 1, -1)
+                np.add.at(edge, spans["start"], 1)
+                np.add.at(edge, spans["end"], -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 starts = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
                 rows.append((doc, int(gone.sum()), starts, hashlib.sha256(data[~gone].tobytes()).hexdigest()))
