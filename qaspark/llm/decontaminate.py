@@ -1,9 +1,8 @@
-"""Benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
+"""Benchmark decontamination by n-gram seeds and Smith-Waterman alignment.
 
 Test items are a stated query set: they are taken in blocks of proven size, and each
-block goes past the whole corpus. One pass counts in how many documents each word
-n-gram of the block occurs; the n-grams of an item that are rare beside its others
-become its seeds. A second pass joins the passages of each document with the seeds and
+block goes past the whole corpus. Every word n-gram of an item is a seed, however many
+documents hold it. One pass joins the passages of each document with the seeds and
 aligns the item's words with the words around them; an edited or paraphrased copy keeps
 a high local alignment score. Documents are never shuffled.
 """
@@ -22,7 +21,6 @@ from ..shipping import ship
 from .common import PLAIN_GAP, rolling, stored, texts_of, word_hashes, word_spans
 
 SEED_WORDS = 4                 # words in a seed; shorter items are one seed as a whole
-COMMON = 4                     # a seed in more than COMMON times the documents of the item's median seed is not rare
 MIN_SCORE = 0.5                # alignment score over that of a perfect copy
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_BYTES = 8 << 20          # text of the test items that are handled together
@@ -54,27 +52,10 @@ class _Block:
             gram.append(g)
             owner.append(np.full(len(g), k))
             pos.append(np.arange(len(g)))
-        self._set(np.concatenate(gram or [np.empty(0, np.uint64)]), np.concatenate(owner or [np.empty(0, int)]),
-                  np.concatenate(pos or [np.empty(0, int)]))
-        self.short = sorted({len(h) for h in self.words if 0 < len(h) < SEED_WORDS})
-
-    def _set(self, gram: np.ndarray, owner: np.ndarray, pos: np.ndarray) -> None:
+        gram = np.concatenate(gram)
         o = np.argsort(gram, kind="stable")
-        self.gram, self.owner, self.pos = gram[o], owner[o].astype(np.int64), pos[o].astype(np.int64)
-        self.distinct = np.unique(self.gram)
-
-    def keep_rare(self, frequency: dict[int, int]) -> None:
-        """Leave out the n-grams that are common beside the item's others."""
-        df = np.array([frequency.get(int(g), 0) for g in self.distinct.view(np.int64)])
-        each = df[np.searchsorted(self.distinct, self.gram)]
-        keep = np.zeros(len(each), bool)
-        by_item = np.argsort(self.owner, kind="stable")
-        cuts = np.searchsorted(self.owner[by_item], np.arange(len(self.ids) + 1))
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            rows = by_item[a:b]
-            if len(rows):
-                keep[rows] = each[rows] <= COMMON * max(1.0, float(np.median(each[rows])))
-        self._set(self.gram[keep], self.owner[keep], self.pos[keep])
+        self.gram, self.owner, self.pos = gram[o], np.concatenate(owner)[o].astype(np.int64), np.concatenate(pos)[o].astype(np.int64)
+        self.short = sorted({len(h) for h in self.words if 0 < len(h) < SEED_WORDS})
 
     def document_grams(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes and positions of a document's n-grams of every length in use."""
@@ -195,25 +176,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     out = spark.createDataFrame([], HITS)
     for items in _read_items(benchmark, item_id_col, item_text_col):
         block = _Block(items)
-        counted = spark.sparkContext.broadcast(block)                   # at most a few times BLOCK_BYTES
-
-        def count(batches: Iterator[pa.RecordBatch], shared=counted) -> Iterator[pa.RecordBatch]:
-            blk = shared.value
-            total = np.zeros(len(blk.distinct), np.int64)
-            for b in batches:
-                for t in texts_of(_lowered(b)):
-                    g = np.unique(blk.document_grams(_words(t)[0])[0])
-                    if len(g) and len(blk.distinct):
-                        i = np.minimum(np.searchsorted(blk.distinct, g), len(blk.distinct) - 1)
-                        total[i[blk.distinct[i] == g]] += 1
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(blk.distinct[some].view(np.int64)), pa.array(total[some])], ["gram", "n"])
-
-        frequency = {r["gram"]: r["n"] for r in texts.mapInArrow(count, "gram long, n long")
-                     .groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator()}      # seeds of the block at most
-        counted.unpersist()
-        block.keep_rare(frequency)
-        seeds = spark.sparkContext.broadcast(block)
+        seeds = spark.sparkContext.broadcast(block)                     # at most a few times BLOCK_BYTES
 
         def search(batches: Iterator[pa.RecordBatch], shared=seeds) -> Iterator[pa.RecordBatch]:
             blk = shared.value

@@ -75,3 +75,16 @@ def test_edited_copies_and_odd_inputs(spark, monkeypatch):
     assert text[500][whole["start"]:whole["end"]].decode().replace(",", "") == items[5][1] and whole["score"] == 1.0
     assert D.find_contamination(df.limit(0), bench).collect() == []
     assert D.find_contamination(df, bench.limit(0)).collect() == []
+
+
+def test_one_edited_copy_is_found_in_any_number_of_documents(spark):
+    rng = random.Random(4)
+    vocab = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "lmnrs"]
+    item = " ".join(rng.sample(vocab, 25))
+    copy = item.split()
+    for p in (4, 8, 12, 16, 20):                                 # 2 of its 22 runs of four words are left
+        copy[p] = "edited"
+    for n in (4, 5, 1000):
+        docs = [(i, " ".join(rng.choice(vocab) for _ in range(20)) + " " + " ".join(copy), 1, 1) for i in range(n)]
+        rows = D.find_contamination(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+        assert sorted(r["doc_id"] for r in rows) == list(range(n))
