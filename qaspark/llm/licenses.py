@@ -1,6 +1,7 @@
 """Licence scans: a trained paragraph classifier confirmed by templates.
 
-Paragraphs (lines, long ones in overlapping windows) become hashed word n-grams. A
+Paragraphs (lines, and runs of lines without a blank one between, long ones in
+overlapping windows) become hashed word n-grams. A
 multinomial logistic regression with sparse weights, trained on the notices below under
 random edits and on corpus paragraphs as the unknown class, gives a family; its
 probabilities are calibrated on held-out paragraphs, with a threshold for unknown. A
@@ -68,13 +69,8 @@ _LOWER[65:91] += 32
 _NEWLINE = 10
 
 
-def paragraphs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, starts and ends of a text, and the first and end word of each paragraph part."""
-    starts, ends = word_spans(data, PLAIN_GAP)
-    h = word_hashes(_LOWER[data], starts, ends)
-    breaks = np.searchsorted(starts, np.flatnonzero(data == _NEWLINE))
-    cut = np.unique(np.concatenate(([0], breaks, [len(starts)])))
-    first, last = cut[:-1], cut[1:]
+def _windows(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end word of each part of the stretches: whole ones or overlapping windows."""
     long = last - first > WINDOW
     if long.any():
         parts = [(f, t) for f, t in zip(first[~long], last[~long])]
@@ -82,7 +78,26 @@ def paragraphs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
             parts += [(s, min(s + WINDOW, t)) for s in range(f, max(f + 1, t - WINDOW + STRIDE), STRIDE)]
         parts.sort()
         first, last = (np.array(x, np.int64) for x in zip(*parts))
-    return h, starts, ends, first.astype(np.int64), last.astype(np.int64)
+    return first.astype(np.int64), last.astype(np.int64)
+
+
+def paragraphs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes, starts and ends of a text, and the first and end word of each line part."""
+    starts, ends = word_spans(data, PLAIN_GAP)
+    h = word_hashes(_LOWER[data], starts, ends)
+    breaks = np.searchsorted(starts, np.flatnonzero(data == _NEWLINE))
+    cut = np.unique(np.concatenate(([0], breaks, [len(starts)])))
+    return h, starts, ends, *_windows(cut[:-1], cut[1:])
+
+
+def joined(data: np.ndarray, starts: np.ndarray, also: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """First and end word of each part that goes over a line break: runs of lines between
+    lines without words (blank or comment marks only), also cut at the words ``also``."""
+    breaks, times = np.unique(np.searchsorted(starts, np.flatnonzero(data == _NEWLINE)), return_counts=True)
+    cut = np.unique(np.concatenate(([0], breaks[times > 1], also, [len(starts)]))).astype(np.int64)
+    first, last = _windows(cut[:-1], cut[1:])
+    over = np.searchsorted(breaks, first, side="right") < np.searchsorted(breaks, last)
+    return first[over], last[over]
 
 
 def features(h: np.ndarray, first: np.ndarray, last: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -238,10 +253,57 @@ def sample_paragraphs(docs: DataFrame, id_col: str, text_col: str) -> list[str]:
     return [r["p"] for r in rows.collect()]
 
 
+@dataclass
+class _Finding:
+    """A confirmed part: its words, the template it resembles most, and their common word pairs."""
+    first: int
+    last: int
+    family: int
+    probability: float
+    alike: float
+    template: np.ndarray
+    common: np.ndarray
+
+    def meets(self, other: _Finding) -> bool:
+        return self.first < other.last and other.first < self.last
+
+    def within(self, other: _Finding) -> bool:
+        """Whether ``other`` shows this part to be a piece of another family's notice."""
+        return (self.family != other.family and self.meets(other) and other.alike > self.alike
+                and bool(np.isin(self.common, other.template).all()))
+
+
+def _confirmed(model: Scanner, known: dict[int, list[np.ndarray]], h: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[_Finding]:
+    """The parts whose predicted family is sure and confirmed by a template."""
+    out = []
+    for a in range(0, len(first), 4096):
+        f, t = first[a:a + 4096], last[a:a + 4096]
+        p = model.probabilities(h, f, t)
+        top = p[:, :UNKNOWN].argmax(axis=1)
+        sure = p[np.arange(len(f)), top]
+        for i in np.flatnonzero((sure >= model.threshold) & (top != UNKNOWN)).tolist():
+            have = rolling(h[f[i]:t[i]], 2, 2)
+            shown = [np.isin(pairs, have) for pairs in known[int(top[i])]]
+            k = max(range(len(shown)), key=lambda k: shown[k].mean())
+            if shown[k].mean() >= MIN_RESEMBLANCE:
+                template = known[int(top[i])][k]
+                out.append(_Finding(int(f[i]), int(t[i]), int(top[i]), float(sure[i]), float(shown[k].mean()), template, template[shown[k]]))
+    return out
+
+
+def _settled(lines: list[_Finding], runs: list[_Finding]) -> list[_Finding]:
+    """Lines and runs of lines without those that are pieces of another family's notice,
+    and without runs whose family a line in them already has."""
+    kept = [x for x in lines if not any(x.within(y) for y in runs)]
+    over = [x for x in runs if not any(x.within(y) for y in lines + runs)]
+    return kept + [x for x in over if not any(x.family == y.family and x.meets(y) for y in kept)]
+
+
 def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   scanner: Scanner | None = None) -> DataFrame:
     """Licence paragraphs: ``doc_id, family, probability, resemblance, start, end`` (bytes),
-    one row for each paragraph part that is confirmed.
+    one row for each part that is confirmed: lines, and notices wrapped over lines that
+    no line of theirs already shows.
 
     Whole texts are scanned. Null and empty texts have no paragraphs; ids pass through,
     null ones too; repeated rows give repeated results; an empty table gives no rows.
@@ -258,16 +320,13 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             out: list[tuple] = []
             for doc, data in zip(b.column(0).to_pylist(), texts_of(b)):
                 h, starts, ends, first, last = paragraphs(data)
-                for a in range(0, len(first), 4096):
-                    f, t = first[a:a + 4096], last[a:a + 4096]
-                    p = model.probabilities(h, f, t)
-                    top = p[:, :UNKNOWN].argmax(axis=1)
-                    sure = p[np.arange(len(f)), top]
-                    for i in np.flatnonzero((sure >= model.threshold) & (top != UNKNOWN)).tolist():
-                        have = rolling(h[f[i]:t[i]], 2, 2)
-                        alike = max(float(np.isin(pairs, have).mean()) for pairs in known[int(top[i])])
-                        if alike >= MIN_RESEMBLANCE:
-                            out.append((doc, FAMILIES[top[i]], float(sure[i]), alike, int(starts[f[i]]), int(ends[t[i] - 1])))
+                lines = _confirmed(model, known, h, first, last)
+                runs = _confirmed(model, known, h, *joined(data, starts, []))
+                if lines:                                    # what stands between the confirmed lines, by itself
+                    between = _confirmed(model, known, h, *joined(data, starts, [w for x in lines for w in (x.first, x.last)]))
+                    runs += [x for x in between if not any(x.family == y.family and x.meets(y) for y in runs)]
+                for x in _settled(lines, runs) if runs else lines:
+                    out.append((doc, FAMILIES[x.family], x.probability, x.alike, int(starts[x.first]), int(ends[x.last - 1])))
             cols = list(zip(*out)) or [()] * 6
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()))],

@@ -1,6 +1,7 @@
 """Licence paragraphs: templates and edits are found, ordinary text is not."""
 
 import re
+import textwrap
 
 from qaspark.llm import licenses as L
 from qaspark.llm.queries import QUERIES
@@ -36,3 +37,34 @@ def test_edits_long_lines_and_odd_inputs(spark):
     assert {f for d, f in got if d == 2} == {"apache"}
     assert L.find_licenses(df.limit(0), "k", "body", scanner).collect() == []
     assert L.scan_licenses(df.limit(0), "k", "body").collect() == []
+
+
+#: Notices as file headers and licence files wrap them.
+WRAPPED = {
+    "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "gpl": L.TEMPLATES["gpl"][1], "agpl": L.TEMPLATES["agpl"][0], "lgpl": L.TEMPLATES["lgpl"][0], "cc-by-nc": L.TEMPLATES["cc-by-nc"][0],
+}
+
+
+def test_notices_wrapped_over_lines(spark):
+    words = [f"w{i}" for i in range(900)]
+    scanner = L.fit([" ".join(words[i:i + 20]) for i in range(0, 880, 3)])
+    docs, want = [], set()
+    for k, (family, text) in enumerate(WRAPPED.items()):
+        for m, mark in enumerate(("", " * ", "# ", "// ")):
+            for w, width in enumerate((48, 60, 72)):
+                doc = 100 * k + 10 * m + w
+                lines = textwrap.wrap(text, width)
+                code = [" ".join(words[i:i + 8]) for i in range(0, 80, 8)]
+                body = [mark + x for x in ["Copyright 2020 Somebody", "", *lines, ""]] + code
+                docs += [(doc, "\n".join(body)), (5000 + doc, "\n".join(code + [mark + x for x in lines] + code))]
+                want |= {(doc, family), (5000 + doc, family)}
+    docs += [(9000, "All rights reserved.\n" + "\n".join(textwrap.wrap(WRAPPED["bsd"], 72))),
+             (9001, "Released under the MIT License.\nLicensed under the Apache License, Version 2.0."),
+             (9002, "\n".join(words)), (9003, "Licensed under the\n\nwords of another paragraph\n\nMIT License")]
+    want |= {(9000, "bsd"), (9000, "proprietary"), (9001, "mit"), (9001, "apache")}
+    rows = L.find_licenses(spark.createDataFrame(docs, "doc_id long, text string"), scanner=scanner).collect()
+    assert {(r["doc_id"], r["family"]) for r in rows} == want
+    text = dict(docs)
+    assert all(text[r["doc_id"]].encode()[r["start"]:r["end"]].decode().split() for r in rows)
