@@ -244,11 +244,14 @@ def fit(unknown: list[str], seed: int = 5) -> Scanner:
 
 
 def sample_paragraphs(docs: DataFrame, id_col: str, text_col: str) -> list[str]:
-    """At most ``SAMPLE_PARAGRAPHS`` paragraphs of the first ``SAMPLE_DOCS`` documents by
-    a hash of their id, each cut to one window of words: the unknown class."""
+    """The unknown class: at most ``SAMPLE_PARAGRAPHS`` different lines (long ones in windows
+    of words) of at most 2000 characters, the first ones by a hash of their text among all
+    lines of the first ``SAMPLE_DOCS`` documents by a hash of their id."""
     rows = (hashed_sample(prepared(docs, id_col, text_col), "doc_id", SAMPLE_DOCS)
-            .select(F.explode(F.slice(F.split("text", "\n"), 1, 40)).alias("p"))
-            .select(F.array_join(F.slice(F.split(F.trim("p"), " +"), 1, WINDOW), " ").alias("p"))
+            .select(F.explode(F.split("text", "\n")).alias("p"))
+            .select(F.split(F.trim("p"), " +").alias("w"))
+            .select("w", F.explode(F.sequence(F.lit(1), F.size("w"), F.lit(WINDOW))).alias("at"))
+            .select(F.array_join(F.slice("w", F.col("at"), WINDOW), " ").alias("p"))
             .filter(F.length("p").between(1, 2000)).distinct().orderBy(F.xxhash64("p"), "p").limit(SAMPLE_PARAGRAPHS))
     return [r["p"] for r in rows.collect()]
 

@@ -68,3 +68,10 @@ def test_notices_wrapped_over_lines(spark):
     assert {(r["doc_id"], r["family"]) for r in rows} == want
     text = dict(docs)
     assert all(text[r["doc_id"]].encode()[r["start"]:r["end"]].decode().split() for r in rows)
+
+
+def test_unknown_class_is_sampled_from_whole_texts(spark):
+    docs = [(1, "\n".join(f"line {i}" for i in range(100)) + "\n" + " ".join(f"w{i}" for i in range(200)))]
+    got = set(L.sample_paragraphs(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text"))
+    assert {f"line {i}" for i in range(100)} <= got
+    assert {w for p in got for w in p.split() if w[0] == "w"} == {f"w{i}" for i in range(200)}
