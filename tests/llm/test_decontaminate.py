@@ -88,3 +88,30 @@ def test_one_edited_copy_is_found_in_any_number_of_documents(spark):
         docs = [(i, " ".join(rng.choice(vocab) for _ in range(20)) + " " + " ".join(copy), 1, 1) for i in range(n)]
         rows = D.find_contamination(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
         assert sorted(r["doc_id"] for r in rows) == list(range(n))
+
+
+def test_seeds_find_what_all_pairs_alignment_finds(spark):
+    """Short and heavily edited copies: words replaced, lost and added."""
+    rng = random.Random(6)
+    vocab = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "lmnrs"]
+    items = [(n, " ".join(rng.choice(vocab) for _ in range(n))) for n in (2, 3, 4, 5, 8, 12, 16, 25)]
+    docs = []
+    for n, text in items:
+        for k in range(60):
+            e = text.split()
+            for p in rng.sample(range(n), min(n - 1, rng.randrange(n // 3 + 2))):
+                e[p] = "edited"
+            if k % 3 == 1:
+                del e[rng.randrange(len(e))]
+            if k % 3 == 2:
+                for _ in range(n // 3):
+                    e.insert(rng.randrange(len(e)), "added")
+            docs.append((1000 * n + k, " ".join([rng.choice(vocab) for _ in range(6)] + e + [rng.choice(vocab) for _ in range(6)]), 1, 1))
+    words = [D._words(np.frombuffer(t.encode(), np.uint8))[0] for _, t, *_ in docs]
+    want = set()
+    for i, t in items:
+        h = D._words(np.frombuffer(t.encode(), np.uint8))[0]
+        score, _ = D.align([h] * len(words), words)
+        want |= {(d[0], i) for d, s in zip(docs, score.tolist()) if s >= D.MIN_SCORE * D.MATCH * len(h)}
+    rows = D.find_contamination(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == want and len(want) > 200
