@@ -22,10 +22,13 @@ CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 
 
 def tokenizer_version(path: str) -> str:
-    """Digest of the vocabulary file and of the library that reads it."""
+    """Digest of the vocabulary file, of the pattern and of both libraries that encode by it."""
+    import public_tokenizers
+    import tiktoken
     import tokenizers
     with open(path, "rb") as f:
-        return hashlib.sha256(f.read() + tokenizers.__version__.encode()).hexdigest()[:32]
+        parts = [f.read(), tokenizers.__version__.encode(), tiktoken.__version__.encode(), public_tokenizers.PATTERN.encode()]
+    return hashlib.sha256(b"\n".join(parts)).hexdigest()[:32]
 
 
 class CountCache:
