@@ -12,9 +12,12 @@ from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .pii import pii_report
 from .quality import classify_quality
+from .spelling import spelling_variants
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
+from .token_files import token_file_report
+from .whitening import whiten
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,5 +70,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written as entropy-coded blocks and read back."""
+    return token_file_report(table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings projected on the leading components of their covariance."""
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words and their usual form."""
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_pii, op2_pattern_packing, op3_substring_dedup, op4_near_dedup, op5_quality, op6_exact_dedup,
-                                     op7_suffix_array_dedup, op8_decontamination, op9_token_counts, op10_license_scan)}
+                                     op7_suffix_array_dedup, op8_decontamination, op9_token_counts, op10_license_scan,
+                                     op11_token_files, op12_embedding_whitening, op13_spelling_variants)}
