@@ -1,11 +1,12 @@
 """Fast, exact use of a public lower-casing word vocabulary inside tasks.
 
 The vocabulary's library splits a text into pieces (contractions, runs of letters, single
-digits, runs of other marks) and merges each piece by itself, so a text's ids are those of
-its pieces, one after the other. Texts in Latin script are split here by the same pattern
-and every piece is looked up among those already encoded; unknown pieces go through the
-library's model once per worker. Texts with any other character, or with a special token in them,
-go through the library whole. The tests hold both ways to the same ids.
+digits, runs of other marks) and merges each piece by itself, its last character marked as
+a word's end. Texts in Latin script are split here by the same pattern, and ``tiktoken``
+merges the pieces by the same vocabulary (its ids ascend in merge order): a zero byte after
+each piece stands for the mark. Texts with any other character, with a zero byte or with a
+special token in them go through ``tokenizers`` whole. The tests hold both ways to the same
+ids.
 """
 
 from __future__ import annotations
@@ -18,13 +19,11 @@ import numpy as np
 
 from .tokens import letter_bytes
 
-MEMO_PIECES = 800_000          # pieces a worker keeps; beyond, it starts anew
-LONG_PIECE = 64                # longer pieces are not kept
-
 #: Characters up to here are split by the pattern below; the dotted capital I, whose lower
 #: case is two characters, and anything beyond go through the library.
 _LAST = 0x17F
-_OTHER = re.compile(f"[^\x00-{chr(_LAST)}]")
+_OTHER = re.compile(f"[^\x00-{chr(_LAST)}]|İ")
+WORD_END, MARK = "</w>", b"\0"
 
 
 def _class(kind: str) -> str:
@@ -47,31 +46,30 @@ class WordEncoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.last_id = max(self.tok.get_vocab().values())
-        self.letters = {b: c for c, b in letter_bytes().items()}
-        self.memo: dict[str, bytes] = {}
+        special = {t.content for t in self.tok.get_added_tokens_decoder().values()}
+        byte = letter_bytes()
+        ranks = {}
+        for token, i in self.tok.get_vocab(with_added_tokens=False).items():
+            if token not in special:
+                end = token.endswith(WORD_END)
+                key = bytes(byte[c] for c in (token[:-len(WORD_END)] if end else token)) + (MARK if end else b"")
+                if key in ranks:
+                    raise ValueError("a token of the vocabulary holds the byte that marks word ends")
+                ranks[key] = i
+        self.fast = tiktoken.Encoding(os.path.basename(path), pat_str="[^\\x00]+\\x00", mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
-        if "<|" in text or not text.isascii() and ("İ" in text or _OTHER.search(text)):
+        if "<|" in text or "\0" in text or not text.isascii() and _OTHER.search(text):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         pieces = (_ASCII_PIECE if text.isascii() else _PIECE).findall(text.lower())
-        different = set(pieces)
-        new = [p for p in different if p not in self.memo]
-        if len(self.memo) + len(new) > MEMO_PIECES:
-            self.memo.clear()
-            new = list(different)
-        if new:
-            for piece in new:
-                marks = piece if piece.isascii() else piece.encode().decode("latin-1")
-                found = self.tok.model.tokenize(marks.translate(self.letters))
-                self.memo[piece] = np.array([t.id for t in found], np.uint32).tobytes()
-        ids = np.frombuffer(b"".join(map(self.memo.__getitem__, pieces)), dtype=np.uint32)
-        for piece in new:
-            if len(piece) > LONG_PIECE:
-                del self.memo[piece]
-        return ids
+        if not pieces:
+            return np.empty(0, np.uint32)
+        pieces.append("")
+        return self.fast.encode_to_numpy("\0".join(pieces), disallowed_special=())
 
 
 def word_encoder(path: str) -> WordEncoder:
