@@ -18,6 +18,7 @@ from ..functions.prompts import (answer_after_marker, answer_after_prompt, answe
 from ..functions.text import (NO_ANSWER, clean_answer, sanitize_series, substring_recall_one, token_recall_one, tokens, words)
 from ..operators import aggregate as agg
 from ..operators import sequence as seq
+from ..operators.dense_index import DenseIndex
 from ..operators.grid import run_grid, with_memory_estimate
 from ..operators.infer import CONSTANT_MODEL_BYTES
 from ..operators.ingest import cap_samples, dataset_stats, filter_has_question, filter_scorable
@@ -318,6 +319,13 @@ def q20_retrieve_dense(spark, sf):
     return r.withColumn("score", F.round("score", MEAN_DIGITS))
 
 
+def q20b_dense_index(spark, sf):
+    """The same neighbours from an inverted-file index of all embeddings."""
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    r = DenseIndex.build(e, "vec_id", "embedding").search(e, "vec_id", "embedding", k=TOP_K, exclude_self=True)
+    return r.withColumn("score", F.round("score", MEAN_DIGITS))
+
+
 def q21_retrieve_lexical(spark, sf):
     """Top-3 documents per benchmark text by token recall (ties by id)."""
     bench = table(spark, sf, "benchmark")
@@ -661,6 +669,7 @@ QUERIES = {
     "q18_preview": q18_preview,
     "q19_recall_join": q19_recall_join,
     "q20_retrieve_dense": q20_retrieve_dense,
+    "q20b_dense_index": q20b_dense_index,
     "q21_retrieve_lexical": q21_retrieve_lexical,
     "q21b_retrieve_from_index": q21b_retrieve_from_index,
     "q21c_index_size": q21c_index_size,

@@ -313,6 +313,8 @@ WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedd
      r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, context_id)::BIGINT AS rank FROM s)
 SELECT query_id, rank, context_id, round(score, 6) AS score FROM r WHERE rank <= 3"""
 
+    q["q20b_dense_index"] = q["q20_retrieve_dense"]
+
     q["q21_retrieve_lexical"] = f"""
 WITH b AS (SELECT item_id, {tokens('text')} AS t FROM benchmark),
      d AS (SELECT doc_id, {tokens('text')} AS dt FROM documents),
