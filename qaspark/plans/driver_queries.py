@@ -33,6 +33,7 @@ from ..sinks import writers as sinks
 from ..sources.qa_jsonl import parse_items
 from ..sources.telemetry import parse_memory_lines, parse_power_lines
 from ..sources.tables import table
+from ..streaming.pairing import pair_in_time, quality_from_sums, quality_sums, scored_pairs
 
 MEAN_DIGITS = 6   # means are order-dependent in the last bits; compare rounded
 CAP = 50          # item cap of the capped queries (0 / None would mean no cap)
@@ -83,6 +84,20 @@ def q08_run_quality(spark, sf):
                     "num_examples")
 
 
+def q45_live_pairs(spark, sf):
+    """T1/J3, batch form of the live pairing: every assistant turn is a prediction whose
+    truth is the user's next turn, a minute later; per conversation the means, the pairs
+    and the predictions without a truth."""
+    c = table(spark, sf, "conversations").withColumn("at", F.timestamp_seconds(F.col("conv_id") * 100_000 + F.col("turn") * 60))
+    p = c.filter(F.col("role") == "assistant").select("conv_id", F.col("turn").alias("step"), F.col("text").alias("prediction"), "at")
+    t = c.filter(F.col("role") == "user").select("conv_id", (F.col("turn") - 1).alias("step"), F.array("text").alias("truths"),
+                                                  F.col("at").alias("truth_at"))
+    s = scored_pairs(pair_in_time(p, t, ["conv_id", "step"], "at", "truth_at", "2 minutes"), "prediction", "truths")
+    q = quality_from_sums(quality_sums(s, ["conv_id"]), ["conv_id"])
+    return q.select("conv_id", F.round("substring_recall", MEAN_DIGITS).alias("substring_recall"),
+                    F.round("token_recall", MEAN_DIGITS).alias("token_recall"), "num_examples", "num_missing")
+
+
 def q02_dataset_stats(spark, sf):
     """Per document source -- records (eval_size), valid records (a
     quality label present and 1) and records to process under the cap."""
@@ -700,4 +715,5 @@ QUERIES = {
     "q42_single_values": q42_single_values,
     "q43_table_records": q43_table_records,
     "q44_manifest": q44_manifest,
+    "q45_live_pairs": q45_live_pairs,
 }

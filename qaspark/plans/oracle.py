@@ -507,6 +507,21 @@ SELECT source || '_' || lang AS name, '/in/' || source AS original_path, '/out/'
        '2024-01-01T00:00:00' AS timestamp, json_object('kind', 'texts', 'lang', lang, 'n', count(*))::VARCHAR AS metadata
 FROM documents GROUP BY source, lang"""
 
+    q["q45_live_pairs"] = f"""
+WITH pairs AS (
+    SELECT a.conv_id, a.text AS prediction, u.text AS truth, u.conv_id IS NOT NULL AS paired
+    FROM conversations a LEFT JOIN conversations u
+      ON u.conv_id = a.conv_id AND u.turn = a.turn + 1 AND u.role = 'user'
+    WHERE a.role = 'assistant'),
+  scored AS (
+    SELECT conv_id, paired,
+           CASE WHEN paired THEN {substring_recall_list("lower(coalesce(prediction, ''))", "[truth]")} END AS substring_recall,
+           CASE WHEN paired THEN {token_recall_list(tokens("coalesce(prediction, '')"), "[truth]")} END AS token_recall
+    FROM pairs)
+SELECT conv_id, round(coalesce(avg(substring_recall), 0.0), 6) AS substring_recall, round(coalesce(avg(token_recall), 0.0), 6) AS token_recall,
+       count(*) FILTER (WHERE paired)::BIGINT AS num_examples, count(*) FILTER (WHERE NOT paired)::BIGINT AS num_missing
+FROM scored GROUP BY conv_id"""
+
     return q
 
 
