@@ -46,8 +46,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact duplicates among all documents, through a new digest index."""
-    return exact_dedup(table(spark, sf_dir, "documents"))
+    """Exact duplicates among all documents, fed to a new digest index in two parts."""
+    return exact_dedup(table(spark, sf_dir, "documents"), parts=2)
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,6 +34,40 @@ def test_index_keeps_earlier_texts(spark):
     assert exact_dedup(two.limit(0)).collect() == []
 
 
+def test_counts_over_many_batches(spark, monkeypatch):
+    """Groups grow over batches, segments are merged, reopened indexes agree."""
+    monkeypatch.setattr("qaspark.llm.exact_dedup.MAX_SEGMENTS", 3)
+    path = None
+    seen = {}
+    for n, batch in enumerate([["a", "a", "b"], ["a"], ["a", "c"], ["c", "c", None], ["a", "b", ""], ["a", "d"]]):
+        index = DigestIndex(spark, path, buckets=3)
+        path = index.path
+        rows = [(10 * n + i, t) for i, t in enumerate(batch)]
+        new = set()
+        for i, t in rows:
+            keep, size = seen.get(t or "", (None, 0))
+            if keep is None or (t or "") in new:
+                new.add(t or "")
+                keep = i
+            seen[t or ""] = (keep, size + 1)
+        got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in
+               exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), index=index).collect()}
+        assert got == {i: (*seen[t or ""], (t or "") in new and seen[t or ""][0] == i) for i, t in rows}
+        assert len(index.segments()) <= 3
+    assert {(r["keep_id"], r["group_size"]) for r in DigestIndex(spark, path).read().collect()} == set(seen.values())
+
+
+def test_parts_give_the_same_rows(spark):
+    rows = [(i, f"t{i % 7}") for i in range(40)] + [(None, "t1"), (None, "only"), (None, "only"), (3, "t9"), (3, "t9"), (3, None), (41, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def listed(parts):
+        return sorted((r["doc_id"] or -1, r["keep_id"] or -1, r["group_size"], r["kept"], r["text_sha256"]) for r in exact_dedup(df, parts=parts).collect())
+    assert listed(1) == listed(2) == listed(5) and len(listed(1)) == len(rows)
+    assert exact_dedup(df.limit(0), parts=3).collect() == []
+    assert len(exact_dedup(df.filter("doc_id IS NULL"), parts=2).collect()) == 3
+
+
 def test_index_joins_without_shuffling_the_index(spark):
     index = DigestIndex(spark, buckets=4)
     docs = spark.createDataFrame([(i, f"t{i % 50}") for i in range(100)], "doc_id long, text string")
