@@ -26,6 +26,29 @@ def prepared(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                      F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
 
+def told_apart(texts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``texts(doc_id, text)`` with an id of its own for every different text where some id
+    carries several, and the names of those ids ``(key, doc_id)``; without such an id the
+    rows as they are and None. The new ids keep the order of the old ones, texts of one id
+    stand in the order of their digests; null ids stay null."""
+    code = F.xxhash64("text")
+    if texts.groupBy("doc_id").agg(F.min(code).alias("a"), F.max(code).alias("b")).filter("doc_id IS NOT NULL AND a <> b").isEmpty():
+        return texts, None
+    spark = texts.sparkSession
+    digested = texts.withColumn("digest", F.sha2(F.encode("text", "UTF-8"), 256))
+    places = digested.filter("doc_id IS NOT NULL").select("doc_id", "digest").distinct().orderBy("doc_id", "digest").rdd.zipWithIndex()
+    names = stored(spark.createDataFrame(places.map(lambda p: (p[0][0], p[0][1], p[1])), "doc_id long, digest string, key long"), "row-names")
+    rows = digested.join(names, ["doc_id", "digest"], "left").select(F.col("key").alias("doc_id"), "text")
+    return stored(rows, "named-texts"), names.select("key", "doc_id")
+
+
+def with_names(out: DataFrame, names: DataFrame | None) -> DataFrame:
+    """A result for rows of :func:`told_apart` under the ids that the rows came with."""
+    if names is None:
+        return out
+    return out.withColumnRenamed("doc_id", "key").join(names, "key", "left").select(*out.columns)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder of the session."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/qaspark-llm/{name}-{uuid.uuid4().hex}"

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import RUNS, repeated_runs, window_runs
-from .common import dropped, prepared, stored, struct_lists, texts_of, word_hashes, word_spans
+from .common import dropped, prepared, stored, struct_lists, texts_of, told_apart, with_names, word_hashes, word_spans
 
 WINDOW = 35
 GRAM = 6                       # words of a seed
@@ -107,9 +107,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     in the same document or another; all windows are judged on the input. Words are runs
     without ASCII white space. Null, empty and short texts lose nothing; rows without id
     are matched with nothing; repeated rows (same id and text) are one document and get
-    the same answer; an empty table gives no rows. ``window`` must be above ``GRAM``.
+    the same answer; different texts under one id are different documents; an empty table
+    gives no rows. ``window`` must be above ``GRAM``.
     """
-    texts = prepared(docs, id_col, text_col)
+    texts, names = told_apart(prepared(docs, id_col, text_col))
     read = stored(texts.mapInArrow(_scan(window), f"doc_id long, n_words long, sha string, runs {RUNS}"), "word-runs")
     runs = read.filter("doc_id IS NOT NULL").select("doc_id", F.explode("runs").alias("r")).select("doc_id", "r.*")
     counted = stored(read.select("doc_id", "n_words", "sha"), "word-counts")
@@ -128,6 +129,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     single = windows.join(twice, "window", "left_semi").groupBy("doc_id").agg(F.collect_set("at").alias("single"))
     removed = (matched.join(single, "doc_id", "left").select("doc_id", "runs", "single", "text")
                .mapInArrow(_remove(window), "doc_id long, n_removed long, kept string").dropDuplicates(["doc_id"]))
-    return (counted.join(removed, "doc_id", "left")
-            .select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
-                    F.coalesce("kept", "sha").alias("kept_sha256")))
+    out = (counted.join(removed, "doc_id", "left")
+           .select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
+                   F.coalesce("kept", "sha").alias("kept_sha256")))
+    return with_names(out, names)

@@ -44,3 +44,15 @@ def test_boundaries_periods_nulls_and_repeated_rows(spark):
     got = _rows(again)
     assert got.pop(None)[1] == 0 and got == want
     assert substring_dedup(df.limit(0), "k", "body").collect() == []
+
+
+def test_one_id_with_several_texts(spark):
+    rng = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(50))
+    texts = [" ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(n)) for n in (10, 40, 90, 200)]
+    rows = [(1, texts[0]), (1, texts[1] + " " + passage), (2, passage + " " + texts[2]), (2, texts[3]), (2, texts[3]), (None, passage), (3, None), (3, "")]
+    got = sorted(tuple(r) for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).na.fill(-1, ["doc_id"]).collect())
+    apart = list(dict.fromkeys(r for r in rows if r[0] is not None))
+    want = brute.repeated_words(dict(enumerate(t for _, t in apart)))
+    expected = [(r[0], *want[apart.index(r)]) for r in rows if r[0] is not None] + [(-1, 50, 0, brute.sha(passage))]
+    assert got == sorted(expected)

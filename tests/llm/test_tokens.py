@@ -29,6 +29,22 @@ def test_encoder_equals_library(spark, tok):
         assert enc.encode(t).tolist() == tok.encode(t, add_special_tokens=False).ids, t[:80]
 
 
+@pytest.mark.parametrize("mark", [" ", "\n", "\t", "\xa0", "a", "é", "7", "."])
+def test_two_million_of_one_character(tok, mark):
+    enc = TextEncoder(vocabulary_path())
+    for text in (mark * 2_000_000, "x y" + mark * 2_000_000 + "z"):
+        assert enc.encode(text).tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_queries_take_very_long_texts(spark, tok):
+    docs = {1: " " * 1_100_000, 2: "a b" + "\n" * 1_100_000 + "c", 3: "q" * 1_000_000}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    want = {d: len(tok.encode(t, add_special_tokens=False).ids) for d, t in docs.items()}
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts(df).collect()} == want
+    packed = P.pack_documents(df).groupBy("doc_id").sum("length").collect()
+    assert {r["doc_id"]: r["sum(length)"] for r in packed} == {d: n + 1 for d, n in want.items()}
+
+
 def test_count_query(spark, tok):
     docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()}
     got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in QUERIES["op9_token_counts"](spark, SF_SMALL).collect()}
