@@ -34,9 +34,10 @@ def _class(kind: str) -> str:
 #: Unicode lists as such.
 _BLANK = "\t\n\x0b\x0c\r \x85\xa0"
 _LETTER, _NUMBER = _class("L"), _class("N")
-#: Fixed value: the split pattern of the vocabulary file, for lower-cased text.
-_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_BLANK}{_LETTER}{_NUMBER}]+")
-_ASCII_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t\n\x0b\x0c\r a-z0-9]+")
+#: Fixed value: the split pattern of the vocabulary file, for lower-cased text; letters are
+#: tried first, which no other part can begin with.
+_PIECE = re.compile(f"[{_LETTER}]+|[{_NUMBER}]|'(?:s|t|re|ve|m|ll|d)|[^{_BLANK}{_LETTER}{_NUMBER}]+")
+_ASCII_PIECE = re.compile("[a-z]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\t\n\x0b\x0c\r a-z0-9]+")
 _loaded: dict[str, "WordEncoder"] = {}
 
 
@@ -69,7 +70,7 @@ class WordEncoder:
         if not pieces:
             return np.empty(0, np.uint32)
         pieces.append("")
-        return self.fast.encode_to_numpy("\0".join(pieces), disallowed_special=())
+        return np.array(self.fast.encode_ordinary("\0".join(pieces)), dtype=np.uint32)
 
 
 def word_encoder(path: str) -> WordEncoder:
