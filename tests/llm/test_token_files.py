@@ -55,7 +55,7 @@ def test_coder_at_its_bounds():
     counts = np.bincount(sym, minlength=50_000).astype(float)
     model = Model(quantised(counts))
     coded = encode(sym, model)
-    assert lanes_for(len(sym)) == coded.lanes == 512 and len(coded.places) == -(-len(sym) // (512 * CHECK_STEPS)) > 1
+    assert lanes_for(len(sym)) == coded.lanes == 1024 and len(coded.places) == -(-len(sym) // (1024 * CHECK_STEPS)) > 1
     assert (decode(coded, len(sym), model) == sym).all()
     assert (decode(coded, len(sym), model, 500_000, 500_100) == sym[500_000:500_100]).all()
     p = counts[counts > 0] / len(sym)
