@@ -16,7 +16,7 @@ import numpy as np
 LOW = np.uint64(1 << 31)       # states lie in [2**31, 2**63)
 WORD = np.uint64(32)
 MAX_LANES = 1024
-CHECK_STEPS = 128
+CHECK_STEPS = 256
 
 
 def quantised(counts: np.ndarray, bits: int | None = None) -> np.ndarray:

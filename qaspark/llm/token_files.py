@@ -30,7 +30,7 @@ from .word_tokens import word_encoder
 
 END = 2                        # id that closes every document
 PART_BYTES = 16 << 20          # text that one part takes
-BLOCK_IDS = 1 << 18
+BLOCK_IDS = 1 << 20
 ENCODED = "part int, ord long, doc_id long, start long, n_tokens long, ids binary"
 BLOCK = ("start long, n_ids int, lanes int, words binary, places binary, states binary, words_crc32 long, ids_crc32 long, "
          "docs array<struct<ord: long, doc_id: long, start: long, n_tokens: long, at: long, length: long>>")
