@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from ..shipping import ship
 from ..sources.folders import finished, shared_folder
-from .retrieve import HITS, _best, _dim, _final_top_k, _unit_rows
+from .retrieve import HITS, _best, _dim, _final_top_k, _unit_rows, each_with
 
 MAX_CELLS = 4096               # bound of the centroids that reach the driver and the tasks
 ROUNDS = 6                     # k-means rounds
@@ -294,15 +294,15 @@ class DenseIndex:
         hits, _, rest = self._probes(q, k, exclude_self)
         found = hits.select("query_id", "context_id", "score").unionByName(self._scored(rest, k, exclude_self))
         # score 0: zero vectors for every query, all vectors for a zero query; the first ids stand for them
-        zeros = q.select("query_id").join(F.broadcast(self._first_ids(F.col("cell") == -1, k + 1)), F.lit(True))
-        nothing = q.filter(~F.coalesce(F.exists("value", lambda x: x != 0), F.lit(False))).select("query_id")
-        anyone = nothing.join(F.broadcast(self._first_ids(F.lit(True), k + 1)), F.lit(True))
+        zeros = each_with(q, self._first_ids(F.col("cell") == -1, k + 1))
+        nothing = q.filter(~F.coalesce(F.exists("value", lambda x: x != 0), F.lit(False)))
+        anyone = each_with(nothing, self._first_ids(F.lit(True), k + 1))
         plain = zeros.unionByName(anyone).withColumn("score", F.lit(0.0)).distinct()
         if exclude_self:
             plain = plain.filter(F.col("query_id") != F.col("context_id"))
         return _final_top_k(found.unionByName(plain), k)
 
-    def _first_ids(self, which: Column, n: int) -> DataFrame:
+    def _first_ids(self, which: Column, n: int) -> list[int]:
         """The ``n`` smallest ids of the slices that ``which`` selects."""
         def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = np.empty(0, np.int64)
@@ -310,14 +310,15 @@ class DenseIndex:
                 for p in b.column(0):
                     best = np.sort(np.concatenate((best, _unpacked(p.as_py())[0])), kind="stable")[:n]
             yield pa.RecordBatch.from_arrays([pa.array(best)], ["context_id"])
-        return self.slices().filter(which).select("payload").mapInArrow(smallest, "context_id long").orderBy("context_id").limit(n)
+        found = self.slices().filter(which).select("payload").mapInArrow(smallest, "context_id long")
+        return [r["context_id"] for r in found.orderBy("context_id").limit(n).collect()]
 
     def probed(self, queries: DataFrame, query_id: str, query_vec: str, k: int = 3, exclude_self: bool = False) -> DataFrame:
         """What a search reads: ``(query_id, probed_cells, probed_slices, all_cells, all_slices)``."""
         q = materialize(_ids_and_vectors(queries, query_id, query_vec).withColumnRenamed("id", "query_id").dropDuplicates(["query_id"]))
         _, first, rest = self._probes(q, k, exclude_self)
         meta = self.slices().filter("cell >= 0").select("slice", "cell")
-        total = meta.agg(F.count_distinct("cell").alias("all_cells"), F.count(F.lit(1)).alias("all_slices"))
+        total = meta.agg(F.count_distinct("cell").alias("all_cells"), F.count(F.lit(1)).alias("all_slices")).first()
         return (first.select("query_id", "slice").unionByName(rest.select("query_id", "slice")).join(meta, "slice")
                 .groupBy("query_id").agg(F.count_distinct("cell").alias("probed_cells"), F.count(F.lit(1)).alias("probed_slices"))
-                .join(F.broadcast(total), F.lit(True)))
+                .withColumn("all_cells", F.lit(total["all_cells"])).withColumn("all_slices", F.lit(total["all_slices"])))

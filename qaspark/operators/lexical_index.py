@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..session import materialize
 from ..sources.folders import finished, fingerprint, listing, shared_folder
-from .retrieve import _final_top_k
+from .retrieve import _final_top_k, each_with
 
 BLOCK_BITS = 10                # a block covers 2**BLOCK_BITS neighbouring ids
 BUCKETS = 32
@@ -145,8 +145,8 @@ class LexicalIndex:
         scored = (shared.join(q.select("query_id", F.size("toks").alias("n")), "query_id")
                   .select("query_id", "context_id", (F.col("shared") / F.col("n")).alias("score")))
         # texts that share nothing score 0: the k smallest ids stand for them
-        first = self.ids().distinct().orderBy("context_id").limit(k)
-        none = q.select("query_id").join(F.broadcast(first), F.lit(True)).withColumn("score", F.lit(0.0))
+        first = [r["context_id"] for r in self.ids().distinct().orderBy("context_id").limit(k).collect()]
+        none = each_with(q, first).withColumn("score", F.lit(0.0))
         both = scored.unionByName(none).groupBy("query_id", "context_id").agg(F.max("score").alias("score"))
         return _final_top_k(both, k)
 

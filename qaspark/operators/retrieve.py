@@ -276,6 +276,12 @@ def retrieve_from_index(queries: DataFrame, postings: DataFrame, corpus_ids: Dat
     return _final_top_k(both, k)
 
 
+def each_with(queries: DataFrame, ids: list[int]) -> DataFrame:
+    """``(query_id, context_id)``: every query with each of a few ids (k of them or so)."""
+    few = F.array(*[F.lit(i) for i in ids]).cast("array<long>")
+    return queries.select("query_id", F.explode(few).alias("context_id"))
+
+
 def attach_contexts(retrieved: DataFrame, corpus: DataFrame, corpus_id: str, corpus_text: str,
                     k: int) -> DataFrame:
     """Retrieval results as prompt contexts: ``(query_id, contexts, scores)``
