@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, prepared, rolling, stored, texts_of, word_hashes, word_spans
+from .common import mix, prepared, rolling, stored, texts_of, told_apart, with_names, word_hashes, word_spans
 from .components import connected_components
 
 PERCENT = 80                   # least Jaccard similarity of a link, in percent
@@ -185,9 +185,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``size``-word shingles; the component is the smallest id reachable, and the document
     with that id is kept. Texts without words (null, empty) are linked with nothing and
     kept; a row without id is linked with nothing, kept, and has no component; repeated
-    rows count as one document and get the same answer; an empty table gives no rows.
+    rows count as one document and get the same answer; different texts under one id are
+    different documents, the one with the smaller digest counting as the smaller id, so
+    that a component still keeps one of them; an empty table gives no rows.
     """
-    texts = prepared(docs, id_col, text_col)
+    texts, names = told_apart(prepared(docs, id_col, text_col))
     signed = stored(texts.mapInArrow(_signer(size), SIGNATURES), "signatures")
     classes = (signed.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest")
                .agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")))
@@ -243,5 +245,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .select("digest", F.coalesce("component", "rep").alias("component")))
     out = signed.select("doc_id", "n_shingles", "digest").join(label, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"),
+                     F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    if names is not None:
+        heads = names.select(F.col("key").alias("component_id"), F.col("doc_id").alias("head"))
+        out = out.join(heads, "component_id", "left").select("doc_id", "n_shingles", F.col("head").alias("component_id"), "kept")
+    return with_names(out, names)

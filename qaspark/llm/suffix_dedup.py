@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import RUNS, repeated_runs, window_runs
-from .common import dropped, mix, prepared, stored, struct_lists, texts_of
+from .common import dropped, mix, prepared, stored, struct_lists, texts_of, told_apart, with_names
 from .substring_dedup import run_lists
 from .suffix_array import permuted_prefixes, suffix_array
 
@@ -178,10 +178,19 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     smaller id, or earlier in the same text); strings overlap freely, never cross texts
     and are judged on the input. Null, empty and short texts lose nothing; rows without
     id are matched with nothing; repeated rows (same id and text) are one document and
-    get the same answer; an empty table gives no rows. ``window`` must be above ``GRAM``.
+    get the same answer; different texts under one id are different documents, the one
+    with the smaller digest first; an empty table gives no rows. ``window`` must be above
+    ``GRAM``.
     """
-    texts = prepared(docs, id_col, text_col)
-    read = stored(texts.mapInArrow(_scan(window), f"doc_id long, n_bytes long, sha string, runs {RUNS}"), "byte-runs")
+    def scanned() -> DataFrame:
+        return stored(texts.mapInArrow(_scan(window), f"doc_id long, n_bytes long, sha string, runs {RUNS}"), "byte-runs")
+    texts, names = prepared(docs, id_col, text_col), None
+    read = scanned()
+    shas = read.groupBy("doc_id").agg(F.min("sha").alias("a"), F.max("sha").alias("b"))
+    if not shas.filter("doc_id IS NOT NULL AND a <> b").isEmpty():
+        dropped(read)
+        texts, names = told_apart(texts)
+        read = scanned()
     runs = read.filter("doc_id IS NOT NULL").select("doc_id", F.explode("runs").alias("r")).select("doc_id", "r.*")
     counted = stored(read.select("doc_id", "n_bytes", "sha"), "byte-counts")
     found, parts = repeated_runs(runs, "byte-seeds")
@@ -198,6 +207,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
              .groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
     removed = (matched.join(spans, "doc_id", "left").select("doc_id", "runs", "spans", "text")
                .mapInArrow(_remove(window), "doc_id long, n_removed long, n_spans long, kept string").dropDuplicates(["doc_id"]))
-    return (counted.join(removed, "doc_id", "left")
-            .select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
-                    F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256")))
+    out = (counted.join(removed, "doc_id", "left")
+           .select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
+                   F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256")))
+    return with_names(out, names)

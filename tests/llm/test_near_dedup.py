@@ -103,3 +103,14 @@ def test_components(spark):
     assert len(got) == len({r["node"] for r in got})
     assert {r["node"]: r["component"] for r in got} == {x: find(x) for x in root}
     assert connected_components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_one_id_with_several_texts(spark):
+    body = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, body), (5, "one two three four five"), (6, body + " end"), (7, "one two three four five"), (7, None), (None, body), (5, body)]
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    seen = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1, r["kept"]) for r in got)
+    assert seen == sorted([(5, 56, 5, True), (5, 56, 5, True), (5, 1, 5, True), (6, 57, 5, False), (7, 1, 5, False), (7, 0, 7, True),
+                           (-1, 56, -1, True)])
+    alike = N.near_duplicates(spark.createDataFrame([(5, body), (5, body + " end")], "doc_id long, text string")).collect()
+    assert sorted(r["kept"] for r in alike) == [False, True] and {r["component_id"] for r in alike} == {5}

@@ -63,3 +63,23 @@ def test_stages_take_odd_rows(spark, stage):
         assert out.columns == docs.columns
     assert out.count() > 0
     assert stage(spark, docs.limit(0), SF_SMALL).collect() == []
+
+
+def test_rows_are_judged_by_their_text(spark):
+    """Missing and repeated ids: one row of each text and of each group stays, copies of a test item go."""
+    source = table(spark, SF_SMALL, "documents")
+    item = max((r["text"] for r in table(spark, SF_SMALL, "benchmark").collect()), key=len)
+    body = " ".join(f"word{i}" for i in range(60))
+    rows = [(None, body), (7, body), (7, body), (7, "another text"), (None, "only here"), (None, "only here"), (None, item), (8, item), (9, body + " more")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], source.schema)
+
+    def left(df):
+        assert df.columns == source.columns
+        return sorted(((r["doc_id"] or -1, r["text"]) for r in df.collect()))
+    one = C.exact(spark, docs, SF_SMALL)
+    want = [(-1, "only here"), (7, "another text"), (7, body), (8, item), (9, body + " more")]
+    assert left(one) == sorted(want)
+    near = C.near(spark, docs, SF_SMALL)
+    assert left(near) == sorted([(-1, "only here"), (7, "another text"), (7, body), (8, item)])
+    clean = C.decontaminate(spark, docs, SF_SMALL)
+    assert left(clean) == sorted((d or -1, t) for d, t in rows if t != item)

@@ -80,3 +80,14 @@ def test_long_texts_in_chunks(spark, monkeypatch):
         assert first[0] == 0 and (first[1:] == first[:-1] + n[:-1]).all() and first[-1] + n[-1] == len(docs[d]) - 99
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     assert _rows(D.suffix_dedup(df)) == want
+
+
+def test_one_id_with_several_texts(spark):
+    rng = random.Random(8)
+    text = ["".join(rng.choice("abcdefgh") for _ in range(n)) for n in (150, 400, 60, 300)]
+    rows = [(1, text[0]), (1, text[1] + text[0]), (2, text[0] + text[2]), (2, text[3]), (2, text[3]), (None, text[0]), (3, None), (3, "")]
+    got = sorted(tuple(r) for r in D.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).na.fill(-1, ["doc_id"]).collect())
+    apart = sorted({(d, t or "") for d, t in rows if d is not None}, key=lambda r: (r[0], brute.sha(r[1])))
+    want = brute.repeated_bytes(dict(enumerate(t for _, t in apart)))
+    expected = [(d, *want[apart.index((d, t or ""))]) for d, t in rows if d is not None] + [(-1, 150, 0, 0, brute.sha(text[0]))]
+    assert got == sorted(expected)
