@@ -170,8 +170,8 @@ def metric_category(name) -> Column:
 
 
 def format_metric(name, value, integral: bool = False) -> Column:
-    """display text of a metric value by name (display only; the DOUBLE
-    stays the value of record -- half-way rounding differs from Python's).
+    """display text of a metric value by name; the DOUBLE stays the value of
+    record. Decimals are rounded half to even on the exact binary value (below 1e11).
     ``integral`` marks an integer-typed metric: the fallback prints it as is."""
     n = F.lower(F.col(name) if isinstance(name, str) else name)
     v = F.col(value) if isinstance(value, str) else value
@@ -181,13 +181,26 @@ def format_metric(name, value, integral: bool = False) -> Column:
         for s in subs:
             c = n.contains(s) if c is None else (c | n.contains(s))
         return c
+    def fixed(digits):
+        # x * unit as the sum of two exact products (high and low half of x's bits), so the
+        # sign of its distance to the half between two integers is that of the exact value
+        x, unit = F.abs(v), float(10 ** digits)
+        high = x * F.lit(134217729.0) - (x * F.lit(134217729.0) - x)
+        below = F.floor(x * F.lit(unit))
+        over = (high * F.lit(unit) - (below + F.lit(0.5))) + (x - high) * F.lit(unit)
+        n = below + F.when((over > 0) | ((over == 0) & (below % 2 == 1)), 1).otherwise(0)
+        text = F.concat(F.when(v.cast("string").startswith("-"), "-").otherwise(""),
+                        ((n - n % F.lit(10 ** digits)) / F.lit(10 ** digits)).cast("bigint").cast("string"),
+                        F.lit("."), F.lpad((n % F.lit(10 ** digits)).cast("string"), digits, "0"))
+        return (F.when(v.isNull(), F.lit(None).cast("string")).when(F.isnan(v), F.lit("nan")).when(v == float("inf"), F.lit("inf")).when(v == float("-inf"), F.lit("-inf"))
+                 .when(x < F.lit(1e11), text).otherwise(F.format_string(f"%.{digits}f", v)))
     as_int = v.cast("bigint")  # truncates toward zero
     return (F.when(has("bytes"), F.format_number(as_int, 0))
-             .when(has("mb", "ram"), F.format_string("%.2f", v))
-             .when(has("recall", "precision", "f1"), F.format_string("%.4f", v))
-             .when(has("time", "duration", "seconds"), F.format_string("%.2f", v))
+             .when(has("mb", "ram"), fixed(2))
+             .when(has("recall", "precision", "f1"), fixed(4))
+             .when(has("time", "duration", "seconds"), fixed(2))
              .when(has("num", "count", "examples"), as_int.cast("string"))
-             .otherwise(as_int.cast("string") if integral else F.format_string("%.4f", v)))
+             .otherwise(as_int.cast("string") if integral else fixed(4)))
 
 
 def metrics_long(wide: DataFrame, id_cols: list[str]) -> DataFrame:

@@ -151,8 +151,8 @@ def q05_run_grid(spark, sf):
 
 
 def q06_metric_long(spark, sf):
-    """Run-metric-like aggregates per return flag, unpivoted to
-    ``(run, metric, value, category)``."""
+    """Run-metric-like aggregates per return flag, unpivoted to
+    ``(run, metric, value, category, display)``."""
     li = table(spark, sf, "lineitem")
     wide = li.groupBy(F.col("l_returnflag").alias("run_id")).agg(
         F.round(F.avg("l_discount"), MEAN_DIGITS).alias("substring_recall"),
@@ -162,7 +162,7 @@ def q06_metric_long(spark, sf):
         F.max("l_extendedprice").alias("cpu_ram_used_mb"),
         F.count_distinct("l_orderkey").alias("model_size_bytes"),
         F.lit("n/a").alias("note"))
-    return agg.metrics_long(wide, ["run_id"]).drop("display")
+    return agg.metrics_long(wide, ["run_id"])
 
 
 def _size_text():
@@ -265,8 +265,7 @@ def q14_sentinels(spark, sf):
 def q15_latest_value(spark, sf):
     """Latest value per (user, event type), last write by (ts, event_id)."""
     ev = table(spark, sf, "events")
-    return (agg.latest_value(ev, ["user_id", "event_type"], "value", ["ts", "event_id"])
-               .drop("latest_ts"))
+    return agg.latest_value(ev, ["user_id", "event_type"], "value", ["ts", "event_id"])
 
 
 def _run_items(spark, sf):
@@ -464,10 +463,10 @@ def q28_gpu_utilisation(spark, sf):
 
 
 def q29_power(spark, sf):
-    """Power utilisation of every error event read as a power sample
+    """Power utilisation of every event read as a power sample
     (draw = value, limit = props.k; 0 % when the limit is 0) and the warning
     flag above 90 %."""
-    ev = table(spark, sf, "events").filter(F.col("event_type") == "error")
+    ev = table(spark, sf, "events")
     lim = F.get_json_object("props", "$.k").cast("double")
     pct = power_utilisation_pct(F.col("value"), lim)
     return ev.select("event_id", pct.alias("power_pct"), (pct > F.lit(POWER_WARN * 100)).alias("power_warn"))

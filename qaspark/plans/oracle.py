@@ -133,12 +133,13 @@ WITH w AS (
          max(l_extendedprice)::DOUBLE AS cpu_ram_used_mb,
          count(DISTINCT l_orderkey)::DOUBLE AS model_size_bytes
   FROM lineitem GROUP BY l_returnflag)
-SELECT run_id, 'substring_recall' AS metric, substring_recall AS value, 'quality' AS category FROM w
-UNION ALL SELECT run_id, 'token_recall', token_recall, 'quality' FROM w
-UNION ALL SELECT run_id, 'num_examples', num_examples, 'other' FROM w
-UNION ALL SELECT run_id, 'duration_seconds', duration_seconds, 'other' FROM w
-UNION ALL SELECT run_id, 'cpu_ram_used_mb', cpu_ram_used_mb, 'memory' FROM w
-UNION ALL SELECT run_id, 'model_size_bytes', model_size_bytes, 'size' FROM w"""
+SELECT run_id, 'substring_recall' AS metric, substring_recall AS value, 'quality' AS category,
+       printf('%.4f', substring_recall) AS display FROM w
+UNION ALL SELECT run_id, 'token_recall', token_recall, 'quality', printf('%.4f', token_recall) FROM w
+UNION ALL SELECT run_id, 'num_examples', num_examples, 'other', num_examples::BIGINT::VARCHAR FROM w
+UNION ALL SELECT run_id, 'duration_seconds', duration_seconds, 'other', printf('%.2f', duration_seconds) FROM w
+UNION ALL SELECT run_id, 'cpu_ram_used_mb', cpu_ram_used_mb, 'memory', printf('%.2f', cpu_ram_used_mb) FROM w
+UNION ALL SELECT run_id, 'model_size_bytes', model_size_bytes, 'size', format('{:,}', model_size_bytes::BIGINT) FROM w"""
 
     size_txt = """CASE WHEN p_size % 4 = 0 THEN (p_size * 15)::VARCHAR || 'M'
                    WHEN p_size % 4 = 1 THEN (p_size // 10)::VARCHAR || '.' || (p_size % 10)::VARCHAR || 'B'
@@ -250,6 +251,7 @@ FROM p"""
 
     q["q15_latest_value"] = """
 SELECT user_id, event_type, arg_max(value, struct_pack(t := ts, e := event_id)) AS latest_value,
+       arg_max(ts, struct_pack(t := ts, e := event_id)) AS latest_ts,
        arg_max(event_id, struct_pack(t := ts, e := event_id)) AS latest_event_id, count(*)::BIGINT AS n_writes
 FROM events GROUP BY user_id, event_type"""
 
@@ -390,7 +392,7 @@ SELECT gpu, day, max(usage_pct) AS max_usage_pct, max(used_gb) AS max_used_gb,
 FROM p GROUP BY gpu, day"""
 
     q["q29_power"] = """
-WITH e AS (SELECT event_id, value, json_extract(props, '$.k')::DOUBLE AS lim FROM events WHERE event_type = 'error'),
+WITH e AS (SELECT event_id, value, json_extract(props, '$.k')::DOUBLE AS lim FROM events),
      p AS (SELECT event_id, CASE WHEN lim IS NOT NULL AND lim <> 0 THEN value * 100.0 / lim ELSE 0.0 END AS power_pct
            FROM e)
 SELECT event_id, power_pct, power_pct > 90.0 AS power_warn FROM p"""

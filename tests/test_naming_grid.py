@@ -79,3 +79,18 @@ def test_grid_is_the_whole_product(spark):
                                       F.col("id").cast("string").alias("dataset_stem"))
     got = {(r.model, r.dataset) for r in run_grid(models, datasets, "m").collect()}
     assert got == {(m, str(d)) for m in "ab" for d in range(20)}
+
+
+def test_display_rounds_like_python(spark):
+    import random
+    from pyspark.sql import functions as F
+    from qaspark.operators.aggregate import format_metric
+    rng = random.Random(1)
+    values = [rng.uniform(-2, 2) * 10 ** rng.randrange(-6, 9) for _ in range(20000)]
+    values += [k / 2 ** b for k in range(-400, 401) for b in (3, 5, 6)] + [k / 10 ** 5 for k in range(5, 20000, 10)]
+    values += [0.0, -0.0, float("nan"), float("inf"), float("-inf"), None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    rows = df.select("v", format_metric(F.lit("token_recall"), "v").alias("four"), format_metric(F.lit("duration"), "v").alias("two")).collect()
+    for r in rows:
+        want = (None, None) if r["v"] is None else (f"{r['v']:.4f}", f"{r['v']:.2f}")
+        assert (r["four"], r["two"]) == want, r
