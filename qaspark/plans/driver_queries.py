@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from ..functions import naming
 from ..functions.prompts import (answer_after_marker, answer_after_prompt, answer_from_chat, chat_messages,
                                  render_prompt)
-from ..functions.text import (NO_ANSWER, clean_answer, sanitize_series, substring_recall_one, token_recall_one, tokens, words)
+from ..functions.text import (NO_ANSWER, clean_answer, join_texts, sanitize_series, strip_openers, substring_recall_one,
+                              token_recall_one, tokens, words)
 from ..operators import aggregate as agg
 from ..operators import sequence as seq
+from ..operators.answer_store import AnswerStore
 from ..operators.dense_index import DenseIndex
 from ..operators.grid import run_grid, with_memory_estimate
 from ..operators.infer import CONSTANT_MODEL_BYTES
@@ -30,6 +32,7 @@ from ..operators.score import pair_next_turn, score, to_prediction
 from ..operators.skew import skew_join
 from ..operators.telemetry import POWER_WARN, gpu_series, peak_telemetry, power_utilisation_pct
 from ..sinks import writers as sinks
+from ..sources.folders import shared_folder
 from ..sources.qa_jsonl import parse_items
 from ..sources.telemetry import parse_memory_lines, parse_power_lines
 from ..sources.tables import table
@@ -662,6 +665,46 @@ def q44_manifest(spark, sf):
     return sinks.manifest_rows(rows, "name", "path", "saved", at=F.lit(WRITTEN_AT))
 
 
+def _size_model(prompts):
+    """A deterministic batch model: the number of characters; sizes divisible by 7 fail."""
+    sizes = [len(p or "") for p in prompts]
+    if any(n % 7 == 0 for n in sizes):
+        raise ValueError("no answer")
+    return [f"{n} characters" for n in sizes]
+
+
+def q46_stored_answers(spark, sf):
+    """U1/U3/U5 with a kept store: the first turns are answered, then every turn: known
+    prompts come from the store, failed and new ones go to the model."""
+    conv = table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("prompt"))
+    store, config = AnswerStore(spark, shared_folder(spark, "answers")), {"name": "size", "model_type": "size"}
+    store.answer(conv.filter(F.col("turn") == 0), config, generate=_size_model)
+    done = store.answer(conv, config, generate=_size_model, known_col="was_known")
+    return done.select("conv_id", F.col("turn").cast("long").alias("turn"), "raw_answer", "error", "was_known")
+
+
+def q47_answer_cleanup(spark, sf):
+    """Every turn with a chat prefix split off, opened by each of the
+    phrases that go, emptied by its tags, and joined from a list."""
+    conv = table(spark, sf, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("t"))
+    opened = F.concat(F.element_at(F.array(F.lit("Step-by-Step Explanation: ... "), F.lit("let me think  -- "), F.lit("First, ")),
+                                   (F.col("turn") % 3 + 1).cast("int")), F.lit("["), F.col("t"))
+    chat = F.concat(F.lit("user: q\n"), F.when(F.col("turn") % 2 == 0, F.lit("Assistant : ")).otherwise(F.lit("assistant\n")), F.col("t"))
+    return conv.select("conv_id", "turn", F.col("role").alias("role"),
+                       answer_from_chat(chat).alias("from_chat"),
+                       strip_openers(opened).alias("opened"),
+                       clean_answer(F.concat(F.lit(" <think>"), F.col("t"), F.lit("</think> </think>"))).alias("emptied"),
+                       join_texts(F.array("role", F.col("turn").cast("string"), F.lit(None).cast("string"), "t")).alias("joined"))
+
+
+def q48_default_prompts(spark, sf):
+    """the default prompt of every user turn, with a ``Context:`` block where the
+    turn follows a reply, and the same behind a system prompt."""
+    j = _with_context(spark, sf)
+    return j.select("conv_id", "turn", render_prompt("question", "contexts").alias("prompt"),
+                    render_prompt("question", "contexts", F.lit(""), F.lit(SYSTEM_PROMPT)).alias("prompt_sys"))
+
+
 QUERIES = {
     "q01_has_question": q01_has_question,
     "q02_dataset_stats": q02_dataset_stats,
@@ -715,4 +758,7 @@ QUERIES = {
     "q43_table_records": q43_table_records,
     "q44_manifest": q44_manifest,
     "q45_live_pairs": q45_live_pairs,
+    "q46_stored_answers": q46_stored_answers,
+    "q47_answer_cleanup": q47_answer_cleanup,
+    "q48_default_prompts": q48_default_prompts,
 }

@@ -524,6 +524,32 @@ SELECT conv_id, round(coalesce(avg(substring_recall), 0.0), 6) AS substring_reca
        count(*) FILTER (WHERE paired)::BIGINT AS num_examples, count(*) FILTER (WHERE NOT paired)::BIGINT AS num_missing
 FROM scored GROUP BY conv_id"""
 
+    q["q46_stored_answers"] = """
+WITH t AS (SELECT conv_id, turn::BIGINT AS turn, text, length(coalesce(text, '')) AS n FROM conversations),
+     known AS (SELECT DISTINCT text FROM t WHERE turn = 0 AND n % 7 <> 0)
+SELECT t.conv_id, t.turn, CASE WHEN n % 7 = 0 THEN 'Error generating answer' ELSE n::VARCHAR || ' characters' END AS raw_answer,
+       CASE WHEN n % 7 = 0 THEN 'ValueError: no answer' END AS error,
+       EXISTS (SELECT 1 FROM known WHERE known.text IS NOT DISTINCT FROM t.text) AS was_known
+FROM t"""
+
+    after_split = strip(f"string_split_regex(chat, '(?i)assistant{WS}*:?{WS}*')[-1]")
+    opened = "opened"
+    for phrase in ("Step-by-Step Explanation:", "Let me think", "First,"):     # the rest goes up to the next word character
+        opened = f"regexp_replace({opened}, '(?i){phrase}[^\\p{{L}}\\p{{N}}_]*([\\p{{L}}\\p{{N}}_])', '\\1', 'g')"
+    q["q47_answer_cleanup"] = f"""
+WITH c AS (SELECT conv_id, turn::BIGINT AS turn, role, coalesce(text, '') AS t FROM conversations),
+     x AS (SELECT *, 'user: q' || chr(10) || CASE WHEN turn % 2 = 0 THEN 'Assistant : ' ELSE 'assistant' || chr(10) END || t AS chat,
+                  ['Step-by-Step Explanation: ... ', 'let me think  -- ', 'First, '][turn % 3 + 1] || '[' || t AS opened FROM c)
+SELECT conv_id, turn, role, {after_split} AS from_chat, {opened} AS opened,
+       'No answer generated' AS emptied, role || ' ' || turn::VARCHAR || ' ' || t AS joined
+FROM x"""
+
+    default = ("CASE WHEN ctx IS NOT NULL THEN 'Context: ' || ctx || chr(10) || chr(10) ELSE '' END "
+               "|| 'Question: ' || question || chr(10) || 'Answer:'")
+    q["q48_default_prompts"] = f"""
+WITH {ctx}
+SELECT conv_id, turn, {default} AS prompt, 'Answer briefly.' || chr(10) || chr(10) || {default} AS prompt_sys FROM j"""
+
     return q
 
 

@@ -32,6 +32,17 @@ def finished(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _hadoop(spark, path)
+    return fs.exists(p)
+
+
+def folders_in(spark: SparkSession, path: str) -> list[str]:
+    """The folders directly below ``path``, by name; none if it does not exist."""
+    p, fs = _hadoop(spark, path)
+    return sorted(s.getPath().toString() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     p, fs = _hadoop(spark, path)
     fs.delete(p, True)
