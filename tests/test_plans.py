@@ -27,8 +27,10 @@ def test_filters_reach_the_scan(spark):
     plan = _plan(spark, "q23_recalls")
     assert "PushedFilters: [IsNotNull(role), EqualTo(role,user)" in plan
     assert "PushedFilters: [IsNotNull(role), EqualTo(role,assistant)" in plan
-    plan = _plan(spark, "q29_power")
-    assert "EqualTo(event_type,error)" in plan
+    plan = _plan(spark, "q26_messages")
+    assert "EqualTo(role,system)" in plan
+    plan = _plan(spark, "q29_power")                             # every event is a sample: no filter, three columns
+    assert "ReadSchema: struct<event_id:bigint,value:double,props:string>" in plan
 
 
 def test_column_pruning(spark):
