@@ -1,11 +1,17 @@
 """Top-k retrieval of contexts for queries.
 
 Both retrievers are one distributed job. Queries and corpus rows are packed into tiles
-(Arrow payloads of bounded rows and bytes). Corpus tiles are dealt over the shuffle
-partitions, every query tile goes to each of them, and an equi-join on that number
-pairs them. A task scores tile against tile with numpy and keeps one running top-k per
-query, which it emits once per query tile: at most ``partitions x queries x k`` rows
-reach the final top-k, a ``row_number() <= k`` that Spark plans as a WindowGroupLimit.
+(Arrow payloads of bounded rows and bytes). A task scores tile against tile with numpy and
+keeps one running top-k per query, which it emits once per query tile; the final top-k is
+a ``row_number() <= k`` that Spark plans as a WindowGroupLimit.
+
+- Lexical: corpus tiles are dealt over the shuffle partitions, every query tile goes to
+  each of them, and an equi-join on that number pairs them.
+- Dense: query tiles are dealt over the rows of a grid and corpus tiles over its columns;
+  a partition is one square, so a tile is copied about ``sqrt(partitions)`` times. Columns
+  grow in number with the corpus, so a task holds a bounded share of it. Products in single
+  precision leave out what surely misses the running top-k (by a bound of their error);
+  only the rest is scored in double precision.
 
 Nothing passes through the driver and nothing is broadcast, whatever the number of
 queries. Ties are broken by corpus id ascending at every step, so the result is exact.
@@ -21,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -34,6 +40,10 @@ MAX_EXPANSION = 4_000_000        # bound of one (text token -> query) expansion
 FREQ_QUERIES = 32                # tokens in more queries of a tile than this use the dense product
 MAX_DENSE_CELLS = 4_000_000      # bound of a tile's (tokens x queries) incidence matrix
 ARGMAX_K = 16                    # up to this k the best rows are taken one after the other
+COLUMN_BYTES = 64 << 20          # vectors of a dense corpus that a task holds, about
+SEED_ROWS = 256                  # corpus rows scored in full before a query tile has its first top-k
+SCORES = 1 << 20                 # bound of the similarities computed at a time
+SLACK = 1e-9                     # rounding of bounds and scores
 HITS = "query_id long, context_id long, score double"
 
 
@@ -87,7 +97,7 @@ def _merge(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], k
     return np.take_along_axis(score, order, axis=0), np.take_along_axis(ids, order, axis=0)
 
 
-def _search(queries: DataFrame, corpus: DataFrame, k: int, tile_of: Callable, exclude_self: bool = False) -> DataFrame:
+def _search(queries: DataFrame, corpus: DataFrame, k: int, tile_of: Callable) -> DataFrame:
     """Top-k of ``corpus(id, value)`` for each of ``queries(id, value)``. ``tile_of`` makes
     a scorer of an unpacked query tile: ``scorer(corpus batch) -> (rows x queries)`` scores."""
     spark = ship(corpus.sparkSession)
@@ -114,10 +124,7 @@ def _search(queries: DataFrame, corpus: DataFrame, k: int, tile_of: Callable, ex
                     q_ids, scorer = batch.column(0).to_numpy().astype(np.int64), tile_of(batch)
                 texts = _unpack(c_payload.as_py())
                 ids = texts.column(0).to_numpy().astype(np.int64)
-                s = scorer(texts)
-                if exclude_self:
-                    s[ids[:, None] == q_ids[None, :]] = -np.inf
-                found = _best(s, ids, k)
+                found = _best(scorer(texts), ids, k)
                 best = found if best is None else _merge(best, found, k)
         if best is not None:
             yield done()
@@ -149,14 +156,136 @@ def _dim(*cols: pa.Array) -> int:
     return max([1, *(int(pc.max(pc.list_value_length(c)).as_py() or 0) for c in cols)])
 
 
-def _dense_tile(batch: pa.RecordBatch) -> Callable:
-    col = batch.column(1)
-
-    def scores(texts: pa.RecordBatch) -> np.ndarray:
-        dim = _dim(col, texts.column(1))
+class _Nearest:
+    """The ``k`` best rows so far for each query of a tile. ``least`` (per query) is a
+    score that its k-th best row is known to reach."""
+
+    def __init__(self, ids: np.ndarray, units: np.ndarray, k: int, exclude_self: bool, least: np.ndarray | None = None):
+        self.ids, self.units, self.low, self.k, self.exclude_self = ids, units, units.astype(np.float32), k, exclude_self
+        self.value = np.full((k, len(ids)), -np.inf)
+        self.row = np.full((k, len(ids)), np.iinfo(np.int64).max)
+        self.least = np.full(len(ids), -np.inf) if least is None else least
+        # error of a product of unit vectors in single precision, with room to spare
+        self.slack = (units.shape[1] + 8) * 2.0 ** -22
+
+    def floor(self, of: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Scores below this cannot enter the top-k any more."""
+        return np.maximum(self.value[-1, of], self.least[of])
+
+    def add(self, ids: np.ndarray, units: np.ndarray, low: np.ndarray, of: np.ndarray | None = None) -> None:
+        """Score corpus rows, sorted by id, against the queries ``of`` (all of them by default)."""
+        of = np.arange(len(self.ids)) if of is None else of
+        narrow = self.low if len(of) == len(self.ids) else self.low[of]
+        step, a = max(1, SCORES // max(1, len(of))), 0
+        while a < len(ids) and len(of):
+            floor = self.floor(of)
+            if np.isneginf(floor).any():                        # no k rows seen yet: a short block, in full
+                z = a + min(SEED_ROWS, step)
+                self._add_all(ids[a:z], units[a:z], of)
+            else:
+                z = a + step
+                s = low[a:z] @ narrow.T
+                at = np.flatnonzero(s >= (floor - self.slack).astype(np.float32))
+                if len(at) > s.size // 16:                      # many near ties
+                    for b in range(a, min(z, len(ids)), SEED_ROWS):
+                        self._add_all(ids[b:min(b + SEED_ROWS, z)], units[b:min(b + SEED_ROWS, z)], of)
+                elif len(at):
+                    r, j = np.divmod(at, len(of))
+                    score = np.round(np.einsum("ij,ij->i", units[a + r], self.units[of[j]]), 12)
+                    self._add_some(of[j], ids[a + r], score)
+            a = z
+
+    def _add_all(self, ids: np.ndarray, units: np.ndarray, of: np.ndarray) -> None:
         # rounded, so that equal vectors tie whatever the shape of the product
-        return np.round(_unit_rows(texts.column(1), dim) @ _unit_rows(col, dim).T, 12)
-    return scores
+        s = np.round(units @ self.units[of].T, 12)
+        s[np.isnan(s)] = -np.inf
+        if self.exclude_self:
+            s[ids[:, None] == self.ids[of][None, :]] = -np.inf
+        self.value[:, of], self.row[:, of] = _merge((self.value[:, of], self.row[:, of]), _best(s, ids, self.k), self.k)
+
+    def _add_some(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        """Single scores of queries (by place in the tile) and rows."""
+        keep = score >= self.floor(query)
+        if self.exclude_self:
+            keep &= ids != self.ids[query]
+        query, ids, score = query[keep], ids[keep], score[keep]
+        if not len(query):
+            return
+        touched, place = np.unique(query, return_inverse=True)
+        group = np.concatenate((np.tile(np.arange(len(touched)), self.k), place))
+        value = np.concatenate((self.value[:, touched].ravel(), score))
+        row = np.concatenate((self.row[:, touched].ravel(), ids))
+        order = np.lexsort((row, -value, group))
+        first = np.searchsorted(group[order], np.arange(len(touched)))
+        best = order[first[None, :] + np.arange(self.k)[:, None]]
+        self.value[:, touched], self.row[:, touched] = value[best], row[best]
+
+    def hits(self) -> pa.RecordBatch:
+        keep = np.isfinite(self.value)
+        ids = np.broadcast_to(self.ids, self.value.shape)
+        return pa.RecordBatch.from_arrays([pa.array(ids[keep], pa.int64()), pa.array(self.row[keep], pa.int64()),
+                                           pa.array(self.value[keep], pa.float64())], ["query_id", "context_id", "score"])
+
+
+def _grid(parts: int, queries: int, corpus: int, dim: int) -> tuple[int, int]:
+    """Rows (of query tiles) and columns (of corpus tiles) of the grid: about ``parts``
+    squares, more if the vectors of a column would pass ``COLUMN_BYTES``."""
+    rows = max(1, min(-(-queries // TILE_ROWS), round(parts ** 0.5)))
+    columns = max(1, min(-(-corpus // SEED_ROWS), -(-parts // rows)), -(-corpus * dim * 8 // COLUMN_BYTES))
+    return rows, columns
+
+
+def _dealt(tile: str, n: int) -> Column:
+    """The tiles of a partition in turn over ``n`` numbers, from a start of its own."""
+    return F.pmod(F.xxhash64(F.shiftright(tile, 32)) % n + F.col(tile).bitwiseAND((1 << 32) - 1), F.lit(n)).cast("int")
+
+
+def _grid_top_k(queries: DataFrame, corpus: DataFrame, grid: tuple[int, int], dim: int, k: int, exclude_self: bool,
+                centroids: np.ndarray | None = None) -> DataFrame:
+    """Hits, at most ``k`` per query and column, of ``corpus(tile, payload, cell, low, high)``
+    for ``queries(tile, payload)``. A query payload may have a third column, the ``least``
+    score of each query; with ``centroids`` a corpus tile is a ring of angles around the
+    centroid of its cell and is left out for the queries whose top-k it cannot enter."""
+    rows, columns = grid
+    every = F.lit(None)
+    c = corpus.select(F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("r"), _dealt("tile", columns).alias("c"),
+                      F.lit(0).alias("side"), "tile", "payload", "cell", "low", "high")
+    q = queries.select(_dealt("tile", rows).alias("r"), F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("c"),
+                       F.lit(1).alias("side"), "tile", "payload", every.cast("int").alias("cell"),
+                       every.cast("double").alias("low"), every.cast("double").alias("high"))
+    squares = (c.unionByName(q).repartitionById(rows * columns, (F.col("r") * columns + F.col("c")).cast("int"))
+               .sortWithinPartitions("side", "tile").select("side", "payload", "cell", "low", "high"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []             # a column's share of the corpus
+        rings: list[tuple[int, float, float]] = []
+        for b in batches:
+            for side, payload, *ring in zip(*(b.column(i) for i in range(5))):
+                t = _unpack(payload.as_py())
+                ids, units = t.column(0).to_numpy().astype(np.int64), _unit_rows(t.column(1), dim)
+                if side.as_py() == 0:
+                    held.append((ids, units, units.astype(np.float32)))
+                    rings.append(tuple(x.as_py() for x in ring))
+                    continue
+                least = t.column(2).to_numpy(zero_copy_only=False) if t.num_columns > 2 else None
+                best = _Nearest(ids, units, k, exclude_self, least)
+                if centroids is None:
+                    for tile in held:
+                        best.add(*tile)
+                else:
+                    used, at = np.unique([r[0] for r in rings], return_inverse=True)
+                    angle = np.arccos(np.clip(units @ centroids[used.astype(np.int64)].T, -1.0, 1.0))
+                    for tile, (_, low, high), j in zip(held, rings, at.tolist()):
+                        bound = np.cos(np.maximum(np.maximum(low - angle[:, j], angle[:, j] - high), 0.0))
+                        best.add(*tile, np.flatnonzero(bound >= best.floor() - SLACK))
+                yield best.hits()
+    return squares.mapInArrow(score, HITS)
+
+
+def _vectors(df: DataFrame, i: str, v: str) -> DataFrame:
+    """``(id, value)``; single-precision vectors travel as they are."""
+    kind = df.select(F.col(v)).schema[0].dataType.simpleString()
+    return df.select(F.col(i).cast("long").alias("id"), F.col(v).cast(kind if kind == "array<float>" else "array<double>").alias("value"))
 
 
 def retrieve_dense(queries: DataFrame, corpus: DataFrame, query_id: str, query_vec: str,
@@ -167,9 +296,13 @@ def retrieve_dense(queries: DataFrame, corpus: DataFrame, query_id: str, query_v
     corpus row whose id equals the query id (for a table searched against
     itself). Query ids should be unique: rows that repeat one are searched as one.
     """
-    def side(df: DataFrame, i: str, v: str) -> DataFrame:
-        return df.select(F.col(i).cast("long").alias("id"), F.col(v).cast("array<double>").alias("value"))
-    return _search(side(queries, query_id, query_vec), side(corpus, corpus_id, corpus_vec), k, _dense_tile, exclude_self)
+    spark = ship(corpus.sparkSession)
+    q, c = _vectors(queries, query_id, query_vec), _vectors(corpus, corpus_id, corpus_vec)
+    (n_q, dim_q), (n_c, dim_c) = (df.agg(F.count(F.lit(1)), F.max(F.size("value"))).first() for df in (q, c))
+    dim = max(1, dim_q or 1, dim_c or 1)
+    ring = [F.lit(None).cast(t).alias(n) for n, t in (("cell", "int"), ("low", "double"), ("high", "double"))]
+    grid = _grid(int(spark.conf.get("spark.sql.shuffle.partitions")), n_q, n_c, dim)
+    return _final_top_k(_grid_top_k(_tiles(q), _tiles(c).select("*", *ring), grid, dim, k, exclude_self), k)
 
 
 # ---------------------------------------------------------------- lexical

@@ -288,3 +288,30 @@ def test_lexical_dense_path_matches_brute_force(spark, monkeypatch, freq):
         sc.sort(key=lambda x: (-x[0], x[1]))
         want += [(qid, i + 1, cid, s) for i, (s, cid) in enumerate(sc[:3])]
     assert got == sorted(want)
+
+
+@pytest.mark.parametrize("k,exclude_self", [(3, True), (1, False), (20, False)])
+def test_dense_grid_equals_brute_force(spark, monkeypatch, k, exclude_self):
+    import numpy as np
+    from qaspark.operators import retrieve
+    for name, value in (("TILE_ROWS", 40), ("SEED_ROWS", 7), ("SCORES", 500), ("COLUMN_BYTES", 4000)):
+        monkeypatch.setattr(retrieve, name, value)
+    v = np.random.default_rng(3).normal(size=(260, 5)).astype("float32")
+    v[200:] = v[:60]                                                     # equal vectors tie
+    e = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<float>").repartition(3)
+    got = {(r["query_id"], r["rank"]): r["context_id"] for r in
+           retrieve.retrieve_dense(e, e, "id", "v", "id", "v", k, exclude_self).collect()}
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
+    want = {}
+    for q, s in enumerate(np.round(u @ u.T, 10)):
+        order = sorted((-x, i) for i, x in enumerate(s.tolist()) if not (exclude_self and i == q))
+        want |= {(q, r): i for r, (_, i) in enumerate(order[:k], 1)}
+    assert got == want
+
+
+def test_dense_tiles_are_copied_to_few_partitions():
+    from qaspark.operators.retrieve import COLUMN_BYTES, _grid
+    rows, columns = _grid(200, 600_000, 600_000, 64)
+    assert 200 <= rows * columns <= 300 and rows + columns < 40          # copies of a corpus and a query tile
+    assert _grid(200, 200, 600_000, 64)[0] == 1                          # few queries: the corpus is not copied
+    assert 10 ** 9 * 64 * 8 / _grid(200, 10 ** 6, 10 ** 9, 64)[1] <= COLUMN_BYTES
