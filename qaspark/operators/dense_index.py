@@ -5,8 +5,10 @@ slices, ordered by their angle to the cell's centroid, so a slice is a ring: all
 lie between two bounds. For a query at angle ``t`` from the centroid, the triangle
 inequality on the sphere bounds the similarity of everything in a ring by ``cos`` of the
 distance of ``t`` from those bounds. A search first scores the most promising slices of the
-nearest cells, which gives every query a threshold, and then only those other slices that
-may still reach it. No result is lost: cells and slices are left out by proof.
+nearest cells, which gives every query a threshold, and then the slices that may still
+reach it. No result is lost: slices are left out by proof. Slices and queries meet on the
+grid of :func:`.retrieve._grid_top_k`, where a task tests the bounds itself, so no row is
+ever made for a pair of query and slice.
 """
 
 from __future__ import annotations
@@ -22,14 +24,14 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from ..shipping import ship
 from ..sources.folders import finished, shared_folder
-from .retrieve import HITS, _best, _dim, _final_top_k, _unit_rows, each_with
+from .retrieve import HITS, SLACK, _best, _dim, _final_top_k, _grid, _grid_top_k, _tiles, _unit_rows, each_with
 
 MAX_CELLS = 4096               # bound of the centroids that reach the driver and the tasks
 ROUNDS = 6                     # k-means rounds
 SLICE_ROWS = 1024              # vectors of a slice
 QUERY_ROWS = 1024              # queries scored at a time
 QUERY_SALTS = 16               # parts over which the queries of one slice are spread
-SLACK = 1e-9                   # rounding of bounds and scores
+STEP_ROWS = 1024               # vectors compared with all centroids at a time
 SLICES = "cell int, slice long, low double, high double, n int, payload binary"
 
 
@@ -57,6 +59,13 @@ def _units(batch: pa.RecordBatch, dim: int, at: int = 1) -> np.ndarray:
     return _unit_rows(batch.column(at), max(dim, _dim(batch.column(at))))
 
 
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts whose distances to ``MAX_CELLS`` centroids are few enough to hold."""
+    for b in batches:
+        for a in range(0, b.num_rows, STEP_ROWS):
+            yield b.slice(a, STEP_ROWS)
+
+
 def _angles(units: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(units @ centroids.T, -1.0, 1.0))
 
@@ -66,7 +75,7 @@ def _angles(units: np.ndarray, centroids: np.ndarray) -> np.ndarray:
 def _partial_means(centroids: np.ndarray):
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros_like(centroids)
-        for b in batches:
+        for b in _steps(batches):
             u = _units(b, centroids.shape[1])
             u = u[u.any(axis=1)]
             np.add.at(total, (u @ centroids.T).argmax(axis=1), u)
@@ -113,7 +122,7 @@ def fit_centroids(vectors: DataFrame, cells: int | None = None, rounds: int = RO
 def _assign(centroids: np.ndarray):
     """Cell and angle of every vector; zero vectors go to cell -1."""
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _steps(batches):
             u = _units(b, centroids.shape[1])
             cell = np.full(len(u), -1, np.int32)
             angle = np.zeros(len(u))
@@ -203,7 +212,7 @@ class DenseIndex:
                                                  F.min("low").alias("low"), F.max("high").alias("high"))
 
     def _near_cells(self, queries: DataFrame, k: int | None, cells: DataFrame) -> DataFrame:
-        """``(query_id, value, cell, t)``: for each query the nearest cells that hold ``k``
+        """``(query_id, cell, t)``: for each query the nearest cells that hold ``k``
         vectors, or (``k`` None) every cell that may reach the query's ``least``."""
         rows = {r["cell"]: (r["n"], r["low"], r["high"]) for r in cells.filter("cell >= 0").collect()}       # MAX_CELLS at most
         used = np.array(sorted(rows), np.int64)
@@ -212,7 +221,7 @@ class DenseIndex:
         centroids = self.centroids
 
         def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in _steps(batches):
                 u = _units(b, centroids.shape[1])
                 t = _angles(u, centroids[used])
                 if k is None:
@@ -226,10 +235,10 @@ class DenseIndex:
                     np.put_along_axis(take, order, held < k, axis=1)
                 take &= u.any(axis=1)[:, None]                    # zero queries have no direction
                 i, j = np.nonzero(take)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), b.column(1).take(pa.array(i)),
-                                                  pa.array(used[j].astype(np.int32)), pa.array(t[i, j])], ["query_id", "value", "cell", "t"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), pa.array(used[j].astype(np.int32)), pa.array(t[i, j])],
+                                                 ["query_id", "cell", "t"])
         columns = ["query_id", "value"] + (["least"] if k is None else [])
-        return queries.select(*columns).mapInArrow(choose, "query_id long, value array<double>, cell int, t double")
+        return queries.select(*columns).mapInArrow(choose, "query_id long, cell int, t double")
 
     def _bound(self) -> Column:
         """Largest similarity that a vector of a slice can have with the query."""
@@ -269,21 +278,29 @@ class DenseIndex:
         return tiles.join(self.slices().select("slice", "payload"), "slice").select("q", "payload").mapInArrow(score, HITS)
 
     def _probes(self, queries: DataFrame, k: int, exclude_self: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """First hits, first probes and remaining probes ``(query_id, value, slice)``."""
+        """The cells, the first probes ``(query_id, slice)``, and the queries with the
+        ``least`` score that their k-th hit reaches (by the hits of those probes)."""
         need = k + 1 if exclude_self else k
         cells = materialize(self.cells())
         meta = self.slices().select("cell", "slice", "low", "high", "n")
         best_first = Window.partitionBy("query_id").orderBy(F.desc("bound"), "t", "slice").rowsBetween(Window.unboundedPreceding, -1)
         first = materialize(self._near_cells(queries, need, cells).join(meta, "cell").withColumn("bound", self._bound())
                             .withColumn("held", F.coalesce(F.sum("n").over(best_first), F.lit(0))).filter(F.col("held") < need)
-                            .select("query_id", "value", "slice"))
-        hits = materialize(_final_top_k(self._scored(first, k, exclude_self), k))
+                            .select("query_id", "slice"))
+        hits = _final_top_k(self._scored(first.join(queries, "query_id"), k, exclude_self), k)
         least = hits.filter(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
         known = queries.join(least, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(-2.0)))
-        reach = (self._near_cells(known, None, cells).join(meta, "cell").withColumn("bound", self._bound())
-                 .join(known.select("query_id", "least"), "query_id").filter(F.col("bound") >= F.col("least") - SLACK))
-        rest = reach.join(first.select("query_id", "slice"), ["query_id", "slice"], "left_anti").select("query_id", "value", "slice")
-        return hits, first, rest
+        return cells, first, materialize(known)
+
+    def _reached(self, known: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+        """Hits of all slices that may reach the ``least`` score of a query."""
+        spark, dim = self.spark, self.centroids.shape[1]
+        rows = self.slices().filter("cell >= 0")
+        # a tile number of its own for each slice; the top bits are those of the task that wrote it
+        tiles = rows.select((F.col("slice.slice") + F.col("slice.batch")).alias("tile"), "payload", "cell", "low", "high")
+        q = known.filter(F.exists("value", lambda x: x != 0)).select(F.col("query_id").alias("id"), "value", "least")
+        grid = _grid(int(spark.conf.get("spark.sql.shuffle.partitions")), known.count(), rows.agg(F.sum("n")).first()[0] or 0, dim)
+        return _grid_top_k(_tiles(q), tiles, grid, dim, k, exclude_self, self.centroids)
 
     def search(self, queries: DataFrame, query_id: str, query_vec: str, k: int = 3, exclude_self: bool = False) -> DataFrame:
         """The result of :func:`.retrieve.retrieve_dense` over all indexed rows:
@@ -291,8 +308,8 @@ class DenseIndex:
         rows that repeat one are searched as one."""
         q = _ids_and_vectors(queries, query_id, query_vec).withColumnRenamed("id", "query_id").dropDuplicates(["query_id"])
         q = materialize(q)
-        hits, _, rest = self._probes(q, k, exclude_self)
-        found = hits.select("query_id", "context_id", "score").unionByName(self._scored(rest, k, exclude_self))
+        _, _, known = self._probes(q, k, exclude_self)
+        found = self._reached(known, k, exclude_self)
         # score 0: zero vectors for every query, all vectors for a zero query; the first ids stand for them
         zeros = each_with(q, self._first_ids(F.col("cell") == -1, k + 1))
         nothing = q.filter(~F.coalesce(F.exists("value", lambda x: x != 0), F.lit(False)))
@@ -316,9 +333,13 @@ class DenseIndex:
     def probed(self, queries: DataFrame, query_id: str, query_vec: str, k: int = 3, exclude_self: bool = False) -> DataFrame:
         """What a search reads: ``(query_id, probed_cells, probed_slices, all_cells, all_slices)``."""
         q = materialize(_ids_and_vectors(queries, query_id, query_vec).withColumnRenamed("id", "query_id").dropDuplicates(["query_id"]))
-        _, first, rest = self._probes(q, k, exclude_self)
+        cells, first, known = self._probes(q, k, exclude_self)
+        bounds = self.slices().select("cell", "slice", "low", "high")
+        reach = (self._near_cells(known, None, cells).join(bounds, "cell").withColumn("bound", self._bound())
+                 .join(known.select("query_id", "least"), "query_id").filter(F.col("bound") >= F.col("least") - SLACK))
+        rest = reach.join(first, ["query_id", "slice"], "left_anti")
         meta = self.slices().filter("cell >= 0").select("slice", "cell")
         total = meta.agg(F.count_distinct("cell").alias("all_cells"), F.count(F.lit(1)).alias("all_slices")).first()
-        return (first.select("query_id", "slice").unionByName(rest.select("query_id", "slice")).join(meta, "slice")
+        return (first.unionByName(rest.select("query_id", "slice")).join(meta, "slice")
                 .groupBy("query_id").agg(F.count_distinct("cell").alias("probed_cells"), F.count(F.lit(1)).alias("probed_slices"))
                 .withColumn("all_cells", F.lit(total["all_cells"])).withColumn("all_slices", F.lit(total["all_slices"])))

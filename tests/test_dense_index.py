@@ -95,3 +95,19 @@ def test_equals_the_scan(spark):
     want = retrieve_dense(e, e, "vec_id", "embedding", "vec_id", "embedding", 3, True)
     got = DenseIndex.build(e, "vec_id", "embedding").search(e, "vec_id", "embedding", 3, True)
     _equal(_rows(got), _rows(want))
+
+
+def test_search_makes_no_row_per_query_and_slice(spark, monkeypatch):
+    monkeypatch.setattr(dense_index, "SLICE_ROWS", 6)
+    rows = _clusters(300, 7, 5, spread=3.0)                              # no clusters: nearly every slice is reached
+    index = DenseIndex.build(_frame(spark, rows), "id", "v", cells=9)
+    near, made = DenseIndex._near_cells, []
+
+    def counted(self, queries, k, cells):
+        out = near(self, queries, k, cells)
+        made.append((out.count(), out.columns))
+        return out
+    monkeypatch.setattr(DenseIndex, "_near_cells", counted)
+    q = _frame(spark, rows)
+    _equal(_rows(index.search(q, "id", "v", 3, True)), _plain(rows, rows, 3, True))
+    assert sum(n for n, _ in made) < 2 * len(rows) and all("value" not in c for _, c in made)
