@@ -90,3 +90,27 @@ def test_size_and_empty(spark):
     nothing = LexicalIndex.build(docs.limit(0), "doc_id", "text")
     assert nothing.search(bench, "item_id", "text").collect() == []
     assert index.search(bench.limit(0), "item_id", "text").collect() == []
+
+
+def test_postings_are_made_where_their_block_lies(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(lexical_index, "BLOCK_BITS", 4)
+    monkeypatch.setattr(lexical_index, "HELD", 20)                       # repeated postings are dropped in between
+    corpus = _corpus(200, 5) + [(None, "w1 w2")] + _corpus(200, 5) * 2 + [(7, "w1 other")]
+    index = LexicalIndex.build(spark.createDataFrame(corpus, "id long, t string").repartition(6), "id", "t")
+    p = index.postings()
+    files = p.withColumn("f", F.input_file_name()).groupBy("block").agg(F.count_distinct("f").alias("files")).collect()
+    assert len(files) > 10 and {r["files"] for r in files} == {1}
+    want = {(t, i) for i, text in corpus if i is not None for t in text.split()}
+    got = [(r["token"], r["block"], r["n"], r["ids"]) for r in p.collect()]
+    assert sorted((t, i) for t, _, _, ids in got for i in ids) == sorted(want)
+    assert all(ids == sorted(ids) and n == len(ids) and {i >> 4 for i in ids} == {b} for _, b, n, ids in got)
+    assert len({(t, b) for t, b, _, _ in got}) == len(got)
+
+
+def test_postings_are_not_shuffled_for_few_words(spark):
+    index = LexicalIndex.build(spark.createDataFrame(_corpus(100, 6), "id long, t string"), "id", "t")
+    words = spark.createDataFrame([(1, "w0"), (1, "w5"), (2, "w0")], "query_id long, token string")
+    for df in (index._counted(words), index._lists(words, "n")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
