@@ -4,9 +4,10 @@ Everything is DataFrame expressions. Strict patterns give the base spans. Beside
 generators propose loose spans (anything around an at sign, any run that is mostly
 digits); boosted trees over format and context features judge each candidate as each
 kind it could be, and a threshold per kind, calibrated on held-out rows, selects those
-that are redacted too. The trees are trained on a bounded sample of the corpus: its base
-spans, as they stand and re-written in the ways people write them, against candidates
-that are no base span. They are then compiled into one SQL expression.
+that are redacted too. The trees are trained on the whole corpus: its base spans, as they
+stand and re-written in the ways people write them, against candidates that are no base
+span. Equal rows of features are one weighted row, so what is fitted grows with the
+different ones only. The trees are then compiled into one SQL expression.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, prepared
+from .common import dropped, prepared, stored
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -43,8 +44,8 @@ REWRITES = (("email", "@", " [at] "), ("email", "@", "(at)"), ("ip", r"\.", " .
             ("card", "([0-9]{4})(?=[0-9])", "$1."), ("card", "([0-9]{4})(?=[0-9])", "$1_"),
             ("phone", r"^\+[0-9] ?", ""), ("phone", "[ ()-]+", "."), ("phone", r"^\+", "00"))
 
-MAX_TRAIN_DOCS = 8000          # documents whose candidates train the trees, the first by a hash of their id
 TREES, DEPTH = 10, 3
+LEAF = 5                       # candidates of a leaf at least
 PRECISION = 0.97               # wanted of a kind on held-out candidates
 BLOCK = 512
 
@@ -208,41 +209,43 @@ def _tree(node) -> list | float:
     return [FEATURES[split.featureIndex()], float(split.threshold()), _tree(node.leftChild()), _tree(node.rightChild())]
 
 
-def train_judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                max_docs: int = MAX_TRAIN_DOCS) -> SpanJudge:
-    """Fit the trees on the candidates of at most ``max_docs`` documents.
-    Every fourth document calibrates: the lowest margin at which a kind's precision
-    reaches ``PRECISION``. Without both labels nothing is ever added."""
+def train_judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> SpanJudge:
+    """Fit the trees on the candidates of all documents. Every fourth document calibrates:
+    the lowest margin at which a kind's precision reaches ``PRECISION``. Without both labels
+    nothing is ever added."""
     import json
-    sample = hashed_sample(prepared(docs, id_col, text_col), "doc_id", max_docs).filter(F.col("text").rlike("@|[0-9]"))
-    seen = (sample.select("doc_id", base_spans(F.col("text")).alias("base"), candidates(F.col("text")).alias("c"))
+    texts = prepared(docs, id_col, text_col).filter(F.col("text").rlike("@|[0-9]"))
+    seen = (texts.select("doc_id", base_spans(F.col("text")).alias("base"), candidates(F.col("text")).alias("c"))
             .select("doc_id", "base", F.explode("c").alias("c")))
     exact = F.exists("base", lambda b: (b.start <= F.col("c.end")) & (F.col("c.start") <= b.end) & (b.ord == F.col("c.ord")))
     rows = seen.select("doc_id", exact.alias("y"), "c.ord", "c.value", "c.left", "c.right")
     spoken = F.array(*(F.struct(F.lit(KINDS.index(k)).alias("o"), F.regexp_replace("value", p, r).alias("v")) for k, p, r in REWRITES))
-    rewritten = (rows.filter("y").withColumn("w", F.explode(spoken)).filter((F.col("w.o") == F.col("ord")) & (F.col("w.v") != F.col("value")))
-                 .select("doc_id", "y", "ord", F.col("w.v").alias("value"), "left", "right"))
-    data = (rows.unionByName(rewritten)
-            .select("doc_id", "ord", F.col("y").cast("double").alias("label"),
-                    features(F.col("value"), F.col("left"), F.col("right"), F.col("ord")).alias("f"))
-            .select("doc_id", "ord", "label", "f.*").persist())
+    other = F.transform(F.filter(spoken, lambda w: (w.o == F.col("ord")) & (w.v != F.col("value"))), lambda w: w.v)
+    forms = F.concat(F.array("value"), F.when(F.col("y"), other).otherwise(F.array().cast("array<string>")))
+    said = rows.withColumn("value", F.explode(forms))
+    held = F.col("held")
+    data = stored(said.select((F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).alias("held"), "ord", F.col("y").cast("double").alias("label"),
+                          features(F.col("value"), F.col("left"), F.col("right"), F.col("ord")).alias("f"))
+                  .select("held", "ord", "label", "f.*").groupBy("held", "ord", "label", *FEATURES)
+                  .agg(F.count(F.lit(1)).cast("double").alias("n")), "pii-candidates")
     try:
-        count = {r["label"]: r["n"] for r in data.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-        if len(count) < 2:
+        seen_labels = {(r["held"], r["label"]): r["n"] for r in data.groupBy("held", "label").agg(F.sum("n").alias("n")).collect()}
+        if len({label for _, label in seen_labels}) < 2:
             return SpanJudge("[]", (None,) * len(KINDS))
-        held = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
         points = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(data)
-        fitted = data.filter(~held).groupBy("label").count().count() == 2
-        model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=16, seed=3, stepSize=0.3, minInstancesPerNode=5).fit(
+        fitted = len([h for h, _ in seen_labels if not h]) == 2
+        total = sum(n for (h, _), n in seen_labels.items() if not (fitted and h))
+        model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=16, seed=3, stepSize=0.3, weightCol="n",
+                              minWeightFractionPerNode=min(0.49, LEAF / total)).fit(
             points.filter(~held) if fitted else points)
         java = model._java_obj
         trees = [(float(w), _tree(t.rootNode())) for w, t in zip(java.treeWeights(), java.trees())]
         sql = json.dumps(trees)
         f = F.struct(*(F.col(c) for c in FEATURES))
-        judged = data.filter(held).select("ord", "label", F.round(_margin(sql, f), 3).alias("m"))
-        curve = judged.groupBy("ord", "m").agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n")).collect()
+        judged = data.filter(held).select("ord", "label", "n", F.round(_margin(sql, f), 3).alias("m"))
+        curve = judged.groupBy("ord", "m").agg(F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("n")).collect()
     finally:
-        data.unpersist()
+        dropped(data)
     thresholds: list[float | None] = []
     for i in range(len(KINDS)):
         good = n = 0.0

@@ -60,3 +60,19 @@ def test_prefix_sums(spark, n):
     df = spark.createDataFrame([(list(range(n)),)], "v array<int>")
     want = [sum(range(i)) for i in range(n)]
     assert df.select(P.prefix_sums(F.col("v"))).first()[0] == want
+
+
+def test_judge_is_trained_on_every_document(spark, monkeypatch):
+    import qaspark.llm.common as common
+    seen = []
+    plain = P.stored
+    monkeypatch.setattr(P, "stored", lambda df, name: seen.append(plain(df, name)) or seen[-1])
+    monkeypatch.setattr(P, "dropped", lambda table: None)
+    rows = [(i, f"mail u{i}@mail.org, id {1000000 + i}") for i in range(9000)]      # beyond the 8,000 of the earlier sample
+    P.train_judge(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    data = seen[0]
+    n = {(r["is_email"], r["label"]): r["n"] for r in data.groupBy("is_email", "label").sum("n").withColumnRenamed("sum(n)", "n").collect()}
+    assert n[1.0, 1.0] == 3 * 9000                                                # as it stands and in two rewritings
+    assert n[0.0, 0.0] == 3 * 9000                                                # the number as three kinds
+    assert data.count() < 1000                                                    # equal rows are one
+    common.dropped(data)
