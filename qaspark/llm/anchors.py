@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, mix, rolling, sliding_argmin, stored
+from .common import code_powers, dropped, mix, rolling, sliding_argmin, stored
 
 #: Runs of a document: anchor hash, run key, first window, number of windows.
 RUNS = "array<struct<anchor:bigint,run:bigint,first:bigint,n:int>>"
@@ -34,6 +34,44 @@ def window_runs(codes: np.ndarray, gram: int, window: int) -> tuple[np.ndarray,
     return g[at], key, first, n, wh
 
 
+def anchored_runs(codes: np.ndarray, begin: np.ndarray, size: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, ...]:
+    """``(sequence, anchor hash, run key, first window, windows)`` of all runs of several
+    sequences, which lie one behind the other in ``codes``; windows lie within one sequence.
+    All hashes come from one prefix sum. Hash and place of a gram share one number, so a
+    plain minimum finds the anchor (the last of equals); the place within its window
+    decides between hashes that differ in their lowest bits only."""
+    n = len(codes) - window + 1
+    if n <= 0:
+        empty = np.empty(0, np.int64)
+        return empty, empty.view(np.uint64), empty.view(np.uint64), empty, empty
+    power, inverse = code_powers(len(codes) + 1)
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * power[:-1], out=sums[1:])
+    g = sums[gram:] - sums[:-gram]
+    g *= inverse[:len(g)]
+    low = np.uint64((1 << len(g).bit_length()) - 1)
+    best = (g | low) - np.arange(len(g), dtype=np.uint64)
+    covered = 1
+    while covered < window - gram + 1:
+        step = min(covered, window - gram + 1 - covered)
+        best = np.minimum(best[:-step], best[step:])
+        covered += step
+    stop = begin + np.maximum(size - window + 1, 0)
+    edge = np.ones(n, bool)
+    np.not_equal(best[1:], best[:-1], out=edge[1:])
+    edge[begin[begin < n]] = True
+    edge[stop[stop < n]] = True
+    first = np.flatnonzero(edge)
+    count = np.diff(np.append(first, n))
+    sequence = np.searchsorted(begin, first, side="right") - 1
+    inside = first < stop[sequence]                       # windows that begin in one sequence and end in another go
+    first, count, sequence = first[inside], count[inside], sequence[inside]
+    at = (low - (best[first] & low)).astype(np.int64)
+    whole = (sums[first + count + window - 1] - sums[first]) * inverse[first]
+    key = mix(mix(whole) + mix(((at - first) * 1000 + count).astype(np.uint64)))
+    return sequence, mix(g[at]), key, first - begin[sequence], count
+
+
 def repeated_runs(runs: DataFrame, name: str) -> tuple[DataFrame, list[DataFrame]]:
     """Of ``runs(doc_id, anchor, run, first, n)`` those whose anchor occurs at two places at
     least, with ``first_doc, first_at`` (the earliest place of an equal run), ``again``

@@ -117,6 +117,13 @@ _POW_CHUNK = _powers(_BASE, SLICE_BYTES * 2 + 1)
 _INV_CHUNK = _powers(_INVERSE, SLICE_BYTES * 2 + 1)
 
 
+def code_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to ``n - 1`` of the base of prefix-sum hashes, and of its inverse."""
+    if n <= len(_POW_CHUNK):
+        return _POW_CHUNK[:n], _INV_CHUNK[:n]
+    return _powers(_BASE, n), _powers(_INVERSE, n)
+
+
 #: Letters, digits and every byte of a non-ASCII character: words without punctuation.
 PLAIN_GAP = np.array([not (b >= 128 or chr(b).isalnum()) for b in range(256)])
 

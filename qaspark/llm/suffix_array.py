@@ -12,19 +12,17 @@ from __future__ import annotations
 
 import numpy as np
 
+from .common import code_powers, mix
+
 _WORD = 8
 
 
 def classify(s: np.ndarray) -> np.ndarray:
     """True for suffixes smaller than their successor; the last one (the sentinel) counts as such."""
-    n = len(s)
     change = np.flatnonzero(s[1:] != s[:-1])
-    small = np.ones(n, bool)
+    small = np.zeros(len(s), bool)
     if len(change):
-        nxt = np.searchsorted(change, np.arange(n - 1))
-        inside = nxt < len(change)
-        at = change[np.minimum(nxt, len(change) - 1)]
-        small[:-1] = np.where(inside, s[at] < s[at + 1], False)
+        small[:change[-1] + 1] = np.repeat(s[change] < s[change + 1], np.diff(change, prepend=-1))
     small[-1] = True
     return small
 
@@ -91,24 +89,37 @@ def induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) -> np.n
 
 
 def _names(s: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    """Name of each LMS substring (equal ones alike, in order), by position in ``lms``."""
+    """Name of each LMS substring (equal ones alike, in order), by position in ``lms``: the
+    number of substrings that are smaller."""
     n = len(s)
-    weight = np.cumprod(np.full(n, 0x9E3779B97F4A7C15 | 1, np.uint64), dtype=np.uint64)
-    hashes = np.concatenate((np.zeros(1, np.uint64), np.cumsum((s.astype(np.uint64) + np.uint64(0xBF58476D1CE4E5B9)) ** np.uint64(3) * weight, dtype=np.uint64)))
+    power, inverse = code_powers(n)
+    code = mix(np.arange(int(s.max()) + 1, dtype=np.uint64) + np.uint64(0xBF58476D1CE4E5B9))
+    hashes = np.zeros(n + 1, np.uint64)
+    np.cumsum(code[s] * power, out=hashes[1:])
     end = np.append(lms[1:], n - 1) + 1
-    inverse = pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
-    back = np.cumprod(np.full(n, inverse, np.uint64), dtype=np.uint64)
-    h = (hashes[end] - hashes[lms]) * back[lms]
-    length = end - lms
-    place = np.empty(n, np.int64)
-    place[lms] = np.arange(len(lms))
+    length = (end - lms).astype(np.int32)
+    h = (hashes[end] - hashes[lms]) * inverse[lms]
+    place = np.empty(n, np.int32)
+    place[lms] = np.arange(len(lms), dtype=np.int32)
     o = place[ordered]
-    new = (h[o][1:] != h[o][:-1]) | (length[o][1:] != length[o][:-1])
+    h, length = h[o], length[o]
     name = np.empty(len(lms), np.int64)
-    name[o] = np.concatenate(([0], np.cumsum(new)))
+    name[o] = _smaller((h[1:] != h[:-1]) | (length[1:] != length[:-1]))
     return name
 
 
+def _smaller(new: np.ndarray) -> np.ndarray:
+    """For each entry of a sorted list the number of smaller ones; ``new`` tells where
+    an entry differs from the one before it."""
+    start = np.concatenate(([0], np.flatnonzero(new) + 1))
+    return np.repeat(start, np.diff(np.append(start, len(new) + 1)))
+
+
+def _tied(name: np.ndarray) -> np.ndarray:
+    """Places of the names that are given more than once."""
+    return np.flatnonzero(np.bincount(name)[name] > 1)
+
+
 def suffix_array(s: np.ndarray, size: int) -> np.ndarray:
     """Suffix array of ``s`` (integers below ``size``) that ends in a sentinel 0, which
     must occur nowhere else."""
@@ -121,24 +132,30 @@ def suffix_array(s: np.ndarray, size: int) -> np.ndarray:
     is_lms[lms] = True
     name = _names(s, lms, first[is_lms[first]])
     step, m = 1, len(lms)
-    while name.max() + 1 < m:                                   # order of name pairs, then of pairs of pairs
-        second = np.zeros(m, np.int64)
-        second[:m - step] = name[step:] + 1
-        key = name * (m + 1) + second
-        order = np.argsort(key, kind="stable")
-        sorted_ = key[order]
-        name = np.empty(m, np.int64)
-        name[order] = np.concatenate(([0], np.cumsum(sorted_[1:] != sorted_[:-1])))
+    tied = _tied(name)
+    while len(tied):                                            # order of name pairs, then of pairs of pairs
+        follower = tied + step
+        second = np.where(follower < m, name[np.minimum(follower, m - 1)] + 1, 0)
+        key = name[tied] * (m + 1) + second
+        order = np.argsort(key)
+        tied, key = tied[order], key[order]
+        # names count the smaller ones, so those of a group begin at its old name
+        old = name[tied]
+        place = np.arange(len(tied)) - _smaller(old[1:] != old[:-1])
+        name[tied] = old + place[_smaller(key[1:] != key[:-1])]
+        tied = np.sort(tied)
+        tied = tied[_tied(name[tied])]
         step *= 2
     ordered = np.empty(m, np.int64)
     ordered[name] = lms
     return induce(s, small, ordered, size)
 
 
-def permuted_prefixes(text: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
+def permuted_prefixes(text: np.ndarray, sa: np.ndarray, cap: int, least: int = 0) -> np.ndarray:
     """For each position of a byte text the length, up to ``cap``, of the prefix that its
     suffix shares with the one before it in order; 0 for the first suffix. Eight bytes
-    are compared at a time, and only pairs that still agree go on."""
+    are compared at a time, and only pairs that still agree go on. Pairs whose eight bytes
+    before ``least`` differ share less than that; they get 0 and are not looked at further."""
     n = len(text)
     before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
@@ -148,6 +165,9 @@ def permuted_prefixes(text: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
     out = np.zeros(n, np.int32)
     live = np.flatnonzero(before >= 0).astype(np.int32)
     other = before[live]
+    if _WORD <= least <= cap:
+        agree = eight[live + (least - _WORD)] == eight[other + (least - _WORD)]
+        live, other = live[agree], other[agree]
     for at in range(0, cap, _WORD):
         differ = eight[live + at] ^ eight[other + at]
         same = differ == 0

@@ -91,3 +91,33 @@ def test_one_id_with_several_texts(spark):
     want = brute.repeated_bytes(dict(enumerate(t for _, t in apart)))
     expected = [(d, *want[apart.index((d, t or ""))]) for d, t in rows if d is not None] + [(-1, 150, 0, 0, brute.sha(text[0]))]
     assert got == sorted(expected)
+
+
+def test_short_texts_are_scanned_in_blocks(monkeypatch):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdefgh é") for _ in range(n)) for n in (0, 99, 100, 101, 0, 0, 450, 5, 40_000, 0, 300, 98)]
+    texts += [texts[6][30:] + texts[10], "=" * 260, texts[6]] + ["".join(rng.choice("abc ") for _ in range(rng.randrange(260))) for _ in range(200)]
+    texts = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    calls, of = [], D.anchored_runs
+    monkeypatch.setattr(D, "anchored_runs", lambda *a: calls.append(1) or of(*a))
+    got = D._runs_of(texts, 100).to_pylist()
+    assert len(calls) <= 5
+    for t, runs in zip(texts, got):
+        anchor, run, first, n = D._runs(t, 100)
+        assert [tuple(r.values()) for r in runs] == list(zip(anchor.view(np.int64).tolist(), run.view(np.int64).tolist(), first.tolist(), n.tolist()))
+        assert n.sum() == max(0, len(t) - 99)
+    assert got[6] == got[14] and D._runs_of([], 100).to_pylist() == []
+
+
+def test_only_tied_suffixes_are_sorted_again(monkeypatch):
+    rng = np.random.default_rng(10)
+    body = rng.integers(1, 5, 3000)
+    s = np.concatenate((body, body[:400], [0])).astype(np.uint8)
+    sizes, of = [], np.argsort
+    monkeypatch.setattr(S.np, "argsort", lambda a, **k: sizes.append(len(a) * (a.dtype == np.int64)) or of(a, **k))
+    sa = S.suffix_array(s, 5)
+    assert sa.tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+    small = S.classify(s)
+    assert 0 < sum(sizes) < 3 * (small[1:] & ~small[:-1]).sum()
+    whole, some = S.permuted_prefixes(s, sa, 20), S.permuted_prefixes(s, sa, 20, 12)
+    assert (whole >= 12).any() and np.array_equal(some[whole >= 12], whole[whole >= 12]) and (some[whole < 12] <= whole[whole < 12]).all()
