@@ -49,6 +49,7 @@ def anchored_runs(codes: np.ndarray, begin: np.ndarray, size: np.ndarray, gram:
     np.cumsum(codes * power[:-1], out=sums[1:])
     g = sums[gram:] - sums[:-gram]
     g *= inverse[:len(g)]
+    g = mix(g)
     low = np.uint64((1 << len(g).bit_length()) - 1)
     best = (g | low) - np.arange(len(g), dtype=np.uint64)
     covered = 1
@@ -69,7 +70,7 @@ def anchored_runs(codes: np.ndarray, begin: np.ndarray, size: np.ndarray, gram:
     at = (low - (best[first] & low)).astype(np.int64)
     whole = (sums[first + count + window - 1] - sums[first]) * inverse[first]
     key = mix(mix(whole) + mix(((at - first) * 1000 + count).astype(np.uint64)))
-    return sequence, mix(g[at]), key, first - begin[sequence], count
+    return sequence, g[at], key, first - begin[sequence], count
 
 
 def repeated_runs(runs: DataFrame, name: str) -> tuple[DataFrame, list[DataFrame]]:
